@@ -233,3 +233,132 @@ def oracle_statements() -> dict[str, str]:
         if f:
             out.update(f())
     return out
+
+
+PYFLOAT_RE = (r"^[+-]?(?:(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?"
+              r"|(?i:inf|infinity|nan))$")
+HEX_RE = r"^[+-]?(?:0[xX]_?)?[0-9a-fA-F](?:_?[0-9a-fA-F])*$"
+
+
+def trimws(s: str) -> str:
+    return rf"regexp_replace({s}, '^\s+|\s+$', '', 'g')"
+
+
+def pyfloat(s: str) -> str:
+    t = trimws(s)
+    return f"(CASE WHEN regexp_matches({t}, '{PYFLOAT_RE}') THEN TRY_CAST(replace({t}, '_', '') AS DOUBLE) END)"
+
+
+RAW_POWER = """raw_power AS (
+  SELECT station, boot_id, event_id, timestamp, CAST(supply_seq AS INTEGER) AS supply_seq,
+    CASE WHEN supply_seq = 0 THEN 'Battery' ELSE 'Mains' END AS supply_type,
+    CASE WHEN supply_seq = 0 THEN CAST(event_id % 101 AS VARCHAR) || chr(10) END AS capacity_s,
+    CASE WHEN supply_seq = 0 THEN """ + _cycle("event_id % 4", ["'Discharging'", "'Charging'", "'Full'", "'Unknown'"]) + """ END AS status_s,
+    CASE WHEN supply_seq = 1 THEN (CASE WHEN event_id % 3 = 0 THEN '1' ELSE '0' END) || chr(10) END AS online_s
+  FROM (SELECT """ + KEYS + """, unnest([0, 1]) AS supply_seq FROM events))"""
+
+
+def _power_cte() -> str:
+    t = f"lower({trimws('supply_type')})"
+    st = f"lower({trimws('status_s')})"
+    cap = pyfloat("capacity_s")
+    return f"""power AS (
+  SELECT station, event_id,
+    arg_max(ps, supply_seq) FILTER (WHERE ps IS NOT NULL) AS power_source,
+    arg_max(bp, supply_seq) FILTER (WHERE bp IS NOT NULL) AS battery_percent
+  FROM (SELECT station, event_id, supply_seq,
+          CASE WHEN capacity_s IS NOT NULL AND {cap} IS NULL THEN NULL
+               WHEN {t} = 'battery' THEN (CASE WHEN {st} = 'discharging' THEN 'battery'
+                                               WHEN {st} IN ('charging', 'full') THEN 'mains' END)
+               WHEN {t} = 'mains' THEN (CASE WHEN {trimws('online_s')} = '1' THEN 'mains' END) END AS ps,
+          CASE WHEN {t} = 'battery' THEN {cap} END AS bp
+        FROM raw_power)
+  GROUP BY station, event_id)"""
+
+
+def _health_exprs() -> dict[str, str]:
+    q = pyfloat("regexp_replace(wifi_quality_s, '[.]+$', '')")
+    s = pyfloat("regexp_replace(wifi_level_s, '[.]+$', '')")
+    pct = f"(({q} / 70) * 100)"
+    tot, av = "COALESCE(mem_total_kb, 0)", "COALESCE(mem_available_kb, 0)"
+    ts = "timesync_s"
+    packet = (f"((((ntp_recv_i + ntp_recv_f / 4294967296{D}) - (ntp_orig_i + ntp_orig_f / 4294967296{D})) "
+              f"+ ((ntp_tx_i + ntp_tx_f / 4294967296{D}) - ntp_dest)) / 2) * 1000")
+    timesync = (f"(CASE WHEN ends_with({ts}, 'ms') THEN {pyfloat(f'left({ts}, length({ts}) - 2)')} "
+                f"WHEN ends_with({ts}, 's') THEN {pyfloat(f'left({ts}, length({ts}) - 1)')} * 1000 END)")
+    volt = trimws("volt_s")
+    thr_s = trimws("throttled_s")
+    thr = f"(CASE WHEN starts_with({thr_s}, 'throttled=') THEN split_part({thr_s}, '=', 2) END)"
+    ssid = trimws("iwgetid_s")
+    hexv = trimws(thr)
+    under = (f"COALESCE({thr} <> '0x0' AND (CASE WHEN regexp_matches({hexv}, '{HEX_RE}') "
+             f"THEN regexp_matches(right({hexv}, 1), '^[13579bdfBDF]$') END), false)")
+    return {
+        "cpu_temp_c": f"cpu_millideg / 1000{D}",
+        "cpu_load_1min": "load1", "cpu_load_5min": "load5", "cpu_load_15min": "load15",
+        "memory_total_mb": f"CASE WHEN {tot} > 0 THEN {tot} / 1024 END",
+        "memory_available_mb": f"CASE WHEN {tot} > 0 THEN {av} / 1024 END",
+        "memory_percent_used": f"CASE WHEN {tot} > 0 THEN (({tot} - {av}) / {tot}) * 100 END",
+        "disk_total_gb": "disk_total_b / 1073741824",
+        "disk_free_gb": "disk_free_b / 1073741824",
+        "disk_percent_used": ("CASE WHEN disk_total_b > 0 THEN ((disk_total_b - disk_free_b) / disk_total_b) * 100 "
+                              f"WHEN disk_total_b IS NOT NULL AND disk_free_b IS NOT NULL THEN 0{D} END"),
+        "wifi_ssid": f"CASE WHEN {ssid} <> '' THEN {ssid} END",
+        "wifi_signal_dbm": (f"CASE WHEN {q} IS NOT NULL AND {s} IS NOT NULL THEN CAST(trunc(CASE WHEN {s} > 100 "
+                            f"THEN {s} - 256 WHEN {s} > 0 THEN {s} - 100 ELSE {s} END) AS BIGINT) END"),
+        "wifi_quality_percent": (f"CASE WHEN {q} IS NOT NULL AND {s} IS NOT NULL THEN "
+                                 f"(CASE WHEN {pct} > 100 THEN 100{D} ELSE {pct} END) END"),
+        "ip_address": r"NULLIF(regexp_extract(hostname_s, '^\s*(\S+)', 1), '')",
+        "clock_synced": (f"CASE WHEN timesync_s IS NOT NULL THEN true WHEN ntpsync_s IS NOT NULL THEN "
+                         f"lower({trimws('ntpsync_s')}) = 'yes' END"),
+        "ntp_offset_ms": f"COALESCE({timesync}, {pyfloat('chrony_s')} * 1000, {pyfloat('ntpq_s')}, {packet})",
+        "ntp_packet_ms": packet,
+        "timesync_ms": timesync,
+        "uptime_seconds": "uptime_seconds",
+        "cpu_voltage_v": (f"CASE WHEN starts_with({volt}, 'volt=') AND ends_with({volt}, 'V') THEN "
+                          f"{pyfloat(f'substr({volt}, 6, length({volt}) - 6)')} END"),
+        "throttled_hex": thr,
+        "under_voltage": under,
+    }
+
+
+HEALTH_ORDER = ["timestamp", "cpu_temp_c", "cpu_load_1min", "cpu_load_5min", "cpu_load_15min",
+                "memory_total_mb", "memory_available_mb", "memory_percent_used", "disk_total_gb",
+                "disk_free_gb", "disk_percent_used", "wifi_ssid", "wifi_signal_dbm",
+                "wifi_quality_percent", "ip_address", "clock_synced", "ntp_offset_ms", "uptime_seconds",
+                "power_source", "battery_percent", "cpu_voltage_v", "throttled_hex"]
+
+
+def normalized_health_ctes() -> tuple[str, ...]:
+    x = _health_exprs()
+    sel = ",\n    ".join(f"{x[c]} AS {c}" for c in HEALTH_ORDER
+                         if c not in ("timestamp", "power_source", "battery_percent"))
+    norm = f"""normalized AS (
+  SELECT h.station, h.event_id, h.boot_id, h.timestamp, {sel},
+    CASE WHEN {x['under_voltage']} THEN 'under-voltage' ELSE p.power_source END AS power_source,
+    p.battery_percent
+  FROM raw_health h LEFT JOIN power p ON h.station = p.station AND h.event_id = p.event_id)"""
+    return (RAW_HEALTH, RAW_POWER, _power_cte(), norm)
+
+
+def _health_sql() -> dict[str, str]:
+    x = _health_exprs()
+    H = lambda cols: with_ctes(RAW_HEALTH, body=(
+        "SELECT station, event_id, " + ", ".join(f"{x[c]} AS {c}" for c in cols) + " FROM raw_health"))
+    metrics = [c for c in HEALTH_ORDER if c != "timestamp"]
+    avail = " UNION ALL ".join(
+        f"SELECT station, '{m}' AS metric, count({m}) AS available, count(*) - count({m}) AS unavailable "
+        f"FROM normalized GROUP BY station" for m in metrics)
+    return {
+        "health_memory": H(["memory_total_mb", "memory_available_mb", "memory_percent_used"]),
+        "health_disk": H(["disk_total_gb", "disk_free_gb", "disk_percent_used"]),
+        "health_wifi": H(["wifi_ssid", "wifi_signal_dbm", "wifi_quality_percent", "ip_address"]),
+        "health_ntp_packet": H(["ntp_packet_ms"]),
+        "health_ntp_offset": H(["ntp_offset_ms"]),
+        "health_clock_synced": H(["clock_synced"]),
+        "health_power": with_ctes(RAW_POWER, _power_cte(), body="SELECT station, event_id, power_source, battery_percent FROM power"),
+        "health_throttled": H(["throttled_hex", "under_voltage"]),
+        "health_voltage": H(["cpu_voltage_v", "throttled_hex"]),
+        "normalize_health": with_ctes(*normalized_health_ctes(), body="SELECT station, " + ", ".join(HEALTH_ORDER) + " FROM normalized"),
+        "metric_availability": with_ctes(*normalized_health_ctes(), body=avail),
+    }
