@@ -362,3 +362,76 @@ def _health_sql() -> dict[str, str]:
         "normalize_health": with_ctes(*normalized_health_ctes(), body="SELECT station, " + ", ".join(HEALTH_ORDER) + " FROM normalized"),
         "metric_availability": with_ctes(*normalized_health_ctes(), body=avail),
     }
+
+
+def _doc_path() -> str:
+    st = "'station=st-' || CAST(doc_id AS VARCHAR)"
+    ymd = ("'/year=2024/month=' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '/day=' || "
+           "lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')")
+    hhmm = "lpad(CAST(doc_id % 24 AS VARCHAR), 2, '0') || lpad(CAST((doc_id % 4) * 15 AS VARCHAR), 2, '0')"
+    return _cycle("doc_id % 6", [
+        f"{st} || {ymd} || '/data_' || {hhmm} || '.parquet'",
+        f"{st} || {ymd} || '/health_' || {hhmm} || '.parquet'",
+        f"{st} || '/year=2024/notes_' || CAST(doc_id AS VARCHAR) || '.parquet'",
+        "'.cache/uv/st-' || CAST(doc_id AS VARCHAR) || '/pyarrow/tests/data.parquet'",
+        f"'output/' || {st} || '/year=2024/month=01/day=01/data_0000.parquet'",
+        "'st-' || CAST(doc_id AS VARCHAR) || '.parquet'",
+    ])
+
+
+MANIFESTS = f"""local_files AS (
+  SELECT {_doc_path()} AS path, CAST(strlen(text) AS BIGINT) AS size,
+    make_timestamp((1706745600 + doc_id) * 1000000) AS last_modified,
+    '"' || md5(text) || '"' AS e_tag
+  FROM documents),
+remote_files AS (
+  SELECT {_doc_path()} AS path,
+    CAST(CASE WHEN doc_id % 11 = 0 THEN strlen(text) + 1 ELSE strlen(text) END AS BIGINT) AS size,
+    make_timestamp((1704067200 + doc_id) * 1000000) AS last_modified,
+    CASE WHEN doc_id % 7 = 0 THEN '"0"' WHEN doc_id % 13 = 0 THEN NULL ELSE '"' || md5(text) || '"' END AS e_tag
+  FROM documents WHERE doc_id % 5 <> 0)"""
+
+EXACT_RE = r"^station=[^/]+/year=\d{4}/month=\d{2}/day=\d{2}/(?:data|health)_\d{4}\.parquet$"
+SUS_RE = [r"\.cache/", r"\.local/", r"site-packages/", r"pyarrow/tests/", r"__pycache__/", r"\.venv/",
+          r"venv/", r"output/"]
+
+
+def path_class(p: str) -> str:
+    sus = " OR ".join(f"regexp_matches({p}, '{r}')" for r in SUS_RE)
+    return (f"CASE WHEN regexp_matches({p}, '{EXACT_RE}') THEN 'exact' WHEN {sus} THEN 'suspicious' "
+            f"WHEN starts_with({p}, 'station=') AND contains({p}, '/year=') THEN 'fallback' ELSE 'other' END")
+
+
+DECISION = f"""decision AS (
+  SELECT l.path, l.size, l.last_modified, l.e_tag,
+    CASE WHEN r.path IS NULL THEN 'new' WHEN l.size <> r.size THEN 'size_mismatch'
+         WHEN l.e_tag <> COALESCE(r.e_tag, '') THEN 'content_changed' ELSE 'skip' END AS action
+  FROM local_files l LEFT JOIN remote_files r ON l.path = r.path
+  WHERE {path_class('l.path')} IN ('exact', 'fallback'))"""
+
+
+def _sync_sql() -> dict[str, str]:
+    st = r"NULLIF(regexp_extract(path, '(?:^|/)station=([^/]+)/', 1), '')"
+    day = (r"CASE WHEN regexp_extract(path, 'year=(\d{4})/month=(\d{2})/day=(\d{2})/', 0) <> '' THEN "
+           r"regexp_extract(path, 'year=(\d{4})/', 1) || '-' || regexp_extract(path, 'month=(\d{2})/', 1) "
+           r"|| '-' || regexp_extract(path, 'day=(\d{2})/', 1) END")
+    return {
+        "partition_path_class": with_ctes(MANIFESTS, body=f"SELECT path, {path_class('path')} AS path_class FROM local_files"),
+        "content_etag": """SELECT doc_id, '"' || md5(text) || '"' AS e_tag FROM documents""",
+        "sync_decision": with_ctes(MANIFESTS, DECISION, body="SELECT path, size, action FROM decision"),
+        "list_objects": with_ctes(MANIFESTS, body="SELECT path, size, last_modified, e_tag FROM remote_files WHERE starts_with(path, 'station=')"),
+        "manifest_after_sync": with_ctes(MANIFESTS, DECISION, body="""
+            SELECT COALESCE(u.path, r.path) AS path,
+              CASE WHEN u.path IS NOT NULL THEN u.size ELSE r.size END AS size,
+              CASE WHEN u.path IS NOT NULL THEN u.last_modified ELSE r.last_modified END AS last_modified,
+              CASE WHEN u.path IS NOT NULL THEN u.e_tag ELSE r.e_tag END AS e_tag
+            FROM remote_files r FULL OUTER JOIN (SELECT * FROM decision WHERE action <> 'skip') u ON r.path = u.path"""),
+        "sync_summary": with_ctes(MANIFESTS, DECISION, body="""
+            SELECT action, action <> 'skip' AS synced, count(*) AS files, sum(size) AS bytes
+            FROM decision GROUP BY action"""),
+        "storage_stats": with_ctes(MANIFESTS, body=f"""
+            SELECT station, day, count(*) AS files, sum(size) / 1048576 AS total_mb,
+              grouping_id(station, day) AS level
+            FROM (SELECT {st} AS station, {day} AS day, size FROM local_files)
+            GROUP BY ROLLUP (station, day)"""),
+    }

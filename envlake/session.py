@@ -75,3 +75,30 @@ def local_path(uri: str) -> str:
         return uri[len("file:"):]
     return uri
 
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``envlake`` importable in executor Python workers (once per application).
+
+    Functions run by ``mapInPandas``/``applyInPandasWithState`` are pickled by module
+    reference, so executors need the package: it is zipped on the driver and added with
+    ``addPyFile``, which distributes it to every executor, including ones started later.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zdir = tempfile.mkdtemp(prefix="envlake-pyfiles-")
+    zpath = os.path.join(zdir, "envlake.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(app)
