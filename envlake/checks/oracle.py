@@ -435,3 +435,54 @@ def _sync_sql() -> dict[str, str]:
             FROM (SELECT {st} AS station, {day} AS day, size FROM local_files)
             GROUP BY ROLLUP (station, day)"""),
     }
+
+
+LAKE_READINGS = """lake_readings AS (
+  SELECT station,
+    CAST(strftime(min(timestamp) OVER b, '%Y') AS INTEGER) AS year,
+    CAST(strftime(min(timestamp) OVER b, '%m') AS INTEGER) AS month,
+    CAST(strftime(min(timestamp) OVER b, '%d') AS INTEGER) AS day,
+    date_trunc('millisecond', timestamp) AS timestamp, """ + ", ".join(
+    f"CAST({c} AS FLOAT) AS {c}" for c in SENSOR_FLOATS) + """
+  FROM corrected WINDOW b AS (PARTITION BY station, boot_id, batch_end))"""
+
+
+def _lake_health_ctes() -> tuple[str, ...]:
+    cols = ", ".join(c for c in HEALTH_ORDER if c != "timestamp")
+    lake = f"""lake_health AS (
+  SELECT n.station,
+    CAST(strftime(min(n.timestamp) OVER b, '%Y') AS INTEGER) AS year,
+    CAST(strftime(min(n.timestamp) OVER b, '%m') AS INTEGER) AS month,
+    CAST(strftime(min(n.timestamp) OVER b, '%d') AS INTEGER) AS day,
+    date_trunc('millisecond', n.timestamp) AS timestamp, {cols}
+  FROM normalized n JOIN corrected c ON n.station = c.station AND n.event_id = c.event_id
+  WHERE c.health_sample
+  WINDOW b AS (PARTITION BY n.station, c.boot_id, c.batch_end))"""
+    return (*READINGS_CTES, *normalized_health_ctes(), lake)
+
+
+def _lake_sql() -> dict[str, str]:
+    floats = ", ".join(SENSOR_FLOATS)
+    hcols = ", ".join(HEALTH_ORDER)
+    LH = lambda body: with_ctes(*_lake_health_ctes(), body=body)
+    return {
+        "scan_readings": with_ctes(*READINGS_CTES, LAKE_READINGS, body=f"SELECT station, year, month, day, timestamp, {floats} FROM lake_readings"),
+        "write_readings": with_ctes(*READINGS_CTES, LAKE_READINGS, body="SELECT station, year, month, day, count(*) AS n_rows FROM lake_readings GROUP BY ALL"),
+        "scan_health": LH(f"SELECT station, year, month, day, {hcols} FROM lake_health"),
+        "write_health": LH("SELECT station, year, month, day, count(*) AS n_rows FROM lake_health GROUP BY ALL"),
+        "q_time_range": with_ctes(*READINGS_CTES, LAKE_READINGS, body="""
+            SELECT timestamp, temperature, humidity, pm25 FROM lake_readings
+            WHERE year = 2024 AND month = 1 AND day = 15 AND station = 'st-03'"""),
+        "q_hourly_station_avg": with_ctes(*READINGS_CTES, LAKE_READINGS, body="""
+            SELECT station, date_trunc('hour', timestamp) AS hour, round(avg(temperature), 4) AS avg_temp,
+              round(avg(humidity), 4) AS avg_humidity, round(avg(pm25), 4) AS avg_pm25
+            FROM lake_readings WHERE year = 2024 AND month = 1
+            GROUP BY station, hour ORDER BY hour, station"""),
+        "q_clock_drift_alerts": LH("""
+            SELECT station, timestamp, clock_synced, ntp_offset_ms, wifi_signal_dbm FROM lake_health
+            WHERE NOT clock_synced OR ntp_offset_ms > 100 ORDER BY timestamp DESC"""),
+        "q_memory_pressure": LH("""
+            SELECT station, date_trunc('hour', timestamp) AS hour, round(avg(memory_percent_used), 6) AS avg_mem,
+              max(memory_percent_used) AS max_mem
+            FROM lake_health GROUP BY station, hour HAVING avg(memory_percent_used) > 80"""),
+    }
