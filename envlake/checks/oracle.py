@@ -196,8 +196,8 @@ def _readings_sql() -> dict[str, str]:
         "health_sample": R("SELECT station, boot_id, event_id, rn AS seq_rn FROM corrected WHERE health_sample"),
         "boot_sessions": with_ctes(RAW_READINGS, body="""
             SELECT station, event_id, timestamp,
-              sum(CASE WHEN prev IS NULL OR epoch_us(timestamp) - epoch_us(prev) > 5400000000 THEN 1 ELSE 0 END)
-                OVER (PARTITION BY station ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS session_id
+              CAST(sum(CASE WHEN prev IS NULL OR epoch_us(timestamp) - epoch_us(prev) > 5400000000 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY station ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_id
             FROM (SELECT station, event_id, timestamp,
                     lag(timestamp) OVER (PARTITION BY station ORDER BY timestamp, event_id) AS prev
                   FROM raw_readings)"""),
@@ -427,7 +427,7 @@ def _sync_sql() -> dict[str, str]:
               CASE WHEN u.path IS NOT NULL THEN u.e_tag ELSE r.e_tag END AS e_tag
             FROM remote_files r FULL OUTER JOIN (SELECT * FROM decision WHERE action <> 'skip') u ON r.path = u.path"""),
         "sync_summary": with_ctes(MANIFESTS, DECISION, body="""
-            SELECT action, action <> 'skip' AS synced, count(*) AS files, sum(size) AS bytes
+            SELECT action, action <> 'skip' AS synced, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
             FROM decision GROUP BY action"""),
         "storage_stats": with_ctes(MANIFESTS, body=f"""
             SELECT station, day, count(*) AS files, sum(size) / 1048576 AS total_mb,
@@ -486,3 +486,30 @@ def _lake_sql() -> dict[str, str]:
               max(memory_percent_used) AS max_mem
             FROM lake_health GROUP BY station, hour HAVING avg(memory_percent_used) > 80"""),
     }
+
+
+ROW_LAKE = """row_lake AS (
+  SELECT station, CAST(year(timestamp) AS INTEGER) AS year, CAST(month(timestamp) AS INTEGER) AS month,
+    CAST(day(timestamp) AS INTEGER) AS day,
+    date_trunc('millisecond', timestamp) AS timestamp, """ + ", ".join(
+    f"CAST({c} AS FLOAT) AS {c}" for c in SENSOR_FLOATS) + """
+  FROM corrected)"""
+
+
+def _stream_sql() -> dict[str, str]:
+    floats = ", ".join(SENSOR_FLOATS)
+    raw_cols = ("station, boot_id, event_id, timestamp, raw_temperature, raw_humidity, pressure, cpu_temp_c, "
+                "ox_v, red_v, nh3_v, lux, proximity, " + ", ".join(PM_ORDER))
+    lake = f"SELECT station, year, month, day, timestamp, {floats} FROM row_lake"
+    return {
+        "stream_readings": with_ctes(RAW_READINGS, body=f"SELECT {raw_cols} FROM raw_readings"),
+        "stream_compensate": readings_sql(f"SELECT station, boot_id, event_id, timestamp, {floats}, rn AS seq_rn, batch_end FROM corrected"),
+        "stream_flush": with_ctes(*READINGS_CTES, ROW_LAKE, body=lake),
+        "stream_final_flush": with_ctes(*READINGS_CTES, ROW_LAKE, body=lake),
+        "stream_hourly_avg": readings_sql("""
+            SELECT station, date_trunc('hour', timestamp) AS hour, round(avg(temperature), 4) AS avg_temp,
+              round(avg(humidity), 4) AS avg_humidity, round(avg(pm25), 4) AS avg_pm25, count(*) AS n_readings
+            FROM corrected GROUP BY station, hour
+            HAVING date_trunc('hour', timestamp) + INTERVAL 2 HOUR <= (SELECT max(timestamp) FROM corrected)"""),
+        "stream_dedupe": readings_sql(f"SELECT DISTINCT station, boot_id, event_id, timestamp, {floats} FROM corrected"),
+    }

@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# Settings every envlake job relies on. Timestamps are UTC instants and are written
-# as millisecond Parquet timestamps, like the reference lake.
+# Settings every envlake job relies on. Timestamps are UTC instants; intermediate files
+# keep microseconds, and the lake writers switch to milliseconds for their own writes.
 PINNED_CONF = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MILLIS",
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -46,6 +47,21 @@ def apply_pinned_conf(spark: SparkSession) -> None:
             pass
 
 
+@contextmanager
+def scoped_conf(spark: SparkSession, key: str, value: str):
+    """Set a runtime SQL conf for the duration of a block (streaming queries started in
+    the block keep it: they run on a clone of the session's conf)."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlake.functions.dtypes import canonical_dtypes
+from envlake.session import scoped_conf
 from envlake.schema import (HEALTH_COLUMNS, HEALTH_FILE_SCHEMA, HEALTH_LAKE_SCHEMA,
                             SENSOR_FILE_SCHEMA, SENSOR_LAKE_SCHEMA)
 
@@ -33,11 +34,13 @@ def _write(df: DataFrame, root: str, data_cols: list[str], compression: str, mod
     out = df.select(*present, *PARTITION_COLUMNS)
     # REBALANCE lets AQE coalesce small station-days and split a hot one, so one
     # writer task per directory-sized chunk; rows are time-sorted for tight statistics.
-    (out.hint("rebalance", *PARTITION_COLUMNS)
-        .sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
-        .write.mode(mode).partitionBy(*PARTITION_COLUMNS)
-        .option("compression", compression)
-        .parquet(root))
+    # The lake stores millisecond timestamps, like the reference's files.
+    with scoped_conf(df.sparkSession, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MILLIS"):
+        (out.hint("rebalance", *PARTITION_COLUMNS)
+            .sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
+            .write.mode(mode).partitionBy(*PARTITION_COLUMNS)
+            .option("compression", compression)
+            .parquet(root))
 
 
 def write_readings(df: DataFrame, root: str, compression: str = "zstd", mode: str = "append") -> None:
