@@ -26,14 +26,14 @@ def _norm(v, digits=9):
     if isinstance(v, float):
         if math.isnan(v):
             return (1, "nan")
-        return (1, f"{round(v, digits):.{digits}g}")
+        return (1, repr(v) if digits is None else f"{round(v, digits):.{digits}g}")
     if hasattr(v, "isoformat"):
         s = v.isoformat().replace("T", " ")
         return (1, s.split("+")[0])
     return (1, str(v))
 
 
-def compare(spark, name, q, sql, sf_dir, digits=9):
+def compare(spark, name, q, sql, sf_dir, digits=None):
     t = time.time()
     sdf = q(spark, sf_dir)
     srows = [r.asDict() for r in sdf.collect()]

@@ -111,6 +111,11 @@ SENSOR_FLOATS = ["temperature", "raw_temperature", "pressure", "humidity", "raw_
                  "oxidised", "reducing", "nh3", "lux", "proximity", *PM_ORDER]
 
 
+def xavg(c: str) -> str:
+    """Exact-accumulation mean (DECIMAL(38,6) sum, one double division)."""
+    return f"CAST(sum(CAST(CAST({c} AS DOUBLE) AS DECIMAL(38,6))) AS DOUBLE) / NULLIF(count({c}), 0)"
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
@@ -473,18 +478,18 @@ def _lake_sql() -> dict[str, str]:
         "q_time_range": with_ctes(*READINGS_CTES, LAKE_READINGS, body="""
             SELECT timestamp, temperature, humidity, pm25 FROM lake_readings
             WHERE year = 2024 AND month = 1 AND day = 15 AND station = 'st-03'"""),
-        "q_hourly_station_avg": with_ctes(*READINGS_CTES, LAKE_READINGS, body="""
-            SELECT station, date_trunc('hour', timestamp) AS hour, round(avg(temperature), 4) AS avg_temp,
-              round(avg(humidity), 4) AS avg_humidity, round(avg(pm25), 4) AS avg_pm25
+        "q_hourly_station_avg": with_ctes(*READINGS_CTES, LAKE_READINGS, body=f"""
+            SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('temperature')} AS avg_temp,
+              {xavg('humidity')} AS avg_humidity, {xavg('pm25')} AS avg_pm25
             FROM lake_readings WHERE year = 2024 AND month = 1
             GROUP BY station, hour ORDER BY hour, station"""),
         "q_clock_drift_alerts": LH("""
             SELECT station, timestamp, clock_synced, ntp_offset_ms, wifi_signal_dbm FROM lake_health
             WHERE NOT clock_synced OR ntp_offset_ms > 100 ORDER BY timestamp DESC"""),
-        "q_memory_pressure": LH("""
-            SELECT station, date_trunc('hour', timestamp) AS hour, round(avg(memory_percent_used), 6) AS avg_mem,
+        "q_memory_pressure": LH(f"""
+            SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('memory_percent_used')} AS avg_mem,
               max(memory_percent_used) AS max_mem
-            FROM lake_health GROUP BY station, hour HAVING avg(memory_percent_used) > 80"""),
+            FROM lake_health GROUP BY station, hour HAVING {xavg('memory_percent_used')} > 80"""),
     }
 
 
@@ -506,9 +511,9 @@ def _stream_sql() -> dict[str, str]:
         "stream_compensate": readings_sql(f"SELECT station, boot_id, event_id, timestamp, {floats}, rn AS seq_rn, batch_end FROM corrected"),
         "stream_flush": with_ctes(*READINGS_CTES, ROW_LAKE, body=lake),
         "stream_final_flush": with_ctes(*READINGS_CTES, ROW_LAKE, body=lake),
-        "stream_hourly_avg": readings_sql("""
-            SELECT station, date_trunc('hour', timestamp) AS hour, round(avg(temperature), 4) AS avg_temp,
-              round(avg(humidity), 4) AS avg_humidity, round(avg(pm25), 4) AS avg_pm25, count(*) AS n_readings
+        "stream_hourly_avg": readings_sql(f"""
+            SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('temperature')} AS avg_temp,
+              {xavg('humidity')} AS avg_humidity, {xavg('pm25')} AS avg_pm25, count(*) AS n_readings
             FROM corrected GROUP BY station, hour
             HAVING date_trunc('hour', timestamp) + INTERVAL 2 HOUR <= (SELECT max(timestamp) FROM corrected)"""),
         "stream_dedupe": readings_sql(f"SELECT DISTINCT station, boot_id, event_id, timestamp, {floats} FROM corrected"),

@@ -1,0 +1,17 @@
+"""Aggregates whose result does not depend on partitioning or summation order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def exact_avg(c, scale: int = 6) -> Column:
+    """Mean with exact accumulation: values are quantised to ``scale`` decimals (below
+    float32 resolution at sensor magnitudes), summed as DECIMAL(38, scale) and divided
+    once in double. A double ``avg`` depends on the order rows reach each partial sum,
+    so reruns over different partitionings could disagree in the last bits; this cannot.
+    NULLs are ignored; no values gives NULL."""
+    x = F.col(c) if isinstance(c, str) else c
+    s = F.sum(x.cast("double").cast(f"decimal(38,{scale})"))
+    return s.cast("double") / F.nullif(F.count(x), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from envlake.functions.stats import exact_avg
 from envlake.plans.lake_build import build_lakes
 from envlake.schema import SENSOR_FLOAT_COLUMNS
 from envlake.sources.health_lake import scan_health
@@ -53,9 +54,9 @@ def hourly_station_avg(readings: DataFrame, y: int, m: int) -> DataFrame:
     """Documented query: hourly means per station for one month, ordered by hour."""
     return (readings.where((F.col("year") == y) & (F.col("month") == m))
             .groupBy("station", F.date_trunc("hour", "timestamp").alias("hour"))
-            .agg(F.round(F.avg("temperature"), 4).alias("avg_temp"),
-                 F.round(F.avg("humidity"), 4).alias("avg_humidity"),
-                 F.round(F.avg("pm25"), 4).alias("avg_pm25"))
+            .agg(exact_avg("temperature").alias("avg_temp"),
+                 exact_avg("humidity").alias("avg_humidity"),
+                 exact_avg("pm25").alias("avg_pm25"))
             .orderBy("hour", "station"))
 
 
@@ -70,9 +71,9 @@ def clock_drift_alerts(health: DataFrame) -> DataFrame:
 def memory_pressure(health: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Documented query: hourly mean/max memory use per station where the mean > 80 %."""
     return (health.groupBy("station", F.date_trunc("hour", "timestamp").alias("hour"))
-            .agg(F.avg("memory_percent_used").alias("_avg"), F.max("memory_percent_used").alias("max_mem"))
-            .where(F.col("_avg") > threshold)
-            .select("station", "hour", F.round("_avg", 6).alias("avg_mem"), "max_mem"))
+            .agg(exact_avg("memory_percent_used").alias("avg_mem"),
+                 F.max("memory_percent_used").alias("max_mem"))
+            .where(F.col("avg_mem") > threshold))
 
 
 def q_time_range(spark: SparkSession, sf: str) -> DataFrame:

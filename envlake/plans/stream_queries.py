@@ -78,8 +78,7 @@ def q_stream_hourly_avg(spark: SparkSession, sf: str) -> DataFrame:
     s = stream_hourly_avg(spark.readStream.schema(schema).parquet(landing))
     out = _sink(s, spark, "hourly")
     r = spark.read.parquet(out)
-    return r.select("station", "hour", *[F.round(c, 4).alias(c) for c in ("avg_temp", "avg_humidity", "avg_pm25")],
-                    "n_readings")
+    return r.select("station", "hour", "avg_temp", "avg_humidity", "avg_pm25", "n_readings")
 
 
 def q_stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:

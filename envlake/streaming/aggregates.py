@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envlake.functions.stats import exact_avg
+
 # Chosen lateness bound (the reference has none: arrival order is event order).
 DEFAULT_WATERMARK = "1 hour"
 
@@ -14,8 +16,8 @@ def stream_hourly_avg(readings: DataFrame, watermark: str = DEFAULT_WATERMARK) -
     windows, emitted once the watermark passes the window end (append mode)."""
     return (readings.withWatermark("timestamp", watermark)
             .groupBy("station", F.window("timestamp", "1 hour").alias("w"))
-            .agg(F.avg("temperature").alias("avg_temp"), F.avg("humidity").alias("avg_humidity"),
-                 F.avg("pm25").alias("avg_pm25"), F.count(F.lit(1)).alias("n_readings"))
+            .agg(exact_avg("temperature").alias("avg_temp"), exact_avg("humidity").alias("avg_humidity"),
+                 exact_avg("pm25").alias("avg_pm25"), F.count(F.lit(1)).alias("n_readings"))
             .select("station", F.col("w.start").alias("hour"), "avg_temp", "avg_humidity", "avg_pm25",
                     "n_readings"))
 
