@@ -43,15 +43,20 @@ def disk(total_b, free_b) -> dict[str, Column]:
     }
 
 
-def wifi(quality_s, level_s) -> dict[str, Column]:
-    """Signal dBm and quality percent from ``/proc/net/wireless`` fields ("45." style).
+def wifi_levels(quality_s, level_s) -> dict[str, Column]:
+    """Parse stage of :func:`wifi`: the two numbers of ``/proc/net/wireless`` ("45." style)."""
+    return {"wifi_q": py_float(rstrip_chars(quality_s, ".")),
+            "wifi_level": py_float(rstrip_chars(level_s, "."))}
+
+
+def wifi_from_levels(q, s) -> dict[str, Column]:
+    """Signal dBm and quality percent from parsed quality ``q`` and level ``s``.
 
     Both values need both fields to parse. A positive level is an old 0..100 / 0..255
     scale: > 100 -> level - 256, else level - 100; the result is truncated to an integer.
     Quality is out of 70, capped at 100.
     """
-    q = py_float(rstrip_chars(quality_s, "."))
-    s = py_float(rstrip_chars(level_s, "."))
+    q, s = _c(q), _c(s)
     ok = q.isNotNull() & s.isNotNull()
     dbm = (F.when(s > 100, s - 256).when(s > 0, s - 100).otherwise(s))
     pct = (q / 70) * 100
@@ -61,6 +66,13 @@ def wifi(quality_s, level_s) -> dict[str, Column]:
     }
 
 
+def wifi(quality_s, level_s) -> dict[str, Column]:
+    """Single-expression form of ``wifi_from_levels(**wifi_levels(...))``. Operators over
+    many rows stage the parse first (see ``envlake.operators.health``)."""
+    lv = wifi_levels(quality_s, level_s)
+    return wifi_from_levels(lv["wifi_q"], lv["wifi_level"])
+
+
 def wifi_ssid(iwgetid_out) -> Column:
     """``stdout.strip() or None``."""
     s = py_strip(iwgetid_out)
@@ -108,18 +120,16 @@ def clock_synced(timesync_s, ntpsync_s) -> Column:
 
 
 def core_voltage(volt_out) -> Column:
-    """``volt=0.8312V`` -> 0.8312."""
-    s = py_strip(volt_out)
-    ok = s.startswith("volt=") & s.endswith("V")
-    body = F.substring(s, F.lit(6), F.length(s) - 6)
-    return F.when(ok, py_float(body))
+    """``volt=0.8312V`` -> 0.8312 (after ``strip()``: prefix ``volt=``, suffix ``V``)."""
+    body = F.regexp_extract(_c(volt_out), r"(?s)^\s*volt=(.*)V\s*$", 1)
+    return py_float(body)
 
 
 def throttled_hex(throttled_out) -> Column:
-    """``throttled=0x50005`` -> ``0x50005`` (second ``=``-separated field)."""
+    """``throttled=0x50005`` -> ``0x50005``: the second ``=``-separated field of the
+    stripped output, when it starts with ``throttled=``."""
     s = py_strip(throttled_out)
-    parts = F.split(s, "=")
-    return F.when(s.startswith("throttled="), F.element_at(parts, 2))
+    return F.when(s.startswith("throttled="), F.element_at(F.split(s, "="), 2))
 
 
 def under_voltage(hex_col) -> Column:

@@ -21,20 +21,26 @@ def power_status(raw_power: DataFrame, keys: Sequence[str] = ("station", "event_
     unreadable capacity aborts that supply (its status is never read). Mains: online
     ``1`` -> 'mains'. Supplies that write nothing do not reset earlier values.
     """
-    t = F.lower(py_strip("supply_type"))
-    status = F.lower(py_strip("status_s"))
-    cap = py_float("capacity_s")
-    aborted = F.col("capacity_s").isNotNull() & cap.isNull()
-    ps = (F.when(aborted, F.lit(None).cast("string"))
-          .when(t == "battery", F.when(status == "discharging", "battery")
-                .when(status.isin("charging", "full"), "mains"))
-          .when(t == "mains", F.when(py_strip("online_s") == "1", "mains")))
-    bp = F.when(t == "battery", cap)
-    seq = F.col("supply_seq")
-    return (raw_power.select(*keys, seq.alias("_seq"), ps.alias("_ps"), bp.alias("_bp"))
-            .groupBy(*keys)
-            .agg(F.max_by("_ps", F.when(F.col("_ps").isNotNull(), F.col("_seq"))).alias("power_source"),
-                 F.max_by("_bp", F.when(F.col("_bp").isNotNull(), F.col("_seq"))).alias("battery_percent")))
+    # parse stage (each raw string parsed once), then integer codes so the fold runs as
+    # a hash aggregate: 1 = battery, 2 = mains
+    parsed = raw_power.select(*keys, F.col("supply_seq").alias("_seq"),
+                              F.lower(py_strip("supply_type")).alias("_t"),
+                              F.lower(py_strip("status_s")).alias("_st"),
+                              F.col("capacity_s").isNotNull().alias("_has_cap"),
+                              py_float("capacity_s").alias("_cap"),
+                              (py_strip("online_s") == "1").alias("_online"))
+    t, st = F.col("_t"), F.col("_st")
+    aborted = F.col("_has_cap") & F.col("_cap").isNull()
+    code = (F.when(aborted, F.lit(None).cast("int"))
+            .when(t == "battery", F.when(st == "discharging", 1).when(st.isin("charging", "full"), 2))
+            .when(t == "mains", F.when(F.col("_online"), 2)))
+    bp = F.when(t == "battery", F.col("_cap"))
+    folded = (parsed.select(*keys, "_seq", code.alias("_ps"), bp.alias("_bp"))
+              .groupBy(*keys)
+              .agg(F.max_by("_ps", F.when(F.col("_ps").isNotNull(), F.col("_seq"))).alias("_code"),
+                   F.max_by("_bp", F.when(F.col("_bp").isNotNull(), F.col("_seq"))).alias("battery_percent")))
+    return folded.select(*keys, F.when(F.col("_code") == 1, "battery").when(F.col("_code") == 2, "mains")
+                         .alias("power_source"), "battery_percent")
 
 
 def normalize_health(raw: DataFrame, power: DataFrame | None = None,
@@ -45,12 +51,15 @@ def normalize_health(raw: DataFrame, power: DataFrame | None = None,
     ``power`` is the output of :func:`power_status` (joined on ``keys``); an
     under-voltage bit in the throttled word overrides the power source.
     """
+    # Parse stage: every raw string that feeds several outputs is parsed once here
+    # (Spark does not inline a costly expression into several consumers).
+    raw = raw.withColumns({**H.wifi_levels("wifi_quality_s", "wifi_level_s"),
+                           "throttled_hex": H.throttled_hex("throttled_s")})
     mem = H.memory("mem_total_kb", "mem_available_kb")
     dsk = H.disk("disk_total_b", "disk_free_b")
-    wifi = H.wifi("wifi_quality_s", "wifi_level_s")
+    wifi = H.wifi_from_levels("wifi_q", "wifi_level")
     packet = H.ntp_packet_offset_ms("ntp_orig_i", "ntp_orig_f", "ntp_recv_i", "ntp_recv_f",
                                     "ntp_tx_i", "ntp_tx_f", "ntp_dest")
-    thr = H.throttled_hex("throttled_s")
     cols = {
         "timestamp": F.col("timestamp"),
         "cpu_temp_c": cpu_temperature("cpu_millideg", for_compensation=False),
@@ -64,7 +73,7 @@ def normalize_health(raw: DataFrame, power: DataFrame | None = None,
         "ntp_offset_ms": H.ntp_offset_ms("timesync_s", "chrony_s", "ntpq_s", packet),
         "uptime_seconds": F.col("uptime_seconds"),
         "cpu_voltage_v": H.core_voltage("volt_s"),
-        "throttled_hex": thr,
+        "throttled_hex": F.col("throttled_hex"),
     }
     base = raw.select(*dict.fromkeys([*keys, *keep]), *[v.alias(k) for k, v in cols.items()])
     if power is not None:

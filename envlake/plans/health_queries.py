@@ -25,10 +25,10 @@ def q_health_disk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_health_wifi(spark: SparkSession, sf: str) -> DataFrame:
-    w = H.wifi("wifi_quality_s", "wifi_level_s")
-    return _raw(spark, sf).select("station", "event_id", H.wifi_ssid("iwgetid_s").alias("wifi_ssid"),
-                                  *[v.alias(k) for k, v in w.items()],
-                                  H.ip_address("hostname_s").alias("ip_address"))
+    r = _raw(spark, sf).withColumns(H.wifi_levels("wifi_quality_s", "wifi_level_s"))
+    w = H.wifi_from_levels("wifi_q", "wifi_level")
+    return r.select("station", "event_id", H.wifi_ssid("iwgetid_s").alias("wifi_ssid"),
+                    *[v.alias(k) for k, v in w.items()], H.ip_address("hostname_s").alias("ip_address"))
 
 
 def _packet():
@@ -56,7 +56,7 @@ def q_health_power(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_health_throttled(spark: SparkSession, sf: str) -> DataFrame:
     h = _raw(spark, sf).select("station", "event_id", H.throttled_hex("throttled_s").alias("throttled_hex"))
-    return h.withColumn("under_voltage", H.under_voltage("throttled_hex"))
+    return h.select("station", "event_id", "throttled_hex", H.under_voltage("throttled_hex").alias("under_voltage"))
 
 
 def q_health_voltage(spark: SparkSession, sf: str) -> DataFrame:

@@ -60,10 +60,31 @@ def footer_signatures(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInPandas(run, "path string, sig string")
 
 
+def _uniform_schema(spark: SparkSession, root: str, paths: list[str]) -> bool:
+    """True when every file already carries canonical types. Spark merges all footers
+    in a distributed JVM job; any conflicting type (a Null-typed or INT64 metric) makes
+    the merge fail, and a column that is Null-typed in every file merges to a
+    non-canonical type."""
+    try:
+        merged = (spark.read.option("mergeSchema", "true").option("basePath", root)
+                  .parquet(*paths).schema)
+    except Exception:  # conflicting footers
+        return False
+    target = dict(HEALTH_COLUMNS)
+    return all(f.dataType == target[f.name] for f in merged.fields if f.name in target)
+
+
 def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> DataFrame:
-    """Scan the health lake into the canonical 22 health columns plus partitions."""
+    """Scan the health lake into the canonical 22 health columns plus partitions.
+
+    Fast path: a lake without drift is read natively with the canonical schema. Otherwise
+    files are grouped by footer schema (see module docstring)."""
     root = root.rstrip("/")
     listing_root = partition_paths(root, stations, dates)
+    if _uniform_schema(spark, root, listing_root):
+        return (spark.read.schema(T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS]
+                                               + PARTITION_SCHEMA.fields))
+                .option("basePath", root).parquet(*listing_root))
     files = reduce(DataFrame.unionByName, [
         list_files(spark, p).select(F.concat(F.lit(p[len(root):].lstrip("/") + "/") if p != root
                                              else F.lit(""), "path").alias("path"))
