@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +29,16 @@ def _chunk_col(ts: str, chunk_seconds: int) -> Column:
     if chunk_seconds < 1:
         raise ValueError("chunk_seconds must be >= 1")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return F.floor(us / F.lit(chunk_seconds * 1_000_000)).cast("long")
+    # integer floor division (pmod keeps pre-1970 instants in the right chunk)
+    n = F.lit(chunk_seconds * 1_000_000)
+    return ((us - F.pmod(us, n)) / n).cast("long")
 
 
 def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"),
                       ts: str = "timestamp", tiebreak: str = "event_id",
                       value_col: str | None = None, ok_col: str | None = None,
-                      depth: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                      depth: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+                      persist: bool = False) -> DataFrame:
     """Add per-group sequence columns, ordered by (ts, tiebreak) within ``keys``.
 
     * ``seq_rn``       1-based position of the row in its group
@@ -44,9 +48,18 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
       among the group's rows where ``ok_col`` is true, the window pre-filled with copies
       of the first such value; NULL on rows where ``ok_col`` is not true. Values are
       summed oldest first, as ``sum(list)`` does.
+
+    The windowed rows feed both the chunk summary and the output (a self-join). Lazily,
+    Spark computes them twice (two scans and shuffles of the input). With
+    ``persist=True`` they are kept once on executor disks (``DISK_ONLY``); the cached
+    relation keeps its (group, chunk) partitioning, so the summary aggregate and the
+    join back need no further shuffle of the big side, and blocks lost with an executor
+    are recomputed from lineage. Release with :func:`release` after the action.
     """
     K = list(keys)
-    d = df.withColumn("__sq_chunk", _chunk_col(ts, chunk_seconds))
+    # One shuffle on (group, chunk) serves both windows, the chunk aggregate and the
+    # join back; without it Spark may hash on (group, chunk, ok) and shuffle again.
+    d = df.withColumn("__sq_chunk", _chunk_col(ts, chunk_seconds)).repartition(*K, "__sq_chunk")
     wc = Window.partitionBy(*K, "__sq_chunk").orderBy(ts, tiebreak)
     d = (d.withColumn("__sq_rn_c", F.row_number().over(wc))
           .withColumn("__sq_lag_ts_c", F.lag(ts).over(wc)))
@@ -70,6 +83,10 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
         aggs += [F.max(F.when(F.col("__sq_ok") & (rev == j), F.col(value_col))).alias(f"__sq_t{j}")
                  for j in lags]
 
+    held = []
+    if persist:
+        d = d.persist(StorageLevel.DISK_ONLY)
+        held.append(d)
     # Chunk-level table: one row per (group, chunk).
     g = d.groupBy(*K, "__sq_chunk").agg(*aggs)
     W = Window.partitionBy(*K).orderBy("__sq_chunk")
@@ -113,7 +130,19 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
         acc = F.col(value_col) if acc is None else acc + F.col(value_col)
         out = out.withColumn("seq_roll_mean", F.when(F.col("__sq_ok"), acc / F.lit(depth)))
     drop = [c for c in out.columns if c.startswith("__sq_")]
-    return out.drop(*drop)
+    return hold(out.drop(*drop), held)
+
+
+def hold(df: DataFrame, persisted: list) -> DataFrame:
+    """Attach persisted intermediates to a result so :func:`release` can drop them."""
+    df._envlake_persisted = list(getattr(df, "_envlake_persisted", [])) + list(persisted)
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Unpersist intermediates held for ``df`` (after its action has run)."""
+    for p in getattr(df, "_envlake_persisted", []):
+        p.unpersist()
 
 
 def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "timestamp",
@@ -126,7 +155,8 @@ def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "t
     K = list(keys)
     gap_us = F.lit(int(gap_minutes * 60_000_000))
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    d = df.withColumn("__sq_chunk", _chunk_col(ts, chunk_seconds)).withColumn("__sq_us", us)
+    d = (df.withColumn("__sq_chunk", _chunk_col(ts, chunk_seconds)).withColumn("__sq_us", us)
+         .repartition(*K, "__sq_chunk"))
     wc = Window.partitionBy(*K, "__sq_chunk").orderBy(ts, tiebreak)
     lag_us = F.lag("__sq_us").over(wc)
     d = d.withColumn("__sq_flag_in", F.when(lag_us.isNotNull() & ((F.col("__sq_us") - lag_us) > gap_us), 1)

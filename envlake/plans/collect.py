@@ -14,7 +14,7 @@ from envlake.functions.compensation import (DEFAULT_FACTOR, compensate_humidity,
                                             compensate_temperature, cpu_temperature)
 from envlake.operators.assemble import assemble_reading
 from envlake.operators.batching import batch_assign_as_collected, batch_partition_values
-from envlake.operators.sequence import DEFAULT_CHUNK_SECONDS, sequence_features
+from envlake.operators.sequence import DEFAULT_CHUNK_SECONDS, hold, sequence_features
 from envlake.schema import SENSOR_FLOAT_COLUMNS
 
 # Fixed values of the collector: readings skipped after start, health every N readings,
@@ -30,7 +30,8 @@ READING_COLUMNS = ["station", "boot_id", "event_id", "timestamp", *SENSOR_FLOAT_
 def sequenced_readings(raw: DataFrame, *, compensation: bool = True,
                        factor: float = DEFAULT_FACTOR, keys=("station", "boot_id"),
                        chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-                       cpu_col: str = "cpu_temp_c", cpu_scale: float = 1.0) -> DataFrame:
+                       cpu_col: str = "cpu_temp_c", cpu_scale: float = 1.0,
+                       persist: bool = False) -> DataFrame:
     """All readings (warm-up included) with corrected values and sequence columns.
 
     ``cpu_col`` holds the CPU temperature (degrees, or millidegrees with
@@ -44,7 +45,8 @@ def sequenced_readings(raw: DataFrame, *, compensation: bool = True,
         F.coalesce(F.col(cpu_col), F.lit(40.0))
     a = a.withColumn("cpu_for_compensation", cpu)
     seq = sequence_features(a, keys=keys, value_col="cpu_for_compensation" if compensation else None,
-                            ok_col="bme_ok", depth=CPU_WINDOW, chunk_seconds=chunk_seconds)
+                            ok_col="bme_ok", depth=CPU_WINDOW, chunk_seconds=chunk_seconds,
+                            persist=persist)
     if compensation:
         temp = F.when(F.col("bme_ok"), compensate_temperature("raw_temperature", "seq_roll_mean", factor))
         hum = F.when(F.col("pressure_ok"),
@@ -52,20 +54,22 @@ def sequenced_readings(raw: DataFrame, *, compensation: bool = True,
     else:
         temp = F.col("raw_temperature")
         hum = F.col("raw_humidity")
-    return seq.withColumns({"temperature": temp, "humidity": hum})
+    return hold(seq.withColumns({"temperature": temp, "humidity": hum}), getattr(seq, "_envlake_persisted", []))
 
 
 def corrected_readings(raw: DataFrame, *, compensation: bool = True, factor: float = DEFAULT_FACTOR,
                        warmup: int = WARMUP_READINGS, health_every: int = HEALTH_EVERY,
                        batch_minutes: int = BATCH_MINUTES, keys=("station", "boot_id"),
-                       chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """Kept readings (after warm-up) with ``batch_end`` and the ``health_sample`` flag."""
+                       chunk_seconds: int = DEFAULT_CHUNK_SECONDS, persist: bool = False) -> DataFrame:
+    """Kept readings (after warm-up) with ``batch_end`` and the ``health_sample`` flag.
+    ``persist``: see :func:`envlake.operators.sequence.sequence_features`."""
     s = sequenced_readings(raw, compensation=compensation, factor=factor, keys=keys,
-                           chunk_seconds=chunk_seconds)
+                           chunk_seconds=chunk_seconds, persist=persist)
+    held = getattr(s, "_envlake_persisted", [])
     s = batch_assign_as_collected(s, batch_minutes, warmup)
     n = F.col("seq_rn")
     s = s.withColumn("health_sample", (n > warmup) & (n % health_every == 0))
-    return s.where(n > warmup)
+    return hold(s.where(n > warmup), held)
 
 
 def lake_readings(corrected: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from envlake.operators.batching import batch_partition_values
 from envlake.operators.health import normalize_health, power_status
+from envlake.operators.sequence import release
 from envlake.plans.collect import corrected_readings, lake_readings
 from envlake.session import work_dir
 from envlake.sources import fixtures as fx
@@ -41,10 +42,13 @@ def build_lakes(spark: SparkSession, sf: str, compression: str = "zstd") -> Lake
     if key in _BUILT:
         return _BUILT[key]
     root = work_dir(spark, "lake") + "/output"
-    corrected = corrected_readings(fx.raw_readings(spark, sf))
-    write_readings(lake_readings(corrected), root, compression=compression)
-    hroot = health_root(root)
-    write_health(health_records(spark, sf, corrected), hroot, compression=compression)
+    corrected = corrected_readings(fx.raw_readings(spark, sf), persist=True)
+    try:
+        write_readings(lake_readings(corrected), root, compression=compression)
+        hroot = health_root(root)
+        write_health(health_records(spark, sf, corrected), hroot, compression=compression)
+    finally:
+        release(corrected)
     lakes = Lakes(root, hroot)
     _BUILT[key] = lakes
     return lakes
