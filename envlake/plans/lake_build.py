@@ -31,8 +31,10 @@ def health_records(spark: SparkSession, sf: str, corrected: DataFrame | None = N
     c = corrected if corrected is not None else corrected_readings(fx.raw_readings(spark, sf))
     samples = c.where("health_sample").select("station", "event_id", "boot_id", "batch_end")
     raw = fx.raw_health(spark, sf).drop("boot_id").join(samples, on=["station", "event_id"], how="inner")
-    h = normalize_health(raw, power_status(fx.raw_power(spark, sf)),
-                         keep=("station", "boot_id", "batch_end"))
+    # fold only the supplies of sampled readings (semi join before the aggregate)
+    power = fx.raw_power(spark, sf).join(samples.select("station", "event_id"),
+                                         on=["station", "event_id"], how="left_semi")
+    h = normalize_health(raw, power_status(power), keep=("station", "boot_id", "batch_end"))
     return batch_partition_values(h, prefix="health")
 
 
