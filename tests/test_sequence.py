@@ -20,21 +20,22 @@ def _brute(df):
                      F.when(F.col("ok"), acc).alias("mean"))
 
 
-@pytest.mark.parametrize("chunk", [60, 3600, 7 * 86400])
-def test_sequence_features_chunk_invariant(spark, sf, chunk):
+@pytest.mark.parametrize("chunk,block", [(60, 1), (60, 3), (3600, 2), (3600, 1024), (7 * 86400, 1024)])
+def test_sequence_features_chunk_invariant(spark, sf, chunk, block):
     r = raw_readings(spark, sf).select("station", "boot_id", "event_id", "timestamp",
                                        F.coalesce("cpu_temp_c", F.lit(40.0)).alias("v"),
                                        F.col("raw_humidity").isNotNull().alias("ok"))
-    got = sequence_features(r, value_col="v", ok_col="ok", chunk_seconds=chunk).select(
+    got = sequence_features(r, value_col="v", ok_col="ok", chunk_seconds=chunk, block_chunks=block).select(
         "event_id", F.col("seq_rn").alias("rn"), F.col("seq_prev_ts").alias("prev"),
         F.col("seq_roll_mean").alias("mean"))
     exp = _brute(r)
     assert sorted(got.collect()) == sorted(exp.collect())
 
 
-def test_gap_sessions_small_chunks(spark, sf):
+@pytest.mark.parametrize("chunk,block", [(60, 1), (60, 5), (600, 1024)])
+def test_gap_sessions_small_chunks(spark, sf, chunk, block):
     r = raw_readings(spark, sf).select("station", "event_id", "timestamp")
-    a = gap_sessions(r, gap_minutes=90, chunk_seconds=60).select("event_id", "session_id")
+    a = gap_sessions(r, gap_minutes=90, chunk_seconds=chunk, block_chunks=block).select("event_id", "session_id")
     b = gap_sessions(r, gap_minutes=90, chunk_seconds=30 * 86400).select("event_id", "session_id")
     assert sorted(a.collect()) == sorted(b.collect())
 
