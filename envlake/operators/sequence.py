@@ -122,7 +122,8 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
 
     The windowed rows feed both the chunk summary and the output (a self-join). Lazily,
     Spark computes them twice (two scans and shuffles of the input). With
-    ``persist=True`` they are kept once on executor disks (``DISK_ONLY``); the cached
+    ``persist=True`` they are cached once (compressed columnar, spilling to executor
+    disks when memory is short: ``MEMORY_AND_DISK``); the cached
     relation keeps its (group, chunk) partitioning, so the summary aggregate and the
     join back need no further shuffle of the big side, and blocks lost with an executor
     are recomputed from lineage. Release with :func:`release` after the action.
@@ -156,7 +157,7 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
 
     held = []
     if persist:
-        d = d.persist(StorageLevel.DISK_ONLY)
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(d)
     # Chunk-level table: one row per (group, chunk), then carried across chunks.
     g = d.groupBy(*K, "__sq_chunk").agg(*aggs)

@@ -29,7 +29,11 @@ def get_session(master: str = "local[8]", app: str = "envlake", shuffle_partitio
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # Local runs have tiny shuffles; a lower coalescing floor keeps all cores busy
+         # (e.g. one writer task per few station-days instead of one for the whole lake).
+         # Cluster-sized shuffles are far above this floor, so it only matters locally.
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k"))
     for k, v in {**PINNED_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
