@@ -27,11 +27,18 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
 
 
+# The same grammar with surrounding whitespace allowed, so one guard replaces strip().
+PY_FLOAT_WS_RE = r"^\s*" + PY_FLOAT_RE[1:-1] + r"\s*$"
+
+
 def py_float(c) -> Column:
-    """``float(s)`` or NULL where Python would raise ValueError."""
-    s = py_strip(c)
-    return F.when(s.rlike(PY_FLOAT_RE),
-                  F.regexp_replace(s, "_", "").try_cast("double"))
+    """``float(s)`` or NULL where Python would raise ValueError.
+
+    The guard admits surrounding whitespace and no inner whitespace, so deleting every
+    whitespace character and underscore in one pass equals ``strip()`` followed by
+    removing the digit-group underscores."""
+    s = _c(c)
+    return F.when(s.rlike(PY_FLOAT_WS_RE), F.regexp_replace(s, r"[\s_]", "").try_cast("double"))
 
 
 def py_hex_valid(c) -> Column:
