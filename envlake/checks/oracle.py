@@ -511,6 +511,8 @@ def _stream_sql() -> dict[str, str]:
         "stream_compensate": readings_sql(f"SELECT station, boot_id, event_id, timestamp, {floats}, rn AS seq_rn, batch_end FROM corrected"),
         "stream_flush": with_ctes(*READINGS_CTES, ROW_LAKE, body=lake),
         "stream_final_flush": with_ctes(*READINGS_CTES, ROW_LAKE, body=lake),
+        "stream_flush_batch_layout": with_ctes(*READINGS_CTES, LAKE_READINGS, body=(
+            f"SELECT station, year, month, day, timestamp, {floats} FROM lake_readings")),
         "stream_hourly_avg": readings_sql(f"""
             SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('temperature')} AS avg_temp,
               {xavg('humidity')} AS avg_humidity, {xavg('pm25')} AS avg_pm25, count(*) AS n_readings

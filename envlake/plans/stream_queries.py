@@ -14,7 +14,8 @@ from envlake.session import work_dir
 from envlake.sources import fixtures as fx
 from envlake.sources.lake import scan_readings
 from envlake.streaming.aggregates import stream_dedupe, stream_hourly_avg
-from envlake.streaming.ingest import RAW_READING_SCHEMA, final_flush, flush_to_lake, land, stream_readings
+from envlake.streaming.ingest import (RAW_READING_SCHEMA, final_flush, flush_batches_to_lake, flush_to_lake,
+                                     land, stream_readings)
 from envlake.streaming.stateful import OUTPUT_SCHEMA, stream_compensate
 
 
@@ -52,6 +53,15 @@ def q_stream_flush(spark: SparkSession, sf: str) -> DataFrame:
                                                        *SENSOR_FLOAT_COLUMNS)
 
 
+def q_stream_flush_batch_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Stream flush in the reference's batch layout (first reading's day per batch)."""
+    base = work_dir(spark, "stream-flush-batch")
+    s = stream_compensate(stream_readings(spark, _raw_landing(spark, sf)))
+    flush_batches_to_lake(s, f"{base}/lake", f"{base}/ckpt").awaitTermination()
+    return scan_readings(spark, f"{base}/lake").select("station", "year", "month", "day", "timestamp",
+                                                       *SENSOR_FLOAT_COLUMNS)
+
+
 def q_stream_final_flush(spark: SparkSession, sf: str) -> DataFrame:
     """A running 15-minute flush is interrupted after some readings have landed; the
     final flush drains the rest (readings that landed later) before stopping."""
@@ -94,6 +104,7 @@ QUERIES = {
     "stream_compensate": q_stream_compensate,
     "stream_flush": q_stream_flush,
     "stream_final_flush": q_stream_final_flush,
+    "stream_flush_batch_layout": q_stream_flush_batch_layout,
     "stream_hourly_avg": q_stream_hourly_avg,
     "stream_dedupe": q_stream_dedupe,
 }
