@@ -5,14 +5,16 @@ Null-typed column and a metric may be INT64 in one file and DOUBLE in another. S
 Parquet reader cannot read such files with one schema (``mergeSchema`` fails, and an
 explicit STRING/DOUBLE schema fails on INT32-Null and INT64 columns).
 
-So file footers are read in a Spark job (tasks open only the footer), files are grouped
-by schema signature, each group is read natively with its own types (partition pruning,
-column pruning and vectorised reads intact) and cast to the canonical schema, and the
-groups are unioned. The number of groups is the number of distinct schemas, a handful.
+So file footers are read in a Spark job (tasks open only the footer) and kept in an
+incremental index, files are grouped by schema signature, each group is read natively
+with its own types (partition pruning, column pruning and vectorised reads intact) and
+cast to the canonical schema, and the groups are unioned. The number of groups is the
+number of distinct schemas, a handful; a lake without drift is read in one native scan.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envlake.schema import HEALTH_COLUMNS, PARTITION_SCHEMA
-from envlake.session import ship_package
-from envlake.sources.files import _fs, _join, list_files
+from envlake.session import checkpoint_root, ship_package
+from envlake.sources.files import _fs, _join, list_files, path_exists
 from envlake.sources.lake import partition_paths
 
 _ARROW_TO_SPARK = {
@@ -60,37 +62,62 @@ def footer_signatures(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInPandas(run, "path string, sig string")
 
 
-def _uniform_schema(spark: SparkSession, root: str, paths: list[str]) -> bool:
-    """True when every file already carries canonical types. Spark merges all footers
-    in a distributed JVM job; any conflicting type (a Null-typed or INT64 metric) makes
-    the merge fail, and a column that is Null-typed in every file merges to a
-    non-canonical type."""
-    try:
-        merged = (spark.read.option("mergeSchema", "true").option("basePath", root)
-                  .parquet(*paths).schema)
-    except Exception:  # conflicting footers
-        return False
+def _canonical_sig(sig: str) -> bool:
+    """Whether every column of a footer signature already has its canonical type."""
     target = dict(HEALTH_COLUMNS)
-    return all(f.dataType == target[f.name] for f in merged.fields if f.name in target)
+    for name, arrow_type in json.loads(sig):
+        if name in PARTITION_SCHEMA.names:
+            continue
+        if name in target and _spark_type(arrow_type) != target[name]:
+            return False
+    return True
+
+
+def footer_index(spark: SparkSession, root: str, index_dir: str | None = None) -> DataFrame:
+    """``(path, size, last_modified, sig)`` for every Parquet file under ``root``, read
+    incrementally: the index lives in the shared checkpoint folder and only files that
+    are new or changed (by size and modification time) have their footer read."""
+    root = root.rstrip("/")
+    if index_dir is None:
+        digest = hashlib.md5(root.encode()).hexdigest()[:16]
+        index_dir = f"{checkpoint_root(spark)}/envlake-footers-{digest}"
+    keys = ["path", "size", "last_modified"]
+    files = list_files(spark, root)
+    schema = "path string, size long, last_modified timestamp, sig string"
+    known = spark.read.schema(schema).parquet(index_dir) if path_exists(spark, index_dir) \
+        else spark.createDataFrame([], schema)
+    new = files.join(known.select(*keys), on=keys, how="left_anti")
+    if not new.isEmpty():
+        fresh = new.join(footer_signatures(new, root), on="path", how="inner").select(*keys, "sig")
+        fresh.write.mode("append").parquet(index_dir)
+    return spark.read.schema(schema).parquet(index_dir).join(files, on=keys, how="left_semi")
 
 
 def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> DataFrame:
     """Scan the health lake into the canonical 22 health columns plus partitions.
 
-    Fast path: a lake without drift is read natively with the canonical schema. Otherwise
-    files are grouped by footer schema (see module docstring)."""
+    Footer signatures come from an incremental index (:func:`footer_index`). When every
+    signature is canonical the lake is read natively with the canonical schema and no
+    path list; otherwise files are grouped by signature (see module docstring) and only
+    then are the paths of each group handed to the reader.
+    """
     root = root.rstrip("/")
     listing_root = partition_paths(root, stations, dates)
-    if _uniform_schema(spark, root, listing_root):
-        return (spark.read.schema(T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS]
-                                               + PARTITION_SCHEMA.fields))
-                .option("basePath", root).parquet(*listing_root))
-    files = reduce(DataFrame.unionByName, [
-        list_files(spark, p).select(F.concat(F.lit(p[len(root):].lstrip("/") + "/") if p != root
-                                             else F.lit(""), "path").alias("path"))
-        for p in listing_root])
-    sigs = footer_signatures(files, root)
-    groups = sigs.groupBy("sig").agg(F.collect_list("path").alias("paths")).collect()
+    idx = footer_index(spark, root)
+    if stations or dates:
+        prefixes = [p[len(root):].lstrip("/") + "/" for p in listing_root]
+        cond = None
+        for pre in prefixes:
+            c = F.col("path").like(pre.replace("*", "%") + "%")
+            cond = c if cond is None else (cond | c)
+        idx = idx.where(cond)
+    sigs = [r["sig"] for r in idx.select("sig").distinct().collect()]
+    canonical_schema = T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS] + PARTITION_SCHEMA.fields)
+    if all(_canonical_sig(sg) for sg in sigs):
+        if not sigs:
+            return spark.createDataFrame([], canonical_schema)
+        return spark.read.schema(canonical_schema).option("basePath", root).parquet(*listing_root)
+    groups = idx.groupBy("sig").agg(F.collect_list("path").alias("paths")).collect()
     target = dict(HEALTH_COLUMNS)
     parts = []
     for g in groups:
@@ -103,7 +130,4 @@ def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> Da
         sel = [(F.col(n).cast(t) if n in present else F.lit(None).cast(t)).alias(n)
                for n, t in target.items()]
         parts.append(df.select(*sel, *PARTITION_SCHEMA.names))
-    if not parts:
-        return spark.createDataFrame([], T.StructType(
-            [T.StructField(n, t) for n, t in HEALTH_COLUMNS] + PARTITION_SCHEMA.fields))
     return reduce(DataFrame.unionByName, parts)
