@@ -159,8 +159,11 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
     if persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(d)
-    # Chunk-level table: one row per (group, chunk), then carried across chunks.
-    g = d.groupBy(*K, "__sq_chunk").agg(*aggs)
+    # Chunk-level table: one row per (group, chunk), then carried across chunks. It has
+    # several consumers (block table, two window levels, joins) and Spark does not share
+    # sub-plans, so it is cached once (it is ~chunk-size times smaller than the data).
+    g = d.groupBy(*K, "__sq_chunk").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(g)
     g, carry = _carry_chunks(g, K, depth if value_col is not None else None, block_chunks,
                              dict(df.dtypes).get(value_col) if value_col else None)
 
@@ -217,10 +220,12 @@ def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "t
     d = d.withColumn("__sq_flag_in", F.when(lag_us.isNotNull() & ((F.col("__sq_us") - lag_us) > gap_us), 1)
                      .otherwise(0))
     d = d.withColumn("__sq_cum_in", F.sum("__sq_flag_in").over(wc.rowsBetween(_UNB, 0)))
+    # the chunk table feeds two block passes and two joins: cache it once (small)
     g = (d.groupBy(*K, "__sq_chunk")
          .agg(F.min("__sq_us").alias("__sq_first_us"), F.max("__sq_us").alias("__sq_last_us"),
               F.sum("__sq_flag_in").alias("__sq_n_in"))
-         .withColumn("__sq_blk", F.floor(F.col("__sq_chunk") / F.lit(block_chunks)).cast("long")))
+         .withColumn("__sq_blk", F.floor(F.col("__sq_chunk") / F.lit(block_chunks)).cast("long"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
     WA = Window.partitionBy(*K, "__sq_blk").orderBy("__sq_chunk")
     WB = Window.partitionBy(*K).orderBy("__sq_blk")
     # previous chunk's last reading: within the block, else the previous block's last
@@ -240,4 +245,4 @@ def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "t
     out = d.join(g.select(*K, "__sq_chunk", "__sq_first_flag", "__sq_off"), on=[*K, "__sq_chunk"], how="left")
     out = out.withColumn(out_col, (F.col("__sq_off") + F.col("__sq_first_flag") + F.col("__sq_cum_in"))
                          .cast("long"))
-    return out.drop(*[c for c in out.columns if c.startswith("__sq_")])
+    return hold(out.drop(*[c for c in out.columns if c.startswith("__sq_")]), [g])
