@@ -18,6 +18,10 @@ PINNED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # HotSpot does not JIT-compile methods over 8000 bytes; Spark's docs recommend this
+    # limit so an over-sized fused stage (the wide health projection) falls back to
+    # per-operator generated code, which is compiled, instead of running interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
