@@ -65,26 +65,17 @@ def flush_to_lake(stream: DataFrame, root: str, checkpoint: str, processing_time
         return _trigger(w, processing_time).start()
 
 
-def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str,
-                          processing_time: str | None = None, compression: str = "zstd") -> StreamingQuery:
-    """Flush with the reference's exact layout: each collector batch (station, boot,
-    ``batch_end``) is filed under its first reading's day, even across midnight.
-
-    Runs through ``foreachBatch``; needs ``boot_id`` and ``batch_end`` (e.g. from
-    ``stream_compensate``). A micro-batch that was already committed is skipped on replay
-    (a marker per batch id under ``{root}/_batches``); a failure between the write and
-    the marker can write a batch twice (at-least-once), which ``dedupe_readings`` /
-    ``stream_dedupe`` remove. A collector batch split across two triggers gets the first
-    day of each part.
-    """
+def batch_writer(root: str, compression: str = "zstd"):
+    """The ``foreachBatch`` function of :func:`flush_batches_to_lake`: writes one
+    micro-batch in the batch-level layout unless its batch id is already marked done."""
     from envlake.operators.batching import batch_partition_values
     from envlake.sources.files import path_exists
     from envlake.sources.lake import write_readings
 
     marker_root = root.rstrip("/") + "/_batches"
-    spark = stream.sparkSession
 
     def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
         marker = f"{marker_root}/{batch_id}"
         if path_exists(spark, marker):
             return
@@ -92,7 +83,22 @@ def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str,
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(marker)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+    return write
+
 
+def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str,
+                          processing_time: str | None = None, compression: str = "zstd") -> StreamingQuery:
+    """Flush with the reference's exact layout: each collector batch (station, boot,
+    ``batch_end``) is filed under its first reading's day, even across midnight.
+
+    Runs through ``foreachBatch``; needs ``boot_id`` and ``batch_end`` (e.g. from
+    ``stream_compensate``). A micro-batch that was already committed is skipped on replay
+    (a marker per batch id under ``{root}/_batches``); a failure between the write and
+    the marker can write a batch twice (at-least-once), which ``dedupe_readings`` /
+    ``stream_dedupe`` remove. A collector batch split across two triggers gets the first
+    day of each part.
+    """
+    write = batch_writer(root, compression)
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, processing_time).start()
 
