@@ -6,17 +6,18 @@ Parquet reader cannot read such files with one schema (``mergeSchema`` fails, an
 explicit STRING/DOUBLE schema fails on INT32-Null and INT64 columns).
 
 So file footers are read in a Spark job (tasks open only the footer) and kept in an
-incremental index, files are grouped by schema signature, each group is read natively
-with its own types (partition pruning, column pruning and vectorised reads intact) and
-cast to the canonical schema, and the groups are unioned. The number of groups is the
-number of distinct schemas, a handful; a lake without drift is read in one native scan.
+incremental index in the shared checkpoint folder. A lake whose files all carry the
+canonical types is read in one native scan. A lake with drift is read by executor tasks
+that open their share of the indexed files with pyarrow and cast each column to its
+canonical type; the file list stays a distributed DataFrame. (Spark cannot skip the
+drifted files of a native scan by a ``_metadata.file_path`` filter - it opens and fails
+on them - so a native read would need explicit per-group path lists on the driver.)
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -98,8 +99,8 @@ def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> Da
 
     Footer signatures come from an incremental index (:func:`footer_index`). When every
     signature is canonical the lake is read natively with the canonical schema and no
-    path list; otherwise files are grouped by signature (see module docstring) and only
-    then are the paths of each group handed to the reader.
+    path list. Otherwise the files listed in the index are read by executor tasks with a
+    cast to the canonical types (:func:`_arrow_scan`); no file list reaches the driver.
     """
     root = root.rstrip("/")
     listing_root = partition_paths(root, stations, dates)
@@ -117,17 +118,50 @@ def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> Da
         if not sigs:
             return spark.createDataFrame([], canonical_schema)
         return spark.read.schema(canonical_schema).option("basePath", root).parquet(*listing_root)
-    groups = idx.groupBy("sig").agg(F.collect_list("path").alias("paths")).collect()
-    target = dict(HEALTH_COLUMNS)
-    parts = []
-    for g in groups:
-        cols = json.loads(g["sig"])
-        fields = [T.StructField(n, _spark_type(t)) for n, t in cols if n not in PARTITION_SCHEMA.names]
-        schema = T.StructType(fields + PARTITION_SCHEMA.fields)
-        df = (spark.read.schema(schema).option("basePath", root)
-              .parquet(*[_join(root, p) for p in g["paths"]]))
-        present = {f.name for f in fields}
-        sel = [(F.col(n).cast(t) if n in present else F.lit(None).cast(t)).alias(n)
-               for n, t in target.items()]
-        parts.append(df.select(*sel, *PARTITION_SCHEMA.names))
-    return reduce(DataFrame.unionByName, parts)
+    return _arrow_scan(idx, root)
+
+
+# Arrow types of the canonical health columns (timestamps as UTC microseconds).
+def _arrow_target():
+    import pyarrow as pa
+    m = {T.TimestampType(): pa.timestamp("us", tz="UTC"), T.DoubleType(): pa.float64(),
+         T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}
+    return pa.schema([pa.field(n, m[t]) for n, t in HEALTH_COLUMNS] + [pa.field("path", pa.string())])
+
+
+def _arrow_scan(idx: DataFrame, root: str) -> DataFrame:
+    """Read drifted health files in executor tasks: each task opens its files with
+    pyarrow, casts every column to its canonical type (Null-typed -> typed NULLs,
+    INT64 -> DOUBLE, ...) and emits Arrow batches. The file list stays a DataFrame
+    (spread over tasks), partition values come from the path."""
+    ship_package(idx.sparkSession)
+    out_schema = T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS]
+                              + [T.StructField("path", T.StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        fs, base = _fs(root)
+        target = _arrow_target()
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                with fs.open_input_file(_join(base, p)) as f:
+                    t = pq.read_table(f)
+                n = t.num_rows
+                cols = []
+                for fld in target:
+                    if fld.name == "path":
+                        cols.append(pa.array([p] * n, pa.string()))
+                    elif fld.name in t.column_names:
+                        cols.append(t.column(fld.name).cast(fld.type))
+                    else:
+                        cols.append(pa.nulls(n, fld.type))
+                yield from pa.Table.from_arrays(cols, schema=target).to_batches()
+
+    rows = idx.select("path").repartition(max(1, idx.sparkSession.sparkContext.defaultParallelism))
+    data = rows.mapInArrow(run, out_schema)
+    part = {"station": F.regexp_extract("path", r"(?:^|/)station=([^/]+)/", 1),
+            "year": F.regexp_extract("path", r"(?:^|/)year=(\d+)/", 1).cast("int"),
+            "month": F.regexp_extract("path", r"(?:^|/)month=(\d+)/", 1).cast("int"),
+            "day": F.regexp_extract("path", r"(?:^|/)day=(\d+)/", 1).cast("int")}
+    return data.withColumns(part).drop("path")

@@ -54,6 +54,9 @@ def test_health_scan_survives_type_drift(spark):
     assert rows["a"].wifi_ssid is None and rows["a"].wifi_quality_percent == 100.0
     assert rows["b"].wifi_ssid == "x" and rows["b"].wifi_quality_percent == 55.5
     assert rows["a"].cpu_temp_c is None
+    assert rows["a"].timestamp.year == 2024 and rows["b"].day == 2
+    only_b = scan_health(spark, root, stations=["b"]).collect()
+    assert [r.station for r in only_b] == ["b"]
 
 
 def _write(path, data):
