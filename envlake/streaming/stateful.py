@@ -49,33 +49,42 @@ def _next_boundary_us(us: np.ndarray, minutes: int) -> np.ndarray:
 def make_state_fn(warmup: int = 10, health_every: int = 12, factor: float = DEFAULT_FACTOR,
                   batch_minutes: int = 15, depth: int = 5):
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable").reset_index(drop=True)
-        us = pdf["timestamp"].values.astype("datetime64[us]").astype(np.int64)
+        frames = list(pdfs)
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        ts = pdf["timestamp"].values.astype("datetime64[us]")
+        us = ts.astype(np.int64)
+        order = np.lexsort((pdf["event_id"].values, us))
+        us, ts = us[order], ts[order]
+
+        def col(c, dtype=np.float64):
+            return pdf[c].values[order].astype(dtype)
+
+        def flag(c):
+            return pdf[c].fillna(False).values[order].astype(bool)
+
         if state.exists:
             n0, first_us, prev_us, cpu = state.get
             cpu = list(cpu) if cpu is not None else []
         else:
             n0, first_us, prev_us, cpu = 0, int(us[0]), None, []
-        k = len(pdf)
+        k = len(us)
         n = n0 + np.arange(1, k + 1, dtype=np.int64)
-        ok = pdf["bme_ok"].fillna(False).values.astype(bool)
-        v = pdf["cpu_for_compensation"].values.astype(np.float64)[ok]
+        ok = flag("bme_ok")
+        v = col("cpu_for_compensation")[ok]
         avg = np.full(k, np.nan)
         if len(v):
             hist = cpu[1:] if cpu else [v[0]] * (depth - 1)
             s = np.concatenate([np.asarray(hist, dtype=np.float64), v])
             acc = s[0:len(v)].copy()
-            for j in range(1, depth):
+            for j in range(1, depth):  # oldest first, as sum(list) adds
                 acc = acc + s[j:j + len(v)]
             avg[ok] = acc / depth
             cpu = list(s[-depth:])
-        raw_t = pdf["raw_temperature"].values.astype(np.float64)
+        raw_t = col("raw_temperature")
         temp = raw_t - ((avg - raw_t) / factor)
-        rh = pdf["rh_for_compensation"].values.astype(np.float64)
+        rh = col("rh_for_compensation")
         hum = 100 - (5 * (temp - (raw_t - ((100 - rh) / 5))))
         hum = np.where(np.isnan(hum), np.nan, np.maximum(0.0, np.minimum(100.0, hum)))
-        p_ok = pdf["pressure_ok"].fillna(False).values.astype(bool)
         prev = np.concatenate([[prev_us if prev_us is not None else us[0]], us[:-1]])
         ref = np.where(n <= warmup + 1, first_us, prev)
         bend = _next_boundary_us(ref, batch_minutes)
@@ -83,18 +92,20 @@ def make_state_fn(warmup: int = 10, health_every: int = 12, factor: float = DEFA
         keep = n > warmup
         if not keep.any():
             return
-        out = pdf.loc[keep, ["station", "boot_id", "event_id", "timestamp"]].copy()
+        out = {"station": pdf["station"].values[order][keep], "boot_id": pdf["boot_id"].values[order][keep],
+               "event_id": pdf["event_id"].values[order][keep], "timestamp": ts[keep]}
+        p_ok = flag("pressure_ok")
         for c in SENSOR_FLOAT_COLUMNS:
             if c == "temperature":
                 out[c] = np.where(ok, temp, np.nan)[keep]
             elif c == "humidity":
                 out[c] = np.where(p_ok, hum, np.nan)[keep]
             else:
-                out[c] = pdf[c].values.astype(np.float64)[keep]
+                out[c] = col(c)[keep]
         out["seq_rn"] = n[keep]
-        out["batch_end"] = pd.to_datetime(bend[keep], unit="us")
-        out["health_sample"] = (n[keep] % health_every == 0)
-        yield out
+        out["batch_end"] = bend[keep].astype("datetime64[us]")
+        out["health_sample"] = n[keep] % health_every == 0
+        yield pd.DataFrame(out)
     return fn
 
 
