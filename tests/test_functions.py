@@ -107,3 +107,12 @@ def test_wifi(spark, q, lvl, dbm, pct):
 ])
 def test_path_class(spark, p, cls):
     assert one(spark, partition_path_class("x"), "x string", p) == cls
+
+
+def test_empty_batches_hour_restarting_grid(spark):
+    from envlake.operators.batching import empty_batches
+    df = spark.createDataFrame([("s", "2024-01-01 10:05:00"), ("s", "2024-01-01 12:55:00")],
+                               "station string, t string").select("station", F.col("t").cast("timestamp").alias("timestamp"))
+    got = sorted(r.batch_end.strftime("%H:%M") for r in empty_batches(df, 25).collect())
+    # boundaries with readings: 10:25 and 13:00; the 25-minute grid restarts every hour
+    assert got == ["10:50", "11:00", "11:25", "11:50", "12:00", "12:25", "12:50"]
