@@ -63,3 +63,15 @@ def test_failed_bme_rows_do_not_advance_mean(spark):
     out = {r.event_id: r.seq_roll_mean for r in
            sequence_features(df, value_col="v", ok_col="ok").collect()}
     assert out[0] == 10.0 and out[1] is None and out[2] == pytest.approx((10 * 4 + 20) / 5)
+
+
+def test_boundary_during_warmup_flushes_first_kept_reading_alone(spark):
+    from envlake.operators.batching import batch_assign_as_collected
+    t0 = dt.datetime(2024, 1, 1, 10, 40, 0)
+    rows = [("s", 0, i, t0 + dt.timedelta(minutes=i)) for i in range(14)]  # 10:40 .. 10:53
+    df = spark.createDataFrame(rows, "station string, boot_id long, event_id long, timestamp timestamp")
+    out = batch_assign_as_collected(sequence_features(df), 15, warmup=10)
+    got = {r.event_id: r.batch_end.strftime("%H:%M") for r in out.where("seq_rn > 10").collect()}
+    # the 10:45 deadline passed during warm-up, so the first kept reading (10:50) is flushed
+    # alone under it; the next deadline is then 11:00
+    assert got == {10: "10:45", 11: "11:00", 12: "11:00", 13: "11:00"}
