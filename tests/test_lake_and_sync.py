@@ -88,3 +88,17 @@ def test_replicate_new_changed_skip(spark):
 
 def test_refuses_dangerous_roots(spark):
     assert replicate_files(spark, "/tmp", "/tmp/elsewhere").count() == 0
+
+
+def test_storage_stats_on_a_real_lake(spark, sf):
+    from envlake.operators.sync import storage_stats
+    from envlake.plans.lake_build import build_lakes
+    from envlake.session import local_path
+    from envlake.sources.files import list_files
+    root = build_lakes(spark, sf).readings
+    files = [os.path.join(d, f) for d, _, fs in os.walk(local_path(root)) for f in fs if f.endswith(".parquet")]
+    stats = {(r.station, r.day, r.level): r for r in storage_stats(list_files(spark, root)).collect()}
+    total = stats[(None, None, 3)]
+    assert total.files == len(files)
+    assert total.total_mb == sum(os.path.getsize(f) for f in files) / 1048576
+    assert sum(r.files for (st, d, lvl), r in stats.items() if lvl == 0) == len(files)
