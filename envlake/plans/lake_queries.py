@@ -77,8 +77,11 @@ def memory_pressure(health: DataFrame, threshold: float = 80.0) -> DataFrame:
 
 
 def q_time_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists only the one partition directory (not the whole lake), then filters as the
+    documented query does."""
     y, m, d = TIME_RANGE_DAY
-    return time_range(_readings(spark, sf), TIME_RANGE_STATION, y, m, d)
+    lake = scan_readings(spark, build_lakes(spark, sf).readings, stations=[TIME_RANGE_STATION], dates=[(y, m, d)])
+    return time_range(lake, TIME_RANGE_STATION, y, m, d)
 
 
 def q_hourly_station_avg(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,8 +77,14 @@ def partition_paths(root: str, stations: Iterable[str] | None = None,
 
 
 def _scan(spark: SparkSession, schema, root: str, stations, dates) -> DataFrame:
-    return (spark.read.schema(schema).option("basePath", root.rstrip("/"))
-            .parquet(*partition_paths(root, stations, dates)))
+    paths = partition_paths(root, stations, dates)
+    if stations or dates:
+        # a narrowed scan may name days without data; keep only directories that exist
+        from envlake.sources.files import path_exists
+        paths = [p for p in paths if "*" in p or path_exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", root.rstrip("/")).parquet(*paths)
 
 
 def scan_readings(spark: SparkSession, root: str, stations: Iterable[str] | None = None,
