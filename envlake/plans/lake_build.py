@@ -22,9 +22,6 @@ class Lakes:
     health: str
 
 
-_BUILT: dict[tuple[str, str], Lakes] = {}
-
-
 def health_records(spark: SparkSession, sf: str, corrected: DataFrame | None = None) -> DataFrame:
     """Health records taken at the sampled readings, with the batch-level partition
     values of the batch each sample was flushed with."""
@@ -38,22 +35,56 @@ def health_records(spark: SparkSession, sf: str, corrected: DataFrame | None = N
     return batch_partition_values(h, prefix="health")
 
 
-def build_lakes(spark: SparkSession, sf: str, compression: str = "zstd") -> Lakes:
-    """Write both lakes (memoised per application and test-table folder)."""
+_BASE: dict[tuple[str, str], str] = {}
+_DONE: set[tuple[str, str, str]] = set()
+
+
+def _base(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf)
-    if key in _BUILT:
-        return _BUILT[key]
-    root = work_dir(spark, "lake") + "/output"
-    corrected = corrected_readings(fx.raw_readings(spark, sf), persist=True)
-    try:
-        write_readings(lake_readings(corrected), root, compression=compression)
-        hroot = health_root(root)
-        write_health(health_records(spark, sf, corrected), hroot, compression=compression)
-    finally:
-        release(corrected)
-    lakes = Lakes(root, hroot)
-    _BUILT[key] = lakes
-    return lakes
-
-
-__all__ = ["build_lakes", "health_records", "Lakes", "F"]
+    if key not in _BASE:
+        _BASE[key] = work_dir(spark, "lake") + "/output"
+    return _BASE[key]
+
+
+def readings_lake(spark: SparkSession, sf: str, compression: str = "zstd") -> str:
+    """Write the readings lake once per application and test-table folder; its root."""
+    root = _base(spark, sf)
+    key = (spark.sparkContext.applicationId, sf, "readings")
+    if key not in _DONE:
+        write_readings(lake_readings(corrected_readings(fx.raw_readings(spark, sf))), root,
+                       compression=compression)
+        _DONE.add(key)
+    return root
+
+
+def health_lake(spark: SparkSession, sf: str, compression: str = "zstd") -> str:
+    """Write the health lake (sibling ``-health`` root) once; its root."""
+    hroot = health_root(_base(spark, sf))
+    key = (spark.sparkContext.applicationId, sf, "health")
+    if key not in _DONE:
+        write_health(health_records(spark, sf), hroot, compression=compression)
+        _DONE.add(key)
+    return hroot
+
+
+def build_lakes(spark: SparkSession, sf: str, compression: str = "zstd") -> Lakes:
+    """Write both lakes from one corrected pass (memoised per application and folder)."""
+    app = spark.sparkContext.applicationId
+    root = _base(spark, sf)
+    hroot = health_root(root)
+    todo = [w for w in ("readings", "health") if (app, sf, w) not in _DONE]
+    if todo:
+        corrected = corrected_readings(fx.raw_readings(spark, sf), persist=True)
+        try:
+            if "readings" in todo:
+                write_readings(lake_readings(corrected), root, compression=compression)
+                _DONE.add((app, sf, "readings"))
+            if "health" in todo:
+                write_health(health_records(spark, sf, corrected), hroot, compression=compression)
+                _DONE.add((app, sf, "health"))
+        finally:
+            release(corrected)
+    return Lakes(root, hroot)
+
+
+__all__ = ["build_lakes", "readings_lake", "health_lake", "health_records", "Lakes", "F"]

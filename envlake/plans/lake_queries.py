@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlake.functions.stats import exact_avg
-from envlake.plans.lake_build import build_lakes
+from envlake.plans.lake_build import health_lake, readings_lake
 from envlake.schema import SENSOR_FLOAT_COLUMNS
 from envlake.sources.health_lake import scan_health
 from envlake.sources.lake import scan_readings
@@ -18,11 +18,11 @@ MONTH = (2024, 1)
 
 
 def _readings(spark, sf):
-    return scan_readings(spark, build_lakes(spark, sf).readings)
+    return scan_readings(spark, readings_lake(spark, sf))
 
 
 def _health(spark, sf):
-    return scan_health(spark, build_lakes(spark, sf).health)
+    return scan_health(spark, health_lake(spark, sf))
 
 
 def q_scan_readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ def q_time_range(spark: SparkSession, sf: str) -> DataFrame:
     """Lists only the one partition directory (not the whole lake), then filters as the
     documented query does."""
     y, m, d = TIME_RANGE_DAY
-    lake = scan_readings(spark, build_lakes(spark, sf).readings, stations=[TIME_RANGE_STATION], dates=[(y, m, d)])
+    lake = scan_readings(spark, readings_lake(spark, sf), stations=[TIME_RANGE_STATION], dates=[(y, m, d)])
     return time_range(lake, TIME_RANGE_STATION, y, m, d)
 
 
