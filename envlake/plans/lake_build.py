@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from envlake.operators.batching import batch_partition_values
 from envlake.operators.health import normalize_health, power_status
@@ -87,4 +86,4 @@ def build_lakes(spark: SparkSession, sf: str, compression: str = "zstd") -> Lake
     return Lakes(root, hroot)
 
 
-__all__ = ["build_lakes", "readings_lake", "health_lake", "health_records", "Lakes", "F"]
+__all__ = ["build_lakes", "readings_lake", "health_lake", "health_records", "Lakes"]
