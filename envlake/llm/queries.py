@@ -13,8 +13,17 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text by the public byte-level ranks, decoded again."""
+    import public_tokenizers
+
+    from envlake.llm.bpe import token_digests
+    return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_bpe": op4_bpe,
 }
 
 SQL: dict[str, str] = {}
