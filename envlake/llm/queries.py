@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from envlake.llm.common import read_table
+from envlake.llm.common import read_table, save
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +21,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text by a discriminant learnt from the learning rows' labels."""
+    from envlake.llm.quality import learn, score_documents, with_statistics
+    stats = save(with_statistics(read_table(spark, sf_dir, "documents")), "op6-statistics")
+    return score_documents(stats, learn(stats, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
 }
 
 SQL: dict[str, str] = {}
