@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from envlake.llm import secrets
 from envlake.llm.common import read_table, save
 
 
@@ -28,10 +29,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(stats, learn(stats, read_table(spark, sf_dir, "labels")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, by pattern and by window entropy."""
+    return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
+    "op9_secrets": op9_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_secrets": secrets.ORACLE_SQL,
+}
