@@ -34,11 +34,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules on every whole text, then robust outliers by language and source."""
+    from envlake.llm.outliers import judged
+    return judged(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
     "op9_secrets": op9_secrets,
+    "op10_rules": op10_rules,
 }
 
 SQL: dict[str, str] = {
