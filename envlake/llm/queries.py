@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from envlake.llm import secrets
+from envlake.llm import ngram_join, secrets
 from envlake.llm.common import read_table, save
 
 
@@ -29,6 +29,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(stats, learn(stats, read_table(spark, sf_dir, "labels")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text, by pattern and by window entropy."""
     return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
@@ -44,10 +49,12 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
+    "op7_ngram_join": op7_ngram_join,
     "op9_secrets": op9_secrets,
     "op10_rules": op10_rules,
 }
 
 SQL: dict[str, str] = {
+    "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_secrets": secrets.ORACLE_SQL,
 }
