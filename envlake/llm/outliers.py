@@ -77,19 +77,20 @@ def text_counts(docs: DataFrame, *more: str) -> DataFrame:
     hashed = rows.select(
         "doc_id", *more, F.size("_w").alias("_n"), F.length(F.array_join("_w", "")).alias("_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).alias("_symbols"),
-        F.expr("length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))").alias("_upper"),
+        F.expr("length(text) - length(regexp_replace(text, '[A-Z]+', ''))").alias("_upper"),
         F.expr("length(text) - length(replace(text, '!', ''))").alias("_marks"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).alias("_lines"),
         F.expr("transform(_w, w -> xxhash64(w))").alias("_h"))
+    eight = ", ".join(f"_h[i + {k}]" for k in range(8))
     windows = hashed.withColumn("_g", F.expr(
-        "CASE WHEN _n >= 8 THEN transform(sequence(1, _n - 7), i -> xxhash64(slice(_h, i, 8))) "
+        f"CASE WHEN _n >= 8 THEN transform(sequence(0, _n - 8), i -> xxhash64({eight})) "
         "ELSE CAST(array() AS array<bigint>) END")).drop("_h")
     # only texts with a repeated window get their windows sorted
     pairs = windows.withColumn("_p", F.expr(
         "CASE WHEN size(array_distinct(_g)) < size(_g) THEN "
-        "array_sort(transform(_g, (h, i) -> named_struct('h', h, 'i', i))) END"))
+        "sort_array(transform(_g, (h, i) -> named_struct('h', h, 'i', i))) END"))
     places = pairs.withColumn("_q", F.expr(
-        "array_sort(transform(filter(_p, (x, k) -> get(_p.h, k - 1) <=> x.h OR get(_p.h, k + 1) <=> x.h), x -> x.i))"))
+        "sort_array(filter(_p, (x, k) -> get(_p, k - 1).h <=> x.h OR get(_p, k + 1).h <=> x.h).i)"))
     covered = F.expr("CASE WHEN _q IS NULL THEN 0 ELSE aggregate(_q, named_struct('end', 0, 'n', 0), "
                      "(a, p) -> named_struct('end', p + 8, 'n', a.n + p + 8 - greatest(p, a.end)), a -> a.n) END")
     out = {"n_words": F.col("_n"), "word_chars": F.col("_chars"), "n_symbols": F.col("_symbols"),
