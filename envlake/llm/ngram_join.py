@@ -9,15 +9,18 @@ against rows that meet by chance). Beside the ``H + 1`` needed, a band has ``2 *
 every set leaves out up to ``e`` of its own, blank and crowded ones first, and some common
 segment is still indexed by both.
 
-Equal sets are joined by their digest before that and go on as one. What meets in a segment is
-first held against exact bounds (elements that no other candidate has can't be shared), then
-against the member of its segment with the fewest such elements, then, where a segment still
-holds several components, against all members the bounds allow. Each pair is verified on whole
-sets, so no link between components is lost and pairs inside a component needn't be listed.
+Equal sets have one digest and go on as one. What meets in a small segment is held against each
+other by exact bounds (sizes, and parity maps whose differing bits can't outnumber differing
+elements). In a large one, members first drop out by another exact bound (elements that no other
+member has can't be shared), then each is held against the member with the fewest such elements,
+then, where a segment still holds several components, against all members the bounds allow. Each
+pair left is verified on whole sets, so no link between components is lost, and pairs inside a
+component needn't be listed.
 
 Defined results: a text without words, or null, has an empty set, links with nothing and is its
-own component. A row without ``doc_id`` gets a null component and links nothing; rows that share
-a ``doc_id`` are one document with several texts. Only ``doc_id`` and ``text`` are read.
+own component. A row without ``doc_id`` links like any other but names no component (null, where
+no linked row has an id); rows that share a ``doc_id`` are judged each by its own text. Only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -161,24 +164,44 @@ def _lists(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
+#: Bits of a set's parity map, and the largest segment whose members are all held against each other.
+BITS, SMALL = 2048, 8
+
+
+def _parity(h: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """For each set, a map of the parities of how many elements fall on each bit. Bits in which
+    two maps differ are at most the elements in which the sets differ."""
+    n = len(offs) - 1
+    doc = np.repeat(np.arange(n), np.diff(offs))
+    bit = (mix64(h ^ _KEY2) >> np.uint64(53)).astype(np.int64)
+    odd = (np.bincount(doc * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BITS // 64), pa.int32()), pa.array(words, pa.int64()))
+
+
 def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by ``sig``, those whose signature occurs more than once; one batch in memory."""
+    """From rows sorted by signature and node, one for each node of those signatures that
+    several nodes have; a batch and a row are in memory."""
     held = None
-    before = None  # the signature of the row before the held one
+    first = None  # signature of the row before the held ones, once it is known to be another node's
     for b in batches:
         if not b.num_rows:
             continue
         held = b if held is None else pa.concat_batches([held, b])
-        sig = held.column("sig").to_numpy()
-        same = np.empty(len(sig) + 1, dtype=bool)
-        same[0] = before is not None and before == sig[0]
+        sig, node = held.column("sig").to_numpy(), held.column("node").to_numpy()
+        new = np.ones(len(sig), dtype=bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        held = held.filter(pa.array(new))
+        sig = sig[new]
+        same = np.zeros(len(sig) + 1, dtype=bool)
+        same[0] = first is not None and first == sig[0]
         same[1:-1] = sig[1:] == sig[:-1]
-        same[-1] = False
         keep = (same[:-1] | same[1:])[:-1]  # the last row waits for the next batch
         yield held.slice(0, len(sig) - 1).filter(pa.array(keep))
-        before = int(sig[-2]) if len(sig) > 1 else before
+        if len(sig) > 1:
+            first = int(sig[-2])
         held = held.slice(len(sig) - 1)
-    if held is not None and before is not None and before == held.column("sig")[0].as_py():
+    if held is not None and first is not None and first == held.column("sig")[0].as_py():
         yield held
 
 
@@ -190,73 +213,111 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, offs = sets_of([t.encode() for t in b.column("text").to_pylist()], words)
-            own, own_at, own_left = signatures(h, offs, False, part, whole)
-            up, up_at, up_left = signatures(h, offs, True, part, whole)
+            keys = _keys(h, offs)
             yield pa.record_batch([
-                b.column("doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(_keys(h, offs), pa.binary()),
-                _lists(own, own_at), pa.array(own_left, pa.int32()), _lists(up, up_at), pa.array(up_left, pa.int32())],
-                ["doc_id", "n_shingles", "key", "own", "own_left", "up", "up_left"])
-    sketched = save(rows.mapInArrow(index, "doc_id long, n_shingles long, key binary, own array<long>, own_left int, "
-                                           "up array<long>, up_left int"), "join-index")
-    # equal sets are one class, named by its smallest document
-    classes = save(sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node")), "join-classes")
-    named = sketched.select("doc_id", "own", "own_left", "up", "up_left").join(
-        classes.where("node IS NOT NULL").select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    entries = named.select(F.col("doc_id").alias("node"), F.explode(F.array(
-        F.struct(F.col("own").alias("s"), F.col("own_left").alias("left"), F.lit(False).alias("up")),
-        F.struct(F.col("up").alias("s"), F.col("up_left").alias("left"), F.lit(True).alias("up")))).alias("x"))
-    entries = entries.select(F.explode("x.s").alias("sig"), "node", F.col("x.up").alias("up"), F.col("x.left").alias("left"))
-    met = save(entries.repartition("sig").sortWithinPartitions("sig")
-               .mapInArrow(_only_shared, "sig long, node long, up boolean, left int"), "join-met")
+                b.column("doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(keys, pa.binary()),
+                pa.array([k and int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), _parity(h, offs)],
+                ["doc_id", "n", "key", "node", "bits"])
 
-    # each set leaves out its most crowded segments, as many as it may
-    crowd = met.groupBy("sig").agg(F.count("*").alias("c"))
-    crowded = met.join(crowd.where("c > 4"), "sig").where("left > 0")
-    spared = (crowded.withColumn("r", F.row_number().over(Window.partitionBy("node", "up").orderBy(F.desc("c"), "sig")))
-              .where("r <= left").select("sig", "node", "up"))
-    entered = save(met.join(spared, ["sig", "node", "up"], "left_anti").select("sig", "node").distinct(), "join-entered")
-    several = entered.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    candidate = entered.join(several, "sig", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a set that the task has entered already isn't entered again
+        for b in slices(batches):
+            h, offs = sets_of([t.encode() for t in b.column("text").to_pylist()], words)
+            keys = _keys(h, offs)
+            if len(seen) > 200_000:
+                seen.clear()
+            new = [k is not None and not (k in seen or seen.add(k)) for k in keys]
+            node = np.array([int.from_bytes(k[:8], "little", signed=True) if k else 0 for k in keys], dtype=np.int64)
+            for up in (False, True):
+                sig, at, left = signatures(h, offs, up, part, whole)
+                n = np.diff(at)
+                use = np.repeat(np.array(new, dtype=bool), n)
+                yield pa.record_batch([pa.array(sig.view(np.int64)[use], pa.int64()), pa.array(np.repeat(node, n)[use], pa.int64()),
+                                       pa.array(np.full(int(use.sum()), up), pa.bool_()),
+                                       pa.array(np.repeat(left, n)[use], pa.int32())], ["sig", "node", "up", "left"])
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, offs = sets_of([t.encode() for t in b.column("text").to_pylist()], words)
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(offs), pa.int64()), _lists(h, offs)], ["node", "n", "s"])
-    sets = save(rows.join(candidate, "doc_id", "left_semi").mapInArrow(whole_sets, "node long, n long, s array<long>")
-                .where("n > 0"), "join-sets")
+            right = pa.array([k == w for k, w in zip(_keys(h, offs), b.column("key").to_pylist())])
+            yield pa.record_batch([b.column("node"), pa.array(np.diff(offs), pa.int64()), _lists(h, offs)], ["node", "n", "s"]).filter(right)
 
-    # u: elements that no other candidate has; too many, and the set can't link with any
-    alive = None
+    indexed = save(rows.mapInArrow(index, "doc_id long, n long, key binary, node long, bits array<long>"), "join-index")
+    entry = "sig long, node long, up boolean, left int"
+    met = save(rows.mapInArrow(enter, entry).repartition("sig").sortWithinPartitions("sig", "node")
+               .mapInArrow(_only_shared, entry), "join-met")
+
+    # each set leaves out its most crowded segments, as many as it may
+    crowd = met.groupBy("sig").agg(F.count("*").alias("c"))
+    crowded = met.join(crowd.where("c > 4"), "sig").where("left > 0")
+    spared = (crowded.withColumn("r", F.row_number().over(Window.partitionBy("node", "up").orderBy(F.desc("c"), "sig")))
+              .where("r <= left").select("sig", "node", "up"))
+    entered = met.join(spared, ["sig", "node", "up"], "left_anti").select("sig", "node").distinct()
+    entered = save(entered, "join-entered")
+    count = save(entered.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "join-counts")
+
+    # small segments: all their pairs, held against the bounds by sizes and parity maps
+    few = entered.join(count.where(f"c <= {SMALL}"), "sig").select("sig", "node")
+    pairs = (few.alias("a").join(few.alias("b"), "sig").where("a.node < b.node")
+             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-wanted")
+    maps = save(indexed.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-maps")
+    differ = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    apart = f"({{0}} + {{1}} - 2 * ceil({part} * ({{0}} + {{1}}) / {part + whole}))"
+    near = (pairs.join(maps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+            .join(maps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+            .where(f"{whole} * least(na, nb) >= {part} * greatest(na, nb)")
+            .where(f"{differ.format('ba', 'bb')} <= {apart.format('na', 'nb')}"))
+    close = save(near.select("a", "b"), "join-close")
+
+    # whole sets of all that a pair or a large segment still needs, from one text each
+    large = entered.join(count.where(f"c > {SMALL}"), "sig").select("sig", "node")
+    large = save(large, "join-large")
+    members_of = large.select("node").distinct()
+    need = save(close.select(F.explode(F.array("a", "b")).alias("node")).unionAll(members_of).distinct(), "join-need")
+    told = save(indexed.select("doc_id", "key", "node").join(need, "node", "left_semi")
+                .groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("x"))
+                .select("node", "x.doc_id", "x.key"), "join-told")
+    # a repeated doc_id has several texts, so the digest decides which one is meant
+    fetched = rows.join(told, rows["doc_id"].eqNullSafe(told["doc_id"])).select("node", "key", "text")
+    sets = save(fetched.mapInArrow(whole_sets, "node long, n long, s array<long>"), "join-sets")
+
+    # u: elements that no other member of a large segment has; too many, and it links with none of them
+    alive = members_of
     for _ in range(2):
-        left = sets if alive is None else sets.join(alive.select("node").distinct(), "node", "left_semi")
+        left = sets.join(alive, "node", "left_semi")
         lone = (left.select("node", F.explode("s").alias("x")).groupBy("x")
                 .agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node")
                 .agg(F.count("*").alias("u")))
-        alive = save(left.select("node", "n").join(lone, "node", "left")
-                     .select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
-                     .where(f"{whole} * (n - u) >= {part} * n"), "join-alive")
-    # a document with several texts keeps, for the bounds, its smallest and largest reach
-    reach = alive.groupBy("node").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("u")).alias("r"), F.min("u").alias("u"))
-    members = save(entered.join(reach, "node"), "join-members")
-    may = f"{whole + part} * least(a.r, b.r) >= {part} * (a.n + b.n)"
-    pivot = (members.groupBy("sig").agg(F.min(F.struct("u", "node", "n", "r")).alias("p"), F.count("*").alias("c"))
-             .where("c > 1").select("sig", "p.node", "p.n", "p.r"))
-    first = save(members.alias("a").join(pivot.alias("b"), "sig").where(f"a.node <> b.node AND {may}")
-                 .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "join-pairs")
-    links = save(_verified(first, sets, part, whole), "join-links")
+        bounded = save(left.select("node", "n").join(lone, "node", "left")
+                       .select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+                       .where(f"{whole} * (n - u) >= {part} * n"), "join-alive")
+        alive = bounded.select("node")
+    maps = indexed.select("node", "bits").join(alive, "node", "left_semi").dropDuplicates(["node"])
+    members = save(large.join(bounded.join(maps, "node"), "node"), "join-members")
+    may = (f"{whole + part} * least(a.n - a.u, b.n - b.u) >= {part} * (a.n + b.n) "
+           f"AND {differ.format('a.bits', 'b.bits')} <= {apart.format('a.n', 'b.n')}")
+    pivot = (members.groupBy("sig").agg(F.min(F.struct("u", "node", "n", "bits")).alias("p"), F.count("*").alias("c"))
+             .where("c > 1").select("sig", "p.node", "p.n", "p.u", "p.bits"))
+    star = save(members.alias("a").join(pivot.alias("b"), "sig").where(f"a.node <> b.node AND {may}")
+                .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "join-star")
+    links = save(_verified(close.unionAll(star).distinct(), sets, part, whole), "join-links")
     labels = components(links)
-    # segments that still hold several components: all pairs between them that the bounds allow
+    # large segments that still hold several components: all pairs between them that the bounds allow
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     open_ = save(marked.join(mixed, "sig", "left_semi"), "join-open")
     rest = (open_.alias("a").join(open_.alias("b"), "sig").where(f"a.node < b.node AND a.label <> b.label AND {may}")
-            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     more = save(_verified(rest, sets, part, whole), "join-more")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    found = sketched.select("doc_id", "n_shingles", "key").join(classes, "key", "left")
-    return (found.join(labels, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id")))
+    marked = indexed.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = save(marked.select("doc_id", "n", "label"), "join-marked")
+    names = marked.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return (marked.join(names, "label", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
