@@ -14,6 +14,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reading of each document in a mixture that reads no source more than twice as often as another."""
+    from envlake.llm.mixing import mixed
+    return mixed(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text by the public byte-level ranks, decoded again."""
     import public_tokenizers
@@ -34,6 +40,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, written to compressed files and read back from them."""
+    import public_tokenizers
+
+    from envlake.llm.token_codec import read_files, write_files
+    return read_files(write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text, by pattern and by window entropy."""
     return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
@@ -47,9 +61,11 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
+    "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_rules": op10_rules,
 }
