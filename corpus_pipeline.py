@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near copies, secrets, source weights, token ids.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor kept and returns a
-frame that is written as Parquet and read again as the next one's ``docs``.
+frame that is written as Parquet and read again as the next one's ``docs``; all but the last
+return the columns of ``documents``. Rows without ``doc_id`` pass through like others; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -11,8 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from envlake.llm.common import read_table, save
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text that is left."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.5 or more. It learns from the learning rows'
+    labels of the documents it is given."""
+    from envlake.llm.quality import keep_good, learn, with_statistics
+    model = learn(save(with_statistics(docs), "quality-statistics"), read_table(spark, sf_dir, "labels"))
+    return keep_good(docs, model)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest ``doc_id`` of each component of five-word shingle sets with a
+    similarity of 0.8 or more. Of repeated rows one stays; rows without ``doc_id`` all stay."""
+    from envlake.llm.ngram_join import jaccard_components
+    found = jaccard_components(docs, words=5, part=80)
+    first = save(found.where("doc_id = component_id").select("doc_id").distinct(), "near-first")
+    kept = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by a mark."""
+    from envlake.llm.secrets import redact
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents at least once, those of small sources up to twice, by tempered weights."""
+    from envlake.llm.mixing import mix_documents
+    return mix_documents(docs, repeat=2.0)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids)``: byte-level BPE ids of every row that is left."""
     import public_tokenizers
 
     from envlake.llm.bpe import encode_documents
@@ -20,10 +52,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("bpe", encode),
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("tokens", tokens),
 ]
 
-#: SQL can't express the classifier, the tokenizer and the permutations; tests hold brute-force versions.
+#: SQL can't express the classifier, the permutations and the tokenizer; tests hold brute-force versions.
 ORACLE_SQL = None
 
 
