@@ -14,6 +14,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 or more words that occur elsewhere, and their spans."""
+    from envlake.llm.suffixes import repeated_passages
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reading of each document in a mixture that reads no source more than twice as often as another."""
     from envlake.llm.mixing import mixed
@@ -28,6 +34,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages, with text likelihoods learnt from all documents."""
+    from envlake.llm.langid import identify, learn_text
+    return identify(read_table(spark, sf_dir, "pages"), *learn_text(read_table(spark, sf_dir, "documents")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every whole text by a discriminant learnt from the learning rows' labels."""
     from envlake.llm.quality import learn, score_documents, with_statistics
@@ -61,8 +73,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_passages": op2_passages,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
+    "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
     "op8_token_files": op8_token_files,
