@@ -293,12 +293,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
                        .select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
                        .where(f"{whole} * (n - u) >= {part} * n"), "join-alive")
         alive = bounded.select("node")
-    maps = indexed.select("node", "bits").join(alive, "node", "left_semi").dropDuplicates(["node"])
-    members = save(large.join(bounded.join(maps, "node"), "node"), "join-members")
-    may = (f"{whole + part} * least(a.n - a.u, b.n - b.u) >= {part} * (a.n + b.n) "
-           f"AND {differ.format('a.bits', 'b.bits')} <= {apart.format('a.n', 'b.n')}")
-    pivot = (members.groupBy("sig").agg(F.min(F.struct("u", "node", "n", "bits")).alias("p"), F.count("*").alias("c"))
-             .where("c > 1").select("sig", "p.node", "p.n", "p.u", "p.bits"))
+    members = save(large.join(bounded, "node"), "join-members")
+    may = f"{whole + part} * least(a.n - a.u, b.n - b.u) >= {part} * (a.n + b.n)"
+    pivot = (members.groupBy("sig").agg(F.min(F.struct("u", "node", "n")).alias("p"), F.count("*").alias("c"))
+             .where("c > 1").select("sig", "p.node", "p.n", "p.u"))
     star = save(members.alias("a").join(pivot.alias("b"), "sig").where(f"a.node <> b.node AND {may}")
                 .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "join-star")
     links = save(_verified(close.unionAll(star).distinct(), sets, part, whole), "join-links")
@@ -307,6 +305,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
     open_ = save(marked.join(mixed, "sig", "left_semi"), "join-open")
+    held = indexed.select("node", "bits").join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    open_ = open_.join(held, "node")
+    may = f"{may} AND {differ.format('a.bits', 'b.bits')} <= {apart.format('a.n', 'b.n')}"
     rest = (open_.alias("a").join(open_.alias("b"), "sig").where(f"a.node < b.node AND a.label <> b.label AND {may}")
             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     more = save(_verified(rest, sets, part, whole), "join-more")
