@@ -279,7 +279,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
                 .groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("x"))
                 .select("node", "x.doc_id", "x.key"), "join-told")
     # a repeated doc_id has several texts, so the digest decides which one is meant
-    fetched = rows.join(told, rows["doc_id"].eqNullSafe(told["doc_id"])).select("node", "key", "text")
+    # texts move once, by doc_id, at every size: the ids asked for grow with the corpus
+    fetched = rows.join(told.hint("merge"), rows["doc_id"].eqNullSafe(told["doc_id"])).select("node", "key", "text")
     sets = save(fetched.mapInArrow(whole_sets, "node long, n long, s array<long>"), "join-sets")
 
     # u: elements that no other member of a large segment has; too many, and it links with none of them
