@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlake.functions.boundary import next_boundary
-from envlake.operators.sequence import hold
+from envlake.session import materialise
 
 
 def batch_assign_event_time(df: DataFrame, minutes: int, ts: str = "timestamp",
@@ -73,10 +72,9 @@ def empty_batches(df: DataFrame, minutes: int, keys: Sequence[str] = ("station",
     join against the boundaries that do have readings.
     """
     K = list(keys)
-    # the (small) set of boundaries with readings is used twice: cache it so the input
+    # the (small) set of boundaries with readings is used twice: written so the input
     # plan runs once
-    have = (df.select(*K, next_boundary(ts, minutes).alias("batch_end")).distinct()
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    have = materialise(df.select(*K, next_boundary(ts, minutes).alias("batch_end")).distinct(), "boundaries")
     span = have.groupBy(*K).agg(F.min("batch_end").alias("_lo"), F.max("batch_end").alias("_hi"))
     if minutes < 1:
         raise ValueError("interval must be >= 1 minute")
@@ -88,4 +86,6 @@ def empty_batches(df: DataFrame, minutes: int, keys: Sequence[str] = ("station",
                 F.col("_h") + F.make_dt_interval(mins=F.lit(o)) for o in offsets])).alias("batch_end"))
             .where((F.col("batch_end") >= F.col("_lo")) & (F.col("batch_end") <= F.col("_hi")))
             .select(*K, "batch_end"))
-    return hold(grid.join(have, on=[*K, "batch_end"], how="left_anti"), [have])
+    met = have.select(F.struct(*K, "batch_end").alias("_key"))  # a struct matches NULL keys too
+    return (grid.withColumn("_key", F.struct(*K, "batch_end")).join(met, on="_key", how="left_anti")
+            .select(*K, "batch_end"))

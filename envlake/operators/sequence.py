@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from envlake.session import materialise
+
 DEFAULT_CHUNK_SECONDS = 3600
 DEFAULT_BLOCK_CHUNKS = 1024
 _UNB = Window.unboundedPreceding
@@ -102,14 +103,15 @@ def _chunk_col(ts: str, chunk_seconds: int) -> Column:
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     # integer floor division (pmod keeps pre-1970 instants in the right chunk)
     n = F.lit(chunk_seconds * 1_000_000)
-    return ((us - F.pmod(us, n)) / n).cast("long")
+    # a chunk of their own for rows without a timestamp: chunk numbers are join keys
+    return F.coalesce(((us - F.pmod(us, n)) / n).cast("long"), F.lit(-(1 << 40)))
 
 
 def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"),
                       ts: str = "timestamp", tiebreak: str = "event_id",
                       value_col: str | None = None, ok_col: str | None = None,
                       depth: int = 5, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-                      persist: bool = False, block_chunks: int = DEFAULT_BLOCK_CHUNKS) -> DataFrame:
+                      block_chunks: int = DEFAULT_BLOCK_CHUNKS) -> DataFrame:
     """Add per-group sequence columns, ordered by (ts, tiebreak) within ``keys``.
 
     * ``seq_rn``       1-based position of the row in its group
@@ -120,15 +122,14 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
       of the first such value; NULL on rows where ``ok_col`` is not true. Values are
       summed oldest first, as ``sum(list)`` does.
 
-    The windowed rows feed both the chunk summary and the output (a self-join). Lazily,
-    Spark computes them twice (two scans and shuffles of the input). With
-    ``persist=True`` they are cached once (compressed columnar, spilling to executor
-    disks when memory is short: ``MEMORY_AND_DISK``); the cached
-    relation keeps its (group, chunk) partitioning, so the summary aggregate and the
-    join back need no further shuffle of the big side, and blocks lost with an executor
-    are recomputed from lineage. Release with :func:`release` after the action.
+    Keys and timestamps may be NULL: NULL keys are a group like any other, rows without a
+    timestamp come first in theirs. The windowed rows feed both the chunk summary and the
+    output, so the input is scanned and shuffled twice; the chunk table itself is written
+    once to the shared folder.
     """
-    K = list(keys)
+    K = ["__sq_g"]
+    df_types = dict(df.dtypes)
+    df = df.withColumn("__sq_g", F.struct(*keys))
     # One shuffle on (group, chunk) serves both windows, the chunk aggregate and the
     # join back; without it Spark may hash on (group, chunk, ok) and shuffle again.
     d = df.withColumn("__sq_chunk", _chunk_col(ts, chunk_seconds)).repartition(*K, "__sq_chunk")
@@ -155,17 +156,12 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
         aggs += [F.max(F.when(F.col("__sq_ok") & (rev == j), F.col(value_col))).alias(f"__sq_t{j}")
                  for j in lags]
 
-    held = []
-    if persist:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(d)
     # Chunk-level table: one row per (group, chunk), then carried across chunks. It has
     # several consumers (block table, two window levels, joins) and Spark does not share
-    # sub-plans, so it is cached once (it is ~chunk-size times smaller than the data).
-    g = d.groupBy(*K, "__sq_chunk").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(g)
+    # sub-plans, so it is written once (it is ~chunk-size times smaller than the data).
+    g = materialise(d.groupBy(*K, "__sq_chunk").agg(*aggs), "chunks")
     g, carry = _carry_chunks(g, K, depth if value_col is not None else None, block_chunks,
-                             dict(df.dtypes).get(value_col) if value_col else None)
+                             df_types.get(value_col) if value_col else None)
 
     out = d.join(g.select(*K, "__sq_chunk", *carry), on=[*K, "__sq_chunk"], how="left")
     out = (out.withColumn("seq_rn", (F.col("__sq_rn_off") + F.col("__sq_rn_c")).cast("long"))
@@ -185,19 +181,7 @@ def sequence_features(df: DataFrame, keys: Sequence[str] = ("station", "boot_id"
         acc = F.col(value_col) if acc is None else acc + F.col(value_col)
         out = out.withColumn("seq_roll_mean", F.when(F.col("__sq_ok"), acc / F.lit(depth)))
     drop = [c for c in out.columns if c.startswith("__sq_")]
-    return hold(out.drop(*drop), held)
-
-
-def hold(df: DataFrame, persisted: list) -> DataFrame:
-    """Attach persisted intermediates to a result so :func:`release` can drop them."""
-    df._envlake_persisted = list(getattr(df, "_envlake_persisted", [])) + list(persisted)
-    return df
-
-
-def release(df: DataFrame) -> None:
-    """Unpersist intermediates held for ``df`` (after its action has run)."""
-    for p in getattr(df, "_envlake_persisted", []):
-        p.unpersist()
+    return out.drop(*drop)
 
 
 def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "timestamp",
@@ -210,7 +194,8 @@ def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "t
     """
     if block_chunks < 1:
         raise ValueError("block_chunks must be >= 1")
-    K = list(keys)
+    K = ["__sq_g"]
+    df = df.withColumn("__sq_g", F.struct(*keys))
     gap_us = F.lit(int(gap_minutes * 60_000_000))
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     d = (df.withColumn("__sq_chunk", _chunk_col(ts, chunk_seconds)).withColumn("__sq_us", us)
@@ -220,12 +205,11 @@ def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "t
     d = d.withColumn("__sq_flag_in", F.when(lag_us.isNotNull() & ((F.col("__sq_us") - lag_us) > gap_us), 1)
                      .otherwise(0))
     d = d.withColumn("__sq_cum_in", F.sum("__sq_flag_in").over(wc.rowsBetween(_UNB, 0)))
-    # the chunk table feeds two block passes and two joins: cache it once (small)
-    g = (d.groupBy(*K, "__sq_chunk")
+    # the chunk table feeds two block passes and two joins: write it once (small)
+    g = materialise(d.groupBy(*K, "__sq_chunk")
          .agg(F.min("__sq_us").alias("__sq_first_us"), F.max("__sq_us").alias("__sq_last_us"),
               F.sum("__sq_flag_in").alias("__sq_n_in"))
-         .withColumn("__sq_blk", F.floor(F.col("__sq_chunk") / F.lit(block_chunks)).cast("long"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .withColumn("__sq_blk", F.floor(F.col("__sq_chunk") / F.lit(block_chunks)).cast("long")), "chunks")
     WA = Window.partitionBy(*K, "__sq_blk").orderBy("__sq_chunk")
     WB = Window.partitionBy(*K).orderBy("__sq_blk")
     # previous chunk's last reading: within the block, else the previous block's last
@@ -245,4 +229,4 @@ def gap_sessions(df: DataFrame, keys: Sequence[str] = ("station",), ts: str = "t
     out = d.join(g.select(*K, "__sq_chunk", "__sq_first_flag", "__sq_off"), on=[*K, "__sq_chunk"], how="left")
     out = out.withColumn(out_col, (F.col("__sq_off") + F.col("__sq_first_flag") + F.col("__sq_cum_in"))
                          .cast("long"))
-    return hold(out.drop(*[c for c in out.columns if c.startswith("__sq_")]), [g])
+    return out.drop(*[c for c in out.columns if c.startswith("__sq_")])

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from envlake.operators.batching import batch_partition_values
 from envlake.operators.health import normalize_health, power_status
-from envlake.operators.sequence import release
 from envlake.plans.collect import corrected_readings, lake_readings
 from envlake.session import work_dir
 from envlake.sources import fixtures as fx
@@ -67,22 +66,19 @@ def health_lake(spark: SparkSession, sf: str, compression: str = "zstd") -> str:
 
 
 def build_lakes(spark: SparkSession, sf: str, compression: str = "zstd") -> Lakes:
-    """Write both lakes from one corrected pass (memoised per application and folder)."""
+    """Write both lakes from one corrected plan (memoised per application and folder)."""
     app = spark.sparkContext.applicationId
     root = _base(spark, sf)
     hroot = health_root(root)
     todo = [w for w in ("readings", "health") if (app, sf, w) not in _DONE]
     if todo:
-        corrected = corrected_readings(fx.raw_readings(spark, sf), persist=True)
-        try:
-            if "readings" in todo:
-                write_readings(lake_readings(corrected), root, compression=compression)
-                _DONE.add((app, sf, "readings"))
-            if "health" in todo:
-                write_health(health_records(spark, sf, corrected), hroot, compression=compression)
-                _DONE.add((app, sf, "health"))
-        finally:
-            release(corrected)
+        corrected = corrected_readings(fx.raw_readings(spark, sf))
+        if "readings" in todo:
+            write_readings(lake_readings(corrected), root, compression=compression)
+            _DONE.add((app, sf, "readings"))
+        if "health" in todo:
+            write_health(health_records(spark, sf, corrected), hroot, compression=compression)
+            _DONE.add((app, sf, "health"))
     return Lakes(root, hroot)
 
 

@@ -32,7 +32,7 @@ def get_session(master: str = "local[8]", app: str = "envlake", shuffle_partitio
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "16g")
+         .config("spark.driver.memory", os.environ.get("ENVLAKE_DRIVER_MEMORY", "8g"))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          # Local runs have tiny shuffles; a lower coalescing floor keeps all cores busy
          # (e.g. one writer task per few station-days instead of one for the whole lake).
@@ -74,13 +74,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and is visible to every executor; it is
-    read, never overridden. Only when it is unset (local tests) is a folder created.
+    read, never overridden. Only when it is unset in local mode (tests) is a folder
+    created; on a cluster that is an error, as no local folder is shared.
     """
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="envlake-ckpt-")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -91,6 +94,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/envlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df, name: str):
+    """Write a frame to a fresh table under the shared folder and read it back: it is computed
+    once, from the files its input listed, and no cache outlives the caller."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    with scoped_conf(spark, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme so Python-side helpers can address local test folders."""
     if uri.startswith("file://"):
