@@ -112,8 +112,8 @@ SENSOR_FLOATS = ["temperature", "raw_temperature", "pressure", "humidity", "raw_
 
 
 def xavg(c: str) -> str:
-    """Exact-accumulation mean (DECIMAL(38,6) sum, one double division)."""
-    return f"CAST(sum(CAST(CAST({c} AS DOUBLE) AS DECIMAL(38,6))) AS DOUBLE) / NULLIF(count({c}), 0)"
+    """Plain mean to six decimals (a double mean's last bits depend on the order of its sums)."""
+    return f"round(avg(CAST({c} AS DOUBLE)), 6)"
 
 
 def with_ctes(*ctes: str, body: str) -> str:
@@ -489,7 +489,7 @@ def _lake_sql() -> dict[str, str]:
         "q_memory_pressure": LH(f"""
             SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('memory_percent_used')} AS avg_mem,
               max(memory_percent_used) AS max_mem
-            FROM lake_health GROUP BY station, hour HAVING {xavg('memory_percent_used')} > 80"""),
+            FROM lake_health GROUP BY station, hour HAVING avg(memory_percent_used) > 80"""),
     }
 
 
@@ -516,7 +516,6 @@ def _stream_sql() -> dict[str, str]:
         "stream_hourly_avg": readings_sql(f"""
             SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('temperature')} AS avg_temp,
               {xavg('humidity')} AS avg_humidity, {xavg('pm25')} AS avg_pm25, count(*) AS n_readings
-            FROM corrected GROUP BY station, hour
-            HAVING date_trunc('hour', timestamp) + INTERVAL 2 HOUR <= (SELECT max(timestamp) FROM corrected)"""),
+            FROM corrected GROUP BY station, hour"""),
         "stream_dedupe": readings_sql(f"SELECT DISTINCT station, boot_id, event_id, timestamp, {floats} FROM corrected"),
     }

@@ -61,7 +61,7 @@ def wifi_from_levels(q, s) -> dict[str, Column]:
     dbm = (F.when(s > 100, s - 256).when(s > 0, s - 100).otherwise(s))
     pct = (q / 70) * 100
     return {
-        "wifi_signal_dbm": F.when(ok, dbm.cast("long")),
+        "wifi_signal_dbm": F.when(ok, dbm.try_cast("long")),
         "wifi_quality_percent": F.when(ok, F.when(pct > 100, F.lit(100.0)).otherwise(pct)),
     }
 

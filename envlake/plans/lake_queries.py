@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envlake.functions.stats import exact_avg
 from envlake.plans.lake_build import health_lake, readings_lake
 from envlake.schema import SENSOR_FLOAT_COLUMNS
 from envlake.sources.health_lake import scan_health
@@ -54,9 +53,9 @@ def hourly_station_avg(readings: DataFrame, y: int, m: int) -> DataFrame:
     """Documented query: hourly means per station for one month, ordered by hour."""
     return (readings.where((F.col("year") == y) & (F.col("month") == m))
             .groupBy("station", F.date_trunc("hour", "timestamp").alias("hour"))
-            .agg(exact_avg("temperature").alias("avg_temp"),
-                 exact_avg("humidity").alias("avg_humidity"),
-                 exact_avg("pm25").alias("avg_pm25"))
+            .agg(F.avg("temperature").alias("avg_temp"),
+                 F.avg("humidity").alias("avg_humidity"),
+                 F.avg("pm25").alias("avg_pm25"))
             .orderBy("hour", "station"))
 
 
@@ -71,11 +70,16 @@ def clock_drift_alerts(health: DataFrame) -> DataFrame:
 def memory_pressure(health: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Documented query: hourly mean/max memory use per station where the mean > 80 %."""
     return (health.groupBy("station", F.date_trunc("hour", "timestamp").alias("hour"))
-            .agg(exact_avg("memory_percent_used").alias("avg_mem"),
+            .agg(F.avg("memory_percent_used").alias("avg_mem"),
                  F.max("memory_percent_used").alias("max_mem"))
             .where(F.col("avg_mem") > threshold))
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """``avg_*`` columns to six decimals: a double mean's last bits depend on the order of its sums."""
+    return df.withColumns({c: F.round(c, 6) for c in df.columns if c.startswith("avg_")})
+
+
 def q_time_range(spark: SparkSession, sf: str) -> DataFrame:
     """Lists only the one partition directory (not the whole lake), then filters as the
     documented query does."""
@@ -85,7 +89,7 @@ def q_time_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hourly_station_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return hourly_station_avg(_readings(spark, sf), *MONTH)
+    return rounded(hourly_station_avg(_readings(spark, sf), *MONTH))
 
 
 def q_clock_drift_alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +97,7 @@ def q_clock_drift_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_memory_pressure(spark: SparkSession, sf: str) -> DataFrame:
-    return memory_pressure(_health(spark, sf))
+    return rounded(memory_pressure(_health(spark, sf)))
 
 
 QUERIES = {

@@ -13,7 +13,8 @@ from envlake.schema import SENSOR_FLOAT_COLUMNS
 from envlake.session import work_dir
 from envlake.sources import fixtures as fx
 from envlake.sources.lake import scan_readings
-from envlake.streaming.aggregates import stream_dedupe, stream_hourly_avg
+from envlake.plans.lake_queries import rounded
+from envlake.streaming.aggregates import hourly_to_table, latest_hourly, stream_dedupe, stream_hourly_avg
 from envlake.streaming.ingest import (RAW_READING_SCHEMA, final_flush, flush_batches_to_lake, flush_to_lake,
                                      land, stream_readings)
 from envlake.streaming.stateful import OUTPUT_SCHEMA, stream_compensate
@@ -86,9 +87,9 @@ def q_stream_hourly_avg(spark: SparkSession, sf: str) -> DataFrame:
     land(c.select("station", "timestamp", *SENSOR_FLOAT_COLUMNS), landing)
     schema = c.select("station", "timestamp", *SENSOR_FLOAT_COLUMNS).schema
     s = stream_hourly_avg(spark.readStream.schema(schema).parquet(landing))
-    out = _sink(s, spark, "hourly")
-    r = spark.read.parquet(out)
-    return r.select("station", "hour", "avg_temp", "avg_humidity", "avg_pm25", "n_readings")
+    base = work_dir(spark, "stream-hourly")
+    hourly_to_table(s, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return rounded(latest_hourly(spark, f"{base}/out")).select("station", "hour", "avg_temp", "avg_humidity", "avg_pm25", "n_readings")
 
 
 def q_stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:

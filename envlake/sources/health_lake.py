@@ -16,6 +16,8 @@ on them - so a native read would need explicit per-group path lists on the drive
 
 from __future__ import annotations
 
+import re
+
 import hashlib
 import json
 
@@ -109,7 +111,7 @@ def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> Da
         prefixes = [p[len(root):].lstrip("/") + "/" for p in listing_root]
         cond = None
         for pre in prefixes:
-            c = F.col("path").like(pre.replace("*", "%") + "%")
+            c = F.col("path").rlike("^" + re.escape(pre).replace(r"\*", "[^/]*"))
             cond = c if cond is None else (cond | c)
         idx = idx.where(cond)
     sigs = [r["sig"] for r in idx.select("sig").distinct().collect()]
@@ -117,7 +119,9 @@ def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> Da
     if all(_canonical_sig(sg) for sg in sigs):
         if not sigs:
             return spark.createDataFrame([], canonical_schema)
-        return spark.read.schema(canonical_schema).option("basePath", root).parquet(*listing_root)
+        from envlake.sources.files import path_exists
+        there = [p for p in listing_root if "*" in p or path_exists(spark, p)]  # days without data are no error
+        return spark.read.schema(canonical_schema).option("basePath", root).parquet(*there)
     return _arrow_scan(idx, root)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,15 +23,16 @@ RAW_READING_SCHEMA = T.StructType(
         "particles_25um", "particles_50um", "particles_100um")])
 
 
-def land(df: DataFrame, landing: str, files: int = 4) -> None:
-    """Write rows as Parquet files into a landing folder (append), as a feeder would.
+def land(df: DataFrame, landing: str, files: int | None = None) -> None:
+    """Write rows as Parquet files into a landing folder (append), as a feeder would, with the
+    partitions the rows have (or so many files).
     Timestamps keep microseconds here; only the lake stores milliseconds."""
     with scoped_conf(df.sparkSession, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
-        df.repartition(files).write.mode("append").parquet(landing)
+        (df.repartition(files) if files else df).write.mode("append").parquet(landing)
 
 
 def stream_readings(spark: SparkSession, landing: str, schema: T.StructType = RAW_READING_SCHEMA,
-                    max_files_per_trigger: int | None = None) -> DataFrame:
+                    max_files_per_trigger: int | None = 1000) -> DataFrame:
     """Continuous ingest of raw readings from a landing folder (explicit schema, bounded
     micro-batches with ``maxFilesPerTrigger``)."""
     r = spark.readStream.schema(schema)
@@ -65,19 +68,22 @@ def flush_to_lake(stream: DataFrame, root: str, checkpoint: str, processing_time
         return _trigger(w, processing_time).start()
 
 
-def batch_writer(root: str, compression: str = "zstd"):
+def batch_writer(root: str, compression: str = "zstd", checkpoint: str = ""):
     """The ``foreachBatch`` function of :func:`flush_batches_to_lake`: writes one
-    micro-batch in the batch-level layout unless its batch id is already marked done."""
+    micro-batch in the batch-level layout unless it is already marked done. Marks belong to
+    a checkpoint, as batch ids do. A replayed micro-batch is still read to its end, so a
+    stateful plan in front of it commits its state."""
     from envlake.operators.batching import batch_partition_values
     from envlake.sources.files import path_exists
     from envlake.sources.lake import write_readings
 
-    marker_root = root.rstrip("/") + "/_batches"
+    marker_root = f"{root.rstrip('/')}/_batches/{hashlib.md5(checkpoint.encode()).hexdigest()}"
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         marker = f"{marker_root}/{batch_id}"
         if path_exists(spark, marker):
+            df.write.format("noop").mode("overwrite").save()
             return
         write_readings(batch_partition_values(df, prefix="data"), root, compression=compression)
         jvm = spark.sparkContext._jvm
@@ -98,7 +104,7 @@ def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str,
     ``stream_dedupe`` remove. A collector batch split across two triggers gets the first
     day of each part.
     """
-    write = batch_writer(root, compression)
+    write = batch_writer(root, compression, checkpoint)
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(w, processing_time).start()
 

@@ -5,8 +5,11 @@ import pytest
 import __spark_entry__ as E
 from envlake.checks.compare import compare
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+from envlake.checks.oracle import oracle_statements
+from envlake.plans.registry import all_queries
+
+SQL = oracle_statements()
+QUERIES = all_queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -22,6 +25,10 @@ def test_every_query_has_sql_or_is_rows_only(spark):
     assert rows_only <= {"replicate_files"}
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
