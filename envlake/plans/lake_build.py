@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from envlake.operators.batching import batch_partition_values
 from envlake.operators.health import normalize_health, power_status
 from envlake.plans.collect import corrected_readings, lake_readings
-from envlake.session import work_dir
+from envlake.session import materialise, work_dir
 from envlake.sources import fixtures as fx
 from envlake.sources.lake import health_root, write_health, write_readings
 
@@ -72,7 +72,8 @@ def build_lakes(spark: SparkSession, sf: str, compression: str = "zstd") -> Lake
     hroot = health_root(root)
     todo = [w for w in ("readings", "health") if (app, sf, w) not in _DONE]
     if todo:
-        corrected = corrected_readings(fx.raw_readings(spark, sf))
+        # both lakes read the corrected rows: written once to the shared folder
+        corrected = materialise(corrected_readings(fx.raw_readings(spark, sf)), "corrected")
         if "readings" in todo:
             write_readings(lake_readings(corrected), root, compression=compression)
             _DONE.add((app, sf, "readings"))

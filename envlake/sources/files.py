@@ -115,7 +115,8 @@ def copy_files(todo: DataFrame, src_root: str, dst_root: str) -> DataFrame:
                 dfs.create_dir(parent, recursive=True)
                 h = hashlib.md5()
                 n = 0
-                with sfs.open_input_stream(src) as fi, dfs.open_output_stream(dst) as fo:
+                own = f"{dst}.{os.getpid()}.tmp"  # attempts of one task don't meet in a file
+                with sfs.open_input_stream(src) as fi, dfs.open_output_stream(own) as fo:
                     while True:
                         b = fi.read(_CHUNK)
                         if not b:
@@ -123,6 +124,7 @@ def copy_files(todo: DataFrame, src_root: str, dst_root: str) -> DataFrame:
                         h.update(b)
                         fo.write(b)
                         n += len(b)
+                dfs.move(own, dst)
                 out_b.append(n)
                 out_t.append('"' + h.hexdigest() + '"')
             yield pdf.assign(bytes=out_b, e_tag=out_t)
