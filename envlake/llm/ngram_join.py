@@ -39,7 +39,11 @@ from envlake.llm.graph import components
 from envlake.llm.vec import mix64, shingles_of
 
 PART, WHOLE = 85, 100
-WIDTH = 1.4
+#: Size bands grow by this factor, or by as much as sizes of linked sets can differ.
+WIDTH = 1.26
+#: Segments a set may leave out, as a share of those needed. Where documents share passages, about
+#: so many of a set's segments lie inside one and are crowded.
+SPARE = 0.16
 #: Rows that meet by chance in a blank segment are as dear as so many rows written.
 CROWD = 300.0
 _SEG, _SUM, _KEY1, _KEY2, _SALT = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93,
@@ -57,7 +61,7 @@ def bands(largest: int, part: int = PART, whole: int = WHOLE) -> tuple[tuple[int
     """``(least size, H, segments, neighbourhoods, e)`` of each band up to a size."""
     out, low = [], 1
     while low <= largest:
-        high = max(low, int(low * WIDTH) - 1)
+        high = max(low, int(low * WIDTH) - 1, (low - 1) * whole // part)  # partners are one band up at most
         if high <= 400:
             h = max(most_apart(a, b, part, whole) for b in range(low, high + 1) for a in range(max(1, part * low // whole), b + 1))
         else:
@@ -73,7 +77,7 @@ def bands(largest: int, part: int = PART, whole: int = WHOLE) -> tuple[tuple[int
 def _allocation(low: int, high: int, h: int) -> tuple[int, int, int]:
     """Segments, how many of them with one-deletion neighbourhoods, and spare ones per side."""
     best = None
-    spare = math.ceil(0.07 * (h + 1)) + 1
+    spare = math.ceil(SPARE * (h + 1)) + 1
     for e, m in [(0, m) for m in range(1, min(h, 64) + 2)] + [(spare, h + 1 + 2 * spare)]:
         k = max(0, h + 1 + 2 * e - m)
         if k > m or (e and k):
