@@ -396,6 +396,11 @@ remote_files AS (
     CASE WHEN doc_id % 7 = 0 THEN '"0"' WHEN doc_id % 13 = 0 THEN NULL ELSE '"' || md5(text) || '"' END AS e_tag
   FROM documents WHERE doc_id % 5 <> 0)"""
 
+LAID_OUT = f"""laid_out AS (
+  SELECT doc_id, {_doc_path()} AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size,
+    '"' || md5(coalesce(text, '')) || '"' AS e_tag
+  FROM documents)"""
+
 EXACT_RE = r"^station=[^/]+/year=\d{4}/month=\d{2}/day=\d{2}/(?:data|health)_\d{4}\.parquet$"
 SUS_RE = [r"\.cache/", r"\.local/", r"site-packages/", r"pyarrow/tests/", r"__pycache__/", r"\.venv/",
           r"venv/", r"output/"]
@@ -434,6 +439,12 @@ def _sync_sql() -> dict[str, str]:
         "sync_summary": with_ctes(MANIFESTS, DECISION, body="""
             SELECT action, action <> 'skip' AS synced, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
             FROM decision GROUP BY action"""),
+        "list_local": with_ctes(LAID_OUT, body="SELECT path, size FROM laid_out WHERE NOT starts_with(path, '.cache/')"),
+        "replicate_files": with_ctes(LAID_OUT, body=f"""
+            SELECT path, action, CASE WHEN action = 'skip' THEN 0 ELSE size END AS bytes, e_tag FROM (
+              SELECT path, size, e_tag, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 11 = 0 THEN 'size_mismatch'
+                WHEN doc_id % 7 = 0 AND size > 0 THEN 'content_changed' ELSE 'skip' END AS action
+              FROM laid_out WHERE {path_class('path')} IN ('exact', 'fallback'))"""),
         "storage_stats": with_ctes(MANIFESTS, body=f"""
             SELECT station, day, count(*) AS files, sum(size) / 1048576 AS total_mb,
               grouping_id(station, day) AS level
@@ -474,6 +485,7 @@ def _lake_sql() -> dict[str, str]:
         "scan_readings": with_ctes(*READINGS_CTES, LAKE_READINGS, body=f"SELECT station, year, month, day, timestamp, {floats} FROM lake_readings"),
         "write_readings": with_ctes(*READINGS_CTES, LAKE_READINGS, body="SELECT station, year, month, day, count(*) AS n_rows FROM lake_readings GROUP BY ALL"),
         "scan_health": LH(f"SELECT station, year, month, day, {hcols} FROM lake_health"),
+        "scan_health_drift": LH(f"SELECT station, year, month, day, {hcols} FROM lake_health"),
         "write_health": LH("SELECT station, year, month, day, count(*) AS n_rows FROM lake_health GROUP BY ALL"),
         "q_time_range": with_ctes(*READINGS_CTES, LAKE_READINGS, body="""
             SELECT timestamp, temperature, humidity, pm25 FROM lake_readings

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlake.plans.lake_build import health_lake, readings_lake
-from envlake.schema import SENSOR_FLOAT_COLUMNS
+from envlake.schema import HEALTH_COLUMNS, SENSOR_FLOAT_COLUMNS
+from envlake.session import ship_package, work_dir
+from envlake.sources.files import _fs, _join
 from envlake.sources.health_lake import scan_health
-from envlake.sources.lake import scan_readings
+from envlake.sources.lake import PARTITION_COLUMNS, scan_readings
 
 # Parameters of the documented single-station, single-day query.
 TIME_RANGE_STATION = "st-03"
@@ -38,6 +42,41 @@ def q_scan_health(spark: SparkSession, sf: str) -> DataFrame:
     return _health(spark, sf)
 
 
+def _drifting(root: str):
+    """Writes a station's day of health records as a collector without a fixed schema does: on two of
+    three days all-NULL columns are Null-typed, on one of these whole-number doubles are INT64."""
+    def write(t):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+        fs, base = _fs(root)
+        station, y, m, d = (t.column(c)[0].as_py() for c in PARTITION_COLUMNS)
+        out = {}
+        for name, _ in HEALTH_COLUMNS:
+            c = t.column(name)
+            if d % 3 and c.null_count == len(c):
+                c = pa.nulls(len(c))
+            elif d % 3 == 1 and pa.types.is_float64(c.type) and pc.all(pc.and_(pc.is_finite(c), pc.equal(c, pc.floor(c)))).as_py():
+                c = c.cast(pa.int64())
+            out[name] = c
+        path = f"station={station}/year={y:04d}/month={m:02d}/day={d:02d}/health_0000.parquet"
+        fs.create_dir(_join(base, path).rpartition("/")[0], recursive=True)
+        own = f"{_join(base, path)}.{os.getpid()}.tmp"
+        pq.write_table(pa.table(out), own, filesystem=fs)
+        fs.move(own, _join(base, path))
+        return pa.table({"path": [path]})
+    return write
+
+
+def q_scan_health_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """The health lake's rows, written as files whose types drift, then scanned."""
+    root = work_dir(spark, "drift") + "/output-health"
+    ship_package(spark)
+    (_health(spark, sf).groupBy(*PARTITION_COLUMNS).applyInArrow(_drifting(root), "path string")
+     .write.format("noop").mode("overwrite").save())
+    return scan_health(spark, root)
+
+
 def q_write_health(spark: SparkSession, sf: str) -> DataFrame:
     return _health(spark, sf).groupBy("station", "year", "month", "day").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -104,6 +143,7 @@ QUERIES = {
     "scan_readings": q_scan_readings,
     "write_readings": q_write_readings,
     "scan_health": q_scan_health,
+    "scan_health_drift": q_scan_health_drift,
     "write_health": q_write_health,
     "q_time_range": q_time_range,
     "q_hourly_station_avg": q_hourly_station_avg,

@@ -40,14 +40,24 @@ def path_exists(spark: SparkSession, uri: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """Recursive listing ``(path, size, last_modified)`` with root-relative paths; a
-    missing root lists as empty."""
+def any_match(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or path pattern matches anything."""
+    if "*" not in pattern:
+        return path_exists(spark, pattern)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []))
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*.parquet", folders: list[str] | None = None) -> DataFrame:
+    """Recursive listing ``(path, size, last_modified)`` with root-relative paths, of all of
+    ``root`` or of some folders (or patterns) below it. What is missing lists as empty; hidden
+    folders (names that start with ``.`` or ``_``) aren't listed."""
     root = root.rstrip("/")
-    if not path_exists(spark, root):
+    there = [f for f in folders or [root] if any_match(spark, f)]
+    if not there:
         return spark.createDataFrame([], "path string, size long, last_modified timestamp")
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", glob).load(root)
+          .option("pathGlobFilter", glob).load(there)
           .select("path", "length", "modificationTime"))
     # Spark reports fully-qualified URIs; strip everything up to the root folder name.
     if root.startswith("file:") or "://" in root:
@@ -132,6 +142,24 @@ def copy_files(todo: DataFrame, src_root: str, dst_root: str) -> DataFrame:
             .mapInPandas(run, "path string, action string, last_modified timestamp, bytes long, e_tag string"))
 
 
+def put_files(files: DataFrame, root: str) -> int:
+    """Write each row's ``content`` as the file ``path`` under ``root``, inside tasks; how many."""
+    ship_package(files.sparkSession)
+
+    def run(batches):
+        fs, base = _fs(root)
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                dst = _join(base, p)
+                fs.create_dir(dst.rsplit("/", 1)[0], recursive=True)
+                own = f"{dst}.{os.getpid()}.tmp"
+                with fs.open_output_stream(own) as f:
+                    f.write(content)
+                fs.move(own, dst)
+            yield pd.DataFrame({"n": [len(pdf)]})
+    return files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 # Folders the reference refuses to replicate from.
 _DANGEROUS_NAMES = (".cache", ".local", ".config", "cache", "tmp", "temp")
 

@@ -166,6 +166,18 @@ def remote_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def laid_out_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 as files: (path, content, remote). ``remote`` is the content of the target's copy: NULL where
+    it is missing, one byte longer, or of the same size with another first byte, by document id."""
+    d = F.col("doc_id")
+    docs = read_table(spark, sf_dir, "documents").withColumn("content", F.expr("encode(coalesce(text, ''), 'UTF-8')"))
+    remote = (F.when(d % 5 == 0, F.lit(None))
+              .when(d % 11 == 0, F.expr("concat(content, X'00')"))
+              .when((d % 7 == 0) & (F.length("content") > 0), F.expr("overlay(content PLACING X'00' FROM 1)"))
+              .otherwise(F.col("content")))
+    return docs.select(_doc_path().alias("path"), "content", remote.alias("remote"))
+
+
 def station_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """candidate station-id strings in the spellings ``UUID()`` meets in config files."""
     e = _e()

@@ -5,30 +5,23 @@ Null-typed column and a metric may be INT64 in one file and DOUBLE in another. S
 Parquet reader cannot read such files with one schema (``mergeSchema`` fails, and an
 explicit STRING/DOUBLE schema fails on INT32-Null and INT64 columns).
 
-So file footers are read in a Spark job (tasks open only the footer) and kept in an
-incremental index in the shared checkpoint folder. A lake whose files all carry the
-canonical types is read in one native scan. A lake with drift is read by executor tasks
-that open their share of the indexed files with pyarrow and cast each column to its
-canonical type; the file list stays a distributed DataFrame. (Spark cannot skip the
-drifted files of a native scan by a ``_metadata.file_path`` filter - it opens and fails
-on them - so a native read would need explicit per-group path lists on the driver.)
+So file footers are read in a Spark job first (tasks open only the footer). Folders whose
+files all carry the canonical types are read in one native scan; the files of the others
+are opened by executor tasks with pyarrow, which cast each column to its canonical type.
+(Spark cannot skip the drifted files of a native scan by a ``_metadata.file_path`` filter -
+it opens and fails on them - so the native scan is given the clean folders.)
 """
 
 from __future__ import annotations
 
-import re
-
-import hashlib
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envlake.schema import HEALTH_COLUMNS, PARTITION_SCHEMA
-from envlake.session import checkpoint_root, ship_package
-from envlake.sources.files import _fs, _join, list_files, path_exists
+from envlake.session import materialise, ship_package
+from envlake.sources.files import _fs, _join, any_match, list_files
 from envlake.sources.lake import partition_paths
 
 _ARROW_TO_SPARK = {
@@ -47,28 +40,10 @@ def _spark_type(arrow_type: str) -> T.DataType:
     raise ValueError(f"unsupported health column type {arrow_type}")
 
 
-def footer_signatures(files: DataFrame, root: str) -> DataFrame:
-    """``(path, sig)`` per root-relative file path; ``sig`` is the JSON list of
-    (column, arrow type) pairs in the file footer. Runs in executor tasks."""
-    ship_package(files.sparkSession)
-
-    def run(batches):
-        import pyarrow.parquet as pq
-        fs, base = _fs(root)
-        for pdf in batches:
-            sigs = []
-            for p in pdf["path"]:
-                with fs.open_input_file(_join(base, p)) as f:
-                    sch = pq.read_schema(f)
-                sigs.append(json.dumps([[fld.name, str(fld.type)] for fld in sch]))
-            yield pd.DataFrame({"path": pdf["path"], "sig": sigs})
-    return files.select("path").mapInPandas(run, "path string, sig string")
-
-
-def _canonical_sig(sig: str) -> bool:
-    """Whether every column of a footer signature already has its canonical type."""
+def _canonical(columns: list[tuple[str, str]]) -> bool:
+    """Whether every column of a footer already has its canonical type."""
     target = dict(HEALTH_COLUMNS)
-    for name, arrow_type in json.loads(sig):
+    for name, arrow_type in columns:
         if name in PARTITION_SCHEMA.names:
             continue
         if name in target and _spark_type(arrow_type) != target[name]:
@@ -76,53 +51,48 @@ def _canonical_sig(sig: str) -> bool:
     return True
 
 
-def footer_index(spark: SparkSession, root: str, index_dir: str | None = None) -> DataFrame:
-    """``(path, size, last_modified, sig)`` for every Parquet file under ``root``, read
-    incrementally: the index lives in the shared checkpoint folder and only files that
-    are new or changed (by size and modification time) have their footer read."""
-    root = root.rstrip("/")
-    if index_dir is None:
-        digest = hashlib.md5(root.encode()).hexdigest()[:16]
-        index_dir = f"{checkpoint_root(spark)}/envlake-footers-{digest}"
-    keys = ["path", "size", "last_modified"]
-    files = list_files(spark, root)
-    schema = "path string, size long, last_modified timestamp, sig string"
-    known = spark.read.schema(schema).parquet(index_dir) if path_exists(spark, index_dir) \
-        else spark.createDataFrame([], schema)
-    new = files.join(known.select(*keys), on=keys, how="left_anti")
-    if not new.isEmpty():
-        fresh = new.join(footer_signatures(new, root), on="path", how="inner").select(*keys, "sig")
-        fresh.write.mode("append").parquet(index_dir)
-    return spark.read.schema(schema).parquet(index_dir).join(files, on=keys, how="left_semi")
+def footer_kinds(files: DataFrame, root: str) -> DataFrame:
+    """``(path, folder, canonical)`` per root-relative file path: whether the footer's column
+    types are the canonical ones. Footers are read in executor tasks."""
+    ship_package(files.sparkSession)
+
+    def run(batches):
+        import pyarrow.parquet as pq
+        fs, base = _fs(root)
+        for pdf in batches:
+            right = []
+            for p in pdf["path"]:
+                with fs.open_input_file(_join(base, p)) as f:
+                    right.append(_canonical([(fld.name, str(fld.type)) for fld in pq.read_schema(f)]))
+            yield pd.DataFrame({"path": pdf["path"], "folder": [p.rpartition("/")[0] for p in pdf["path"]],
+                                "canonical": right})
+    return files.select("path").mapInPandas(run, "path string, folder string, canonical boolean")
 
 
 def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> DataFrame:
     """Scan the health lake into the canonical 22 health columns plus partitions.
 
-    Footer signatures come from an incremental index (:func:`footer_index`). When every
-    signature is canonical the lake is read natively with the canonical schema and no
-    path list. Otherwise the files listed in the index are read by executor tasks with a
-    cast to the canonical types (:func:`_arrow_scan`); no file list reaches the driver.
+    The footers of the files under the requested folders are read first, in tasks. Folders
+    whose files all carry the canonical types are read natively, with column and partition
+    pruning; where a folder holds a file with other types, its files are opened by tasks and cast
+    (:func:`_arrow_scan`). With drift, the names of the clean folders (one per station and day,
+    as many as Spark's own listing holds) pass through the driver; without, nothing does.
     """
     root = root.rstrip("/")
-    listing_root = partition_paths(root, stations, dates)
-    idx = footer_index(spark, root)
-    if stations or dates:
-        prefixes = [p[len(root):].lstrip("/") + "/" for p in listing_root]
-        cond = None
-        for pre in prefixes:
-            c = F.col("path").rlike("^" + re.escape(pre).replace(r"\*", "[^/]*"))
-            cond = c if cond is None else (cond | c)
-        idx = idx.where(cond)
-    sigs = [r["sig"] for r in idx.select("sig").distinct().collect()]
     canonical_schema = T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS] + PARTITION_SCHEMA.fields)
-    if all(_canonical_sig(sg) for sg in sigs):
-        if not sigs:
-            return spark.createDataFrame([], canonical_schema)
-        from envlake.sources.files import path_exists
-        there = [p for p in listing_root if "*" in p or path_exists(spark, p)]  # days without data are no error
-        return spark.read.schema(canonical_schema).option("basePath", root).parquet(*there)
-    return _arrow_scan(idx, root)
+    folders = [p for p in partition_paths(root, stations, dates) if any_match(spark, p)]  # days without data are no error
+    if not folders:
+        return spark.createDataFrame([], canonical_schema)
+    footers = materialise(footer_kinds(list_files(spark, root, folders=folders), root), "health-footers")
+    reader = spark.read.schema(canonical_schema).option("basePath", root)
+    drifted = footers.where("NOT canonical").select("folder").distinct()
+    if drifted.isEmpty():
+        return reader.parquet(*folders)
+    cast = _arrow_scan(footers.join(drifted, "folder", "left_semi"), root)
+    clean = [r.folder for r in footers.join(drifted, "folder", "left_anti").select("folder").distinct().collect()]
+    if not clean:
+        return cast
+    return reader.parquet(*[f"{root}/{f}" for f in clean]).unionByName(cast)
 
 
 # Arrow types of the canonical health columns (timestamps as UTC microseconds).
@@ -133,12 +103,12 @@ def _arrow_target():
     return pa.schema([pa.field(n, m[t]) for n, t in HEALTH_COLUMNS] + [pa.field("path", pa.string())])
 
 
-def _arrow_scan(idx: DataFrame, root: str) -> DataFrame:
+def _arrow_scan(files: DataFrame, root: str) -> DataFrame:
     """Read drifted health files in executor tasks: each task opens its files with
     pyarrow, casts every column to its canonical type (Null-typed -> typed NULLs,
     INT64 -> DOUBLE, ...) and emits Arrow batches. The file list stays a DataFrame
     (spread over tasks), partition values come from the path."""
-    ship_package(idx.sparkSession)
+    ship_package(files.sparkSession)
     out_schema = T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS]
                               + [T.StructField("path", T.StringType())])
 
@@ -162,7 +132,7 @@ def _arrow_scan(idx: DataFrame, root: str) -> DataFrame:
                         cols.append(pa.nulls(n, fld.type))
                 yield from pa.Table.from_arrays(cols, schema=target).to_batches()
 
-    rows = idx.select("path").repartition(max(1, idx.sparkSession.sparkContext.defaultParallelism))
+    rows = files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     data = rows.mapInArrow(run, out_schema)
     part = {"station": F.regexp_extract("path", r"(?:^|/)station=([^/]+)/", 1),
             "year": F.regexp_extract("path", r"(?:^|/)year=(\d+)/", 1).cast("int"),

@@ -109,11 +109,16 @@ def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str,
     return _trigger(w, processing_time).start()
 
 
-def final_flush(query: StreamingQuery | None, stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def final_flush(query: StreamingQuery | None, stream: DataFrame, root: str, checkpoint: str,
+                sync_to: str | None = None) -> StreamingQuery:
     """On shutdown: stop the running query and drain everything that has landed with an
-    ``availableNow`` run on the same checkpoint, then wait for it."""
+    ``availableNow`` run on the same checkpoint, wait for it, then replicate the readings lake and
+    the health lake beside it to ``sync_to``, if given."""
     if query is not None and query.isActive:
         query.stop()
     q = flush_to_lake(stream, root, checkpoint)
     q.awaitTermination()
+    if sync_to:
+        from envlake.sources.replicate import sync_lakes
+        sync_lakes(stream.sparkSession, root, sync_to)
     return q

@@ -102,3 +102,39 @@ def test_storage_stats_on_a_real_lake(spark, sf):
     assert total.files == len(files)
     assert total.total_mb == sum(os.path.getsize(f) for f in files) / 1048576
     assert sum(r.files for (st, d, lvl), r in stats.items() if lvl == 0) == len(files)
+
+
+def test_final_sync_replicates_both_lakes(spark, sf):
+    from envlake.plans.lake_build import build_lakes
+    from envlake.session import work_dir
+    from envlake.sources.files import list_files
+    from envlake.sources.replicate import sync_lakes
+    lakes, target = build_lakes(spark, sf), work_dir(spark, "target") + "/output"
+    first = sync_lakes(spark, lakes.readings, target).groupBy("lake", "action").count().collect()
+    assert {(r.lake, r.action) for r in first} == {("readings", "new"), ("health", "new")}
+    for a, b in ((lakes.readings, target), (lakes.health, target + "-health")):
+        assert list_files(spark, a).select("path", "size").exceptAll(list_files(spark, b).select("path", "size")).isEmpty()
+    again = sync_lakes(spark, lakes.readings, target).select("action").distinct().collect()
+    assert [r.action for r in again] == ["skip"]
+
+
+def test_replication_copies_in_several_tasks(spark, sf):
+    from envlake.plans.sync_queries import q_replicate_files
+    from envlake.session import scoped_conf
+    with scoped_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = q_replicate_files(spark, sf).where("action <> 'skip'")
+        assert {r.action for r in out.select("action").distinct().collect()} == {"new", "size_mismatch", "content_changed"}
+        assert out.select(F.input_file_name()).distinct().count() > 1  # a written file per task
+
+
+def test_drifted_health_scan_is_narrowed_and_pruned(spark, sf):
+    from envlake.plans.lake_queries import q_scan_health_drift
+    whole = q_scan_health_drift(spark, sf)
+    plan = whole.where("year = 1999")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    r = whole.select("station", "year", "month", "day").where("day % 3 <> 0").first()
+    root = next(f for f in whole.inputFiles() if "/station=" in f).split("/station=")[0]
+    some = scan_health(spark, root, stations=[r.station], dates=[(r.year, r.month, r.day), (1999, 1, 1)])
+    same = whole.where((F.col("station") == r.station) & (F.col("year") == r.year) & (F.col("month") == r.month) & (F.col("day") == r.day))
+    assert sorted(map(str, some.collect())) == sorted(map(str, same.collect())) != []
+    assert scan_health(spark, root, dates=[(1999, 1, 1)]).count() == 0

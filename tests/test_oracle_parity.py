@@ -20,9 +20,8 @@ def test_query_matches_oracle(spark, sf, name):
     assert r["match"], r
 
 
-def test_every_query_has_sql_or_is_rows_only(spark):
-    rows_only = set(QUERIES) - set(SQL)
-    assert rows_only <= {"replicate_files"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_registers_every_query():
