@@ -194,6 +194,9 @@ def _readings_sql() -> dict[str, str]:
         "valid_station_id": with_ctes(STATION_IDS, body=(
             f"SELECT event_id, raw_id, {valid} AS valid, CASE WHEN {valid} THEN "
             f"{_hy(digits)} END AS station_id FROM station_ids")),
+        "station_quarantine": with_ctes(STATION_IDS, body=(
+            f"SELECT event_id, CASE WHEN {valid} THEN {_hy(digits)} ELSE raw_id END AS station, NOT {valid} AS quarantined "
+            "FROM station_ids")),
         "next_boundary": with_ctes(RAW_READINGS, body=(
             f"SELECT event_id, timestamp, {boundary('timestamp', 15)} AS nb_15, "
             f"{boundary('timestamp', 25)} AS nb_25, {boundary('timestamp', 120)} AS nb_120 FROM raw_readings")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envlake.functions.parse import PY_HEX_RE
@@ -32,3 +32,10 @@ def canonical_station_id(c) -> Column:
     fmt = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                       F.substring(h, 17, 4), F.substring(h, 21, 12))
     return F.when(valid_station_id(c), fmt)
+
+
+def split_station_ids(df: DataFrame, column: str = "station") -> tuple[DataFrame, DataFrame]:
+    """``(valid, quarantined)``: rows with a valid id, which becomes canonical, and the others
+    (NULL included) as they are."""
+    ok = valid_station_id(column)
+    return df.where(ok).withColumn(column, canonical_station_id(column)), df.where(~ok)

@@ -13,7 +13,7 @@ from envlake.functions.boundary import next_boundary
 from envlake.functions.compensation import cpu_temperature, dewpoint
 from envlake.functions.dtypes import canonical_dtypes
 from envlake.functions.gas import gas_resistance
-from envlake.functions.station_id import canonical_station_id, valid_station_id
+from envlake.functions.station_id import canonical_station_id, split_station_ids, valid_station_id
 from envlake.operators.assemble import assemble_reading
 from envlake.operators.batching import (batch_assign_event_time, batch_partition_values,
                                         batch_stats, empty_batches)
@@ -87,6 +87,13 @@ def q_valid_station_id(spark: SparkSession, sf: str) -> DataFrame:
                     canonical_station_id("raw_id").alias("station_id"))
 
 
+def q_station_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows split by their station id: valid ones with the canonical id, the others set aside."""
+    valid, refused = split_station_ids(fx.station_ids(spark, sf).withColumn("station", F.col("raw_id")))
+    return (valid.withColumn("quarantined", F.lit(False)).unionByName(refused.withColumn("quarantined", F.lit(True)))
+            .select("event_id", "station", "quarantined"))
+
+
 def q_next_boundary(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.raw_readings(spark, sf)
     return r.select("event_id", "timestamp", next_boundary("timestamp", 15).alias("nb_15"),
@@ -146,6 +153,7 @@ QUERIES = {
     "dewpoint": q_dewpoint,
     "canonical_dtypes": q_canonical_dtypes,
     "valid_station_id": q_valid_station_id,
+    "station_quarantine": q_station_quarantine,
     "next_boundary": q_next_boundary,
     "rolling_cpu_avg": q_rolling_cpu_avg,
     "skip_warmup": q_skip_warmup,

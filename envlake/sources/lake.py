@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlake.functions.dtypes import canonical_dtypes
+from envlake.functions.station_id import split_station_ids
 from envlake.session import scoped_conf
 from envlake.schema import (HEALTH_COLUMNS, HEALTH_FILE_SCHEMA, HEALTH_LAKE_SCHEMA,
                             SENSOR_FILE_SCHEMA, SENSOR_LAKE_SCHEMA)
@@ -43,11 +44,17 @@ def _write(df: DataFrame, root: str, data_cols: list[str], compression: str, mod
             .parquet(root))
 
 
-def write_readings(df: DataFrame, root: str, compression: str = "zstd", mode: str = "append") -> None:
+def write_readings(df: DataFrame, root: str, compression: str = "zstd", mode: str = "append",
+                   quarantine: str | None = None) -> None:
     """Write sensor readings. Needs ``station`` and batch-level ``year/month/day``
     (zero-padded strings, from ``batch_partition_values``); ``station_id`` never enters a
-    file. Measurements are stored as float32 and timestamps in milliseconds."""
+    file. Measurements are stored as float32 and timestamps in milliseconds. With a
+    ``quarantine`` folder, rows whose ``station`` is no valid id are written there as they are,
+    and the lake gets the canonical ids."""
     d = df.drop("station_id") if "station_id" in df.columns else df
+    if quarantine:
+        d, refused = split_station_ids(d)
+        refused.write.mode(mode).option("compression", compression).parquet(quarantine)
     d = canonical_dtypes(d)
     _write(d, root, [f.name for f in SENSOR_FILE_SCHEMA.fields], compression, mode)
 

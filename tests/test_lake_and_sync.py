@@ -138,3 +138,13 @@ def test_drifted_health_scan_is_narrowed_and_pruned(spark, sf):
     same = whole.where((F.col("station") == r.station) & (F.col("year") == r.year) & (F.col("month") == r.month) & (F.col("day") == r.day))
     assert sorted(map(str, some.collect())) == sorted(map(str, same.collect())) != []
     assert scan_health(spark, root, dates=[(1999, 1, 1)]).count() == 0
+
+
+def test_invalid_station_ids_go_to_quarantine(spark):
+    base = tempfile.mkdtemp(prefix="quarantine-")
+    good = "0123456789ABCDEF0123456789abcdef"
+    df = (spark.createDataFrame([(good, 1.0), ("st-1", 2.0), (None, 3.0)], "station string, temperature double")
+          .selectExpr("*", "timestamp'2024-01-01 00:00:00' AS timestamp", "'2024' AS year", "'01' AS month", "'01' AS day"))
+    write_readings(df, f"{base}/lake", quarantine=f"{base}/quarantine")
+    assert [r.station for r in scan_readings(spark, f"{base}/lake").collect()] == ["01234567-89ab-cdef-0123-456789abcdef"]
+    assert {r.station for r in spark.read.parquet(f"{base}/quarantine").collect()} == {"st-1", None}
