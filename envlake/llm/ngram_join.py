@@ -14,8 +14,10 @@ other by exact bounds (sizes, and parity maps whose differing bits can't outnumb
 elements). In a large one, members first drop out by another exact bound (elements that no other
 member has can't be shared), then each is held against the member with the fewest such elements,
 then, where a segment still holds several components, against all members the bounds allow. Each
-pair left is verified on whole sets, so no link between components is lost, and pairs inside a
-component needn't be listed.
+pair left is verified on whole sets, so no link between components is lost.
+:func:`jaccard_components` needn't list pairs inside a component; :func:`jaccard_links` holds all
+members of a large segment against each other and lists every link. Its rows grow with the links,
+in a crowd of near copies with different texts as the square of its size.
 
 Defined results: a text without words, or null, has an empty set, links with nothing and is its
 own component. A row without ``doc_id`` links like any other but names no component (null, where
@@ -209,8 +211,17 @@ def _only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole: int = WHOLE) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row."""
+def _bounds(part: int, whole: int) -> tuple[str, str, str]:
+    """SQL: bits in which two parity maps differ, the most in which linked sets can, and whether the
+    elements that two members ``a`` and ``b`` share with others are enough for a link."""
+    return ("aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)",
+            f"({{0}} + {{1}} - 2 * ceil({part} * ({{0}} + {{1}}) / {part + whole}))",
+            f"{whole + part} * least(a.n - a.u, b.n - b.u) >= {part} * (a.n + b.n)")
+
+
+def _candidates(docs: DataFrame, words: int, part: int, whole: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows with the digests of their sets; the pairs of small segments that the bounds allow;
+    the members of large ones; the whole sets of both."""
     ship_package(docs.sparkSession)
     rows = id_text(docs)
 
@@ -266,8 +277,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-wanted")
     maps = save(indexed.select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "join-maps")
-    differ = "aggregate(zip_with({0}, {1}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    apart = f"({{0}} + {{1}} - 2 * ceil({part} * ({{0}} + {{1}}) / {part + whole}))"
+    differ, apart, _ = _bounds(part, whole)
     near = (pairs.join(maps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
             .join(maps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
             .where(f"{whole} * least(na, nb) >= {part} * greatest(na, nb)")
@@ -298,8 +308,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
                        .select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
                        .where(f"{whole} * (n - u) >= {part} * n"), "join-alive")
         alive = bounded.select("node")
-    members = save(large.join(bounded, "node"), "join-members")
-    may = f"{whole + part} * least(a.n - a.u, b.n - b.u) >= {part} * (a.n + b.n)"
+    return indexed, close, save(large.join(bounded, "node"), "join-members"), sets
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row."""
+    indexed, close, members, sets = _candidates(docs, words, part, whole)
+    differ, apart, may = _bounds(part, whole)
     pivot = (members.groupBy("sig").agg(F.min(F.struct("u", "node", "n")).alias("p"), F.count("*").alias("c"))
              .where("c > 1").select("sig", "p.node", "p.n", "p.u"))
     star = save(members.alias("a").join(pivot.alias("b"), "sig").where(f"a.node <> b.node AND {may}")
@@ -318,12 +333,47 @@ def jaccard_components(docs: DataFrame, words: int = 4, part: int = PART, whole:
     more = save(_verified(rest, sets, part, whole), "join-more")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    marked = indexed.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = save(marked.select("doc_id", "n", "label"), "join-marked")
+    return _named(indexed.select("doc_id", "n", "node"), labels)
+
+
+def jaccard_links(docs: DataFrame, words: int = 4, part: int = PART, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """All links between distinct sets, ``(a, b, doc_a, doc_b, copies_a, copies_b)`` with ``a < b`` digests and
+    ``doc_a``, ``doc_b`` the smallest ids of the rows with these sets; and of every row
+    ``(doc_id, n_shingles, component_id, n_links)``, ``n_links`` the number of other rows it links with."""
+    indexed, close, members, sets = _candidates(docs, words, part, whole)
+    differ, apart, may = _bounds(part, whole)
+    # members of large segments: all pairs that the bounds allow, each once however many segments it shares
+    pairs = (members.alias("a").join(members.alias("b"), "sig").where(f"a.node < b.node AND {may}")
+             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct())
+    maps = save(indexed.select("node", "bits").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "links-maps")
+    near = (pairs.join(maps.select(F.col("node").alias("a"), F.col("bits").alias("ba")), "a")
+            .join(maps.select(F.col("node").alias("b"), F.col("bits").alias("bb")), "b")
+            .where(f"{differ.format('ba', 'bb')} <= {apart.format('na', 'nb')}").select("a", "b"))
+    links = save(_verified(close.unionAll(near).distinct(), sets, part, whole), "links")
+    # equal sets are one node that weighs as many rows
+    nodes = save(indexed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "links-nodes")
+    told = (links.join(nodes.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("copies").alias("copies_a")), "a")
+            .join(nodes.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("copies").alias("copies_b")), "b")
+            .select("a", "b", "doc_a", "doc_b", "copies_a", "copies_b"))
+    told = save(told, "links-told")
+    others = (told.select(F.col("a").alias("node"), F.col("copies_b").alias("c"))
+              .unionAll(told.select(F.col("b").alias("node"), F.col("copies_a").alias("c")))
+              .groupBy("node").agg(F.sum("c").alias("c")))
+    counts = (nodes.join(others, "node", "left")
+              .select("node", (F.col("copies") - 1 + F.coalesce("c", F.lit(0))).alias("n_links")))
+    rows = (indexed.select("doc_id", "n", "node").join(counts, "node", "left")
+            .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
+    return told, _named(rows, components(links), "n_links")
+
+
+def _named(rows: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, *more)`` of rows with a digest, by the labels of the digests."""
+    marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = save(marked.select("doc_id", "n", "label", *more), "join-marked")
     names = marked.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return (marked.join(names, "label", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+                    F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:

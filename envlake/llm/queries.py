@@ -52,6 +52,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same join, the number of documents that each document links with."""
+    return ngram_join.jaccard_links(read_table(spark, sf_dir, "documents"))[1]
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, written to compressed files and read back from them."""
     import public_tokenizers
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
+    "op7_ngram_links": op7_ngram_links,
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_rules": op10_rules,

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from envlake.llm.ngram_join import bands, jaccard_components, most_apart, sets_of, signatures
+from envlake.llm.ngram_join import bands, jaccard_components, jaccard_links, most_apart, sets_of, signatures
 from tests.llm.conftest import frame
 
 
@@ -89,6 +89,28 @@ def test_odd_rows(odd, none, odd_rows):
     assert jaccard_components(none).count() == 0
 
 
+def test_every_link_of_a_crowd(spark, odd, none):
+    random.seed(5)
+    text, rows = [f"c{k}" for k in range(150)], []
+    for i in range(60):
+        t = list(text)
+        for _ in range(i % 5):
+            t[random.randrange(150)] = f"n{random.random()}"
+        rows.append((i, " ".join(t), "en", "s"))
+    sets = {i: {tuple(t.split()[k:k + 4]) for k in range(147)} for i, t, *_ in rows}
+    want = {(i, j) for i in sets for j in sets if i != j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    links, each = (x.collect() for x in jaccard_links(frame(spark, rows)))
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    between = {(first[i], first[j]) for i, j in want if first[i] != first[j]}
+    assert {(r["doc_a"], r["doc_b"]) for r in links} | {(r["doc_b"], r["doc_a"]) for r in links} == between
+    assert len(links) * 2 == len(between)
+    assert {r["doc_id"]: r["n_links"] for r in each} == {i: sum(x == i for x, _ in want) for i in sets}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in each} == components_by_hand(rows, 4, 85)
+    by = {r["doc_id"]: r["n_links"] for r in jaccard_links(odd)[1].collect()}
+    assert by[1] == by[2] == by[9] == 0 and by[5] == by[6] == 1 and by[7] == by[8] == 2
+    assert jaccard_links(none)[1].count() == 0
+
+
 def test_sets_are_distinct():
     h, offs = sets_of([b"a b c d a b c d", b"", b"A B"], 4)
     assert np.diff(offs).tolist() == [4, 0, 1]
