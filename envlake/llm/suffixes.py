@@ -1,20 +1,21 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by windows hung on content-selected positions.
 
-Of every text only the suffixes at content-selected positions are kept: those where the hash of
-eight words is the smallest of forty neighbouring ones, so two occurrences of a passage of 47 or
-more words keep the same suffix. Suffixes whose first eight words occur once in the corpus drop
-out (counted by grouped sums). The rest are sorted by their next words; each is compared with its
-neighbours in that order, and the matches are extended to the right over the suffix and to the
-left over the words before it. Matches of :data:`LEAST` or more words are repeated passages.
+A passage of fifty words holds forty neighbouring heads (hashes of eight words); the place of the
+smallest is its anchor, the same in every occurrence. Heads that only one text has drop out (counted by
+grouped minima), and with them all windows hung on their anchors. Of what is left, every window of
+:data:`LEAST` words is hashed and windows of equal hash are brought together: those that two texts
+have are the repeated passages, whatever stands beside them and however many texts have them.
 
-A suffix carries 52 words to the right and 48 to the left, a 24-bit hash each, so a passage is
-told from a shorter one whatever the place of its kept suffix, and longer ones follow as the
-union of their suffixes' spans. Sorted suffixes are read as a stream: a task holds a batch and a
-few rows, however often a passage occurs.
+Equal windows are read as a sorted stream, spread by their hashes: a task holds a batch and what
+one text repeats, and a passage's windows go to many tasks. The first occurrence in order of
+``doc_id`` (null last), a digest and the place stays; all later ones in other texts are repeats.
+Overlapping windows of a text form a span; spans that share a window, also by way of others, have
+one class.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; null, empty and short texts
-have no suffix and no row; a passage counts if a row with another id or text has it (repeats within a
-text alone don't). Rows without ``doc_id`` take part under a null id. Only ``doc_id`` and ``text`` are read.
+have no window and no row; a passage counts if a row with another id or text has it (repeats within a
+text alone don't). Rows without ``doc_id`` take part under a null id. Words and windows are told apart
+by 64-bit hashes. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envlake.llm.common import id_text, save, ship_package, slices
-from envlake.llm.vec import join_texts, shingles, word_hashes, word_spans
+from envlake.llm.graph import components
+from envlake.llm.vec import join_texts, mix64, shingles, word_hashes, word_spans
 
 LEAST = 50
 HEAD, WINDOW = 8, 40
-RIGHT, LEFT = 52, 48
-#: How many neighbours on each side a suffix is compared with.
-NEAR = 3
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: word hashes, first word of each text, and of each kept suffix its text, its
-    place (in words of that text) and the hash of its first eight words."""
+    """Of all texts: word hashes, first word of each text, and of each run of ``WINDOW`` heads inside a
+    text its first word, its anchor (both in words of all texts) and the hash of the anchor's head."""
     data, offs = join_texts(texts)
     starts, ends, first = word_spans(data, offs)
     words = word_hashes(data, starts, ends)
@@ -58,102 +58,127 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         width *= 2
     if width < WINDOW:
         at = lower(at[:len(at) - (WINDOW - width)], at[WINDOW - width:])
-    whole = doc[:len(at)] == doc[np.arange(len(at)) + WINDOW + HEAD - 2]
-    place = np.unique(at[whole])
-    return words, first, doc[place], place - first[doc[place]], head[place]
-
-
-def _context(words: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, n: int, step: int) -> list[bytes]:
-    """Three bytes for each of up to ``n`` words from ``place`` on (or backwards before it)."""
-    if step < 0:
-        at = place[:, None] - 1 - np.arange(n)[None, :]
-        length = np.minimum(place - low, n)
-    else:
-        at = place[:, None] + np.arange(n)[None, :]
-        length = np.minimum(high - place, n)
-    short = (words[np.clip(at, 0, len(words) - 1)] >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(len(place), n, 4)[:, :, 1:]
-    raw = np.ascontiguousarray(short).tobytes()
-    return [raw[3 * n * i:3 * n * i + 3 * k] for i, k in enumerate(length.tolist())]
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """How many leading words (of three bytes) are equal."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 3
-    low, high = 0, n // 3
-    while low + 1 < high:
-        mid = (low + high) // 2
-        if a[:3 * mid] == b[:3 * mid]:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each suffix with the last ones of other rows before it in sorted order; both sides
-    get the match."""
-    held: list = []
+    whole = np.flatnonzero(doc[:len(at)] == doc[np.arange(len(at)) + WINDOW + HEAD - 2])
+    return words, first, whole, at[whole], head[at[whole]]
+
+
+def _windows(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``LEAST`` words, from those of 32, 16 and 2."""
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = min(len(a), len(b))
+        with np.errstate(over="ignore"):
+            return mix64(a[:n] * _LEFT + b[:n] * _RIGHT + _LEFT)
+    runs, width = {1: words}, 1
+    while width < 32:
+        runs[2 * width] = pair(runs[width], runs[width][width:])
+        width *= 2
+    return pair(pair(runs[32], runs[16][32:]), runs[2][48:])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by window, id and row, those of windows that several rows have, each with the
+    first occurrence; a batch and what the first row has of a window are in memory."""
+    held = first = None  # first: window, row and place of the run that the held rows go on with
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = b if held is None else pa.concat_batches([held, b])
+        w, row = held.column("w").to_numpy(), held.column("row").to_numpy()
+        place = held.column("place").to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        end = np.append(begin[1:], len(w))
+        first_row, first_place = row[begin], place[begin]
+        if first is not None and first[0] == w[0]:
+            first_row[0], first_place[0] = first[1:]
+        several = row[end - 1] != first_row
+        if first is not None and first[0] == w[0]:
+            several[0] = True
+        run = np.repeat(np.arange(len(begin)), end - begin)
+        keep = several[run]
+        yield pa.record_batch([
+            held.column("doc_id").filter(pa.array(keep)), pa.array(row[keep]), pa.array(place[keep]),
+            pa.array(first_row[run][keep]), pa.array(first_place[run][keep])], ["doc_id", "row", "place", "first_row", "first_place"])
+        first = (w[-1], first_row[-1], first_place[-1]) if several[-1] else None
+        held = None if several[-1] else held.slice(int(begin[-1]))
+
+
+def _unions(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of what windows at sorted places cover; those that touch form one."""
+    if not len(place):
+        return place, place
+    new = np.flatnonzero(np.concatenate([[True], place[1:] > place[:-1] + LEAST]))
+    return place[new], place[np.append(new[1:], len(place)) - 1] + LEAST
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row, the spans of its windows, those that are repeats, and for each stretch of windows
+    that go on side by side with their first occurrences one link."""
+    span, link = [("start", pa.int64()), ("end", pa.int64())], [("start", pa.int64()), ("first_row", pa.int64()), ("first_place", pa.int64())]
     for b in batches:
-        out = []
-        for row in zip(*[b.column(c).to_pylist() for c in ("g", "suffix", "before", "doc_id", "row", "place")]):
-            if held and held[-1][0] != row[0]:
-                held = []
-            held = [other for other in held if other[4] != row[4]]
-            for other in held:
-                right, left = _common(row[1], other[1]), _common(row[2], other[2])
-                if right + left >= LEAST:
-                    for x, y in ((row, other), (other, row)):
-                        out.append((x[3], x[4], x[5] - left, x[5] + right, y[3]))
-            held = [*held[-(NEAR - 1):], row]
-        if out:
-            columns = list(zip(*out))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "row", "start", "end", "partner"])
+        spans, repeats, links = [], [], []
+        for own, found in zip(b.column("row").to_pylist(), b.column("found")):
+            place, first_row, first_place = (found.values.field(c).to_numpy().astype(np.int64) for c in ("place", "first_row", "first_place"))
+            order = np.argsort(place)
+            place, first_row, first_place = place[order], first_row[order], first_place[order]
+            start, end = _unions(place)
+            spans.append(list(zip(start.tolist(), end.tolist())))
+            repeats.append(list(zip(*(x.tolist() for x in _unions(place[first_row != own])))))
+            new = np.ones(len(place), dtype=bool)
+            new[1:] = (first_row[1:] != first_row[:-1]) | (first_place[1:] != first_place[:-1] + 1) | (place[1:] != place[:-1] + 1)
+            at = start[np.searchsorted(start, place[new], side="right") - 1]
+            links.append(list(zip(at.tolist(), first_row[new].tolist(), first_place[new].tolist())))
+
+        def structs(rows: list, names: list) -> pa.Array:
+            return pa.array([[dict(zip([n for n, _ in names], x)) for x in r] for r in rows], pa.list_(pa.struct(names)))
+        yield pa.record_batch([b.column("doc_id"), b.column("row"), structs(spans, span), structs(repeats, span), structs(links, link)],
+                              ["doc_id", "row", "spans", "repeats", "links"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each text with a repeated passage: ``(doc_id, spans, n_repeated_words, partners)``.
-    ``spans`` are maximal runs of words ``(start, end)``, end exclusive; ``partners`` the documents
-    found as sorted neighbours, in order."""
+    """One row for each text with a repeated passage: ``(doc_id, spans, n_repeated_words)``.
+    ``spans`` are maximal runs of words ``(start, end)``, end exclusive."""
+    return _passages(docs).select("doc_id", "spans", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_repeated_words"))
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, spans, repeats, links)`` of each text with a repeated passage."""
     ship_package(docs.sparkSession)
     # rows are told apart by a digest, so that rows sharing a doc_id or without one keep their own spans
     rows = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            _, _, doc, place, head = anchors([t.encode() for t in b.column("text").to_pylist()])
-            yield pa.record_batch([pa.array(head.view(np.int64), pa.int64()),
-                                   b.column("row").take(pa.array(doc)), pa.array(place, pa.int32())], ["g", "row", "place"])
+            _, first, _, anchor, head = anchors([t.encode() for t in b.column("text").to_pylist()])
+            at, which = np.unique(anchor, return_index=True)
+            doc = np.searchsorted(first, at, side="right") - 1
+            yield pa.record_batch([pa.array(head[which].view(np.int64), pa.int64()), b.column("row").take(pa.array(doc)),
+                                   pa.array(at - first[doc], pa.int32())], ["g", "row", "place"])
     kept = rows.mapInArrow(select, "g long, row long, place int")
-    often = save(kept.groupBy("g").agg(F.count("*").alias("c"), F.min("row").alias("x"), F.max("row").alias("y"))
-                 .where("c > 1").select("g"), "suffix-heads")
+    often = save(kept.groupBy("g").agg(F.min("row").alias("x"), F.max("row").alias("y")).where("x < y").select("g"), "passage-heads")
     # places of a text: bounded by its length
     places = kept.join(often, "g", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words, first, doc, place, head = anchors([t.encode() for t in b.column("text").to_pylist()])
-            asked = b.column("places").to_pylist()
-            want = np.concatenate([np.isin(place[doc == i], p) for i, p in enumerate(asked)]) if len(asked) else np.zeros(0, bool)
-            doc, place, head = doc[want], place[want], head[want]
-            if not len(doc):
+            words, first, start, anchor, _ = anchors([t.encode() for t in b.column("text").to_pylist()])
+            if not len(start):
+                continue
+            asked = np.zeros(len(words), dtype=bool)
+            for low, p in zip(first.tolist(), b.column("places").to_pylist()):
+                asked[low + np.array(p, dtype=np.int64)] = True
+            doc = np.searchsorted(first, start, side="right") - 1
+            use = asked[anchor] & (start + LEAST <= first[doc + 1])
+            start, doc = start[use], doc[use]
+            if not len(start):
                 continue
-            at = place + first[doc]
             yield pa.record_batch([
-                pa.array(head.view(np.int64), pa.int64()), pa.array(_context(words, first[doc], first[doc + 1], at, RIGHT, 1), pa.binary()),
-                pa.array(_context(words, first[doc], first[doc + 1], at, LEFT, -1), pa.binary()),
-                b.column("doc_id").take(pa.array(doc)), b.column("row").take(pa.array(doc)), pa.array(place, pa.int32())],
-                ["g", "suffix", "before", "doc_id", "row", "place"])
-    suffixes = rows.join(places, "row").mapInArrow(expand, "g long, suffix binary, before binary, doc_id long, row long, place int")
-    matches = (suffixes.repartition("g").sortWithinPartitions("g", "suffix", "before", "doc_id", "place")
-               .mapInArrow(_neighbours, "doc_id long, row long, start long, end long, partner long"))
-    spans = matches.groupBy("row", "start", "end").agg(F.min("doc_id").alias("doc_id"), F.collect_set("partner").alias("p"))
-    each = spans.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("partners"))
-    merged = F.expr("""aggregate(s, CAST(array() AS array<struct<start:bigint,end:bigint>>), (a, x) ->
-        CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
-             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
-             ELSE concat(a, array(x)) END)""")
-    return (each.withColumn("spans", merged)
-            .select("doc_id", "spans", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_repeated_words"), "partners"))
+                pa.array(_windows(words)[start].view(np.int64), pa.int64()), b.column("doc_id").take(pa.array(doc)),
+                b.column("row").take(pa.array(doc)), pa.array(start - first[doc], pa.int32())], ["w", "doc_id", "row", "place"])
+    windows = rows.join(places, "row").mapInArrow(expand, "w long, doc_id long, row long, place int")
+    found = (windows.repartition("w").sortWithinPartitions("w", F.asc_nulls_last("doc_id"), "row", "place")
+             .mapInArrow(_shared, "doc_id long, row long, place int, first_row long, first_place int"))
+    # windows of a text: bounded by its length
+    each = found.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("place", "first_row", "first_place")).alias("found"))
+    pair = "array<struct<start:bigint,end:bigint>>"
+    return each.mapInArrow(_spans, f"doc_id long, row long, spans {pair}, repeats {pair}, "
+                                   "links array<struct<start:bigint,first_row:bigint,first_place:bigint>>")

@@ -2,6 +2,7 @@ import re
 
 from envlake.llm.langid import identify, learn_text, visible
 from envlake.llm.suffixes import repeated_passages
+from tests.llm.conftest import frame
 
 
 def test_passages_equal_brute_force(documents):
@@ -25,6 +26,15 @@ def test_passages_of_odd_rows(odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passage_left_of_a_common_line(spark):
+    """Two documents share 25 words and the common line after them, which thousands go on from otherwise."""
+    line, own = [f"line{k}" for k in range(30)], [f"own{k}" for k in range(25)]
+    rows = [(i, " ".join([*[f"a{i}w{k}" for k in range(40)], *(own if i in (100, 300) else [f"b{i}w{k}" for k in range(25)]),
+                          *line, *[f"z{i * 7919 % 401}w{k}" for k in range(60)]]), "en", "s") for i in range(400)]
+    got = {r["doc_id"]: [tuple(x)[:2] for x in r["spans"]] for r in repeated_passages(frame(spark, rows)).collect()}
+    assert got == {100: [(40, 95)], 300: [(40, 95)]}
+
+
 def test_languages_by_held_out_declarations(spark, documents, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     langs, table = learn_text(documents)
