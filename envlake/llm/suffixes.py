@@ -135,9 +135,23 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each text with a repeated passage: ``(doc_id, spans, n_repeated_words)``.
-    ``spans`` are maximal runs of words ``(start, end)``, end exclusive."""
-    return _passages(docs).select("doc_id", "spans", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_repeated_words"))
+    """One row for each text with a repeated passage: ``(doc_id, spans, n_repeated_words, repeats)``.
+    ``spans`` are maximal runs of words ``(start, end, class_id)``, end exclusive; ``class_id`` is the same for all
+    spans that share windows, also by way of others. ``repeats`` are the runs ``(start, end)`` to remove if the
+    first occurrence of each window stays (none where all of a text's are first ones)."""
+    found = save(_passages(docs), "passages")
+    # a window's first occurrence is a node that all spans with it link to; the span it lies in does too
+    spans = found.select("row", F.explode("spans").alias("s")).select("row", "s.start", "s.end", F.xxhash64("row", "s.start").alias("node"))
+    links = save(found.select("row", F.explode("links").alias("l")).select("row", "l.*"), "passage-links")
+    target = F.xxhash64("first_row", "first_place", F.lit(1)).alias("b")
+    own = (links.select("first_row", "first_place").distinct().join(spans.withColumnRenamed("row", "first_row"), "first_row")
+           .where("start <= first_place AND first_place < end").select(F.col("node").alias("a"), target))
+    labels = components(links.select(F.xxhash64("row", "start").alias("a"), target).unionAll(own))
+    classes = (spans.join(labels, "node").groupBy("row")
+               .agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("label").alias("class_id")))).alias("classes")))
+    return (found.join(classes, "row")
+            .select("doc_id", F.col("classes").alias("spans"),
+                    F.expr("aggregate(classes, 0L, (a, x) -> a + x.end - x.start)").alias("n_repeated_words"), "repeats"))
 
 
 def _passages(docs: DataFrame) -> DataFrame:

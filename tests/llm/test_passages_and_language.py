@@ -35,6 +35,20 @@ def test_passage_left_of_a_common_line(spark):
     assert got == {100: [(40, 95)], 300: [(40, 95)]}
 
 
+def test_classes_reach_all_and_the_first_stays(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(70)]
+    rows = [(i, " ".join([f"x{i}w{k}" for k in range(50)] + a + [f"y{i}w{k}" for k in range(50)] + (b if i % 3 == 0 else [])), "en", "s")
+            for i in range(40)]
+    rows.append((99, " ".join(b[:55]), "en", "s"))
+    got = {r["doc_id"]: r for r in repeated_passages(frame(spark, rows)).collect()}
+    assert len(got) == 41
+    of = {i: {s["start"]: s["class_id"] for s in r["spans"]} for i, r in got.items()}
+    assert len({x[50] for i, x in of.items() if i < 99}) == 1
+    assert {x[160] for i, x in of.items() if i % 3 == 0 and i < 99} == {of[99][0]} != {of[0][50]}
+    assert got[0]["repeats"] == [] and [tuple(x) for x in got[1]["repeats"]] == [(50, 110)]
+    assert [tuple(x) for x in got[39]["repeats"]] == [(50, 110), (160, 230)] and [tuple(x) for x in got[99]["repeats"]] == [(0, 55)]
+
+
 def test_languages_by_held_out_declarations(spark, documents, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     langs, table = learn_text(documents)
