@@ -1,8 +1,9 @@
 """Language of web pages by fusing evidence in Bayes' way.
 
 Text: log likelihoods of hashed byte trigrams, learnt from all labelled ``documents`` by grouped
-sums. Declared markup language (``lang`` of ``html``) and address suffix: likelihoods of what a
-page declares or ends in, given its language, from smoothed grouped counts of text posteriors.
+sums. Declared markup language (``lang`` of ``html``, searched in the whole page outside comments)
+and address suffix: likelihoods of what a page declares or ends in, given its language, from
+smoothed grouped counts of text posteriors.
 Host: a prior smoothed towards its domain's, that towards its suffix's, that towards all pages',
 again by grouped sums of text posteriors, less the page's own. The posterior is the normalised
 product; the text's weight is bounded by :data:`NATS` nats a trigram and by its length, since
@@ -35,7 +36,8 @@ LENT = 4.0
 
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_START = re.compile(r"<!--|<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 
 
 def visible(page: str) -> str:
@@ -43,6 +45,23 @@ def visible(page: str) -> str:
     return entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page)))
 
 
+def declared(page: str) -> str | None:
+    """The language that the first ``html`` tag with one declares, wherever it stands; comments don't
+    count. Each part of the page is read once."""
+    at, closed = 0, True
+    while m := _START.search(page, at):
+        if m[0] == "<!--":
+            end = page.find("-->", m.start() + 2) if closed else -1
+            closed = end >= 0
+            at = end + 3 if closed else m.end()
+        else:
+            end = page.find(">", m.end())
+            at = end if end >= 0 else len(page)
+            if found := _LANG.search(page, m.end(), at):
+                return found[1].lower()
+    return None
+
+
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each byte trigram (letters folded, runs of other ASCII as one blank), and its text."""
     joined = b"".join(b" " + t + b" " for t in texts)
@@ -116,10 +135,9 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
             like = like / np.maximum(n, 1)[:, None] * np.minimum(n * NATS, 200)[:, None]
             flat = (like - like.max(axis=1, keepdims=True)).reshape(-1)
             hosts = [_host(u) for u in b.column("url").to_pylist()]
-            found = [_LANG.search(t[:4096]) for t in raw]
             yield pa.record_batch([
                 b.column("page_id"), pa.array(hosts, pa.string()), pa.array([".".join(h.split(".")[-2:]) for h in hosts], pa.string()),
-                pa.array([h.rpartition(".")[2] for h in hosts], pa.string()), pa.array([m and m[1].lower() for m in found], pa.string()),
+                pa.array([h.rpartition(".")[2] for h in hosts], pa.string()), pa.array([declared(t) for t in raw], pa.string()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * d, pa.int32()), pa.array(flat, pa.float64()))],
                 ["page_id", "host", "domain", "suffix", "declared", "text"])
     seen = chosen.mapInArrow(read, f"page_id {kind}, host string, domain string, suffix string, declared string, text array<double>")

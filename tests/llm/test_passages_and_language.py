@@ -1,6 +1,6 @@
 import re
 
-from envlake.llm.langid import identify, learn_text, visible
+from envlake.llm.langid import declared, identify, learn_text, visible
 from envlake.llm.suffixes import repeated_passages
 from tests.llm.conftest import frame
 
@@ -63,6 +63,16 @@ def test_languages_by_held_out_declarations(spark, documents, sf):
     assert sum(right) >= 0.9 * len(right)
 
 
+def test_declarations_far_down_a_page(spark, documents):
+    langs, table = learn_text(documents)
+    pages = [(1, "", "<!-- " + "licence " * 1000 + '--><html lang="de"><p>und'), (2, "", "\n" * 5000 + "<html class=x lang=es>"),
+             (3, "", "<!-- <html lang=fr> --><html lang=en>"), (4, "", "<!-- <html lang=fr> -->"), (5, "", "<p>" * 3000)]
+    got = {r["page_id"]: r["declared"] for r in identify(spark.createDataFrame(pages, "page_id long, url string, html string"), langs, table).collect()}
+    assert got == {1: "de", 2: "es", 3: "en", 4: None, 5: None}
+    # in time linear in the page
+    assert declared("<html " * 100_000) is None and declared("<!--" * 100_000) is None
+
+
 def test_odd_pages(spark, documents, none):
     langs, table = learn_text(documents)
     kind = "page_id long, url string, html string, lang string"
