@@ -9,6 +9,7 @@ table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from envlake.llm.common import read_table, save
 
@@ -23,12 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest ``doc_id`` of each component of five-word shingle sets with a
-    similarity of 0.8 or more. Of repeated rows one stays; rows without ``doc_id`` all stay."""
+    similarity of 0.8 or more; one without ``doc_id`` only where no linked row has one. Rows are told
+    apart by a digest of ``doc_id`` and text, so of repeated rows one stays, and of rows that share an id, or
+    have none, each is judged by its own text."""
     from envlake.llm.ngram_join import jaccard_components
-    found = jaccard_components(docs, words=5, part=80)
-    first = save(found.where("doc_id = component_id").select("doc_id").distinct(), "near-first")
-    kept = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    i, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(i, text).alias("_key"), i.alias("_id"), text.alias("_text"))
+    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")), words=5, part=80)
+    best = F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_key"))
+    first = save(found.join(keyed.select("_key", "_id").distinct(), F.col("doc_id") == F.col("_key"))
+                 .groupBy("component_id").agg(best.alias("x")).select(F.col("x._key").alias("_key")), "near-first")
+    return keyed.select("_row", "_key").join(first, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
