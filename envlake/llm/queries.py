@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from envlake.llm import ngram_join, secrets
+from envlake.llm import centroids, hard_negatives, ngram_join, secrets
 from envlake.llm.common import read_table, save
 
 
@@ -76,6 +76,22 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by windows below its positives' scores."""
+    return hard_negatives.mine_hard_negatives(hard_negatives.embeddings_with_anchors(read_table(spark, sf_dir, "embeddings")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after three rounds of exact k-means."""
+    return centroids.clustered(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages, with words learnt from all documents."""
+    from envlake.llm.url_filter import judge
+    return judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_passages": op2_passages,
@@ -88,9 +104,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_rules": op10_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroids": op12_centroids,
+    "op13_urls": op13_urls,
 }
 
 SQL: dict[str, str] = {
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op9_secrets": secrets.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
 }
