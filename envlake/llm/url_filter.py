@@ -8,7 +8,7 @@ multinomial naive Bayes classifier over host words and path tokens, which decide
 Shape: urls are reduced to distinct hosts and distinct lists of path tokens before anything is joined,
 so that a host with a third of all urls is one row. The words that may occur in a host are found by
 joining its pieces (at most ``LONGEST`` letters) with the word counts, so no vocabulary is broadcast or held.
-Token weights are integers (millionths of a log ratio), so their sums don't depend on order. Joins are left to
+Token weights are integers (billionths of a log ratio), so their sums don't depend on order. Joins are left to
 Spark, which splits skewed sides; only counts of classes reach the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and no tokens, and gets
@@ -35,7 +35,7 @@ LONGEST = 24
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 _RUNS = r"\p{L}+|\p{N}+"
-_MICRO = 1_000_000
+_UNIT = 1_000_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -128,7 +128,7 @@ def _each(counted: DataFrame, tokens: str, mark: str) -> DataFrame:
 
 
 def learn_weights(urls: DataFrame, words: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, int]:
-    """``(token, w)`` of all tokens of urls with a verdict, and the weight of the priors: millionths of
+    """``(token, w)`` of all tokens of urls with a verdict, and the weight of the priors: billionths of
     ``log P(token | block) - log P(token | allow)``, with ``alpha`` added to every count."""
     known = urls.where("verdict IS NOT NULL")
     hosts = known.groupBy("host", "verdict").agg(F.count("*").alias("n")).join(words, "host")
@@ -139,9 +139,9 @@ def learn_weights(urls: DataFrame, words: DataFrame, alpha: float = 1.0) -> tupl
     b, a, size = counts.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
     rows = {r["verdict"]: r["n"] for r in known.groupBy("verdict").agg(F.count("*").alias("n")).collect()}  # two rows
     if not rows.get("block") or not rows.get("allow"):
-        return counts.select("token", F.lit(0).cast("long").alias("w")).where("false"), _MICRO if rows.get("block") else -_MICRO
+        return counts.select("token", F.lit(0).cast("long").alias("w")).where("false"), _UNIT if rows.get("block") else -_UNIT
     ratio = (F.log((F.col("b") + alpha) / ((b or 0) + alpha * size)) - F.log((F.col("a") + alpha) / ((a or 0) + alpha * size)))
-    return save(counts.select("token", F.round(ratio * _MICRO).cast("long").alias("w")), "url-weights"), round(math.log(rows["block"] / rows["allow"]) * _MICRO)
+    return save(counts.select("token", F.round(ratio * _UNIT).cast("long").alias("w")), "url-weights"), round(math.log(rows["block"] / rows["allow"]) * _UNIT)
 
 
 def _sums(lists: DataFrame, key: str, tokens: str, mark: str, weights: DataFrame, name: str) -> DataFrame:
@@ -167,6 +167,6 @@ def judge(pages: DataFrame, docs: DataFrame, rules=RULES, alpha: float = 1.0) ->
     total = F.lit(prior) + F.coalesce("by_host", F.lit(0)) + F.coalesce("by_path", F.lit(0))
     own = words.withColumnRenamed("words", "host_words")
     decided = (urls.join(own, "host", "left").join(hosts, "host", "left").join(paths, "shape", "left")
-               .withColumn("score", F.when(F.col("verdict").isNull(), total / _MICRO)))
+               .withColumn("score", F.when(F.col("verdict").isNull(), total / _UNIT)))
     return decided.select("page_id", "host", "path", "rule", F.coalesce(
         "verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "score")
