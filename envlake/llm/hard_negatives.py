@@ -91,7 +91,8 @@ def _directions(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def ordered_blocks(rows: DataFrame, dim: int) -> DataFrame:
     """``(row, block, shelf, vec_id, label, anchor, v)`` in Hilbert order, written as Parquet. ``row``
-    numbers the rows; copies of one vector are spread by their ids."""
+    numbers the rows, whatever the partitions, so that every block but the last is full; copies of one vector are
+    spread by their ids."""
     mean, axes, spread = _directions(rows, dim)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +102,21 @@ def ordered_blocks(rows: DataFrame, dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hilbert(cells, BITS), pa.int64())], [*b.schema.names, "h"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40  # a multiple of SHELF and BLOCK
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            row = np.arange(at, at + b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(np.arange(at, at + b.num_rows), pa.int64()),
+                                              *b.columns], ["part", "place", *b.schema.names])
             at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (row, row // BLOCK, row // SHELF)),
-                                              *(b.column(c) for c in ("vec_id", "label", "anchor", "v"))],
-                                             ["row", "block", "shelf", "vec_id", "label", "anchor", "v"])
     kinds = "vec_id long, label long, anchor boolean, v array<int>"
     along = rows.mapInArrow(place, f"{kinds}, h long").withColumn("salt", F.xxhash64("vec_id"))
     dealt = along.repartitionByRange("h", "salt").sortWithinPartitions("h", "salt", "vec_id", "label", "v")
-    return save(dealt.select("vec_id", "label", "anchor", "v").mapInArrow(number, f"row long, block long, shelf long, {kinds}"),
-                "hard-negative-blocks")
+    parts = save(dealt.select("vec_id", "label", "anchor", "v").mapInArrow(number, f"part int, place long, {kinds}"), "hard-negative-order")
+    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number for each partition
+    before = list(zip(sorted(sizes), np.cumsum([0, *(sizes[p] for p in sorted(sizes))]).tolist()))
+    row = F.col("place") + F.col("before")
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
+    return save(parts.join(starts, "part").select(row.alias("row"), F.floor(row / BLOCK).alias("block"), F.floor(row / SHELF).alias("shelf"),
+                                                  "vec_id", "label", "anchor", "v"), "hard-negative-blocks")
 
 
 def zone_maps(blocks: DataFrame, dim: int) -> DataFrame:

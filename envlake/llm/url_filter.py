@@ -2,7 +2,7 @@
 
 Hosts are often words written together. Word counts over all texts make a unigram model; each run of
 letters of a host is split into the words of highest total log probability (Viterbi; an unknown piece
-of n letters has probability 10 / (N * 10**n)). The urls that a rule decides are the learning rows of a
+of n letters has probability 10 / (N * 10**n), with N at least ``LEAST_WORDS``). The urls that a rule decides are the learning rows of a
 multinomial naive Bayes classifier over host words and path tokens, which decides the others.
 
 Shape: urls are reduced to distinct hosts and distinct lists of path tokens before anything is joined,
@@ -31,6 +31,8 @@ from envlake.llm.common import save, ship_package
 
 #: Letters of the longest piece that a run is split into.
 LONGEST = 24
+#: Words that the model counts as having seen at least, so that an unknown letter isn't likelier than a word.
+LEAST_WORDS = 1000
 #: (verdict, host, path): a rule fits its host and all its subdomains where the path starts with its own.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -75,7 +77,7 @@ def split_run(run: str, counts: Mapping[str, int], total: int, longest: int = LO
         top, at = -math.inf, end - 1
         for start in range(end - 1, max(0, end - longest) - 1, -1):
             n = counts.get(run[start:end])
-            p = best[start] + (math.log(n / total) if n else math.log(10 / max(total, 1)) - (end - start) * math.log(10))
+            p = best[start] + (math.log(n / total) if n else math.log(10 / max(total, LEAST_WORDS)) - (end - start) * math.log(10))
             if p > top:
                 top, at = p, start
         best.append(top)

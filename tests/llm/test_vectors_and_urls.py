@@ -155,7 +155,7 @@ def brute_urls(pages, texts):
 
     def split(run):
         def p(w):
-            return math.log(words[w] / total) if w in words else math.log(10 / max(total, 1)) - len(w) * math.log(10)
+            return math.log(words[w] / total) if w in words else math.log(10 / max(total, 1000)) - len(w) * math.log(10)
         best = {0: (0.0, [])}
         for e in range(1, len(run) + 1):
             best[e] = max(((best[s][0] + p(run[s:e]), best[s][1] + [run[s:e]]) for s in range(max(0, e - 24), e)), key=lambda x: x[0])
