@@ -223,6 +223,27 @@ def _readings_sql() -> dict[str, str]:
                 THEN count(*) / ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6::DOUBLE)
                 ELSE 0::DOUBLE END AS readings_per_s
             FROM corrected GROUP BY station, boot_id, batch_end"""),
+        "batch_retry_stats": with_ctes(*READINGS_CTES, """batches AS (
+              SELECT DISTINCT station, boot_id, batch_end, (epoch_us(batch_end) // 900000000 + boot_id) % 5 < 3 AS lost FROM corrected),
+            written AS (
+              SELECT station, boot_id, batch_end, min(CASE WHEN NOT lost THEN batch_end END) OVER (
+                PARTITION BY station, boot_id ORDER BY batch_end ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS flush_end
+              FROM batches)""", body="""
+            SELECT station, boot_id, flush_end, count(*) AS n_readings, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
+              CASE WHEN epoch_us(max(timestamp)) - epoch_us(min(timestamp)) > 0
+                THEN count(*) / ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6::DOUBLE)
+                ELSE 0::DOUBLE END AS readings_per_s
+            FROM corrected JOIN written USING (station, boot_id, batch_end) GROUP BY station, boot_id, flush_end"""),
+        "boot_sessions_uptime": with_ctes(f"""records AS (
+              SELECT {KEYS}, (event_id % 400) * 5{D} AS uptime FROM events),
+            firsts AS (
+              SELECT DISTINCT station, make_timestamp(epoch_us(timestamp) - CAST(round(uptime * 1000000) AS BIGINT)) AS boot_start FROM (
+                SELECT *, lag(uptime) OVER (PARTITION BY station ORDER BY timestamp, event_id) AS before FROM records)
+              WHERE before IS NULL OR uptime < before),
+            boots AS (SELECT station, boot_start, row_number() OVER (PARTITION BY station ORDER BY boot_start) AS boot_no FROM firsts)""", body="""
+            SELECT r.station, r.event_id, r.timestamp, max(b.boot_start) AS boot_start, max(b.boot_no) AS boot_no
+            FROM records r LEFT JOIN boots b ON r.station = b.station AND b.boot_start <= r.timestamp
+            GROUP BY r.station, r.event_id, r.timestamp"""),
         "empty_batches": with_ctes(*READINGS_CTES, f"""have AS (
               SELECT DISTINCT station, {boundary('timestamp', 15)} AS batch_end FROM corrected),
             span AS (SELECT station, min(batch_end) AS lo, max(batch_end) AS hi FROM have GROUP BY station),
@@ -532,5 +553,12 @@ def _stream_sql() -> dict[str, str]:
             SELECT station, date_trunc('hour', timestamp) AS hour, {xavg('temperature')} AS avg_temp,
               {xavg('humidity')} AS avg_humidity, {xavg('pm25')} AS avg_pm25, count(*) AS n_readings
             FROM corrected GROUP BY station, hour"""),
+        "stream_batch_counts": readings_sql(f"""
+            SELECT station, {boundary('timestamp', 15)} AS batch_end, count(*) AS n_readings, min(timestamp) AS first_ts,
+              max(timestamp) AS last_ts,
+              CASE WHEN epoch_us(max(timestamp)) - epoch_us(min(timestamp)) > 0
+                THEN count(*) / ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6::DOUBLE)
+                ELSE 0::DOUBLE END AS readings_per_s
+            FROM corrected GROUP BY station, {boundary('timestamp', 15)}"""),
         "stream_dedupe": readings_sql(f"SELECT DISTINCT station, boot_id, event_id, timestamp, {floats} FROM corrected"),
     }

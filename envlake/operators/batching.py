@@ -89,3 +89,28 @@ def empty_batches(df: DataFrame, minutes: int, keys: Sequence[str] = ("station",
     met = have.select(F.struct(*K, "batch_end").alias("_key"))  # a struct matches NULL keys too
     return (grid.withColumn("_key", F.struct(*K, "batch_end")).join(met, on="_key", how="left_anti")
             .select(*K, "batch_end"))
+
+
+def flushes_after_failure(df: DataFrame, failed: DataFrame, keys: Sequence[str] = ("station", "boot_id"), batch: str = "batch_end",
+                          out: str = "flush_end", chunk_seconds: int = 7 * 86_400) -> DataFrame:
+    """The batch a reading was written with when flushes fail: the collector keeps its buffer, so the rows of a
+    failed batch go with the next one of the same group that succeeds. ``failed`` names the failed
+    batches by ``(*keys, batch)``; ``out`` is NULL where none succeeded later (the rows are still buffered).
+
+    Batches are looked at, not readings. The next success comes backwards over chunk edges: within a chunk by
+    a window, across chunks from a table of each chunk's first success. Rows whose batch is NULL stay, with NULL.
+    """
+    K = F.struct(*keys)
+    n = F.lit(chunk_seconds * 1_000_000)
+    us = F.unix_micros(F.col(batch).cast("timestamp"))
+    lost = failed.select(F.struct(*keys, batch).alias("_key")).distinct().withColumn("_lost", F.lit(True))
+    batches = (df.where(F.col(batch).isNotNull()).select(*keys, batch).distinct().withColumn("_key", F.struct(*keys, batch))
+               .join(lost, "_key", "left").select("_key", K.alias("_g"), F.col(batch).alias("_b"), (us - F.pmod(us, n)).alias("_chunk"),
+                                                  F.when(F.col("_lost").isNull(), F.col(batch)).alias("_ok")))
+    batches = materialise(batches, "flushes")  # used by the window and by the chunk table
+    on = Window.partitionBy("_g", "_chunk").orderBy("_b").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("_g").orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    chunks = batches.groupBy("_g", "_chunk").agg(F.min("_ok").alias("_first")).withColumn("_next", F.min("_first").over(later))
+    told = (batches.withColumn("_here", F.min("_ok").over(on)).join(chunks.select("_g", "_chunk", "_next"), ["_g", "_chunk"])
+            .select("_key", F.coalesce("_here", "_next").alias(out)))
+    return df.withColumn("_key", F.struct(*keys, batch)).join(told, "_key", "left").drop("_key")

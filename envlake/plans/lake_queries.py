@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envlake.plans.lake_build import health_lake, readings_lake
 from envlake.schema import HEALTH_COLUMNS, SENSOR_FLOAT_COLUMNS
 from envlake.session import ship_package, work_dir
-from envlake.sources.files import _fs, _join
+from envlake.sources.files import _fs, _join, _own_name
 from envlake.sources.health_lake import scan_health
 from envlake.sources.lake import PARTITION_COLUMNS, scan_readings
 
@@ -61,7 +59,7 @@ def _drifting(root: str):
             out[name] = c
         path = f"station={station}/year={y:04d}/month={m:02d}/day={d:02d}/health_0000.parquet"
         fs.create_dir(_join(base, path).rpartition("/")[0], recursive=True)
-        own = f"{_join(base, path)}.{os.getpid()}.tmp"
+        own = _own_name(_join(base, path))
         pq.write_table(pa.table(out), own, filesystem=fs)
         fs.move(own, _join(base, path))
         return pa.table({"path": [path]})

@@ -16,7 +16,8 @@ from envlake.functions.gas import gas_resistance
 from envlake.functions.station_id import canonical_station_id, split_station_ids, valid_station_id
 from envlake.operators.assemble import assemble_reading
 from envlake.operators.batching import (batch_assign_event_time, batch_partition_values,
-                                        batch_stats, empty_batches)
+                                        batch_stats, empty_batches, flushes_after_failure)
+from envlake.operators.asof import sessions_from_uptime
 from envlake.operators.sequence import gap_sessions
 from envlake.plans.collect import (BATCH_MINUTES, READING_COLUMNS, WARMUP_READINGS,
                                    corrected_readings, sequenced_readings)
@@ -127,6 +128,24 @@ def q_batch_stats(spark: SparkSession, sf: str) -> DataFrame:
     return batch_stats(c)
 
 
+def failed_flushes(corrected: DataFrame) -> DataFrame:
+    """Adapter: of the batches there are, those whose flush failed, in runs of up to three."""
+    n = F.floor(F.unix_micros("batch_end") / 900_000_000) + F.col("boot_id")
+    return corrected.select("station", "boot_id", "batch_end").distinct().where(n % 5 < 3)
+
+
+def q_batch_retry_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the batches as written, where a failed flush goes with the next that succeeds."""
+    c = corrected_readings(fx.raw_readings(spark, sf)).select("station", "boot_id", "timestamp", "batch_end")
+    return batch_stats(flushes_after_failure(c, failed_flushes(c)), keys=("station", "boot_id", "flush_end"))
+
+
+def q_boot_sessions_uptime(spark: SparkSession, sf: str) -> DataFrame:
+    """Boots recovered from the uptime in the health records, without boot ids or gaps."""
+    r = fx.raw_readings(spark, sf).select("station", "event_id", "timestamp")
+    return sessions_from_uptime(r, fx.raw_health(spark, sf).drop("boot_id"))
+
+
 def q_empty_batches(spark: SparkSession, sf: str) -> DataFrame:
     c = corrected_readings(fx.raw_readings(spark, sf))
     return empty_batches(c.select("station", "timestamp"), BATCH_MINUTES)
@@ -163,6 +182,8 @@ QUERIES = {
     "batch_assign_as_collected": q_batch_assign_as_collected,
     "batch_partition_values": q_batch_partition_values,
     "batch_stats": q_batch_stats,
+    "batch_retry_stats": q_batch_retry_stats,
+    "boot_sessions_uptime": q_boot_sessions_uptime,
     "empty_batches": q_empty_batches,
     "dedupe_readings": q_dedupe_readings,
 }

@@ -14,7 +14,7 @@ from envlake.session import work_dir
 from envlake.sources import fixtures as fx
 from envlake.sources.lake import scan_readings
 from envlake.plans.lake_queries import rounded
-from envlake.streaming.aggregates import hourly_to_table, latest_hourly, stream_dedupe, stream_hourly_avg
+from envlake.streaming.aggregates import dedupe_to_table, read_deduped, read_windows, windows_to_table
 from envlake.streaming.ingest import (RAW_READING_SCHEMA, final_flush, flush_batches_to_lake, flush_to_lake,
                                      land, stream_readings)
 from envlake.streaming.stateful import OUTPUT_SCHEMA, stream_compensate
@@ -35,6 +35,20 @@ def _raw_landing(spark: SparkSession, sf: str) -> str:
     return landing
 
 
+#: Files that the streams below land, and how many of them a trigger takes: several triggers each.
+FILES, FILES_A_TRIGGER = 6, 2
+
+
+def _in_time(rows: DataFrame, spark: SparkSession, name: str, files: int = FILES) -> str:
+    """A landing folder whose files follow each other in time, as a fleet's do."""
+    landing, us = work_dir(spark, name), F.unix_micros("timestamp")
+    cuts = rows.agg(F.percentile_approx(us, [k / files for k in range(1, files)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):  # one after the other, so that the source lists them in this order
+        part = rows if low is None else rows.where(us > low)
+        land(part if high is None else part.where(us <= high), landing, 1)
+    return landing
+
+
 def q_stream_readings(spark: SparkSession, sf: str) -> DataFrame:
     out = _sink(stream_readings(spark, _raw_landing(spark, sf), max_files_per_trigger=2), spark, "raw")
     return spark.read.schema(RAW_READING_SCHEMA).parquet(out)
@@ -43,7 +57,7 @@ def q_stream_readings(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_compensate(spark: SparkSession, sf: str) -> DataFrame:
     s = stream_compensate(stream_readings(spark, _raw_landing(spark, sf)))
     out = _sink(s, spark, "compensate")
-    return spark.read.schema(OUTPUT_SCHEMA).parquet(out).drop("health_sample")
+    return spark.read.schema(OUTPUT_SCHEMA).parquet(out).drop("health_sample", "batch_first")
 
 
 def q_stream_flush(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,17 +69,19 @@ def q_stream_flush(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stream_flush_batch_layout(spark: SparkSession, sf: str) -> DataFrame:
-    """Stream flush in the reference's batch layout (first reading's day per batch)."""
+    """Stream flush in the reference's batch layout (first reading's day per batch), over several triggers
+    that cut collector batches."""
     base = work_dir(spark, "stream-flush-batch")
-    s = stream_compensate(stream_readings(spark, _raw_landing(spark, sf)))
+    raw = fx.raw_readings(spark, sf).select(*RAW_READING_SCHEMA.names)
+    s = stream_compensate(stream_readings(spark, _in_time(raw, spark, "landing-parts"), max_files_per_trigger=1))
     flush_batches_to_lake(s, f"{base}/lake", f"{base}/ckpt").awaitTermination()
     return scan_readings(spark, f"{base}/lake").select("station", "year", "month", "day", "timestamp",
                                                        *SENSOR_FLOAT_COLUMNS)
 
 
 def q_stream_final_flush(spark: SparkSession, sf: str) -> DataFrame:
-    """A running 15-minute flush is interrupted after some readings have landed; the
-    final flush drains the rest (readings that landed later) before stopping."""
+    """A running 15-minute flush is interrupted after some readings have landed; the final flush drains
+    the rest (readings that landed later) and replicates the lake, whose copy is read."""
     base = work_dir(spark, "stream-final")
     landing = f"{base}/landing"
     raw = fx.raw_readings(spark, sf).select(*RAW_READING_SCHEMA.names)
@@ -76,28 +92,40 @@ def q_stream_final_flush(spark: SparkSession, sf: str) -> DataFrame:
     q = flush_to_lake(stream, f"{base}/lake", f"{base}/ckpt", processing_time="2 seconds")
     q.processAllAvailable()
     land(raw.where(~half), landing)
-    final_flush(q, stream, f"{base}/lake", f"{base}/ckpt")
-    return scan_readings(spark, f"{base}/lake").select("station", "year", "month", "day", "timestamp",
-                                                       *SENSOR_FLOAT_COLUMNS)
+    final_flush(q, stream, f"{base}/lake", f"{base}/ckpt", sync_to=f"{base}/remote")
+    return scan_readings(spark, f"{base}/remote").select("station", "year", "month", "day", "timestamp",
+                                                         *SENSOR_FLOAT_COLUMNS)
 
 
-def q_stream_hourly_avg(spark: SparkSession, sf: str) -> DataFrame:
+def _corrected_stream(spark: SparkSession, sf: str) -> DataFrame:
+    c = corrected_readings(fx.raw_readings(spark, sf)).select("station", "timestamp", *SENSOR_FLOAT_COLUMNS)
     landing = work_dir(spark, "landing-corrected")
-    c = corrected_readings(fx.raw_readings(spark, sf))
-    land(c.select("station", "timestamp", *SENSOR_FLOAT_COLUMNS), landing)
-    schema = c.select("station", "timestamp", *SENSOR_FLOAT_COLUMNS).schema
-    s = stream_hourly_avg(spark.readStream.schema(schema).parquet(landing))
+    land(c, landing, FILES)  # files of mixed times, so that rows are late in most triggers
+    return stream_readings(spark, landing, c.schema, max_files_per_trigger=FILES_A_TRIGGER)
+
+
+def q_stream_hourly_avg(spark: SparkSession, sf: str) -> DataFrame:
     base = work_dir(spark, "stream-hourly")
-    hourly_to_table(s, f"{base}/out", f"{base}/ckpt").awaitTermination()
-    return rounded(latest_hourly(spark, f"{base}/out")).select("station", "hour", "avg_temp", "avg_humidity", "avg_pm25", "n_readings")
+    windows_to_table(_corrected_stream(spark, sf), f"{base}/out", f"{base}/ckpt", 60).awaitTermination()
+    found = rounded(read_windows(spark, f"{base}/out")).withColumn("hour", F.col("window_end") - F.expr("INTERVAL 1 HOUR"))
+    return found.select("station", "hour", F.col("avg_temperature").alias("avg_temp"), "avg_humidity", "avg_pm25", "n_readings")
+
+
+def q_stream_batch_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of 15-minute event-time batches over several triggers with late rows."""
+    base = work_dir(spark, "stream-counts")
+    windows_to_table(_corrected_stream(spark, sf), f"{base}/out", f"{base}/ckpt", 15, values=()).awaitTermination()
+    return read_windows(spark, f"{base}/out", values=()).withColumnRenamed("window_end", "batch_end")
 
 
 def q_stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    landing = work_dir(spark, "landing-replayed")
+    """Readings written again, some of them in later triggers, once each."""
+    base = work_dir(spark, "stream-dedupe")
     rep = replayed_readings(spark, sf)
-    land(rep, landing)
-    s = stream_dedupe(spark.readStream.schema(rep.schema).parquet(landing))
-    return spark.read.parquet(_sink(s, spark, "dedupe"))
+    land(rep, f"{base}/in", FILES)
+    stream = stream_readings(spark, f"{base}/in", rep.schema, max_files_per_trigger=FILES_A_TRIGGER)
+    dedupe_to_table(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return read_deduped(spark, f"{base}/out", rep.schema)
 
 
 QUERIES = {
@@ -107,5 +135,6 @@ QUERIES = {
     "stream_final_flush": q_stream_final_flush,
     "stream_flush_batch_layout": q_stream_flush_batch_layout,
     "stream_hourly_avg": q_stream_hourly_avg,
+    "stream_batch_counts": q_stream_batch_counts,
     "stream_dedupe": q_stream_dedupe,
 }

@@ -7,18 +7,30 @@ GCS), one file at a time in 8 KiB..8 MiB chunks; nothing passes through the driv
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
-import os
+import uuid
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from envlake.session import ship_package
+from envlake.session import materialise, ship_package
 
 _CHUNK = 8 * 1024 * 1024
 
+# Hadoop's names of object stores and the names pyarrow has for them; other schemes that
+# Hadoop alone knows are opened through its client library.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
+_NATIVE = ("s3", "gs", "abfs", "abfss", "hdfs", "viewfs")
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop URI by the scheme that pyarrow knows it by."""
+    scheme, sep, rest = uri.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}://{rest}" if sep else uri
+
 
 def _fs(uri: str):
     import pyarrow.fs as pafs
@@ -26,9 +38,29 @@ def _fs(uri: str):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
+    uri = arrow_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    if scheme not in _NATIVE:
+        raise ValueError(f"no file system for {scheme}:// in Python tasks")
+    if scheme in ("hdfs", "viewfs"):
+        host, _, path = rest.partition("/")
+        return pafs.HadoopFileSystem(f"{scheme}://{host}" if host else "default"), "/" + path
     return pafs.FileSystem.from_uri(uri)
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """A root with its scheme: one without is a path of Hadoop's default file system, as Spark reads it,
+    not of whatever disk a task runs beside."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return p.getFileSystem(conf).makeQualified(p).toString().rstrip("/")
+
+
+def _own_name(path: str) -> str:
+    """A temporary name that no other attempt, task or host uses."""
+    return f"{path}.{uuid.uuid4().hex}.tmp"
+
+
 def _join(root: str, rel: str) -> str:
     return root.rstrip("/") + "/" + rel.lstrip("/")
 
@@ -59,12 +91,8 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.parquet", folders:
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("pathGlobFilter", glob).load(there)
           .select("path", "length", "modificationTime"))
-    # Spark reports fully-qualified URIs; strip everything up to the root folder name.
-    if root.startswith("file:") or "://" in root:
-        qroot = root
-    else:
-        qroot = "file:" + os.path.abspath(root)
-    qroot = qroot.replace("file:///", "file:/")
+    # Spark reports fully-qualified URIs; what follows the root is kept
+    qroot = qualified(spark, root).replace("file:///", "file:/")
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:///", "file:/"),
                            "^" + _regex_escape(qroot) + "/", "")
     return df.select(rel.alias("path"), F.col("length").alias("size"),
@@ -97,6 +125,7 @@ def _md5_file(fs, path: str) -> tuple[str, int]:
 def file_etags(paths: DataFrame, root: str) -> DataFrame:
     """``(path, e_tag)`` for root-relative paths, hashed inside executor tasks."""
     ship_package(paths.sparkSession)
+    root = qualified(paths.sparkSession, root)
 
     def run(batches):
         fs, base = _fs(root)
@@ -106,45 +135,74 @@ def file_etags(paths: DataFrame, root: str) -> DataFrame:
     return paths.select("path").mapInPandas(run, "path string, e_tag string")
 
 
-def copy_files(todo: DataFrame, src_root: str, dst_root: str) -> DataFrame:
+def by_bytes(files: DataFrame, tasks: int, size: str = "size") -> DataFrame:
+    """The rows dealt to ``tasks`` partitions of about equal bytes (a file counts a little more than its bytes).
+
+    Prefix sums over all sizes, cut into ranges: sums within each partition of the written listing, plus
+    the sums of the partitions before (as many numbers as partitions)."""
+    weight = F.coalesce(F.col(size), F.lit(0)) + F.lit(64 * 1024)
+    rows = materialise(files.withColumn("_part", F.spark_partition_id()).withColumn("_weight", weight), "by-bytes")
+    sums = {r["_part"]: r["w"] for r in rows.groupBy("_part").agg(F.sum("_weight").alias("w")).collect()}
+    total, before, at = max(1, sum(sums.values())), [], 0
+    for part in sorted(sums):
+        before.append((part, at))
+        at += sums[part]
+    starts = files.sparkSession.createDataFrame(before, "_part int, _before long")  # one row for each partition
+    inside = Window.partitionBy("_part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("_before") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))
+    dealt = rows.join(F.broadcast(starts), "_part").withColumn("_range", F.floor(place * tasks / F.lit(total)).cast("int"))
+    return dealt.repartitionById(tasks, "_range").drop("_part", "_weight", "_before", "_range")
+
+
+def copy_files(todo: DataFrame, src_root: str, dst_root: str, attempts: int = 3) -> DataFrame:
     """Copy root-relative ``path`` rows from ``src_root`` to ``dst_root`` inside tasks.
 
-    Returns ``(path, action, bytes, e_tag, last_modified)``; the MD5 is taken from the bytes
-    copied. A failed copy raises, so Spark retries the task (copies are idempotent
-    overwrites of whole objects)."""
+    Returns ``(path, action, last_modified, bytes, e_tag, error)``; the MD5 is taken from the bytes copied.
+    A file that can't be copied in so many attempts has the action ``failed`` and its error; the others are
+    copied all the same, and the next replication finds what is missing. Copies are idempotent
+    overwrites of whole objects, so a task that runs again is harmless."""
     ship_package(todo.sparkSession)
+    src_root, dst_root = qualified(todo.sparkSession, src_root), qualified(todo.sparkSession, dst_root)
+
+    def copy(sfs, src: str, dfs, dst: str) -> tuple[int, str]:
+        dfs.create_dir(dst.rsplit("/", 1)[0], recursive=True)
+        h, n, own = hashlib.md5(), 0, _own_name(dst)
+        try:
+            with sfs.open_input_stream(src) as fi, dfs.open_output_stream(own) as fo:
+                while b := fi.read(_CHUNK):
+                    h.update(b)
+                    fo.write(b)
+                    n += len(b)
+            dfs.move(own, dst)
+        except Exception:
+            with contextlib.suppress(Exception):  # what is half written goes, if it can
+                dfs.delete_file(own)
+            raise
+        return n, '"' + h.hexdigest() + '"'
 
     def run(batches):
         sfs, sbase = _fs(src_root)
         dfs, dbase = _fs(dst_root)
         for pdf in batches:
-            out_b, out_t = [], []
-            for p in pdf["path"]:
-                src, dst = _join(sbase, p), _join(dbase, p)
-                parent = dst.rsplit("/", 1)[0]
-                dfs.create_dir(parent, recursive=True)
-                h = hashlib.md5()
-                n = 0
-                own = f"{dst}.{os.getpid()}.tmp"  # attempts of one task don't meet in a file
-                with sfs.open_input_stream(src) as fi, dfs.open_output_stream(own) as fo:
-                    while True:
-                        b = fi.read(_CHUNK)
-                        if not b:
-                            break
-                        h.update(b)
-                        fo.write(b)
-                        n += len(b)
-                dfs.move(own, dst)
-                out_b.append(n)
-                out_t.append('"' + h.hexdigest() + '"')
-            yield pdf.assign(bytes=out_b, e_tag=out_t)
+            rows = []
+            for p, action in zip(pdf["path"], pdf["action"]):
+                for left in range(attempts - 1, -1, -1):
+                    try:
+                        rows.append((action, *copy(sfs, _join(sbase, p), dfs, _join(dbase, p)), None))
+                        break
+                    except Exception as e:
+                        if not left:
+                            rows.append(("failed", 0, None, f"{type(e).__name__}: {e}"[:500]))
+            out = pd.DataFrame(rows, columns=["action", "bytes", "e_tag", "error"], index=pdf.index)
+            yield pdf.assign(action=out["action"], bytes=out["bytes"], e_tag=out["e_tag"], error=out["error"])
     return (todo.select("path", "action", "last_modified")
-            .mapInPandas(run, "path string, action string, last_modified timestamp, bytes long, e_tag string"))
+            .mapInPandas(run, "path string, action string, last_modified timestamp, bytes long, e_tag string, error string"))
 
 
 def put_files(files: DataFrame, root: str) -> int:
     """Write each row's ``content`` as the file ``path`` under ``root``, inside tasks; how many."""
     ship_package(files.sparkSession)
+    root = qualified(files.sparkSession, root)
 
     def run(batches):
         fs, base = _fs(root)
@@ -152,7 +210,7 @@ def put_files(files: DataFrame, root: str) -> int:
             for p, content in zip(pdf["path"], pdf["content"]):
                 dst = _join(base, p)
                 fs.create_dir(dst.rsplit("/", 1)[0], recursive=True)
-                own = f"{dst}.{os.getpid()}.tmp"
+                own = _own_name(dst)
                 with fs.open_output_stream(own) as f:
                     f.write(content)
                 fs.move(own, dst)
@@ -160,8 +218,9 @@ def put_files(files: DataFrame, root: str) -> int:
     return files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-# Folders the reference refuses to replicate from.
+# Folders that replication is refused from, by name and by place (with the home folder).
 _DANGEROUS_NAMES = (".cache", ".local", ".config", "cache", "tmp", "temp")
+_DANGEROUS_ROOTS = ("/", "/home", "/tmp", "/var")
 
 
 def refuse_root(local_root: str) -> str | None:
@@ -171,7 +230,7 @@ def refuse_root(local_root: str) -> str | None:
         name = p.rsplit("/", 1)[-1].lower()
         return "cache/temp folder" if name in _DANGEROUS_NAMES else None
     path = Path(local_root[5:] if local_root.startswith("file:") else local_root).resolve()
-    for d in (Path.home(), Path("/"), Path("/home"), Path("/tmp"), Path("/var")):
+    for d in (Path.home(), *map(Path, _DANGEROUS_ROOTS)):
         if path == d.resolve():
             return f"refusing to sync from {path}"
     if path.name.lower() in _DANGEROUS_NAMES:

@@ -5,15 +5,16 @@ Null-typed column and a metric may be INT64 in one file and DOUBLE in another. S
 Parquet reader cannot read such files with one schema (``mergeSchema`` fails, and an
 explicit STRING/DOUBLE schema fails on INT32-Null and INT64 columns).
 
-So file footers are read in a Spark job first (tasks open only the footer). Folders whose
-files all carry the canonical types are read in one native scan; the files of the others
-are opened by executor tasks with pyarrow, which cast each column to its canonical type.
-(Spark cannot skip the drifted files of a native scan by a ``_metadata.file_path`` filter -
-it opens and fails on them - so the native scan is given the clean folders.)
+So file footers are read in a Spark job first (tasks open only the footer), and the files are grouped by
+what their columns are stored as. Each group is one native scan with its own types, cast to the canonical
+ones, and the scans are joined in a union; filters on partitions and columns reach every scan. A group of
+the canonical types is named by the largest folders that hold nothing else, the others by their files.
 """
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from envlake.schema import HEALTH_COLUMNS, PARTITION_SCHEMA
 from envlake.session import materialise, ship_package
-from envlake.sources.files import _fs, _join, any_match, list_files
+from envlake.sources.files import _fs, _join, any_match, list_files, qualified
 from envlake.sources.lake import partition_paths
 
 _ARROW_TO_SPARK = {
@@ -40,43 +41,63 @@ def _spark_type(arrow_type: str) -> T.DataType:
     raise ValueError(f"unsupported health column type {arrow_type}")
 
 
-def _canonical(columns: list[tuple[str, str]]) -> bool:
-    """Whether every column of a footer already has its canonical type."""
+def stored_types(columns: list[tuple[str, str]]) -> str:
+    """The health columns of a footer that aren't stored in their canonical type, as ``name type, ...``;
+    empty for a canonical file. A column without values (Arrow's null) is ``void``."""
     target = dict(HEALTH_COLUMNS)
-    for name, arrow_type in columns:
-        if name in PARTITION_SCHEMA.names:
-            continue
-        if name in target and _spark_type(arrow_type) != target[name]:
-            return False
-    return True
+    kinds = [(name, _spark_type(t)) for name, t in columns if name in target]
+    return ", ".join(f"{name} {t.simpleString()}" for name, t in sorted(kinds, key=lambda x: x[0]) if t != target[name])
 
 
 def footer_kinds(files: DataFrame, root: str) -> DataFrame:
-    """``(path, folder, canonical)`` per root-relative file path: whether the footer's column
-    types are the canonical ones. Footers are read in executor tasks."""
+    """``(path, folder, kind)`` per root-relative file path, with :func:`stored_types` as the kind. Footers are
+    read in executor tasks."""
     ship_package(files.sparkSession)
+    root = qualified(files.sparkSession, root)
 
     def run(batches):
         import pyarrow.parquet as pq
         fs, base = _fs(root)
         for pdf in batches:
-            right = []
+            kinds = []
             for p in pdf["path"]:
                 with fs.open_input_file(_join(base, p)) as f:
-                    right.append(_canonical([(fld.name, str(fld.type)) for fld in pq.read_schema(f)]))
-            yield pd.DataFrame({"path": pdf["path"], "folder": [p.rpartition("/")[0] for p in pdf["path"]],
-                                "canonical": right})
-    return files.select("path").mapInPandas(run, "path string, folder string, canonical boolean")
+                    kinds.append(stored_types([(fld.name, str(fld.type)) for fld in pq.read_schema(f)]))
+            yield pd.DataFrame({"path": pdf["path"], "folder": [p.rpartition("/")[0] for p in pdf["path"]], "kind": kinds})
+    return files.select("path").mapInPandas(run, "path string, folder string, kind string")
+
+
+def _clean_folders(footers: DataFrame, whole: bool) -> list[str]:
+    """The largest folders, from stations down to days, whose files are all canonical; of a listing of some
+    days only (not ``whole``) the days' folders, as those above hold more than was listed."""
+    if not whole:
+        return sorted(r["folder"] for r in footers.groupBy("folder").agg(F.max("kind").alias("kind")).where("kind = ''").collect())
+    parts = F.split("folder", "/")
+    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, F.lit(1), k)))
+    mixed = footers.select(F.explode(levels).alias("at"), (F.col("kind") != "").alias("drift"), "folder").groupBy("at").agg(F.max("drift").alias("drift"))
+    clean = mixed.where("NOT drift").select("at")
+    above = clean.select(F.col("at").alias("parent"))
+    top = clean.withColumn("parent", F.regexp_replace("at", "/[^/]*$", "")).join(above.where("parent <> ''"), "parent", "left_anti")
+    own = clean.where(~F.col("at").contains("/")).select("at")  # a folder right under the root is its own parent
+    return sorted(r["at"] for r in top.select("at").unionAll(own).distinct().collect())
+
+
+def _native(spark: SparkSession, root: str, kind: str, paths: list[str]) -> DataFrame:
+    """One scan of files of one kind: read as stored, cast to the canonical types."""
+    stored = dict(x.split(" ", 1) for x in kind.split(", ")) if kind else {}
+    # what has no values isn't read at all
+    schema = T.StructType([T.StructField(n, T._parse_datatype_string(stored.get(n, t.simpleString()))) for n, t in HEALTH_COLUMNS
+                           if stored.get(n) != "void"] + PARTITION_SCHEMA.fields)
+    rows = spark.read.schema(schema).option("basePath", root).parquet(*paths)
+    return rows.select(*[(F.col(n) if stored.get(n) != "void" else F.lit(None)).cast(t).alias(n) for n, t in HEALTH_COLUMNS], *PARTITION_SCHEMA.names)
 
 
 def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> DataFrame:
     """Scan the health lake into the canonical 22 health columns plus partitions.
 
-    The footers of the files under the requested folders are read first, in tasks. Folders
-    whose files all carry the canonical types are read natively, with column and partition
-    pruning; where a folder holds a file with other types, its files are opened by tasks and cast
-    (:func:`_arrow_scan`). With drift, the names of the clean folders (one per station and day,
-    as many as Spark's own listing holds) pass through the driver; without, nothing does.
+    The footers of the files under the requested folders are read first, in tasks; narrow the scan by
+    ``stations`` and ``dates`` to read fewer. Without drift there is one native scan of the folders. With drift the
+    names of the clean folders and of the drifted files pass through the driver, as Spark's own listing does.
     """
     root = root.rstrip("/")
     canonical_schema = T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS] + PARTITION_SCHEMA.fields)
@@ -84,58 +105,15 @@ def scan_health(spark: SparkSession, root: str, stations=None, dates=None) -> Da
     if not folders:
         return spark.createDataFrame([], canonical_schema)
     footers = materialise(footer_kinds(list_files(spark, root, folders=folders), root), "health-footers")
-    reader = spark.read.schema(canonical_schema).option("basePath", root)
-    drifted = footers.where("NOT canonical").select("folder").distinct()
-    if drifted.isEmpty():
-        return reader.parquet(*folders)
-    cast = _arrow_scan(footers.join(drifted, "folder", "left_semi"), root)
-    clean = [r.folder for r in footers.join(drifted, "folder", "left_anti").select("folder").distinct().collect()]
-    if not clean:
-        return cast
-    return reader.parquet(*[f"{root}/{f}" for f in clean]).unionByName(cast)
-
-
-# Arrow types of the canonical health columns (timestamps as UTC microseconds).
-def _arrow_target():
-    import pyarrow as pa
-    m = {T.TimestampType(): pa.timestamp("us", tz="UTC"), T.DoubleType(): pa.float64(),
-         T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}
-    return pa.schema([pa.field(n, m[t]) for n, t in HEALTH_COLUMNS] + [pa.field("path", pa.string())])
-
-
-def _arrow_scan(files: DataFrame, root: str) -> DataFrame:
-    """Read drifted health files in executor tasks: each task opens its files with
-    pyarrow, casts every column to its canonical type (Null-typed -> typed NULLs,
-    INT64 -> DOUBLE, ...) and emits Arrow batches. The file list stays a DataFrame
-    (spread over tasks), partition values come from the path."""
-    ship_package(files.sparkSession)
-    out_schema = T.StructType([T.StructField(n, t) for n, t in HEALTH_COLUMNS]
-                              + [T.StructField("path", T.StringType())])
-
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        fs, base = _fs(root)
-        target = _arrow_target()
-        for b in batches:
-            for p in b.column("path").to_pylist():
-                with fs.open_input_file(_join(base, p)) as f:
-                    t = pq.read_table(f)
-                n = t.num_rows
-                cols = []
-                for fld in target:
-                    if fld.name == "path":
-                        cols.append(pa.array([p] * n, pa.string()))
-                    elif fld.name in t.column_names:
-                        cols.append(t.column(fld.name).cast(fld.type))
-                    else:
-                        cols.append(pa.nulls(n, fld.type))
-                yield from pa.Table.from_arrays(cols, schema=target).to_batches()
-
-    rows = files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    data = rows.mapInArrow(run, out_schema)
-    part = {"station": F.regexp_extract("path", r"(?:^|/)station=([^/]+)/", 1),
-            "year": F.regexp_extract("path", r"(?:^|/)year=(\d+)/", 1).cast("int"),
-            "month": F.regexp_extract("path", r"(?:^|/)month=(\d+)/", 1).cast("int"),
-            "day": F.regexp_extract("path", r"(?:^|/)day=(\d+)/", 1).cast("int")}
-    return data.withColumns(part).drop("path")
+    if footers.where("kind <> ''").isEmpty():
+        return spark.read.schema(canonical_schema).option("basePath", root).parquet(*folders)
+    mixed = footers.where("kind <> ''").select("folder").distinct()
+    named: dict[str, list[str]] = {}
+    for r in footers.where("kind <> ''").unionByName(footers.where("kind = ''").join(mixed, "folder", "left_semi").select(
+            "path", "folder", "kind")).select("kind", "path").collect():
+        named.setdefault(r["kind"], []).append(r["path"])
+    groups = [(kind, sorted(paths)) for kind, paths in sorted(named.items())]
+    if clean := _clean_folders(footers, whole=not dates):
+        groups.insert(0, ("", clean))
+    scans = [_native(spark, root, kind, [f"{root}/{p}" for p in paths]) for kind, paths in groups]
+    return functools.reduce(DataFrame.unionByName, scans)

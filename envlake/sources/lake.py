@@ -1,5 +1,9 @@
-"""The Hive-partitioned Parquet lakes: ``station=/year=/month=/day=/`` for readings
-and a sibling ``{root}-health`` lake for device health."""
+"""The Hive-partitioned Parquet lakes: ``station=/year=/month=/day=/flush=/`` for readings
+and a sibling ``{root}-health`` lake (``station=/year=/month=/day=/``) for device health.
+
+``flush`` names who wrote a file: ``batch`` for batch jobs, which append, or a streaming query and
+its micro-batch, which replaces what an earlier attempt of itself wrote. So a scan is a plain listing
+of folders that sees stream and batch files alike; no log decides what counts."""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from envlake.functions.dtypes import canonical_dtypes
 from envlake.functions.station_id import split_station_ids
@@ -15,6 +20,8 @@ from envlake.schema import (HEALTH_COLUMNS, HEALTH_FILE_SCHEMA, HEALTH_LAKE_SCHE
                             SENSOR_FILE_SCHEMA, SENSOR_LAKE_SCHEMA)
 
 PARTITION_COLUMNS = ["station", "year", "month", "day"]
+FLUSH_COLUMN = "flush"
+BATCH_FLUSH = "batch"
 CODECS = ("zstd", "snappy", "gzip", "none", "uncompressed", "lz4")
 
 
@@ -25,38 +32,40 @@ def health_root(readings_root: str, health_dir: str | None = None) -> str:
     return readings_root.rstrip("/") + "-health"
 
 
-def _write(df: DataFrame, root: str, data_cols: list[str], compression: str, mode: str) -> None:
+def _write(df: DataFrame, root: str, data_cols: list[str], compression: str, mode: str, more: tuple[str, ...] = ()) -> None:
     if compression not in CODECS:
         raise ValueError(f"unsupported codec {compression!r}")
     missing = [c for c in PARTITION_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"partition values missing: {missing}; see batch_partition_values")
     present = [c for c in data_cols if c in df.columns]
-    out = df.select(*present, *PARTITION_COLUMNS)
+    out = df.select(*present, *PARTITION_COLUMNS, *more)
     # REBALANCE lets AQE coalesce small station-days and split a hot one, so one
     # writer task per directory-sized chunk; rows are time-sorted for tight statistics.
     # The lake stores millisecond timestamps, like the reference's files.
     with scoped_conf(df.sparkSession, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MILLIS"):
         (out.hint("rebalance", *PARTITION_COLUMNS)
             .sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
-            .write.mode(mode).partitionBy(*PARTITION_COLUMNS)
-            .option("compression", compression)
+            .write.mode(mode).partitionBy(*PARTITION_COLUMNS, *more)
+            .option("compression", compression).option("partitionOverwriteMode", "dynamic")
             .parquet(root))
 
 
 def write_readings(df: DataFrame, root: str, compression: str = "zstd", mode: str = "append",
-                   quarantine: str | None = None) -> None:
+                   quarantine: str | None = None, flush: str = BATCH_FLUSH) -> None:
     """Write sensor readings. Needs ``station`` and batch-level ``year/month/day``
     (zero-padded strings, from ``batch_partition_values``); ``station_id`` never enters a
     file. Measurements are stored as float32 and timestamps in milliseconds. With a
     ``quarantine`` folder, rows whose ``station`` is no valid id are written there as they are,
-    and the lake gets the canonical ids."""
+    and the lake gets the canonical ids. ``mode='overwrite'`` replaces, of the days written, what the
+    same ``flush`` wrote before."""
     d = df.drop("station_id") if "station_id" in df.columns else df
     if quarantine:
         d, refused = split_station_ids(d)
-        refused.write.mode(mode).option("compression", compression).parquet(quarantine)
-    d = canonical_dtypes(d)
-    _write(d, root, [f.name for f in SENSOR_FILE_SCHEMA.fields], compression, mode)
+        refused.withColumn(FLUSH_COLUMN, F.lit(flush)).write.mode(mode).partitionBy(FLUSH_COLUMN).option(
+            "compression", compression).option("partitionOverwriteMode", "dynamic").parquet(quarantine)
+    d = canonical_dtypes(d).withColumn(FLUSH_COLUMN, F.lit(flush))
+    _write(d, root, [f.name for f in SENSOR_FILE_SCHEMA.fields], compression, mode, (FLUSH_COLUMN,))
 
 
 def write_health(df: DataFrame, root: str, compression: str = "zstd", mode: str = "append") -> None:
@@ -101,7 +110,13 @@ def scan_readings(spark: SparkSession, root: str, stations: Iterable[str] | None
     The schema is explicit (no per-file inference over many small files); columns a
     file lacks read as NULL. Filters on station/year/month/day prune partitions.
     """
-    return _scan(spark, SENSOR_LAKE_SCHEMA, root, stations, dates)
+    return scan_flushes(spark, root, stations, dates).drop(FLUSH_COLUMN)
+
+
+def scan_flushes(spark: SparkSession, root: str, stations: Iterable[str] | None = None,
+                 dates: Iterable[tuple[int, int, int]] | None = None) -> DataFrame:
+    """:func:`scan_readings` with the column ``flush``."""
+    return _scan(spark, T.StructType([*SENSOR_LAKE_SCHEMA.fields, T.StructField(FLUSH_COLUMN, T.StringType())]), root, stations, dates)
 
 
 def scan_health_uniform(spark: SparkSession, root: str, stations=None, dates=None) -> DataFrame:
@@ -109,5 +124,5 @@ def scan_health_uniform(spark: SparkSession, root: str, stations=None, dates=Non
     return _scan(spark, HEALTH_LAKE_SCHEMA, root, stations, dates)
 
 
-__all__ = ["write_readings", "write_health", "scan_readings", "scan_health_uniform",
+__all__ = ["write_readings", "write_health", "scan_readings", "scan_flushes", "scan_health_uniform",
            "health_root", "partition_paths", "PARTITION_COLUMNS", "HEALTH_FILE_SCHEMA"]

@@ -1,17 +1,19 @@
-"""Streaming ingest and lake flush."""
+"""Streaming ingest and lake flush.
 
-from __future__ import annotations
+Every flush runs through ``foreachBatch`` and writes to folders named by the query and the micro-batch
+(innermost partition ``flush``), replacing what is there: a micro-batch that is delivered again, after
+any failure, replaces itself, two queries never meet, and batch jobs may write to the same lake.
+"""
 
-import hashlib
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from envlake.functions.dtypes import canonical_dtypes
-from envlake.schema import SENSOR_FILE_SCHEMA
 from envlake.session import scoped_conf
+from envlake.sources.lake import write_readings
 
 # Raw reading rows as they land (the adapter schema of FIXTURES F1).
 RAW_READING_SCHEMA = T.StructType(
@@ -32,11 +34,13 @@ def land(df: DataFrame, landing: str, files: int | None = None) -> None:
 
 
 def stream_readings(spark: SparkSession, landing: str, schema: T.StructType = RAW_READING_SCHEMA,
-                    max_files_per_trigger: int | None = 1000) -> DataFrame:
-    """Continuous ingest of raw readings from a landing folder (explicit schema, bounded
-    micro-batches with ``maxFilesPerTrigger``)."""
+                    max_files_per_trigger: int | None = 1000, max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Continuous ingest from a landing folder with an explicit schema. Micro-batches are bounded by
+    files or, which bounds memory whatever the files' sizes, by bytes (one of the two)."""
     r = spark.readStream.schema(schema)
-    if max_files_per_trigger:
+    if max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    elif max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(landing)
 
@@ -45,79 +49,79 @@ def _trigger(w, processing_time: str | None):
     return w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
 
 
-def flush_to_lake(stream: DataFrame, root: str, checkpoint: str, processing_time: str | None = None,
-                  compression: str = "zstd") -> StreamingQuery:
-    """Clock-aligned flush of a reading stream to the partitioned lake (file sink).
-
-    The file sink is exactly-once through its checkpoint and commit log. Partition values
-    come from each row's own day (a batch that crosses midnight splits at midnight,
-    unlike the reference, which files it under its first reading's day). Use
-    ``processing_time='15 minutes'`` for the reference cadence, or the default
-    ``availableNow`` run that drains what has landed and stops.
-    """
+def flush_name(spark: SparkSession, batch_id: int, query: str | None = None) -> str:
+    """The name of a micro-batch: the query's id, which its checkpoint keeps, and the batch id."""
+    query = query or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise RuntimeError("outside a streaming query: name the query")
+    return f"{query}-{batch_id}"
+
+
+def day_of_row(df: DataFrame) -> DataFrame:
+    """Partition values from each row's own day."""
     ts = F.col("timestamp")
-    out = canonical_dtypes(stream.select(*[c for c in ["station", *SENSOR_FILE_SCHEMA.names]
-                                           if c in stream.columns]))
-    out = out.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"),
-                           "day": F.date_format(ts, "dd")})
-    w = (out.writeStream.format("parquet").outputMode("append")
-         .partitionBy("station", "year", "month", "day")
-         .option("compression", compression)
-         .option("path", root).option("checkpointLocation", checkpoint))
-    with scoped_conf(stream.sparkSession, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MILLIS"):
-        return _trigger(w, processing_time).start()
-
-
-def batch_writer(root: str, compression: str = "zstd", checkpoint: str = ""):
-    """The ``foreachBatch`` function of :func:`flush_batches_to_lake`: writes one
-    micro-batch in the batch-level layout unless it is already marked done. Marks belong to
-    a checkpoint, as batch ids do. A replayed micro-batch is still read to its end, so a
-    stateful plan in front of it commits its state."""
-    from envlake.operators.batching import batch_partition_values
-    from envlake.sources.files import path_exists
-    from envlake.sources.lake import write_readings
-
-    marker_root = f"{root.rstrip('/')}/_batches/{hashlib.md5(checkpoint.encode()).hexdigest()}"
+    return df.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"), "day": F.date_format(ts, "dd")})
+
 
+def day_of_batch(df: DataFrame) -> DataFrame:
+    """Partition values from the first reading of the row's collector batch, which the stateful correction
+    carries from trigger to trigger as ``batch_first``."""
+    first = F.col("batch_first")
+    return df.withColumns({"year": F.date_format(first, "yyyy"), "month": F.date_format(first, "MM"), "day": F.date_format(first, "dd")})
+
+
+def lake_writer(root: str, day, compression: str = "zstd", quarantine: str | None = None, dedupe: bool = False,
+                query: str | None = None):
+    """The ``foreachBatch`` function of the flushes: writes one micro-batch in place of what an earlier
+    attempt wrote. ``dedupe`` leaves out readings the lake has (:func:`envlake.streaming.aggregates.unseen`)."""
     def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        marker = f"{marker_root}/{batch_id}"
-        if path_exists(spark, marker):
-            df.write.format("noop").mode("overwrite").save()
-            return
-        write_readings(batch_partition_values(df, prefix="data"), root, compression=compression)
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(marker)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+        name = flush_name(df.sparkSession, batch_id, query)
+        rows = day(df)
+        if dedupe:
+            from envlake.sources.lake import scan_flushes
+            from envlake.sources.files import path_exists
+            from envlake.streaming.aggregates import unseen
+            rows = rows.withColumn("timestamp", F.date_trunc("millisecond", "timestamp"))  # as the lake stores it
+            have = scan_flushes(df.sparkSession, root) if path_exists(df.sparkSession, root) else None
+            rows = unseen(rows, have, name)
+        write_readings(rows, root, compression=compression, mode="overwrite", quarantine=quarantine, flush=name)
     return write
 
 
-def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str,
-                          processing_time: str | None = None, compression: str = "zstd") -> StreamingQuery:
-    """Flush with the reference's exact layout: each collector batch (station, boot,
-    ``batch_end``) is filed under its first reading's day, even across midnight.
+def flush_to_lake(stream: DataFrame, root: str, checkpoint: str, processing_time: str | None = None,
+                  compression: str = "zstd", quarantine: str | None = None, dedupe: bool = False) -> StreamingQuery:
+    """Clock-aligned flush of a reading stream to the partitioned lake, each row under its own day (a
+    collector batch that crosses midnight splits there). Use ``processing_time='15 minutes'`` for the
+    reference cadence, or the default ``availableNow`` run that drains what has landed and stops.
+    Invalid station ids go to ``quarantine``, if given; ``dedupe`` leaves out readings the lake has.
+    """
+    w = (stream.writeStream.foreachBatch(lake_writer(root, day_of_row, compression, quarantine, dedupe))
+         .option("checkpointLocation", checkpoint))
+    return _trigger(w, processing_time).start()
+
 
-    Runs through ``foreachBatch``; needs ``boot_id`` and ``batch_end`` (e.g. from
-    ``stream_compensate``). A micro-batch that was already committed is skipped on replay
-    (a marker per batch id under ``{root}/_batches``); a failure between the write and
-    the marker can write a batch twice (at-least-once), which ``dedupe_readings`` /
-    ``stream_dedupe`` remove. A collector batch split across two triggers gets the first
-    day of each part.
+def flush_batches_to_lake(stream: DataFrame, root: str, checkpoint: str, processing_time: str | None = None,
+                          compression: str = "zstd", quarantine: str | None = None, dedupe: bool = False) -> StreamingQuery:
+    """Flush with the reference's exact layout: each collector batch (station, boot, ``batch_end``) is filed
+    under its first reading's day, even across midnight and over any number of triggers. Needs
+    ``batch_first`` from ``stream_compensate``.
     """
-    write = batch_writer(root, compression, checkpoint)
-    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = (stream.writeStream.foreachBatch(lake_writer(root, day_of_batch, compression, quarantine, dedupe))
+         .option("checkpointLocation", checkpoint))
     return _trigger(w, processing_time).start()
 
 
 def final_flush(query: StreamingQuery | None, stream: DataFrame, root: str, checkpoint: str,
-                sync_to: str | None = None) -> StreamingQuery:
+                sync_to: str | None = None, flush=flush_to_lake) -> StreamingQuery:
     """On shutdown: stop the running query and drain everything that has landed with an
-    ``availableNow`` run on the same checkpoint, wait for it, then replicate the readings lake and
-    the health lake beside it to ``sync_to``, if given."""
+    ``availableNow`` run on the same checkpoint and in the same layout (``flush``), wait for it, then
+    replicate the readings lake and the health lake beside it to ``sync_to``, if given."""
     if query is not None and query.isActive:
         query.stop()
-    q = flush_to_lake(stream, root, checkpoint)
+    q = flush(stream, root, checkpoint)
     q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     if sync_to:
         from envlake.sources.replicate import sync_lakes
         sync_lakes(stream.sparkSession, root, sync_to)

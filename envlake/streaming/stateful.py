@@ -1,16 +1,25 @@
 """Stateful stream correction per (station, boot) with applyInPandasWithState.
 
-State per group: readings seen, first and previous timestamp (epoch us) and the last five
-CPU temperatures of readings whose BME temperature and humidity were read. Rows of a
-micro-batch are sorted by (timestamp, event_id) inside the group; rows arriving in a
-later trigger with an earlier timestamp are counted in arrival order (the reference's
-arrival order is its event order). All arithmetic is vectorised with numpy and adds in
-the same order as the batch operator, so results equal the batch plan when each group's
-rows arrive in order.
+State per group: readings seen, first and previous timestamp (epoch us), the last five
+CPU temperatures of readings whose BME temperature and humidity were read, and the open collector
+batch with the time of its first reading. Rows of a micro-batch are sorted by (timestamp, event_id)
+inside the group; rows arriving in a later trigger with an earlier timestamp are counted in
+arrival order (the reference's arrival order is its event order). All arithmetic is vectorised
+with numpy and adds in the same order as the batch operator, so results equal the batch plan when
+each group's rows arrive in order.
+
+The frames of a group are packed into one numeric array as they come, and results leave in
+slices of ``SLICE`` rows, so a task holds the numbers of one group's micro-batch, which the source's
+``max_bytes_per_trigger`` bounds. With ``idle``, the state of a boot that has been silent for so
+long (by the clock) is dropped; a boot that goes on after that begins anew, with its warm-up. No row
+is dropped for being late.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +38,7 @@ _US_MIN = 60_000_000
 STATE_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("first_us", T.LongType()),
     T.StructField("prev_us", T.LongType()), T.StructField("cpu", T.ArrayType(T.DoubleType())),
+    T.StructField("batch_us", T.LongType()), T.StructField("batch_first_us", T.LongType()),
 ])
 
 OUTPUT_SCHEMA = T.StructType(
@@ -36,7 +46,12 @@ OUTPUT_SCHEMA = T.StructType(
      T.StructField("event_id", T.LongType()), T.StructField("timestamp", T.TimestampType())]
     + [T.StructField(c, T.DoubleType()) for c in SENSOR_FLOAT_COLUMNS]
     + [T.StructField("seq_rn", T.LongType()), T.StructField("batch_end", T.TimestampType()),
-       T.StructField("health_sample", T.BooleanType())])
+       T.StructField("health_sample", T.BooleanType()), T.StructField("batch_first", T.TimestampType())])
+
+#: Rows of one frame of results.
+SLICE = 10_000
+_FLAGS = ["bme_ok", "pressure_ok"]
+_INPUTS = ["cpu_for_compensation", "rh_for_compensation", *[c for c in SENSOR_FLOAT_COLUMNS if c not in ("temperature", "humidity")]]
 
 
 def _next_boundary_us(us: np.ndarray, minutes: int) -> np.ndarray:
@@ -46,31 +61,46 @@ def _next_boundary_us(us: np.ndarray, minutes: int) -> np.ndarray:
     return (us - into) + step * _US_MIN
 
 
-def make_state_fn(warmup: int = 10, health_every: int = 12, factor: float = DEFAULT_FACTOR,
-                  batch_minutes: int = 15, depth: int = 5):
-    def fn(key, pdfs, state):
-        frames = list(pdfs)
-        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        ts = pdf["timestamp"].values.astype("datetime64[us]")
-        us = ts.astype(np.int64)
-        order = np.lexsort((pdf["event_id"].values, us))
-        us, ts = us[order], ts[order]
+def _packed(pdfs: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times and event ids (both as integers) and the numeric columns of a group, in order."""
+    times, events, numbers = [], [], []
+    for pdf in pdfs:
+        times.append(pdf["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64))
+        events.append(pdf["event_id"].to_numpy())
+        numbers.append(pdf[[*_FLAGS, *_INPUTS]].to_numpy(dtype=np.float64))
+    us, event, x = np.concatenate(times), np.concatenate(events), np.concatenate(numbers)
+    order = np.lexsort((event, us))
+    return us[order], event[order], x[order]
+
+
+def _batch_starts(us: np.ndarray, ends: np.ndarray, open_end: int | None, open_first: int | None) -> np.ndarray:
+    """For each kept reading the time of its batch's first one; the first batch may have been open before."""
+    new = np.ones(len(ends), dtype=bool)
+    new[1:] = ends[1:] != ends[:-1]
+    starts = us[np.flatnonzero(new)]
+    if open_end is not None and ends[0] == open_end:
+        starts = np.concatenate([[open_first], starts[1:]])
+    return starts[np.cumsum(new) - 1]
 
-        def col(c, dtype=np.float64):
-            return pdf[c].values[order].astype(dtype)
 
-        def flag(c):
-            return pdf[c].fillna(False).values[order].astype(bool)
+def make_state_fn(warmup: int = 10, health_every: int = 12, factor: float = DEFAULT_FACTOR,
+                  batch_minutes: int = 15, depth: int = 5, idle_ms: int | None = None):
+    at = {c: i for i, c in enumerate([*_FLAGS, *_INPUTS])}
 
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        us, event, x = _packed(pdfs)
         if state.exists:
-            n0, first_us, prev_us, cpu = state.get
+            n0, first_us, prev_us, cpu, batch_us, batch_first_us = state.get
             cpu = list(cpu) if cpu is not None else []
         else:
-            n0, first_us, prev_us, cpu = 0, int(us[0]), None, []
+            n0, first_us, prev_us, cpu, batch_us, batch_first_us = 0, int(us[0]), None, [], None, None
         k = len(us)
         n = n0 + np.arange(1, k + 1, dtype=np.int64)
-        ok = flag("bme_ok")
-        v = col("cpu_for_compensation")[ok]
+        ok = x[:, at["bme_ok"]] == 1
+        v = x[ok, at["cpu_for_compensation"]]
         avg = np.full(k, np.nan)
         if len(v):
             hist = cpu[1:] if cpu else [v[0]] * (depth - 1)
@@ -80,45 +110,53 @@ def make_state_fn(warmup: int = 10, health_every: int = 12, factor: float = DEFA
                 acc = acc + s[j:j + len(v)]
             avg[ok] = acc / depth
             cpu = list(s[-depth:])
-        raw_t = col("raw_temperature")
+        raw_t = x[:, at["raw_temperature"]]
         temp = raw_t - ((avg - raw_t) / factor)
-        rh = col("rh_for_compensation")
-        hum = 100 - (5 * (temp - (raw_t - ((100 - rh) / 5))))
+        hum = 100 - (5 * (temp - (raw_t - ((100 - x[:, at["rh_for_compensation"]]) / 5))))
         hum = np.where(np.isnan(hum), np.nan, np.maximum(0.0, np.minimum(100.0, hum)))
         prev = np.concatenate([[prev_us if prev_us is not None else us[0]], us[:-1]])
-        ref = np.where(n <= warmup + 1, first_us, prev)
-        bend = _next_boundary_us(ref, batch_minutes)
-        state.update((int(n[-1]), int(first_us), int(us[-1]), [float(x) for x in cpu]))
-        keep = n > warmup
-        if not keep.any():
-            return
-        out = {"station": pdf["station"].values[order][keep], "boot_id": pdf["boot_id"].values[order][keep],
-               "event_id": pdf["event_id"].values[order][keep], "timestamp": ts[keep]}
-        p_ok = flag("pressure_ok")
-        for c in SENSOR_FLOAT_COLUMNS:
-            if c == "temperature":
-                out[c] = np.where(ok, temp, np.nan)[keep]
-            elif c == "humidity":
-                out[c] = np.where(p_ok, hum, np.nan)[keep]
-            else:
-                out[c] = col(c)[keep]
-        out["seq_rn"] = n[keep]
-        out["batch_end"] = bend[keep].astype("datetime64[us]")
-        out["health_sample"] = n[keep] % health_every == 0
-        yield pd.DataFrame(out)
+        bend = _next_boundary_us(np.where(n <= warmup + 1, first_us, prev), batch_minutes)
+        keep = np.flatnonzero(n > warmup)
+        if len(keep):
+            starts = _batch_starts(us[keep], bend[keep], batch_us, batch_first_us)
+            batch_us, batch_first_us = int(bend[-1]), int(starts[-1])
+        state.update((int(n[-1]), int(first_us), int(us[-1]), [float(c) for c in cpu], batch_us, batch_first_us))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        for i in range(0, len(keep), SLICE):
+            part = keep[i:i + SLICE]
+            out = {"station": key[0], "boot_id": key[1], "event_id": event[part], "timestamp": us[part].astype("datetime64[us]")}
+            for c in SENSOR_FLOAT_COLUMNS:
+                if c == "temperature":
+                    out[c] = np.where(ok, temp, np.nan)[part]
+                elif c == "humidity":
+                    out[c] = np.where(x[:, at["pressure_ok"]] == 1, hum, np.nan)[part]
+                else:
+                    out[c] = x[part, at[c]]
+            out["seq_rn"] = n[part]
+            out["batch_end"] = bend[part].astype("datetime64[us]")
+            out["health_sample"] = n[part] % health_every == 0
+            out["batch_first"] = starts[i:i + SLICE].astype("datetime64[us]")
+            yield pd.DataFrame(out)
     return fn
 
 
+def _milliseconds(duration: str) -> int:
+    m = re.fullmatch(r"(\d+) (second|minute|hour|day)s?", duration.strip())
+    if not m:
+        raise ValueError(f"not a duration such as '7 days': {duration!r}")
+    return int(m[1]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[m[2]] * 1000
+
+
 def stream_compensate(raw_stream: DataFrame, warmup: int = 10, health_every: int = 12,
-                      factor: float = DEFAULT_FACTOR, batch_minutes: int = 15) -> DataFrame:
-    """Warm-up skip, 5-deep CPU mean, compensation and as-collected batch per (station, boot)."""
+                      factor: float = DEFAULT_FACTOR, batch_minutes: int = 15, idle: str | None = None) -> DataFrame:
+    """Warm-up skip, 5-deep CPU mean, compensation and as-collected batch per (station, boot), with the first
+    reading's time of the batch. ``idle`` (such as ``'30 days'``) bounds how long a silent boot's state is kept."""
     ship_package(raw_stream.sparkSession)
     a = assemble_reading(raw_stream).withColumn(
         "cpu_for_compensation", F.coalesce(F.col("cpu_temp_c"), F.lit(40.0)))
-    cols = ["station", "boot_id", "event_id", "timestamp", "bme_ok", "pressure_ok", "cpu_for_compensation",
-            "rh_for_compensation", *[c for c in SENSOR_FLOAT_COLUMNS if c not in ("temperature", "humidity")]]
-    a = a.select(*cols, F.lit(None).cast("double").alias("temperature"),
-                 F.lit(None).cast("double").alias("humidity"))
+    a = a.select("station", "boot_id", "event_id", "timestamp", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in _FLAGS], *_INPUTS)
     return a.groupBy("station", "boot_id").applyInPandasWithState(
-        make_state_fn(warmup, health_every, factor, batch_minutes), OUTPUT_SCHEMA, STATE_SCHEMA,
-        "append", GroupStateTimeout.NoTimeout)
+        make_state_fn(warmup, health_every, factor, batch_minutes, idle_ms=_milliseconds(idle) if idle else None),
+        OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

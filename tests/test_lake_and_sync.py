@@ -148,3 +148,65 @@ def test_invalid_station_ids_go_to_quarantine(spark):
     write_readings(df, f"{base}/lake", quarantine=f"{base}/quarantine")
     assert [r.station for r in scan_readings(spark, f"{base}/lake").collect()] == ["01234567-89ab-cdef-0123-456789abcdef"]
     assert {r.station for r in spark.read.parquet(f"{base}/quarantine").collect()} == {"st-1", None}
+
+
+def test_one_bad_file_leaves_the_others_copied(spark):
+    base = tempfile.mkdtemp(prefix="partly-")
+    names = [f"station=s{k}/year=2024/month=01/day=01/data_0015.parquet" for k in range(6)]
+    for n in names:
+        _write(f"{base}/output/{n}", n.encode())
+    _write(f"{base}/remote/station=s3", b"a file where a folder has to be")
+    first = {r.path: r for r in replicate_files(spark, f"{base}/output", f"{base}/remote").collect()}
+    assert {p: r.action for p, r in first.items()} == {n: "failed" if "s3" in n else "new" for n in names}
+    bad = first[names[3]]
+    assert bad.bytes == 0 and bad.e_tag is None and bad.error and first[names[0]].error is None
+    os.remove(f"{base}/remote/station=s3")
+    again = {r.path: r.action for r in replicate_files(spark, f"{base}/output", f"{base}/remote").collect()}
+    assert again == {n: "new" if "s3" in n else "skip" for n in names}
+    assert not [f for _, _, fs in os.walk(f"{base}/remote") for f in fs if f.endswith(".tmp")]
+
+
+def test_copies_are_dealt_by_bytes(spark):
+    from envlake.sources.files import by_bytes
+    sizes = [1 << 30] * 4 + [1 << 20] * 400
+    files = spark.createDataFrame([(f"f{k:04d}", n) for k, n in enumerate(sizes)], "path string, size long").repartition(7)
+    dealt = by_bytes(files, 4).groupBy(F.spark_partition_id()).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in dealt) == len(sizes) and max(r.b for r in dealt) <= 2 * (1 << 30) + 400 * (1 << 20)
+    assert len(dealt) >= 3 and by_bytes(files.where("false"), 4).count() == 0
+
+
+def test_object_store_names():
+    import pytest
+    from envlake.sources.files import _fs, _own_name, arrow_uri
+    assert arrow_uri("s3a://b/k") == "s3://b/k" and arrow_uri("s3n://b/k") == "s3://b/k" and arrow_uri("gcs://b/k") == "gs://b/k"
+    assert arrow_uri("file:/a") == "file:/a" and arrow_uri("/a/b") == "/a/b" and arrow_uri("hdfs://n/a") == "hdfs://n/a"
+    with pytest.raises(ValueError, match="nosuch"):
+        _fs("nosuch://a/b")
+    assert _own_name("x") != _own_name("x")
+
+
+def test_roots_without_a_scheme_are_those_of_spark(spark):
+    from envlake.sources.files import qualified
+    assert qualified(spark, "/a/b/") == "file:/a/b" and qualified(spark, "file:///a") == "file:/a"
+
+
+def test_drifted_scan_is_native(spark, sf):
+    from envlake.plans.lake_queries import q_scan_health_drift
+    plan = q_scan_health_drift(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_health_kinds_with_extra_and_missing_columns(spark):
+    root = tempfile.mkdtemp(prefix="kinds-") + "/output-health"
+    ts = pa.timestamp("us", tz="UTC")
+    one = pa.array([1704067200000000], ts)
+    for k, t in enumerate([{"timestamp": one, "cpu_temp_c": pa.array([1.5])}, {"timestamp": one, "cpu_temp_c": pa.array([2], pa.int32())},
+                           {"timestamp": one, "cpu_temp_c": pa.array([3], pa.int8()), "other": pa.array(["x"])}, {"timestamp": one, "cpu_temp_c": pa.nulls(1)},
+                           {"timestamp": one, "wifi_signal_dbm": pa.array([-4.0])}]):
+        folder = f"{root}/station=s{k % 2}/year=2024/month=01/day={k + 1:02d}"
+        os.makedirs(folder)
+        pq.write_table(pa.table(t), f"{folder}/health_0000.parquet")
+    got = {r.day: (r.cpu_temp_c, r.wifi_signal_dbm) for r in scan_health(spark, root).collect()}
+    assert got == {1: (1.5, None), 2: (2.0, None), 3: (3.0, None), 4: (None, None), 5: (None, -4)}
+    assert [r.day for r in scan_health(spark, root, dates=[(2024, 1, 1)]).collect()] == [1]
+    assert [r.day for r in scan_health(spark, root, dates=[(2024, 1, 1), (2024, 1, 2)]).orderBy("day").collect()] == [1, 2]

@@ -11,9 +11,6 @@ from envlake.plans.collect import corrected_readings
 from envlake.plans.lake_queries import hourly_station_avg
 from envlake.session import work_dir
 from envlake.sources.fixtures import raw_readings
-from envlake.sources.lake import scan_readings
-from envlake.streaming.aggregates import hourly_to_table, latest_hourly, stream_hourly_avg
-from envlake.streaming.ingest import batch_writer, land
 
 
 def test_null_boot_is_a_group_like_any_other(spark, sf):
@@ -45,27 +42,6 @@ def test_files_that_arrive_between_two_calls_count(spark, sf):
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
 
 
-def test_two_checkpoints_write_both_their_batches(spark, sf):
-    root = work_dir(spark, "test-two") + "/lake"
-    c = corrected_readings(raw_readings(spark, sf))
-    batch_writer(root, checkpoint="one")(c.where("boot_id % 2 = 0"), 0)
-    batch_writer(root, checkpoint="two")(c.where("boot_id % 2 = 1"), 0)
-    assert scan_readings(spark, root).count() == c.count()
-
-
-def test_hourly_stream_over_triggers_with_a_late_station_equals_the_batch(spark, sf):
-    c = corrected_readings(raw_readings(spark, sf)).select("station", "timestamp", "temperature", "humidity", "pm25")
-    late = c.agg(F.max("station")).first()[0]
-    base = work_dir(spark, "test-hourly")
-    half = F.unix_micros("timestamp") % 2 == 0
-    for rows in (c.where(half & (F.col("station") != late)), c.where(~half & (F.col("station") != late)), c.where(F.col("station") == late)):
-        land(rows, f"{base}/in", 1)
-        hourly_to_table(stream_hourly_avg(spark.readStream.schema(c.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/ckpt").awaitTermination()
-    want = c.groupBy("station", F.date_trunc("hour", "timestamp").alias("hour")).agg(F.count("*").alias("n"))
-    got = latest_hourly(spark, f"{base}/out")
-    assert {(r["station"], r["hour"], r["n_readings"]) for r in got.collect()} == {(r["station"], r["hour"], r["n"]) for r in want.collect()}
-
-
 def test_plain_averages(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("a", t, v, v, 1e-7 if v == 10 else 3e-7, 2024, 1) for v in (10.0, 20.0, float("nan"))]

@@ -32,15 +32,17 @@ def test_state_carries_across_triggers(spark, sf):
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
 
 
-def test_batch_layout_flush_skips_replayed_batch(spark, sf):
+
+def test_a_micro_batch_that_comes_again_replaces_itself(spark, sf):
     from envlake.sources.lake import scan_readings
-    from envlake.streaming.ingest import batch_writer
+    from envlake.streaming.ingest import day_of_row, lake_writer
     root = work_dir(spark, "test-replay") + "/lake"
     batch = corrected_readings(raw_readings(spark, sf)).where("boot_id = 0")
-    write = batch_writer(root)
+    write = lake_writer(root, day_of_row, query="one")
     write(batch, 7)
     n = scan_readings(spark, root).count()
     write(batch, 7)  # the same micro-batch delivered again after a restart
     assert n == batch.count() and scan_readings(spark, root).count() == n
-    write(batch, 8)  # a new batch id is written (at-least-once: duplicates are possible)
-    assert scan_readings(spark, root).count() == 2 * n
+    write(batch, 8)
+    lake_writer(root, day_of_row, query="two")(batch, 7)
+    assert scan_readings(spark, root).count() == 3 * n
