@@ -6,11 +6,13 @@ points, end exclusive).
 
 Base kinds: ``assign`` (a key word, a separator and a value of six or more characters),
 ``access`` (AKIA and more, 20 or more characters) and ``hex`` (24 or more lower-case digits).
-Entropy kinds: a candidate is a whole run of 20 or more characters of ``[A-Za-z0-9+/=_-]`` with a
-digit; its class is ``entropy_hex`` (hex digits only) or ``entropy_base64``. A window of 20
-characters slides over it, one character in and one out: the counts and the sum of ``c * log2 c``
-are updated for these two alone. The candidate is a secret if some window reaches the class's
-entropy, unless the allow-list names it or a base span overlaps it.
+Entropy kinds: runs of 20 or more characters of ``[A-Za-z0-9+/=_-]`` are cut at the base spans, and each
+piece of 20 or more characters with a digit is a candidate of its own, unless the allow-list names
+it. A window of 20 characters slides over it, one character in and one out: the counts and the sum of
+``c * log2 c`` are updated for these two alone. A piece that isn't hex digits throughout is one
+``entropy_base64`` span if some window reaches that class's entropy; otherwise each of its maximal stretches
+of 20 or more hex digits, with a digit, is judged alone and is an ``entropy_hex`` span if some window reaches the
+entropy of hex digits.
 
 Defined results: a null or empty text has no span; repeated rows are scanned each.
 Only ``doc_id`` and ``text`` are read.
@@ -39,9 +41,13 @@ LEAST = {"entropy_hex": 2.95, "entropy_base64": 3.7}
 _ALPHABET = {"entropy_hex": "0123456789abcdefABCDEF",
              "entropy_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"}
 
-#: Candidates that are no secrets: identifiers of a public form, sample keys, words and numbers joined by signs.
+#: Candidates that are no secrets, each pattern for the whole of it: identifiers of a public form, short sample
+#: keys that say so at their end, words and numbers joined by signs.
 ALLOW = ("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "^[0-9+/=_-]+$",
-         "(?i)example|sample|placeholder|xxxx", "^([A-Z]?[a-z]*|[A-Z]*|[0-9]*)([+/=_-]+([A-Z]?[a-z]*|[A-Z]*|[0-9]*))+$")
+         "^[A-Za-z0-9_-]{0,16}([eE][xX][aA][mM][pP][lL][eE]|[sS][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[xX]{4,})$",
+         "^([A-Z]?[a-z]*|[A-Z]*|[0-9]*)([+/=_-]+([A-Z]?[a-z]*|[A-Z]*|[0-9]*))+$")
+#: A maximal stretch of hex digits that is judged alone.
+STRETCH = "(?<![0-9a-fA-F])[0-9a-fA-F]{20,}"
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -50,15 +56,15 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _pieces(hits: str, pattern: str) -> str:
-    """SQL for what lies before each match in column ``hits``."""
-    return f"CASE WHEN size({hits}) > 0 THEN slice(split(text, {_quoted(pattern)}, -1), 1, size({hits})) ELSE {hits} END"
+def _pieces(hits: str, pattern: str, text: str = "text") -> str:
+    """SQL for what lies before each match in ``hits``."""
+    return f"CASE WHEN size({hits}) > 0 THEN slice(split({text}, {_quoted(pattern)}, -1), 1, size({hits})) ELSE {hits} END"
 
 
-def _spans(hits: str, pieces: str, kind: int) -> str:
-    """SQL for the spans of the matches in ``hits``, which ``pieces`` come before."""
+def _spans(hits: str, pieces: str, kind: int, at: str = "0L") -> str:
+    """SQL for the spans of the matches in ``hits``, which ``pieces`` come before, in a text that begins at ``at``."""
     return f"""aggregate(zip_with({hits}, {pieces}, (m, p) -> named_struct('before', length(p), 'own', length(m))),
-        named_struct('at', 0L, 'out', CAST(array() AS {_SPANS})),
+        named_struct('at', CAST({at} AS BIGINT), 'out', CAST(array() AS {_SPANS})),
         (a, x) -> named_struct('at', a.at + x.before + x.own, 'out', concat(a.out,
             array(named_struct('start', a.at + x.before, 'kind', {kind}, 'end', a.at + x.before + x.own)))),
         a -> a.out)"""
@@ -100,15 +106,27 @@ def find_secrets(docs: DataFrame, *more: str, allow: tuple[str, ...] = ALLOW, le
         F.expr(f"filter(zip_with({_spans('_run', '_run_before', 3)}, _run, "
                "(s, r) -> named_struct('s', s, 'r', r)), z -> z.r RLIKE '[0-9]')").alias("_cand"))
     based = placed.select("doc_id", "text", *more, F.expr("array_sort(concat(_s0, _s1, _s2))").alias("base"), "_cand")
+    # what the base spans leave of each run
+    gap = "named_struct('s', a.at, 'e', {end})"
+    left = f"""flatten(transform(_cand, z -> transform(aggregate(
+        filter(base, b -> b.start < z.s.end AND b.end > z.s.start),
+        named_struct('at', z.s.start, 'out', CAST(array() AS array<struct<s:bigint,e:bigint>>)),
+        (a, b) -> named_struct('at', greatest(a.at, b.end), 'out', CASE WHEN b.start > a.at THEN concat(a.out, array({gap.format(end="b.start")})) ELSE a.out END),
+        a -> CASE WHEN a.at < z.s.end THEN concat(a.out, array({gap.format(end="z.s.end")})) ELSE a.out END),
+        g -> named_struct('s', g.s, 'e', g.e, 'r', substring(z.r, CAST(g.s - z.s.start + 1 AS INT), CAST(g.e - g.s AS INT))))))"""
     allowed = " OR ".join(f"z.r RLIKE {_quoted(a)}" for a in allow) or "false"
-    hexa = "(z.r RLIKE '^[0-9a-fA-F]+$')"
-    extra = f"""CASE WHEN size(_cand) = 0 THEN CAST(array() AS {_SPANS}) ELSE
-        transform(filter(_cand, z -> NOT ({allowed})
-            AND NOT exists(base, b -> b.start < z.s.end AND b.end > z.s.start)
-            AND CASE WHEN {hexa} THEN {_entropy('z.r', 'entropy_hex')} >= {least['entropy_hex']!r}D
-                     ELSE {_entropy('z.r', 'entropy_base64')} >= {least['entropy_base64']!r}D END),
-            z -> named_struct('start', z.s.start, 'kind', CASE WHEN {hexa} THEN 3 ELSE 4 END, 'end', z.s.end)) END"""
-    return based.select("doc_id", "text", *more, "base", F.expr(extra).alias("extra"))
+    pieces = based.withColumn("_piece", F.expr(f"""CASE WHEN size(_cand) = 0 THEN NULL ELSE
+        filter({left}, z -> z.e - z.s >= {WINDOW} AND z.r RLIKE '[0-9]' AND NOT ({allowed})) END""")).drop("_cand")
+    # a piece is one span, or its stretches of hex digits are judged
+    whole = f"(NOT z.r RLIKE '^[0-9a-fA-F]+$' AND {_entropy('z.r', 'entropy_base64')} >= {least['entropy_base64']!r}D)"
+    told = pieces.withColumn("_told", F.expr(f"transform(_piece, z -> named_struct('s', z.s, 'e', z.e, 'r', z.r, 'whole', {whole}))")).drop("_piece")
+    hits = f"regexp_extract_all(z.r, {_quoted(STRETCH)}, 0)"
+    stretches = told.withColumn("_hexes", F.expr(f"""flatten(transform(filter(_told, z -> NOT z.whole), z -> transform(
+        {_spans(hits, _pieces(hits, STRETCH, "z.r"), 3, "z.s")}, x -> named_struct('x', x, 'r', substring(z.r, CAST(x.start - z.s + 1 AS INT), CAST(x.end - x.start AS INT))))))"""))
+    extra = f"""CASE WHEN coalesce(size(_told), 0) <= 0 THEN CAST(array() AS {_SPANS}) ELSE array_sort(concat(
+        transform(filter(_told, z -> z.whole), z -> named_struct('start', z.s, 'kind', 4, 'end', z.e)),
+        transform(filter(_hexes, h -> h.r RLIKE '[0-9]' AND {_entropy('h.r', 'entropy_hex')} >= {least['entropy_hex']!r}D), h -> h.x))) END"""
+    return stretches.select("doc_id", "text", *more, "base", F.expr(extra).alias("extra"))
 
 
 def _written(spans: str) -> str:
@@ -168,18 +186,31 @@ at_end AS (
     SELECT doc_id, k, m, v, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM one),
 placed AS (SELECT doc_id, k, m, v, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM at_end),
 base AS (SELECT * FROM placed WHERE k IN (1, 2) OR (k = 0 AND length(v) >= 6)),
+runs AS (SELECT *, row_number() OVER (ORDER BY doc_id, s) AS c FROM placed WHERE k = 3),
+free AS (
+    SELECT doc_id, c, s, m, p, p - row_number() OVER (PARTITION BY c ORDER BY p) AS g FROM (SELECT *, unnest(range(s, e)) AS p FROM runs) x
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.p AND b.e > x.p)),
+piece AS (
+    SELECT doc_id, min(p) AS s, max(p) + 1 AS e, substr(any_value(m), (min(p) - any_value(s) + 1)::INT, count(*)::INT) AS m FROM free GROUP BY doc_id, c, g),
 cand AS (
-    SELECT *, row_number() OVER (ORDER BY doc_id, s) AS c FROM placed c
-    WHERE k = 3 AND regexp_matches(m, '[0-9]') AND NOT ({" OR ".join(f"regexp_matches(m, '{a}')" for a in ALLOW)})
-      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND b.e > c.s)),
+    SELECT *, row_number() OVER (ORDER BY doc_id, s) AS c, regexp_matches(m, '^[0-9a-fA-F]+$') AS hexa FROM piece
+    WHERE length(m) >= {WINDOW} AND regexp_matches(m, '[0-9]') AND NOT ({" OR ".join(f"regexp_matches(m, '{a}')" for a in ALLOW)})),
 windows AS (SELECT c, m, unnest(range(0, length(m) - {WINDOW - 1})) AS w FROM cand),
 letters AS (SELECT c, w, unnest(string_split(substr(m, w + 1, {WINDOW}), '')) AS ch FROM windows),
 counted AS (SELECT c, w, ch, count(*) AS n FROM letters GROUP BY ALL),
 bits AS (SELECT c, w, -sum(n / {WINDOW}.0 * log2(n / {WINDOW}.0)) AS h FROM counted GROUP BY ALL),
-best AS (SELECT c, max(h) AS h FROM bits GROUP BY c),
+whole AS (SELECT c, max(h) AS h FROM bits GROUP BY c HAVING max(h) >= {LEAST["entropy_base64"]}),
+hexes AS (
+    SELECT c, doc_id, s, w - row_number() OVER (PARTITION BY c ORDER BY w) AS g, w, ch
+    FROM (SELECT c, doc_id, s, m, unnest(range(0, length(m))) AS w, unnest(string_split(m, '')) AS ch FROM cand
+          WHERE hexa OR c NOT IN (SELECT c FROM whole)) WHERE regexp_matches(ch, '[0-9a-fA-F]')),
+stretch AS (
+    SELECT c, doc_id, s + min(w) AS s, s + max(w) + 1 AS e, min(w) AS w0, max(w) AS w1 FROM hexes GROUP BY c, doc_id, s, g
+    HAVING count(*) >= {WINDOW} AND bool_or(regexp_matches(ch, '[0-9]'))),
+best AS (SELECT t.c, t.s, max(h) AS h FROM stretch t JOIN bits b ON b.c = t.c AND b.w >= w0 AND b.w + {WINDOW - 1} <= w1 GROUP BY t.c, t.s),
 extra AS (
-    SELECT doc_id, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS k, s, e FROM cand JOIN best USING (c)
-    WHERE h >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {LEAST["entropy_hex"]} ELSE {LEAST["entropy_base64"]} END),
+    SELECT doc_id, 4 AS k, s, e FROM cand WHERE NOT hexa AND c IN (SELECT c FROM whole)
+    UNION ALL SELECT doc_id, 3, t.s, t.e FROM stretch t JOIN best b ON b.c = t.c AND b.s = t.s WHERE h >= {LEAST["entropy_hex"]}),
 every AS (
     SELECT doc_id, k, s, e, list_extract({list(KINDS)!r}, k + 1) || ':' || s || ':' || e AS w
     FROM (SELECT doc_id, k, s, e FROM base UNION ALL SELECT doc_id, k, s, e FROM extra)),
