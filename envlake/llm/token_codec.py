@@ -4,8 +4,9 @@ An id is four hexadecimal digits, high first. Each digit is predicted by three a
 counts, of order 0 (the digits before it), 1 (also the id before) and 2 (also the two before);
 the predictions are mixed by weights that follow how well each did, and an arithmetic (range)
 coder writes the digit. A block of :data:`BLOCK` ids starts from empty tables and carries a
-checksum, so any block can be read alone. All blocks of a section advance side by side as numpy
-lanes: one step codes one digit of every block.
+checksum, so any block can be read alone. Blocks advance side by side as numpy lanes, :data:`LANES` at
+most: one step codes one digit of every block. Their tables take 135 KB each, so a task's tables stay
+under 70 MB however long a text is; its ids themselves take 8 bytes each.
 
 A section file holds whole documents in ascending ``doc_id`` order::
 
@@ -14,7 +15,8 @@ A section file holds whole documents in ascending ``doc_id`` order::
     u32 bytes and u32 crc32 for each block, the blocks' bytes, u32 crc32 of all before
 
 Defined results: a null or empty text has just the end id; rows that share an id are ordered by
-text, rows without id come first; an empty table writes nothing. Only ``doc_id`` and ``text``
+text, rows without id come first; an empty table writes nothing. An id of 65,536 or more, or below 0, is an error:
+four digits can't hold it. Only ``doc_id`` and ``text``
 are read.
 """
 
@@ -22,18 +24,21 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlake.llm.common import id_text, save, ship_package, slices, work_dir
+from envlake.sources.files import _fs, qualified
 
 BLOCK = 2048
+#: Blocks coded side by side.
+LANES = 512
 #: Ids after which a section ends with the current document.
 SECTION = 1 << 20
 _SLOTS = 2048
@@ -111,7 +116,15 @@ def _padded(ids: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray) -> list[bytes]:
-    """The bytes of each block of ids below 65536 (the last one filled up with zeros)."""
+    """The bytes of each block of ids (the last one filled up with zeros); ValueError for ids outside [0, 65536)."""
+    ids = np.asarray(ids)
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > 0xFFFF):
+        raise ValueError(f"ids from {ids.min()} to {ids.max()}: only 0 to 65535 can be coded")
+    step = LANES * BLOCK
+    return [b for i in range(0, len(ids), step) for b in _compress(ids[i:i + step])]
+
+
+def _compress(ids: np.ndarray) -> list[bytes]:
     rows = _padded(ids)
     lanes = _Lanes(len(rows))
     out = np.zeros((len(rows), BLOCK * 9 + 16), dtype=np.uint8)
@@ -141,9 +154,12 @@ def compress(ids: np.ndarray) -> list[bytes]:
 
 def expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
     """The ids that :func:`compress` was given."""
+    parts = [_expand(blocks[i:i + LANES], min(n_ids - i * BLOCK, LANES * BLOCK)) for i in range(0, len(blocks), LANES)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def _expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
     n = len(blocks)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
     width = max(map(len, blocks)) + 8
     data = np.zeros((n, width), dtype=np.uint64)
     for i, b in enumerate(blocks):
@@ -212,14 +228,6 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     return [i if k else None for i, k in zip(doc_ids.tolist(), known.tolist())], lengths, expand(blocks, n_ids), before
 
 
-def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0,
                 tasks: int | None = None) -> DataFrame:
     """Encode every text, add ``end_id``, and write section files into ``folder`` (a fresh one under the
@@ -229,7 +237,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     spark = docs.sparkSession
     ship_package(spark)
     rows = id_text(docs)
-    folder = folder or work_dir(spark, "token-files")
+    folder = qualified(spark, folder or work_dir(spark, "token-files"))
+    if not 0 <= end_id <= 0xFFFF:
+        raise ValueError(f"end id {end_id}: only 0 to 65535 can be coded")
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10000, 20 * n))).first()[0] if n > 1 else []
     edges = np.unique(np.array(cuts or [], dtype=np.int64))
@@ -246,14 +256,14 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True
-        fs, base = _file_system(folder)
+        fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
         chunk, done, section, held_ids, held, size = None, 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             raw = pack(held_ids, [len(x) for x in held], np.concatenate(held), done)
             name = f"{base}/chunk-{chunk:06d}-{section:06d}.cmr"
-            own = f"{base}/_{os.getpid()}-{chunk:06d}-{section:06d}"
+            own = f"{base}/_{uuid.uuid4().hex}-{chunk:06d}-{section:06d}"
             with fs.open_output_stream(own) as f:
                 f.write(raw)
             fs.move(own, name)
@@ -293,7 +303,7 @@ def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, path in zip(b.column("chunk").to_pylist(), b.column("path").to_pylist()):
-                fs, name = _file_system(path)
+                fs, name = _fs(path)
                 with fs.open_input_stream(name) as f:
                     doc_ids, lengths, ids, before = unpack(f.read())
                 at = np.zeros(len(lengths) + 1, dtype=np.int64)
