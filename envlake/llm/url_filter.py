@@ -164,8 +164,8 @@ def judge(pages: DataFrame, docs: DataFrame, rules=RULES, alpha: float = 1.0) ->
     words = segment_hosts(urls.select("host").distinct(), save(word_counts(docs), "url-vocabulary"))
     weights, prior = learn_weights(urls, words, alpha)
     open_ = urls.where("verdict IS NULL")
-    hosts = _sums(open_.select("host").distinct().join(words, "host"), "host", "words", "host:", weights, "by_host")
-    paths = _sums(open_.groupBy("shape").agg(F.first("tokens").alias("tokens")), "shape", "tokens", "path:", weights, "by_path")
+    hosts = save(_sums(open_.select("host").distinct().join(words, "host"), "host", "words", "host:", weights, "by_host"), "url-hosts")  # both are written, so that Spark can split a hot host or path in the joins below
+    paths = save(_sums(open_.groupBy("shape").agg(F.first("tokens").alias("tokens")), "shape", "tokens", "path:", weights, "by_path"), "url-paths")
     total = F.lit(prior) + F.coalesce("by_host", F.lit(0)) + F.coalesce("by_path", F.lit(0))
     own = words.withColumnRenamed("words", "host_words")
     decided = (urls.join(own, "host", "left").join(hosts, "host", "left").join(paths, "shape", "left")
