@@ -1,24 +1,23 @@
 """Repeated passages by sparse suffix arrays.
 
 A passage of fifty words holds forty neighbouring heads (hashes of eight words); the place of the
-smallest is its anchor, the same in every occurrence. Only suffixes that begin at anchors are kept, and
-of these only those whose head occurs in several texts (grouped minima).
+smallest is its anchor, the same in every occurrence. Only suffixes that begin at anchors are kept.
 
 The kept suffixes are sorted by head and the words that follow. What a suffix shares with its neighbours in
-this order is the most it shares with any other, so the match is extended to the right that far and
-no farther. Sorted again by head and the words before it, read leftwards, the neighbours tell how far a
-match can extend to the left. Both orders compare words by one byte of their hashes: two words that
-differ may pass for equal, so a length is never too small. Of the fifty-word windows hung on an anchor those
-inside both extensions are left, and these are held against each other by their whole 64-bit hashes, which
-decides. So no neighbour is out of reach, whatever stands beside a passage and however many texts have it.
-
-Suffixes are dealt by ranges of (head, words, row), which splits heads and passages that many texts
-have; at the edge of a range, where a neighbour lies in the next one, a match counts as long as can be. A
-window's first occurrence is a grouped minimum, joined back by a join that Spark can split.
-
-The first occurrence in order of ``doc_id`` (null last), a digest and the place stays; all later ones in
-other texts are repeats. Overlapping windows of a text form a span; spans that share a window, also by way
-of others, have one class.
+this order is the most it shares with any other, so a match extends to the right that far and no
+farther. Sorted again by head and the words before it, read leftwards, the neighbours tell how far a
+match can extend to the left. Both orders compare 32 words by two bits of their hashes: words that differ
+may pass for equal, so a length is never too small, and a suffix takes 36 bytes. Of the windows of
+:data:`LEAST` words hung on an anchor those inside both extensions are left; these are compared by
+their whole 64-bit hashes, which decides. So no neighbour is out of reach, whatever stands beside a passage
+and however many texts have it.
+
+Suffixes are dealt by ranges of (head, words, row), which splits heads and passages that many texts have; at
+the edge of a range, where a neighbour lies in the next one, a match counts as long as can be. Equal
+windows are read as a sorted stream, spread by their hashes: a task holds a batch and what one text
+repeats, and a passage's windows go to many tasks. The first occurrence in order of ``doc_id`` (null last),
+a digest and the place stays; all later ones in other texts are repeats. Overlapping windows of a text
+form a span; spans that share a window, also by way of others, have one class.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; null, empty and short texts
 have no window and no row; a passage counts if a row with another id or text has it (repeats within a
@@ -41,8 +40,8 @@ from envlake.llm.vec import join_texts, mix64, shingles, word_hashes, word_spans
 
 LEAST = 50
 HEAD, WINDOW = 8, 40
-#: Words beside a head that a window can hold.
-CONTEXT = LEAST - HEAD
+#: Words beside a head that the orders compare, at two bits each, and those that a window can hold.
+COMPARED, CONTEXT = 32, LEAST - HEAD
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -85,60 +84,82 @@ def _windows(words: np.ndarray) -> np.ndarray:
     return pair(pair(runs[32], runs[16][32:]), runs[2][48:])
 
 
+def _contexts(words: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each of the words after the heads at ``at``, and of those before them leftwards, each packed into
+    one integer, nearest word first. Beyond a text's ends the bits are the neighbouring texts': windows end there anyway."""
+    bits = np.concatenate([np.zeros(COMPARED, np.uint64), words >> np.uint64(62), np.zeros(COMPARED + HEAD, np.uint64)])
+    right, left = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+    for k in range(COMPARED):
+        right = (right << np.uint64(2)) | bits[at + COMPARED + HEAD + k]
+        left = (left << np.uint64(2)) | bits[at + COMPARED - 1 - k]
+    return right, left
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that two packed contexts share; all that a window can hold where they are equal throughout."""
+    differ = np.unpackbits((a ^ b).astype(">u8").view(np.uint8)).reshape(-1, 64)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1) // 2, CONTEXT)
+
+
 def _extended(batches: Iterator[pa.RecordBatch], side: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """From suffixes sorted by head and context ``side``: rows with the number of words of the context that they
-    share with a neighbour of the same head; the whole context at the edges of the stream. One batch is in
-    memory, and the row before it."""
+    share with a neighbour of the same head (-1 without one); all that can be at the edges of the stream. A batch is
+    in memory, and the row before it."""
     held, carry = None, CONTEXT
     for b in batches:
         held = b if held is None else pa.concat_batches([held, b])
-        n = held.num_rows
-        if n < 2:
+        if held.num_rows < 2:
             continue
-        g = held.column("g").to_numpy()
-        words = np.frombuffer(b"".join(held.column(side).to_pylist()), dtype=np.uint8).reshape(n, CONTEXT)
-        differ = words[1:] != words[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), CONTEXT)
-        common[g[1:] != g[:-1]] = 0
-        yield held.slice(0, n - 1), np.maximum(np.concatenate([[carry], common[:-1]]), common)
-        held, carry = held.slice(n - 1), int(common[-1])
+        g, words = held.column("g").to_numpy(), held.column(side).to_numpy()
+        common = np.where(g[1:] == g[:-1], _common(words[1:], words[:-1]), -1)
+        yield held.slice(0, held.num_rows - 1), np.maximum(np.concatenate([[carry], common[:-1]]), common)
+        held, carry = held.slice(held.num_rows - 1), int(common[-1])
     if held is not None:
         yield held, np.full(held.num_rows, CONTEXT)
 
 
-def _trimmed(b: pa.RecordBatch, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each suffix, the windows whose start lies in ``[least, most]``: how many, the first one's start, and all windows
-    with the index of their suffix."""
-    size = np.diff(b.column("windows").offsets.to_numpy())
-    start = b.column("start").to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
-    keep = (place >= least[of]) & (place <= most[of])
-    return np.bincount(of[keep], minlength=len(size)), np.maximum(start, least), np.flatnonzero(keep), of
-
-
 def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose match can extend far enough to the right for one of their windows, with those."""
+    """Suffixes whose head occurs elsewhere, with how far a match can extend to the right."""
     for b, common in _extended(batches, "right"):
-        reach = b.column("place").to_numpy() + HEAD + common
-        count, start, keep, _ = _trimmed(b, np.full(b.num_rows, -1), reach - LEAST)
-        some = np.flatnonzero(count)
-        windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[some])]), pa.int32()),
-                                           b.column("windows").flatten().take(pa.array(keep)))
-        own = b.take(pa.array(some))
-        yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("g", "row", "doc_id", "place", "left")), pa.array(start[some], pa.int32()), windows],
-                                         ["g", "row", "doc_id", "place", "left", "start", "windows"])
+        some = pa.array(common >= 0)
+        yield pa.RecordBatch.from_arrays([*(b.column(c).filter(some) for c in ("g", "left", "row", "place")),
+                                          pa.array(common, pa.int32()).filter(some)], ["g", "left", "row", "place", "reach"])
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows inside both extensions."""
+    """Suffixes with room for a window between both extensions: where it can start, first and last."""
     for b, common in _extended(batches, "left"):
-        _, _, keep, of = _trimmed(b, b.column("place").to_numpy() - common, np.full(b.num_rows, 1 << 40))
-        size = np.diff(b.column("windows").offsets.to_numpy())
-        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + b.column("start").to_numpy()[of]
-        who = pa.array(of[keep])
-        yield pa.record_batch([b.column("windows").flatten().take(pa.array(keep)), b.column("doc_id").take(who), b.column("row").take(who),
-                               pa.array(place[keep], pa.int32())], ["w", "doc_id", "row", "place"])
+        place, reach = b.column("place").to_numpy(), b.column("reach").to_numpy()
+        some = pa.array((common >= 0) & (common + reach >= CONTEXT))
+        yield pa.RecordBatch.from_arrays([b.column("row").filter(some), b.column("place").filter(some), pa.array(place - common, pa.int32()).filter(some),
+                                          pa.array(place + HEAD + reach - LEAST, pa.int32()).filter(some)], ["row", "place", "least", "most"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by window, id and row, those of windows that several rows have, each with the
+    first occurrence; a batch and what the first row has of a window are in memory."""
+    held = first = None  # first: window, row and place of the run that the held rows go on with
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = b if held is None else pa.concat_batches([held, b])
+        w, row = held.column("w").to_numpy(), held.column("row").to_numpy()
+        place = held.column("place").to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        end = np.append(begin[1:], len(w))
+        first_row, first_place = row[begin], place[begin]
+        if first is not None and first[0] == w[0]:
+            first_row[0], first_place[0] = first[1:]
+        several = row[end - 1] != first_row
+        if first is not None and first[0] == w[0]:
+            several[0] = True
+        run = np.repeat(np.arange(len(begin)), end - begin)
+        keep = several[run]
+        yield pa.record_batch([
+            held.column("doc_id").filter(pa.array(keep)), pa.array(row[keep]), pa.array(place[keep]),
+            pa.array(first_row[run][keep]), pa.array(first_place[run][keep])], ["doc_id", "row", "place", "first_row", "first_place"])
+        first = (w[-1], first_row[-1], first_place[-1]) if several[-1] else None
+        held = None if several[-1] else held.slice(int(begin[-1]))
 
 
 def _unions(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,47 +170,28 @@ def _unions(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[new], place[np.append(new[1:], len(place)) - 1] + LEAST
 
 
-_SPAN = [("start", pa.int64()), ("end", pa.int64())]
-_LINK = [("start", pa.int64()), ("first_row", pa.int64()), ("first_place", pa.int64())]
-
-
-def _structs(rows: list, names: list) -> pa.Array:
-    return pa.array([[dict(zip([n for n, _ in names], x)) for x in r] for r in rows], pa.list_(pa.struct(names)))
-
-
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From windows sorted by row and place: of each row, the spans of its windows, those that are repeats, and
-    for each stretch of windows that go on side by side with their first occurrences one link. A batch and the
-    windows of one text are in memory."""
-    held = None
-
-    def told(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, places, first_rows, first_places = (b.column(c).to_numpy().astype(np.int64) for c in ("row", "place", "first_row", "first_place"))
-        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    """Of each row, the spans of its windows, those that are repeats, and for each stretch of windows
+    that go on side by side with their first occurrences one link."""
+    span, link = [("start", pa.int64()), ("end", pa.int64())], [("start", pa.int64()), ("first_row", pa.int64()), ("first_place", pa.int64())]
+    for b in batches:
         spans, repeats, links = [], [], []
-        for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(row)]):
-            place, which = np.unique(places[low:high], return_index=True)  # repeated rows have each window several times
-            first_row, first_place = first_rows[low:high][which], first_places[low:high][which]
+        for own, found in zip(b.column("row").to_pylist(), b.column("found")):
+            place, first_row, first_place = (found.values.field(c).to_numpy().astype(np.int64) for c in ("place", "first_row", "first_place"))
+            order = np.argsort(place)
+            place, first_row, first_place = place[order], first_row[order], first_place[order]
             start, end = _unions(place)
             spans.append(list(zip(start.tolist(), end.tolist())))
-            repeats.append(list(zip(*(x.tolist() for x in _unions(place[first_row != row[low]])))))
+            repeats.append(list(zip(*(x.tolist() for x in _unions(place[first_row != own])))))
             new = np.ones(len(place), dtype=bool)
             new[1:] = (first_row[1:] != first_row[:-1]) | (first_place[1:] != first_place[:-1] + 1) | (place[1:] != place[:-1] + 1)
             at = start[np.searchsorted(start, place[new], side="right") - 1]
             links.append(list(zip(at.tolist(), first_row[new].tolist(), first_place[new].tolist())))
-        return pa.record_batch([b.column("doc_id").take(pa.array(begin)), pa.array(row[begin]), _structs(spans, _SPAN), _structs(repeats, _SPAN),
-                                _structs(links, _LINK)], ["doc_id", "row", "spans", "repeats", "links"])
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held = b if held is None else pa.concat_batches([held, b])
-        row = held.column("row").to_numpy()
-        last = int(np.flatnonzero(row != row[-1])[-1]) + 1 if row[0] != row[-1] else 0
-        if last:
-            yield told(held.slice(0, last))
-            held = held.slice(last)
-    if held is not None:
-        yield told(held)
+
+        def structs(rows: list, names: list) -> pa.Array:
+            return pa.array([[dict(zip([n for n, _ in names], x)) for x in r] for r in rows], pa.list_(pa.struct(names)))
+        yield pa.record_batch([b.column("doc_id"), b.column("row"), structs(spans, span), structs(repeats, span), structs(links, link)],
+                              ["doc_id", "row", "spans", "repeats", "links"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -218,59 +220,45 @@ def _passages(docs: DataFrame) -> DataFrame:
     # rows are told apart by a digest, so that rows sharing a doc_id or without one keep their own spans
     rows = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            _, first, _, anchor, head = anchors([t.encode() for t in b.column("text").to_pylist()])
+            words, first, _, anchor, head = anchors([t.encode() for t in b.column("text").to_pylist()])
             at, which = np.unique(anchor, return_index=True)
             doc = np.searchsorted(first, at, side="right") - 1
-            yield pa.record_batch([pa.array(head[which].view(np.int64), pa.int64()), b.column("row").take(pa.array(doc)),
-                                   pa.array(at - first[doc], pa.int32())], ["g", "row", "place"])
-    kept = rows.mapInArrow(select, "g long, row long, place int")
-    often = save(kept.groupBy("g").agg(F.min("row").alias("x"), F.max("row").alias("y")).where("x < y").select("g"), "passage-heads")
+            right, left = _contexts(words, first, at)
+            yield pa.record_batch([*(pa.array(x.view(np.int64), pa.int64()) for x in (head[which], right, left)), b.column("row").take(pa.array(doc)),
+                                   pa.array(at - first[doc], pa.int32())], ["g", "right", "left", "row", "place"])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.mapInArrow(suffixes, "g long, right long, left long, row long, place int")
+    by_right = (kept.repartitionByRange(n, "g", "right", "row", "place").sortWithinPartitions("g", "right", "row", "place")
+                .mapInArrow(_right, "g long, left long, row long, place int, reach int"))
+    by_left = (by_right.repartitionByRange(n, "g", "left", "row", "place").sortWithinPartitions("g", "left", "row", "place")
+               .mapInArrow(_left, "row long, place int, least int, most int"))
     # places of a text: bounded by its length
-    places = kept.join(often, "g", "left_semi").groupBy("row").agg(F.collect_set("place").alias("places"))
+    places = by_left.groupBy("row").agg(F.collect_set(F.struct("place", "least", "most")).alias("places"))
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words, first, start, anchor, head = anchors([t.encode() for t in b.column("text").to_pylist()])
+            words, first, start, anchor, _ = anchors([t.encode() for t in b.column("text").to_pylist()])
             if not len(start):
                 continue
-            asked = np.zeros(len(words), dtype=bool)
-            for low, p in zip(first.tolist(), b.column("places").to_pylist()):
-                asked[low + np.array(p, dtype=np.int64)] = True
+            least, most = np.full(len(words), 1 << 40), np.full(len(words), -1)
+            for low, found in zip(first.tolist(), b.column("places")):
+                place, from_, to = (found.values.field(c).to_numpy().astype(np.int64) for c in ("place", "least", "most"))
+                least[low + place], most[low + place] = low + from_, low + to
             doc = np.searchsorted(first, start, side="right") - 1
-            use = asked[anchor] & (start + LEAST <= first[doc + 1])
-            start, anchor, head, doc = start[use], anchor[use], head[use], doc[use]
+            use = (least[anchor] <= start) & (start <= most[anchor]) & (start + LEAST <= first[doc + 1])
+            start, doc = start[use], doc[use]
             if not len(start):
                 continue
-            begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))  # windows of one anchor follow each other
-            place, own = anchor[begin], doc[begin]
-            # a byte of each word beside the head; zero beyond the text, whose windows end there anyway
-            around = np.concatenate([np.zeros(CONTEXT, np.uint8), (words >> np.uint64(40)).astype(np.uint8), np.zeros(CONTEXT + HEAD, np.uint8)])
-            near = np.lib.stride_tricks.sliding_window_view(around, CONTEXT)
-            right, left = near[place + CONTEXT + HEAD], near[place][:, ::-1]
-
-            def binary(x: np.ndarray) -> pa.Array:
-                return pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
             yield pa.record_batch([
-                pa.array(head[begin].view(np.int64), pa.int64()), b.column("row").take(pa.array(own)), b.column("doc_id").take(pa.array(own)),
-                pa.array(place - first[own], pa.int32()), binary(right), binary(left), pa.array(start[begin] - first[own], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.append(begin, len(start)), pa.int32()), pa.array(_windows(words)[start].view(np.int64), pa.int64()))],
-                ["g", "row", "doc_id", "place", "right", "left", "start", "windows"])
-    kind = "g long, row long, doc_id long, place int, left binary, start int, windows array<long>"
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.join(places, "row").mapInArrow(suffixes, kind.replace("left", "right binary, left"))
-    by_right = (save(found, "suffixes").repartitionByRange(n, "g", "right", "row", "place").sortWithinPartitions("g", "right", "row", "place")
-                .mapInArrow(_right, kind))
-    by_left = (save(by_right, "suffixes-right").repartitionByRange(n, "g", "left", "row", "place").sortWithinPartitions("g", "left", "row", "place")
-               .mapInArrow(_left, "w long, doc_id long, row long, place int"))
-    windows = save(by_left, "passage-windows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "place")
-    firsts = save(windows.groupBy("w").agg(F.min(order).alias("f"), F.min("row").alias("x"), F.max("row").alias("y")).where("x < y")
-                  .select("w", F.col("f.row").alias("first_row"), F.col("f.place").alias("first_place")), "passage-firsts")
-    both = windows.join(firsts, "w").select("doc_id", "row", "place", "first_row", "first_place")
+                pa.array(_windows(words)[start].view(np.int64), pa.int64()), b.column("doc_id").take(pa.array(doc)),
+                b.column("row").take(pa.array(doc)), pa.array(start - first[doc], pa.int32())], ["w", "doc_id", "row", "place"])
+    windows = rows.join(places, "row").mapInArrow(expand, "w long, doc_id long, row long, place int")
+    found = (windows.repartition("w").sortWithinPartitions("w", F.asc_nulls_last("doc_id"), "row", "place")
+             .mapInArrow(_shared, "doc_id long, row long, place int, first_row long, first_place int"))
     # windows of a text: bounded by its length
+    each = found.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("place", "first_row", "first_place")).alias("found"))
     pair = "array<struct<start:bigint,end:bigint>>"
-    return (both.repartition("row").sortWithinPartitions("row", "place")
-            .mapInArrow(_spans, f"doc_id long, row long, spans {pair}, repeats {pair}, "
-                                "links array<struct<start:bigint,first_row:bigint,first_place:bigint>>"))
+    return each.mapInArrow(_spans, f"doc_id long, row long, spans {pair}, repeats {pair}, "
+                                   "links array<struct<start:bigint,first_row:bigint,first_place:bigint>>")
