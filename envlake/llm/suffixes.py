@@ -170,28 +170,30 @@ def _unions(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[new], place[np.append(new[1:], len(place)) - 1] + LEAST
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _structs(rows: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> pa.Array:
+    """A list column of structs from each row's fields."""
+    at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
+    flat = [pa.array(np.concatenate([r[k] for r in rows]).astype(np.int64), pa.int64()) for k in range(len(names))]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(flat, list(names)))
+
+
+def _spans(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Of each row, the spans of its windows, those that are repeats, and for each stretch of windows
-    that go on side by side with their first occurrences one link."""
-    span, link = [("start", pa.int64()), ("end", pa.int64())], [("start", pa.int64()), ("first_row", pa.int64()), ("first_place", pa.int64())]
-    for b in batches:
+    that go on side by side with their first occurrences one link; so many rows at a time."""
+    for b in (batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows)):
         spans, repeats, links = [], [], []
         for own, found in zip(b.column("row").to_pylist(), b.column("found")):
             place, first_row, first_place = (found.values.field(c).to_numpy().astype(np.int64) for c in ("place", "first_row", "first_place"))
             order = np.argsort(place)
             place, first_row, first_place = place[order], first_row[order], first_place[order]
             start, end = _unions(place)
-            spans.append(list(zip(start.tolist(), end.tolist())))
-            repeats.append(list(zip(*(x.tolist() for x in _unions(place[first_row != own])))))
+            spans.append((start, end))
+            repeats.append(_unions(place[first_row != own]))
             new = np.ones(len(place), dtype=bool)
             new[1:] = (first_row[1:] != first_row[:-1]) | (first_place[1:] != first_place[:-1] + 1) | (place[1:] != place[:-1] + 1)
-            at = start[np.searchsorted(start, place[new], side="right") - 1]
-            links.append(list(zip(at.tolist(), first_row[new].tolist(), first_place[new].tolist())))
-
-        def structs(rows: list, names: list) -> pa.Array:
-            return pa.array([[dict(zip([n for n, _ in names], x)) for x in r] for r in rows], pa.list_(pa.struct(names)))
-        yield pa.record_batch([b.column("doc_id"), b.column("row"), structs(spans, span), structs(repeats, span), structs(links, link)],
-                              ["doc_id", "row", "spans", "repeats", "links"])
+            links.append((start[np.searchsorted(start, place[new], side="right") - 1], first_row[new], first_place[new]))
+        yield pa.record_batch([b.column("doc_id"), b.column("row"), _structs(spans, ("start", "end")), _structs(repeats, ("start", "end")),
+                               _structs(links, ("start", "first_row", "first_place"))], ["doc_id", "row", "spans", "repeats", "links"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -230,9 +232,9 @@ def _passages(docs: DataFrame) -> DataFrame:
                                    pa.array(at - first[doc], pa.int32())], ["g", "right", "left", "row", "place"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = rows.mapInArrow(suffixes, "g long, right long, left long, row long, place int")
-    by_right = (kept.repartitionByRange(n, "g", "right", "row", "place").sortWithinPartitions("g", "right", "row", "place")
+    by_right = (save(kept, "suffixes").repartitionByRange(n, "g", "right", "row", "place").sortWithinPartitions("g", "right", "row", "place")
                 .mapInArrow(_right, "g long, left long, row long, place int, reach int"))
-    by_left = (by_right.repartitionByRange(n, "g", "left", "row", "place").sortWithinPartitions("g", "left", "row", "place")
+    by_left = (save(by_right, "suffixes-right").repartitionByRange(n, "g", "left", "row", "place").sortWithinPartitions("g", "left", "row", "place")
                .mapInArrow(_left, "row long, place int, least int, most int"))
     # places of a text: bounded by its length
     places = by_left.groupBy("row").agg(F.collect_set(F.struct("place", "least", "most")).alias("places"))
