@@ -1,15 +1,19 @@
 """Quality rules: fixed counts, then robust multivariate outliers per language and source.
 
 DataFrame and SQL functions only. Every text gives counts (see :func:`text_counts`) and a vector
-of transformed statistics. For each (language, source) a minimum-covariance-determinant estimate
-is found by concentration steps: from medians and interquartile ranges, take the share
-:data:`CORE` of rows with the smallest Mahalanobis distance, estimate mean and covariance of
-those, repeat; then reweight once. Each step is two grouped aggregates over narrow rows. A
-row is rejected if its distance exceeds the chi-square quantile :data:`TAIL` leaves beyond.
+of transformed statistics. For each (language, source), each language and all rows a
+minimum-covariance-determinant estimate is found by concentration steps from two starts (medians with
+interquartile ranges, medians with the covariance of spatial signs): take the share :data:`CORE` of rows with
+the smallest Mahalanobis distance, estimate mean and covariance of those, and repeat until no determinant falls
+any more; of the two the one of least determinant stays and is reweighted once.
 
-Groups of fewer than :data:`LEAST_ROWS` rows use their language's estimate, and languages of
-fewer use that of all rows. The covariance of a statistic can't fall below its floor, so groups
-of equal rows (copies) don't reject what differs a little.
+A group of ``n`` rows is judged by its own estimate with the weight ``n / (n + PRIOR)`` and by its language's with
+the rest, a language by its own and that of all rows likewise: the moments are those of the mixture, so a small
+group that differs widens its own covariance, and verdicts don't jump at any size. A row is
+rejected if its distance exceeds the chi-square quantile that :data:`TAIL` leaves beyond. The covariance of a
+statistic can't fall below its floor, so groups of equal rows (copies) don't reject what differs a little.
+
+Rows and estimates are joined by key and a salt that spreads a group's rows, whatever its size.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language or
 source is a group of its own; repeated rows are judged each and count each. With no row that
@@ -27,8 +31,11 @@ from pyspark.sql import functions as F
 from envlake.llm.common import id_text, save
 
 CORE = 0.75
-STEPS = 4
-LEAST_ROWS = 200
+#: Steps at most, and the fall of a log determinant that counts as one.
+STEPS, FALL = 20, 0.01
+#: Rows that a wider group's estimate counts as.
+PRIOR = 200
+SALTS = 32
 TAIL = 1e-4
 
 #: The transformed statistics, and the least standard deviation of each.
@@ -124,40 +131,83 @@ def _with_cholesky(fits: DataFrame) -> DataFrame:
             below[f"l{i}{j}"] = rest / F.col(f"l{j}{j}")
         if below:
             fits = fits.withColumns(below)
-    return fits.select("key", *[f"m{i}" for i in range(_D)], *[f"l{i}{j}" for i in range(_D) for j in range(i + 1)])
+    det = sum((F.log(f"l{j}{j}") for j in range(1, _D)), F.log("l00")) * 2
+    return fits.withColumn("det", det)
+
+
+_MEAN = [f"m{i}" for i in range(_D)]
+_COV = [f"s{i}{j}" for i in range(_D) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and scaled covariance by key, with the floors added to the diagonal."""
-    sums = rows.groupBy("key").agg(
+def _moments(rows: DataFrame, scale: float, *by: str) -> DataFrame:
+    """Mean and scaled covariance by the columns named, with the floors added to the diagonal."""
+    sums = rows.groupBy(*by).agg(
         *[F.avg(v).alias(f"m{i}") for i, v in enumerate(_V)],
         *[F.covar_pop(_V[i], _V[j]).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)])
     floors = [VECTOR[v][1] ** 2 for v in _V]
-    return sums.select("key", *[f"m{i}" for i in range(_D)],
-                       *[(F.col(f"c{i}{j}") * scale + (floors[i] if i == j else 0.0)).alias(f"s{i}{j}")
-                         for i in range(_D) for j in range(i + 1)])
+    return sums.select(*by, *_MEAN, *[(F.col(f"c{i}{j}") * scale + (floors[i] if i == j else 0.0)).alias(f"s{i}{j}")
+                                      for i in range(_D) for j in range(i + 1)])
+
+
+def _beside(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Rows with what ``fits`` has for their key; both sides are spread by the salt."""
+    return rows.join(fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two estimates for each key to start from."""
+    quartiles = rows.groupBy("key").agg(*[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}")
+                                          for i, v in enumerate(_V)])
+    plain = save(quartiles.select("key", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_D)], *[
+        (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + VECTOR[v][1] ** 2).alias(f"d{i}") for i, v in enumerate(_V)]), "mcd-medians")
+    z = [(F.col(v) - F.col(f"m{i}")) / F.sqrt(f"d{i}") for i, v in enumerate(_V)]
+    unit = _beside(rows, plain).select("key", *[c.alias(f"z{i}") for i, c in enumerate(z)]).withColumn(
+        "_n", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(1, _D)), F.col("z0") ** 2), F.lit(1e-12)))
+    signs = unit.groupBy("key").agg(*[(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("_n")) * _D).alias(f"u{i}{j}")
+                                      for i in range(_D) for j in range(i + 1)])
+    both = plain.join(signs, "key")
+    first = both.select("key", F.lit(0).alias("start"), *_MEAN, *[(F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"s{i}{j}")
+                                                                for i in range(_D) for j in range(i + 1)])
+    floors = [VECTOR[v][1] ** 2 for v in _V]
+    second = both.select("key", F.lit(1).alias("start"), *_MEAN, *[
+        (F.col(f"u{i}{j}") * F.sqrt(F.col(f"d{i}") * F.col(f"d{j}")) + (floors[i] if i == j else 0.0)).alias(f"s{i}{j}")
+        for i in range(_D) for j in range(i + 1)])
+    return first.unionByName(second)
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Robust means and Cholesky factors by ``key`` from ``(key, v1..)``. Each step's result (one
-    row a key) is written to the shared folder, so plans stay short and nothing is redone."""
-    start = rows.groupBy("key").agg(*[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}")
-                                      for i, v in enumerate(_V)])
-    diagonal = start.select("key", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_D)], *[
-        (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + VECTOR[_V[i]][1] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}")
-        for i in range(_D) for j in range(i + 1)])
-    fits = save(_with_cholesky(diagonal), "mcd-start")
+    """``(key, n, m.., s.., det)`` from ``(key, salt, v1..)``: robust moments and the least log determinant of the core.
+    Each step's result (two rows a key) is written to the shared folder, so plans stay short and nothing is redone; one
+    number a step reaches the driver."""
+    fits = save(_with_cholesky(_starts(rows)), "mcd-start")
     core = chi2_quantile(CORE, _D)
     scale = CORE / chi2_below(core, _D + 2)
-    for step in range(steps + 1):
-        placed = rows.join(fits, "key").select("key", *_V, _distance("m", "l").alias("d2"))
-        if step < steps:
-            at = placed.groupBy("key").agg(F.percentile_approx("d2", CORE, 1000).alias("at"))
-            near = placed.join(at, "key").where("d2 <= at")
-            fits = save(_with_cholesky(_moments(near, scale)), f"mcd-step{step}")
-        else:  # reweighting: all rows that the core's estimate doesn't find unusual
-            fits = save(_with_cholesky(_moments(placed.where(F.col("d2") <= chi2_quantile(0.975, _D)), 1.0)), "mcd-last")
-    return fits
+    for step in range(steps):
+        placed = _beside(rows, fits).select("key", "start", "salt", *_V, _distance("m", "l").alias("d2"))
+        at = save(placed.groupBy("key", "start").agg(F.percentile_approx("d2", CORE, 1000).alias("at")), f"mcd-at{step}")
+        near = placed.join(at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "start", "salt"]).where("d2 <= at")
+        new = save(_with_cholesky(_moments(near, scale, "key", "start")), f"mcd-step{step}")
+        fall = new.join(fits.select("key", "start", F.col("det").alias("before")), ["key", "start"]).agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        fits = new
+        if step and (fall is None or fall < FALL):
+            break
+    least = fits.groupBy("key").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "key"]), F.struct("det", "start")).alias("x")).select("key", "x.*")
+    least = save(least, "mcd-least")
+    # reweighting: all rows that the core's estimate doesn't find unusual
+    usual = _beside(rows, least).where(_distance("m", "l") <= chi2_quantile(0.975, _D)).select("key", *_V)
+    last = _moments(usual, 1.0, "key").join(least.select("key", "det"), "key")
+    return save(last.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "mcd-last")
+
+
+def _mixed(near: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+    """Moments of ``near`` (with a column ``key`` that names a row of ``wide``), of which ``PRIOR`` rows are ``wide``'s."""
+    w = F.col("n") / (F.col("n") + PRIOR)
+    far = wide.select(F.col("key").alias(key), *[F.col(c).alias(f"far_{c}") for c in (*_MEAN, *_COV)])
+    gap = [F.col(m) - F.col(f"far_{m}") for m in _MEAN]
+    means = [(w * F.col(m) + (1 - w) * F.col(f"far_{m}")).alias(m) for m in _MEAN]
+    covs = [(w * F.col(f"s{i}{j}") + (1 - w) * F.col(f"far_s{i}{j}") + w * (1 - w) * gap[i] * gap[j]).alias(f"s{i}{j}")
+            for i in range(_D) for j in range(i + 1)]
+    return near.join(far, key).select("key", "n", *means, *covs)
 
 
 def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
@@ -165,23 +215,19 @@ def judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     group = F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))
     counts = text_counts(docs.withColumns({"_group": group}).select("doc_id", "text", "_group"), "_group")
     base = counts.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    rows = save(base.withColumns({v: F.expr(e) for v, (e, _) in VECTOR.items()}), "mcd-rows")
+    g, lang = "concat('g', to_json(_group))", "concat('l', coalesce(to_json(named_struct('l', _group.l)), ''))"
+    rows = save(base.withColumns({v: F.expr(e) for v, (e, _) in VECTOR.items()}).withColumns({
+        "key": F.expr(g), "lang_key": F.expr(lang), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")}).drop("_group"), "mcd-rows")
     passed = rows.where(~F.col("base_failed"))
-    # the level whose estimate a group uses: its own, its language's, or that of all rows
-    sizes = passed.groupBy("_group").agg(F.count("*").alias("n"))
-    by_lang = sizes.groupBy(F.col("_group.l").alias("l")).agg(F.sum("n").alias("n_lang"))
-    g, lang, every = "concat('g', to_json(_group))", "concat('l', coalesce(to_json(named_struct('l', _group.l)), ''))", "'all'"
-    level = (sizes.join(by_lang, F.col("_group.l").eqNullSafe(F.col("l")))
-             .select("_group", F.expr(f"CASE WHEN n >= {LEAST_ROWS} THEN {g} WHEN n_lang >= {LEAST_ROWS} THEN {lang} ELSE {every} END").alias("key")))
-    level = save(level, "mcd-levels")
-    used = level.select("key").distinct()
-    # rows learn for each level that is used and that they belong to
-    learn = (passed.select(F.explode(F.expr(f"array({g}, {lang}, {every})")).alias("key"), *_V)
-             .join(used, "key", "left_semi"))
-    fits = estimates(learn)
-    found = rows.join(level, rows["_group"].eqNullSafe(level["_group"]), "left")
+    levels = passed.select(F.explode(F.array("key", "lang_key", F.lit("all"))).alias("key"), "salt", *_V)
+    found = estimates(levels)
+    every = found.where("key = 'all'")
+    langs = save(_mixed(found.where("key LIKE 'l%'").withColumn("wide", F.lit("all")), every, "wide"), "mcd-languages")
+    of = passed.select("key", F.col("lang_key").alias("wide")).distinct()
+    fits = save(_with_cholesky(_mixed(found.where("key LIKE 'g%'").join(of, "key"), langs, "wide")).drop("n"), "mcd-groups")
     cutoff = chi2_quantile(1 - tail, _D)
-    return (found.drop("_group").join(fits, "key", "left")
+    salted = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (rows.join(salted, ["key", "salt"], "left")
             .withColumn("distance", _distance("m", "l"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance"))

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from envlake.llm.outliers import chi2_below, chi2_quantile, judged, text_counts
 from envlake.llm.quality import fit, keep_good, learn, score_documents, statistics, with_statistics
@@ -68,3 +69,66 @@ def test_outliers_go_and_clean_rows_stay(spark, documents, sf, odd, none, odd_ro
 
 def test_chi_square():
     assert abs(chi2_below(7.814728, 3) - 0.95) < 1e-6 and abs(chi2_quantile(0.95, 3) - 7.814728) < 1e-4
+
+
+def test_verdicts_do_not_jump_with_the_size_of_a_group(spark):
+    """A clean source of longer words, once with 199 rows and once with 200."""
+    plain = [(i, " ".join(f"word{(i * 7 + k) % 500}" for k in range(60 + i % 9)), "en", "s") for i in range(1200)]
+    other = [(10_000 + i, " ".join(f"longerwordsthere{(i * 11 + k) % 500:05d}" for k in range(60 + i % 7)), "en", "t") for i in range(200)]
+    refused = []
+    for n in (5, 199, 200):
+        rows = judged(frame(spark, plain + other[:n])).where("NOT kept").select("doc_id").collect()
+        refused.append({r["doc_id"] for r in rows})
+    assert len(refused[1] ^ refused[2]) <= 3 and len(refused[2]) <= 3 and len(refused[0]) <= 8
+
+
+def test_estimates_equal_brute_force(spark):
+    """Of all subsets of the core's size the one whose covariance has the least determinant."""
+    from itertools import combinations
+    from math import ceil
+
+    from envlake.llm.outliers import _V, CORE, VECTOR, estimates
+    r = np.random.default_rng(4)
+    floors = np.diag([VECTOR[v][1] ** 2 for v in _V])
+    scale = CORE / chi2_below(chi2_quantile(CORE, 5), 7)
+    for shift in (3.0, -5.0):
+        x = r.normal(0, 1, (14, 5)) @ np.diag([1.0, 0.5, 0.8, 0.6, 0.7])
+        x[:3] += shift * np.array([4, 2, 4, 3, 3])
+        least = min((np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) * scale + floors)[1], c) for c in combinations(range(14), ceil(14 * CORE)))
+        m, s = x[list(least[1])].mean(axis=0), np.cov(x[list(least[1])].T, bias=True) * scale + floors
+        d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+        usual = x[d2 <= chi2_quantile(0.975, 5)]
+        df = spark.createDataFrame([("g", i % 32, *map(float, v)) for i, v in enumerate(x)], "key string, salt int, " + ", ".join(f"{v} double" for v in _V))
+        got = estimates(df).first()
+        assert abs(got["det"] - least[0]) < 1e-9 and got["n"] == 14
+        assert np.allclose([got[f"m{i}"] for i in range(5)], usual.mean(axis=0))
+        want = np.cov(usual.T, bias=True) + floors
+        assert np.allclose([got[f"s{i}{j}"] for i in range(5) for j in range(i + 1)], [want[i, j] for i in range(5) for j in range(i + 1)])
+
+
+def test_distances_equal_the_formula(spark, documents):
+    from envlake.llm import outliers
+    rows = documents.where("lang = 'en'").limit(40)
+    got = {r["doc_id"]: r for r in judged(rows).collect()}
+    v = text_counts(rows).withColumns({k: F.expr(e) for k, (e, _) in outliers.VECTOR.items()})
+    base = {r["doc_id"] for r in got.values() if r["base_failed"]}
+    keyed = [(r["doc_id"], s, np.array([r[k] for k in outliers._V])) for r, s in
+             zip(sorted(v.collect(), key=lambda r: r["doc_id"]), [r["source"] for r in rows.orderBy("doc_id").collect()])]
+    learn = [(k, 0, *map(float, x)) for i, s, x in keyed if i not in base for k in (f"g{s}", "l", "all")]
+    fits = {r["key"]: r for r in outliers.estimates(spark.createDataFrame(learn, "key string, salt int, " + ", ".join(f"{k} double" for k in outliers._V))).collect()}
+
+    def moments(r):
+        s = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                s[i, j] = s[j, i] = r[f"s{i}{j}"]
+        return np.array([r[f"m{i}"] for i in range(5)]), s
+
+    def mixed(r, wide):
+        (m, s), (wm, ws), w = moments(r), wide, r["n"] / (r["n"] + outliers.PRIOR)
+        return w * m + (1 - w) * wm, w * s + (1 - w) * ws + w * (1 - w) * np.outer(m - wm, m - wm)
+    language = mixed(fits["l"], moments(fits["all"]))
+    for i, s, x in keyed:
+        if i not in base:
+            m, cov = mixed(fits[f"g{s}"], language)
+            assert abs((x - m) @ np.linalg.solve(cov, x - m) - got[i]["distance"]) < 1e-6 * max(1, got[i]["distance"])
