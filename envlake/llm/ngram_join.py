@@ -402,3 +402,6 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 """
+
+#: The same statement with the number of other documents that each one links with.
+LINKS_SQL = ORACLE_SQL.replace("AS component_id\n", "AS component_id,\n       (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links\n")

@@ -111,6 +111,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op7_ngram_join": ngram_join.ORACLE_SQL,
+    "op7_ngram_links": ngram_join.LINKS_SQL,
     "op9_secrets": secrets.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op12_centroids": centroids.ORACLE_SQL,

@@ -57,3 +57,13 @@ def test_odd_rows(odd, none, odd_rows):
     by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     assert by[1]["n_chars"] == 0 and by[1]["fingerprint"] == "" and by[5]["fingerprint"] == by[6]["fingerprint"]
     assert edited_fingerprints(none).count() == 0 and fingerprints(none).count() == 0
+
+
+def test_likeness_of_edited_and_next_texts(documents):
+    """The query's likenesses, from each row's own fingerprints and the next row's."""
+    got = {r["doc_id"]: r for r in edited_fingerprints(documents, tasks=5).collect()}
+    order = sorted(got)
+    for i, after in zip(order, [*order[1:], order[0]]):
+        own = decode(got[i]["fingerprint"])
+        assert abs(got[i]["near_edited"] - resemblance(own, decode(got[i]["edited_fingerprint"]))) < 1e-12
+        assert abs(got[i]["near_next"] - resemblance(own, decode(got[after]["fingerprint"]))) < 1e-12

@@ -25,6 +25,14 @@ def test_pipeline_stages(spark, sf, odd, tmp_path):
     assert docs.columns == ["doc_id", "ids"]
 
 
+def test_pipeline_on_an_empty_table(spark, sf, none, tmp_path):
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.columns == ["doc_id", "ids"] and docs.count() == 0
+
+
 def test_near_copies_leave_one_of_each_group(spark, sf, documents):
     kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, documents.unionAll(documents.limit(5)), sf).select("doc_id").collect()}
     rows = corpus_pipeline.near_copies(spark, documents.unionAll(documents.limit(5)), sf).count()
