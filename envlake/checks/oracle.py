@@ -113,7 +113,7 @@ SENSOR_FLOATS = ["temperature", "raw_temperature", "pressure", "humidity", "raw_
 
 def xavg(c: str) -> str:
     """Plain mean to six decimals (a double mean's last bits depend on the order of its sums)."""
-    return f"round(avg(CAST({c} AS DOUBLE)), 6)"
+    return f"(round(avg(CAST({c} AS DOUBLE)), 6) + 0{D})"
 
 
 def with_ctes(*ctes: str, body: str) -> str:
@@ -216,6 +216,13 @@ def _readings_sql() -> dict[str, str]:
               strftime(min(timestamp), '%m') AS month, strftime(min(timestamp), '%d') AS day,
               'data_' || strftime(max(timestamp), '%H%M') AS file_label
             FROM corrected GROUP BY station, boot_id, batch_end"""),
+        "batch_partition_values_health": R("""
+            SELECT station, boot_id, batch_end, strftime(min(timestamp) FILTER (WHERE health_sample), '%Y') AS year,
+              strftime(min(timestamp) FILTER (WHERE health_sample), '%m') AS month, strftime(min(timestamp) FILTER (WHERE health_sample), '%d') AS day,
+              'health_' || strftime(max(timestamp), '%H%M') AS file_label
+            FROM corrected GROUP BY station, boot_id, batch_end HAVING count(*) FILTER (WHERE health_sample) > 0"""),
+        "uncompensated_readings": R("""
+            SELECT station, boot_id, event_id, timestamp, raw_temperature AS temperature, raw_humidity AS humidity, batch_end FROM corrected"""),
         "batch_stats": R("""
             SELECT station, boot_id, batch_end, count(*) AS n_readings, min(timestamp) AS first_ts,
               max(timestamp) AS last_ts,

@@ -41,10 +41,6 @@ def py_float(c) -> Column:
     return F.when(s.rlike(PY_FLOAT_WS_RE), F.regexp_replace(s, r"[\s_]", "").try_cast("double"))
 
 
-def py_hex_valid(c) -> Column:
-    return py_strip(c).rlike(PY_HEX_RE)
-
-
 def py_hex_bit0(c) -> Column:
     """Bit 0 of ``int(s, 16)``; NULL where the parse would fail."""
     s = py_strip(c)

@@ -51,6 +51,16 @@ def batch_partition_values(df: DataFrame, keys: Sequence[str] = ("station", "boo
     })
 
 
+def health_partition_values(samples: DataFrame, readings: DataFrame, keys: Sequence[str] = ("station", "boot_id", "batch_end"),
+                            ts: str = "timestamp") -> DataFrame:
+    """Partition values of health records: the day of the batch's first health record, and the label
+    ``health_HHMM`` of the flush, which the batch's last *reading* closes."""
+    closed = readings.groupBy(F.struct(*keys).alias("_batch")).agg(F.max(ts).alias("_closed"))
+    days = batch_partition_values(samples, keys, ts).drop("file_label").withColumn("_batch", F.struct(*keys))
+    return (days.join(closed, "_batch", "left")
+            .withColumn("file_label", F.concat(F.lit("health_"), F.date_format("_closed", "HHmm"))).drop("_batch", "_closed"))
+
+
 def batch_stats(df: DataFrame, keys: Sequence[str] = ("station", "boot_id", "batch_end"),
                 ts: str = "timestamp") -> DataFrame:
     """Row count, first/last timestamp and readings per second of the observed span."""

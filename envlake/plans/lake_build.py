@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from envlake.operators.batching import batch_partition_values
+from envlake.operators.batching import health_partition_values
 from envlake.operators.health import normalize_health, power_status
 from envlake.plans.collect import corrected_readings, lake_readings
 from envlake.session import materialise, work_dir
@@ -30,7 +30,7 @@ def health_records(spark: SparkSession, sf: str, corrected: DataFrame | None = N
     power = fx.raw_power(spark, sf).join(samples.select("station", "event_id"),
                                          on=["station", "event_id"], how="left_semi")
     h = normalize_health(raw, power_status(power), keep=("station", "boot_id", "batch_end"))
-    return batch_partition_values(h, prefix="health")
+    return health_partition_values(h, c)
 
 
 _BASE: dict[tuple[str, str], str] = {}

@@ -126,7 +126,9 @@ def q_time_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hourly_station_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(hourly_station_avg(_readings(spark, sf), *MONTH))
+    """Lists only the month's directories, then filters as the documented query does."""
+    lake = scan_readings(spark, readings_lake(spark, sf), dates=[MONTH])
+    return rounded(hourly_station_avg(lake, *MONTH))
 
 
 def q_clock_drift_alerts(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from envlake.functions.gas import gas_resistance
 from envlake.functions.station_id import canonical_station_id, split_station_ids, valid_station_id
 from envlake.operators.assemble import assemble_reading
 from envlake.operators.batching import (batch_assign_event_time, batch_partition_values,
-                                        batch_stats, empty_batches, flushes_after_failure)
+                                        batch_stats, empty_batches, flushes_after_failure, health_partition_values)
 from envlake.operators.asof import sessions_from_uptime
 from envlake.operators.sequence import gap_sessions
 from envlake.plans.collect import (BATCH_MINUTES, READING_COLUMNS, WARMUP_READINGS,
@@ -123,6 +123,19 @@ def q_batch_partition_values(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("station", "boot_id", "batch_end", "year", "month", "day", "file_label").distinct()
 
 
+def q_batch_partition_values_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Day and label of each batch's health records; the label is that of the closing reading."""
+    c = corrected_readings(fx.raw_readings(spark, sf)).select("station", "boot_id", "batch_end", "timestamp", "health_sample")
+    h = health_partition_values(c.where("health_sample"), c)
+    return h.select("station", "boot_id", "batch_end", "year", "month", "day", "file_label").distinct()
+
+
+def q_uncompensated_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept readings with the correction turned off: temperature and humidity as read."""
+    c = corrected_readings(fx.raw_readings(spark, sf), compensation=False)
+    return c.select("station", "boot_id", "event_id", "timestamp", "temperature", "humidity", "batch_end")
+
+
 def q_batch_stats(spark: SparkSession, sf: str) -> DataFrame:
     c = corrected_readings(fx.raw_readings(spark, sf))
     return batch_stats(c)
@@ -181,6 +194,8 @@ QUERIES = {
     "batch_assign_event_time": q_batch_assign_event_time,
     "batch_assign_as_collected": q_batch_assign_as_collected,
     "batch_partition_values": q_batch_partition_values,
+    "batch_partition_values_health": q_batch_partition_values_health,
+    "uncompensated_readings": q_uncompensated_readings,
     "batch_stats": q_batch_stats,
     "batch_retry_stats": q_batch_retry_stats,
     "boot_sessions_uptime": q_boot_sessions_uptime,

@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 from envlake.functions.dtypes import canonical_dtypes
 from envlake.functions.station_id import split_station_ids
 from envlake.session import scoped_conf
-from envlake.schema import (HEALTH_COLUMNS, HEALTH_FILE_SCHEMA, HEALTH_LAKE_SCHEMA,
-                            SENSOR_FILE_SCHEMA, SENSOR_LAKE_SCHEMA)
+from envlake.schema import (HEALTH_COLUMNS, HEALTH_FILE_SCHEMA, SENSOR_FILE_SCHEMA, SENSOR_LAKE_SCHEMA)
 
 PARTITION_COLUMNS = ["station", "year", "month", "day"]
 FLUSH_COLUMN = "flush"
@@ -78,8 +77,9 @@ def write_health(df: DataFrame, root: str, compression: str = "zstd", mode: str
 
 
 def partition_paths(root: str, stations: Iterable[str] | None = None,
-                    dates: Iterable[tuple[int, int, int]] | None = None) -> list[str]:
-    """Directories to list for a scan narrowed to stations and/or (y, m, d) dates.
+                    dates: Iterable[tuple[int, ...]] | None = None) -> list[str]:
+    """Directories to list for a scan narrowed to stations and/or dates, each a day (y, m, d), a month
+    (y, m) or a year (y,).
 
     Listing only these directories keeps file discovery proportional to the query's
     scope on a lake with tens of millions of files."""
@@ -89,22 +89,23 @@ def partition_paths(root: str, stations: Iterable[str] | None = None,
         return [root]
     if not dates:
         return [f"{root}/{s}" for s in st]
-    return [f"{root}/{s}/year={y:04d}/month={m:02d}/day={d:02d}" for s in st for (y, m, d) in dates]
+    names = ("year={:04d}", "month={:02d}", "day={:02d}")
+    return ["/".join([root, s, *(n.format(v) for n, v in zip(names, date))]) for s in st for date in dates]
 
 
 def _scan(spark: SparkSession, schema, root: str, stations, dates) -> DataFrame:
     paths = partition_paths(root, stations, dates)
     if stations or dates:
         # a narrowed scan may name days without data; keep only directories that exist
-        from envlake.sources.files import path_exists
-        paths = [p for p in paths if "*" in p or path_exists(spark, p)]
+        from envlake.sources.files import any_match
+        paths = [p for p in paths if any_match(spark, p)]
         if not paths:
             return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", root.rstrip("/")).parquet(*paths)
 
 
 def scan_readings(spark: SparkSession, root: str, stations: Iterable[str] | None = None,
-                  dates: Iterable[tuple[int, int, int]] | None = None) -> DataFrame:
+                  dates: Iterable[tuple[int, ...]] | None = None) -> DataFrame:
     """Scan the sensor lake with partition columns from the path.
 
     The schema is explicit (no per-file inference over many small files); columns a
@@ -114,15 +115,10 @@ def scan_readings(spark: SparkSession, root: str, stations: Iterable[str] | None
 
 
 def scan_flushes(spark: SparkSession, root: str, stations: Iterable[str] | None = None,
-                 dates: Iterable[tuple[int, int, int]] | None = None) -> DataFrame:
+                 dates: Iterable[tuple[int, ...]] | None = None) -> DataFrame:
     """:func:`scan_readings` with the column ``flush``."""
     return _scan(spark, T.StructType([*SENSOR_LAKE_SCHEMA.fields, T.StructField(FLUSH_COLUMN, T.StringType())]), root, stations, dates)
 
 
-def scan_health_uniform(spark: SparkSession, root: str, stations=None, dates=None) -> DataFrame:
-    """Health scan for a lake whose files all carry the canonical types."""
-    return _scan(spark, HEALTH_LAKE_SCHEMA, root, stations, dates)
-
-
-__all__ = ["write_readings", "write_health", "scan_readings", "scan_flushes", "scan_health_uniform",
+__all__ = ["write_readings", "write_health", "scan_readings", "scan_flushes",
            "health_root", "partition_paths", "PARTITION_COLUMNS", "HEALTH_FILE_SCHEMA"]
