@@ -1,22 +1,24 @@
 """Token ids in files of a binary format, coded by context mixing and a range coder.
 
-An id is four hexadecimal digits, high first. Each digit is predicted by three adaptive tables of
-counts, of order 0 (the digits before it), 1 (also the id before) and 2 (also the two before);
-the predictions are mixed by weights that follow how well each did, and an arithmetic (range)
-coder writes the digit. A block of :data:`BLOCK` ids starts from empty tables and carries a
-checksum, so any block can be read alone. Blocks advance side by side as numpy lanes, :data:`LANES` at
-most: one step codes one digit of every block. Their tables take 135 KB each, so a task's tables stay
-under 70 MB however long a text is; its ids themselves take 8 bytes each.
+Order 2 (the two ids before) and order 1 (the id before) each predict one id, the one that lately
+followed there, with a confidence; how often a prediction of that confidence came true is counted as
+the block goes. Weights that follow how well each order did mix these chances with order 0, and an
+arithmetic (range) coder writes which of the two predictions held, or neither. In the latter case order
+0 writes the id: its class (highest bit and the bit below) by adaptive counts, then its lower bits. A
+block of :data:`BLOCK` ids starts from empty tables and carries a checksum, so any block can be read
+alone. Blocks advance side by side as numpy lanes, :data:`LANES` at most: one step codes one id of every
+block. A lane's tables, ids and words take 25 KB, so a task's stay near 100 MB however long a text is; its
+ids themselves take 8 bytes each.
 
 A section file holds whole documents in ascending ``doc_id`` order::
 
-    "CMR1", then little-endian: u32 documents, u64 ids, u64 ids before it in its chunk, u32 blocks
+    "CMR2", then little-endian: u32 documents, u64 ids, u64 ids before it in its chunk, u32 blocks
     i64 doc_id and u8 known for each document, u32 ids for each document
     u32 bytes and u32 crc32 for each block, the blocks' bytes, u32 crc32 of all before
 
 Defined results: a null or empty text has just the end id; rows that share an id are ordered by
 text, rows without id come first; an empty table writes nothing. An id of 65,536 or more, or below 0, is an error:
-four digits can't hold it. Only ``doc_id`` and ``text``
+the classes end there. Only ``doc_id`` and ``text``
 are read.
 """
 
@@ -26,93 +28,91 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envlake.llm.common import id_text, save, ship_package, slices, work_dir
 from envlake.sources.files import _fs, qualified
 
-BLOCK = 2048
+BLOCK = 1024
 #: Blocks coded side by side.
-LANES = 512
+LANES = 4096
 #: Ids after which a section ends with the current document.
-SECTION = 1 << 20
-_SLOTS = 2048
-_DEPTH = (0, 1, 17, 273)  # where the order-0 tables of each digit begin
-_ZERO = 273 + 4096
-_ADD, _TOP, _BOTTOM = 20, 1 << 24, 1 << 16
-_MASK = np.uint64(0xFFFFFFFF)
+SECTION = 1 << 22
+_SLOTS = 1024
+_CLASSES = 32
+_ADD = 24  # BLOCK * _ADD plus the first counts stay below 2**16
+_BITS = 12
+_SURE = 4064
+_SMALL, _FULL = np.uint64(1 << 32), np.uint64(1 << 48)
+_LOW, _WORD, _HALF = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
 
 
-class _Lanes:
-    """The model and coder state of all blocks."""
+def _class_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each id; number of lower bits and first id of each class."""
+    base = np.array([0, 1] + [(2 + half) << (high - 1) for high in range(1, 16) for half in (0, 1)])
+    rest = np.array([0, 0] + [high - 1 for high in range(1, 16) for _ in (0, 1)])
+    return (np.searchsorted(base, np.arange(1 << 16), side="right") - 1).astype(np.uint8), rest.astype(np.uint64), base
+
+
+_CLASS, _REST, _BASE = _class_tables()
+
+
+class _Model:
+    """Predictions of every lane. Tables lie flat, a row of lanes for each slot."""
 
     def __init__(self, n: int) -> None:
-        self.n = n
-        self.row = np.arange(n)
-        self.counts = [np.zeros((n, size, 16), dtype=np.uint8) for size in (_ZERO, _SLOTS, _SLOTS)]
-        self.weight = np.full((n, 3), 1024, dtype=np.int64)
-        self.low = np.zeros(n, dtype=np.uint64)
-        self.range = np.full(n, 0xFFFFFFFF, dtype=np.uint64)
-
-    def slots(self, digit: int, seen: np.ndarray, last: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
-        zero = _DEPTH[digit] + seen
-        one = ((last * 40503 + zero * 2654435761) >> 9) & (_SLOTS - 1)
-        two = ((last * 60493 + second * 30011 + zero * 2246822519) >> 8) & (_SLOTS - 1)
-        return [zero, one, two]
-
-    def mix(self, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Frequencies of the sixteen digits (each at least 1) and each order's own, of 4096."""
-        own = []
-        for table, slot in zip(self.counts, slots):
-            f = table[self.row, slot].astype(np.int64)
-            own.append((f << 12) // np.maximum(f.sum(axis=1), 1)[:, None])
-        w = self.weight * self.weight
-        w = (w << 8) // np.maximum(w.sum(axis=1), 1)[:, None]
-        return ((own[0] * w[:, :1] + own[1] * w[:, 1:2] + own[2] * w[:, 2:]) >> 8) + 1, own
-
-    def learn(self, slots: list[np.ndarray], own: list[np.ndarray], digit: np.ndarray) -> None:
-        for k, (table, slot) in enumerate(zip(self.counts, slots)):
-            self.weight[:, k] += (own[k][self.row, digit] + 16 - self.weight[:, k]) >> 5
-            new = table[self.row, slot, digit].astype(np.int64) + _ADD
-            full = np.flatnonzero(new > 255)
-            if len(full):
-                table[full, slot[full]] >>= 1
-                new[full] >>= 1
-            table[self.row, slot, digit] = new
-
-    def narrow(self, total: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        step = self.range // total
-        self.low = (self.low + step * start) & _MASK
-        self.range = step * size
-
-    def shifting(self) -> Iterator[np.ndarray]:
-        """Lanes whose top byte is settled; the caller takes a byte, then the state moves on."""
-        while True:
-            settled = ((self.low ^ (self.low + self.range)) & _MASK) < _TOP
-            settled &= (self.low + self.range) <= _MASK
-            short = ~settled & (self.range < _BOTTOM)
-            if short.any():
-                self.range = np.where(short, (np.uint64(_BOTTOM) - (self.low & np.uint64(_BOTTOM - 1))) & np.uint64(_BOTTOM - 1), self.range)
-                self.range = np.where(short & (self.range == 0), np.uint64(_BOTTOM), self.range)
-                settled |= short
-            at = np.flatnonzero(settled)
-            if not len(at):
-                return
-            yield at
-            self.low[at] = (self.low[at] << np.uint64(8)) & _MASK
-            self.range[at] = self.range[at] << np.uint64(8)
-
-
-def _padded(ids: np.ndarray) -> np.ndarray:
-    n = -(-len(ids) // BLOCK)
-    out = np.zeros(n * BLOCK, dtype=np.int64)
-    out[:len(ids)] = ids
-    return out.reshape(n, BLOCK)
+        self.n, self.lane = n, np.arange(n)
+        self.follows = [np.zeros(_SLOTS * n, dtype=np.int32) for _ in range(2)]  # predicted id, confidence << 16
+        first = np.array([0, 1024, 2048, 2560, 3072, 3328, 3584, 3712], dtype=np.int32)
+        self.chance = [np.repeat(first, n) for _ in range(2)]
+        self.weight = [np.full(n, 1024, dtype=np.int32) for _ in range(3)]
+        self.upto = np.repeat(np.arange(_CLASSES + 1, dtype=np.uint16)[:, None] * 4, n, axis=1)
+        self.steps = np.arange(_CLASSES + 1, dtype=np.uint8)[:, None]
+        self.last = self.second = np.zeros(n, dtype=np.int64)
+
+    def predict(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The ids predicted by order 2 and 1, and their mixed shares of 4096."""
+        self.slot = [(((self.last * 60493 + self.second * 30011) >> 5) & (_SLOTS - 1)) * self.n + self.lane,
+                     (((self.last * 40503) >> 4) & (_SLOTS - 1)) * self.n + self.lane]
+        entry = [table.take(at) for table, at in zip(self.follows, self.slot)]
+        self.guess = [e & 0xFFFF for e in entry]
+        self.trust = [e >> 16 for e in entry]
+        self.cell = [t * self.n + self.lane for t in self.trust]
+        self.own = [c.take(at) for c, at in zip(self.chance, self.cell)]
+        total = self.weight[0] + self.weight[1] + self.weight[2]
+        two, one = (w * own // total for w, own in zip(self.weight, self.own))
+        same = self.guess[0] == self.guess[1]
+        return self.guess, two + one * same, one * ~same
+
+    def learn(self, now: np.ndarray) -> None:
+        held = [(g == now) & (t > 0) for g, t in zip(self.guess, self.trust)]
+        none = ~(held[0] | held[1])
+        for k in range(2):
+            hit, own, trust = held[k], self.own[k], self.trust[k]
+            self.weight[k] += (np.where(hit, own, np.where(none, 4096 - own, 16)) - self.weight[k]) >> 5
+            self.chance[k][self.cell[k]] = own + ((hit * np.int32(_SURE) - own) >> 4)
+            keep = hit | (trust > 1)
+            trust = np.where(hit, np.minimum(trust + 1, 7), np.maximum(trust >> 1, 1))
+            self.follows[k][self.slot[k]] = np.where(keep, self.guess[k], now) | (trust << 16)
+        self.weight[2] += (np.where(none, np.int32(4096), np.int32(16)) - self.weight[2]) >> 5
+        self.second, self.last = self.last, now.astype(np.int64)
+
+    def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's class begins among the counts, and its count."""
+        at = kind * np.int64(self.n) + self.lane
+        flat = self.upto.reshape(-1)
+        start = flat.take(at)
+        return start.astype(np.uint64), (flat.take(at + self.n) - start).astype(np.uint64)
+
+    def count(self, kind: np.ndarray, wrote: np.ndarray) -> None:
+        self.upto += (self.steps > np.where(wrote, kind, _CLASSES).astype(np.uint8)).view(np.uint8) * np.uint16(_ADD)
 
 
 def compress(ids: np.ndarray) -> list[bytes]:
@@ -125,31 +125,55 @@ def compress(ids: np.ndarray) -> list[bytes]:
 
 
 def _compress(ids: np.ndarray) -> list[bytes]:
-    rows = _padded(ids)
-    lanes = _Lanes(len(rows))
-    out = np.zeros((len(rows), BLOCK * 9 + 16), dtype=np.uint8)
-    at = np.zeros(len(rows), dtype=np.int64)
-    last = second = np.zeros(len(rows), dtype=np.int64)
-    for t in range(min(BLOCK, int(len(ids)))):
-        now, seen = rows[:, t], np.zeros(len(rows), dtype=np.int64)
-        for d in range(4):
-            digit = (now >> (12 - 4 * d)) & 15
-            slots = lanes.slots(d, seen, last, second)
-            f, own = lanes.mix(slots)
-            upto = np.cumsum(f, axis=1)
-            size = f[lanes.row, digit]
-            lanes.narrow(upto[:, -1].astype(np.uint64), (upto[lanes.row, digit] - size).astype(np.uint64), size.astype(np.uint64))
-            for who in lanes.shifting():
-                out[who, at[who]] = (lanes.low[who] >> np.uint64(24)).astype(np.uint8)
-                at[who] += 1
-            lanes.learn(slots, own, digit)
-            seen = seen * 16 + digit
-        second, last = last, now
-    for _ in range(4):
-        out[lanes.row, at] = (lanes.low >> np.uint64(24)).astype(np.uint8)
-        at += 1
-        lanes.low = (lanes.low << np.uint64(8)) & _MASK
-    return [out[i, :n].tobytes() for i, n in enumerate(at.tolist())]
+    n, steps = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
+    rows = np.zeros(n * BLOCK, dtype=np.int32)
+    rows[:len(ids)] = ids
+    rows = np.ascontiguousarray(rows.reshape(n, BLOCK).T)
+    model = _Model(n)
+    low, width = np.zeros(n, dtype=np.uint64), np.full(n, _FULL)
+    words = np.zeros((3 * steps + 3) * n, dtype=np.uint32)  # 16 bits each, and a carry
+    at = np.arange(n)  # where each lane's next word goes
+
+    def settle() -> None:
+        who = np.flatnonzero(width < _SMALL)
+        if len(who):
+            own, to = low[who], at[who]
+            words[to] = own >> _HALF
+            low[who] = (own & _LOW) << _WORD
+            width[who] <<= _WORD
+            at[who] = to + n
+    for t in range(steps):
+        now = rows[t]
+        guess, two, one = model.predict()
+        first = (guess[0] == now) & (two > 0)
+        next_ = (guess[1] == now) & (one > 0)
+        wrote = ~(first | next_)
+        step = width >> np.uint64(_BITS)
+        low += step * np.where(first, 0, np.where(next_, two, two + one)).astype(np.uint64)
+        width = step * np.where(first, two, np.where(next_, one, 4096 - two - one)).astype(np.uint64)
+        settle()
+        if wrote.any():
+            kind = _CLASS[now]
+            start, size = model.share(kind)
+            step = width // model.upto[_CLASSES]
+            low += step * start * wrote
+            width = np.where(wrote, step * size, width)
+            settle()
+            rest = _REST[kind] * wrote
+            width >>= rest
+            low += width * ((now - _BASE[kind]).astype(np.uint64) * wrote)
+            settle()
+            model.count(kind, wrote)
+        model.learn(now)
+    for _ in range(3):
+        words[at] = low >> _HALF
+        low = (low & _LOW) << _WORD
+        at += n
+    lines = words.reshape(-1, n)[:int(at.max()) // n]
+    for i in range(len(lines) - 1, 0, -1):
+        lines[i - 1] += lines[i] >> np.uint32(16)
+    whole = np.ascontiguousarray(lines.T.astype("<u2"))
+    return [whole[i, :k].tobytes() for i, k in enumerate((at // n).tolist())]
 
 
 def expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
@@ -159,42 +183,58 @@ def expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
 
 
 def _expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
-    n = len(blocks)
-    width = max(map(len, blocks)) + 8
-    data = np.zeros((n, width), dtype=np.uint64)
+    n, steps = len(blocks), min(BLOCK, n_ids)
+    words = np.zeros((n, max(map(len, blocks)) // 2 + 4), dtype=np.uint16)
     for i, b in enumerate(blocks):
-        data[i, :len(b)] = np.frombuffer(b, dtype=np.uint8)
-    lanes = _Lanes(n)
-    code = (data[:, 0] << np.uint64(24)) | (data[:, 1] << np.uint64(16)) | (data[:, 2] << np.uint64(8)) | data[:, 3]
-    at = np.full(n, 4, dtype=np.int64)
-    rows = np.zeros((n, BLOCK), dtype=np.int64)
-    last = second = np.zeros(n, dtype=np.int64)
-    for t in range(min(BLOCK, n_ids)):
-        seen = np.zeros(n, dtype=np.int64)
-        for d in range(4):
-            slots = lanes.slots(d, seen, last, second)
-            f, own = lanes.mix(slots)
-            upto = np.cumsum(f, axis=1)
-            total = upto[:, -1].astype(np.uint64)
-            value = np.minimum(((code - lanes.low) & _MASK) // (lanes.range // total), total - np.uint64(1)).astype(np.int64)
-            digit = (upto <= value[:, None]).sum(axis=1)
-            size = f[lanes.row, digit]
-            lanes.narrow(total, (upto[lanes.row, digit] - size).astype(np.uint64), size.astype(np.uint64))
-            for who in lanes.shifting():
-                code[who] = ((code[who] << np.uint64(8)) & _MASK) | data[who, at[who]]
-                at[who] += 1
-            lanes.learn(slots, own, digit)
-            seen = seen * 16 + digit
-        rows[:, t] = seen
-        second, last = last, seen
-    return rows.reshape(-1)[:n_ids]
+        words[i, :len(b) // 2] = np.frombuffer(b, dtype="<u2")
+    words = np.ascontiguousarray(words.T)
+    left = (words[0].astype(np.uint64) << _HALF) | (words[1].astype(np.uint64) << _WORD) | words[2]
+    words, at = words.reshape(-1), np.arange(n) + 3 * n
+    width = np.full(n, _FULL)
+    model = _Model(n)
+    rows = np.zeros((BLOCK, n), dtype=np.int32)
+
+    def settle() -> None:
+        who = np.flatnonzero(width < _SMALL)
+        if len(who):
+            to = at[who]
+            left[who] = (left[who] << _WORD) | words[to]
+            width[who] <<= _WORD
+            at[who] = to + n
+    for t in range(steps):
+        guess, two, one = model.predict()
+        both = two + one
+        step = width >> np.uint64(_BITS)
+        value = np.minimum(left // step, np.uint64(4095)).astype(np.int32)
+        first, wrote = value < two, value >= both
+        left -= step * np.where(first, 0, np.where(wrote, both, two)).astype(np.uint64)
+        width = step * np.where(first, two, np.where(wrote, 4096 - both, one)).astype(np.uint64)
+        settle()
+        now = np.where(first, guess[0], guess[1])
+        if wrote.any():
+            step = width // model.upto[_CLASSES]
+            value = np.minimum(left // step, model.upto[_CLASSES] - np.uint16(1)).astype(np.uint16)
+            kind = np.add.reduce((model.upto[1:] <= value).view(np.uint8), axis=0, dtype=np.uint8)
+            start, size = model.share(kind)
+            left -= step * start * wrote
+            width = np.where(wrote, step * size, width)
+            settle()
+            width >>= _REST[kind] * wrote
+            value = left // width * wrote
+            left -= value * width
+            settle()
+            now = np.where(wrote, _BASE[kind] + value.astype(np.int64), now).astype(np.int32)
+            model.count(kind, wrote)
+        rows[t] = now
+        model.learn(now)
+    return rows.T.reshape(-1)[:n_ids].astype(np.int64)
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, before: int) -> bytes:
     """A section file."""
     blocks = compress(ids)
     body = b"".join([
-        b"CMR1", struct.pack("<IQQI", len(doc_ids), len(ids), before, len(blocks)),
+        b"CMR2", struct.pack("<IQQI", len(doc_ids), len(ids), before, len(blocks)),
         np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes(), np.array([i is not None for i in doc_ids], dtype=np.uint8).tobytes(),
         np.array(lengths, dtype="<u4").tobytes(), np.array([len(b) for b in blocks], dtype="<u4").tobytes(),
         np.array([zlib.crc32(b) for b in blocks], dtype="<u4").tobytes(), *blocks])
@@ -204,7 +244,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, before:
 def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     """``(doc_ids, lengths, ids, ids before in the chunk)`` of a section file; a checksum that
     doesn't hold raises ValueError."""
-    if raw[:4] != b"CMR1" or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
+    if raw[:4] != b"CMR2" or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
         raise ValueError("not a section file, or damaged")
     n_docs, n_ids, before, n_blocks = struct.unpack_from("<IQQI", raw, 4)
     at = 28
@@ -228,6 +268,83 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     return [i if k else None for i, k in zip(doc_ids.tolist(), known.tolist())], lengths, expand(blocks, n_ids), before
 
 
+#: Bytes of text encoded at a time; a longer text is encoded alone.
+TEXT_BYTES = 1 << 22
+#: Words whose ids a worker remembers, and the bytes from which a word is not remembered.
+REMEMBERED, LONG_WORD = 1 << 20, 64
+_remembered: dict[str, dict[bytes, bytes]] = {}
+_GAP = r" (?:[\s\x1c-\x1f\x85\p{Z}]|$)"
+
+
+class TextEncoder:
+    """Ids of whole texts by the ``tokenizers`` library, which is asked once for each distinct word.
+
+    With byte-level pre-tokenisation a piece never reaches over a space that a visible character follows, so
+    a text without other spaces is cut at its spaces and the ids are joined; ids of words seen before come from a
+    bounded memory that the tasks of a worker share. Other texts, and all with any other set-up of the library,
+    are encoded whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        pre = self.library.pre_tokenizer
+        self.by_word = (isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.library.normalizer is None
+                        and all(t.special for t in self.library.get_added_tokens_decoder().values()))
+        self.seen = _remembered.setdefault(path, {})
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that a space precedes."""
+        found = list(map(self.seen.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen.clear()
+        for i, ids in zip(new, self._library([" " + words[i].decode() for i in new])):
+            found[i] = ids
+            if len(words[i]) < LONG_WORD:
+                self.seen[words[i]] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (and the last's end)."""
+        plain = np.zeros(len(texts), dtype=bool)
+        if self.by_word:
+            plain = ~pc.match_substring_regex(texts, _GAP).to_numpy(zero_copy_only=False)
+        # each text is a run of parts: a head (or all of it) from the library, then its other words
+        cut = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        words = cut.flatten()
+        is_head = np.zeros(len(words), dtype=bool)
+        is_head[offsets[:-1] - offsets[0]] = True
+        coded = words.filter(pa.array(~is_head)).dictionary_encode()
+        whole = pa.concat_arrays([words.filter(pa.array(is_head)), texts.filter(pa.array(~plain))])
+        known = self._words(coded.dictionary.cast(pa.binary()).to_pylist())
+        parts = known + self._library(whole.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+
+        n_parts = np.ones(len(texts), dtype=np.int64)
+        n_parts[plain] = np.diff(offsets)
+        first = np.cumsum(n_parts) - n_parts
+        order = np.empty(int(n_parts.sum()), dtype=np.int64)
+        tail = np.ones(len(order), dtype=bool)
+        tail[first] = False
+        order[first[plain]] = len(known) + np.arange(int(plain.sum()))
+        order[first[~plain]] = len(known) + int(plain.sum()) + np.arange(int((~plain).sum()))
+        order[tail] = coded.indices.to_numpy()
+        length = sizes[order]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        ids = flat[np.repeat(begins[order] - upto[:-1], length) + np.arange(upto[-1])]
+        return ids, upto[np.append(first, len(order))]
+
+
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0,
                 tasks: int | None = None) -> DataFrame:
     """Encode every text, add ``end_id``, and write section files into ``folder`` (a fresh one under the
@@ -252,16 +369,13 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
             yield pa.record_batch([pa.array(chunk, pa.int32()), ids, b.column("text")], ["chunk", "doc_id", "text"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        encoder, end = TextEncoder(tokenizer_path), np.array([end_id], dtype="<u4")
         fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
         chunk, done, section, held_ids, held, size = None, 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            raw = pack(held_ids, [len(x) for x in held], np.concatenate(held), done)
+            raw = pack(held_ids, [len(x) + 1 for x in held], np.concatenate([y for x in held for y in (x, end)]), done)
             name = f"{base}/chunk-{chunk:06d}-{section:06d}.cmr"
             own = f"{base}/_{uuid.uuid4().hex}-{chunk:06d}-{section:06d}"
             with fs.open_output_stream(own) as f:
@@ -269,9 +383,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
             fs.move(own, name)
             return pa.RecordBatch.from_pylist([{"chunk": chunk, "path": f"{folder}/{name.rpartition('/')[2]}", "n_docs": len(held_ids),
                                                 "n_ids": size, "n_bytes": len(raw)}], schema=_MANIFEST)
-        for b in slices(batches):
-            found = tokenizer.encode_batch_fast(b.column("text").to_pylist(), add_special_tokens=False)
-            for c, i, e in zip(b.column("chunk").to_pylist(), b.column("doc_id").to_pylist(), found):
+        for b in slices(batches, TEXT_BYTES):
+            ids, upto = encoder.encode(b.column("text"))
+            for c, i, x, y in zip(b.column("chunk").to_pylist(), b.column("doc_id").to_pylist(), upto[:-1].tolist(), upto[1:].tolist()):
                 if held and (c != chunk or size >= SECTION):
                     yield flush()
                     done, section = done + size, section + 1
@@ -279,8 +393,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
                 if c != chunk:
                     chunk, done, section = c, 0, 0
                 held_ids.append(i)
-                held.append(np.append(np.array(e.ids, dtype=np.uint32), np.uint32(end_id)))
-                size += len(held[-1])
+                held.append(ids[x:y])
+                size += y - x + 1
         if held:
             yield flush()
     written = (rows.mapInArrow(deal, "chunk int, doc_id long, text string").repartitionById(len(edges) + 1, "chunk")
