@@ -25,6 +25,7 @@ are read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -270,9 +271,12 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
 
 #: Bytes of text encoded at a time; a longer text is encoded alone.
 TEXT_BYTES = 1 << 22
-#: Words whose ids a worker remembers, and the bytes from which a word is not remembered.
+#: Words and pieces whose ids a worker remembers, and the length from which a word is not remembered.
 REMEMBERED, LONG_WORD = 1 << 20, 64
-_remembered: dict[str, dict[bytes, bytes]] = {}
+_remembered: dict[str, dict[str, bytes]] = {}
+#: Fixed values of byte-level pre-tokenisation, for ASCII: its pieces, and how it shows the bytes that can't be seen.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_VISIBLE = {b: 256 + k for k, b in enumerate([*range(33), 127])}
 _GAP = r" (?:[\s\x1c-\x1f\x85\p{Z}]|$)"
 
 
@@ -281,31 +285,54 @@ class TextEncoder:
 
     With byte-level pre-tokenisation a piece never reaches over a space that a visible character follows, so
     a text without other spaces is cut at its spaces and the ids are joined; ids of words seen before come from a
-    bounded memory that the tasks of a worker share. Other texts, and all with any other set-up of the library,
-    are encoded whole.
+    bounded memory that the tasks of a worker share. Pieces of a new ASCII word go to the library's model one by one,
+    other new words through the whole library. Other texts, and all with any other set-up of the library, are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         pre = self.library.pre_tokenizer
-        self.by_word = (isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.library.normalizer is None
+        self.by_word = (isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space
+                        and isinstance(self.library.model, BPE) and self.library.normalizer is None
                         and all(t.special for t in self.library.get_added_tokens_decoder().values()))
+        self.tokenize = self.library.model.tokenize
         self.seen = _remembered.setdefault(path, {})
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that a space precedes."""
+    def _piece(self, piece: str) -> bytes:
+        ids = self.seen.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(piece.translate(_VISIBLE))]).tobytes()
+            if len(piece) < LONG_WORD:
+                self.seen[piece] = ids
+        return ids
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space before it."""
         found = list(map(self.seen.get, words))
         new = [i for i, ids in enumerate(found) if ids is None]
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
-        for i, ids in zip(new, self._library([" " + words[i].decode() for i in new])):
+        others = []
+        for i in new:
+            word = words[i]
+            if not word.isascii():
+                others.append(i)
+            elif word[1:].isalpha():
+                found[i] = self._piece(word)
+            else:
+                found[i] = b"".join(map(self._piece, _PIECES.findall(word)))
+                if len(word) < LONG_WORD:
+                    self.seen[word] = found[i]
+        for i, ids in zip(others, self._library([words[i] for i in others])):
             found[i] = ids
             if len(words[i]) < LONG_WORD:
                 self.seen[words[i]] = ids
@@ -313,6 +340,8 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (and the last's end)."""
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
         plain = np.zeros(len(texts), dtype=bool)
         if self.by_word:
             plain = ~pc.match_substring_regex(texts, _GAP).to_numpy(zero_copy_only=False)
@@ -324,11 +353,8 @@ class TextEncoder:
         is_head[offsets[:-1] - offsets[0]] = True
         coded = words.filter(pa.array(~is_head)).dictionary_encode()
         whole = pa.concat_arrays([words.filter(pa.array(is_head)), texts.filter(pa.array(~plain))])
-        known = self._words(coded.dictionary.cast(pa.binary()).to_pylist())
-        parts = known + self._library(whole.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begins = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        known = self._words(pc.binary_join_element_wise(" ", coded.dictionary, "").to_numpy(zero_copy_only=False).tolist())
+        parts = pa.array(known + self._library(whole.to_pylist()), pa.large_binary())
 
         n_parts = np.ones(len(texts), dtype=np.int64)
         n_parts[plain] = np.diff(offsets)
@@ -339,10 +365,10 @@ class TextEncoder:
         order[first[plain]] = len(known) + np.arange(int(plain.sum()))
         order[first[~plain]] = len(known) + int(plain.sum()) + np.arange(int((~plain).sum()))
         order[tail] = coded.indices.to_numpy()
-        length = sizes[order]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(begins[order] - upto[:-1], length) + np.arange(upto[-1])]
-        return ids, upto[np.append(first, len(order))]
+        picked = parts.take(pa.array(order))
+        _, offsets, raw = picked.buffers()
+        upto = np.frombuffer(offsets, dtype=np.int64)[:len(order) + 1] // 4
+        return np.frombuffer(raw or b"", dtype="<u4", count=int(upto[-1])), upto[np.append(first, len(order))]
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0,

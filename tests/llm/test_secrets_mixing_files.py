@@ -184,3 +184,31 @@ def test_files_give_back_the_library_ids(spark, documents, odd, none, odd_rows):
         start += len(ids)
     assert read_files(write_files(odd, path)).count() == len(odd_rows)
     assert read_files(write_files(none, path)).count() == 0
+
+
+def test_words_give_the_ids_of_whole_texts():
+    """Texts cut at spaces, against the library on whole texts."""
+    import random
+
+    import pyarrow as pa
+    from envlake.llm import token_codec
+    pick = random.Random(4)
+    signs = [chr(i) for i in range(128)] + ["a ", "bc ", "don't", "'re ", "12 ", "é", "中", "🙂", "　", "\xa0", "\x85", "<|endoftext|>"] * 6
+    texts = ["".join(pick.choices(signs, k=pick.randint(0, 30))) for _ in range(4000)] + ["", " ", "a" * 5000, "word " * 3000]
+    encoder = token_codec.TextEncoder(P.path("byte_bpe_50k.json"))
+    assert encoder.by_word
+    for held in (1 << 20, 50):  # also when the memory overflows
+        token_codec.REMEMBERED, before = held, token_codec.REMEMBERED
+        ids, upto = encoder.encode(pa.array(texts))
+        token_codec.REMEMBERED = before
+        whole = encoder.library.encode_batch(texts, add_special_tokens=False)
+        assert [ids[x:y].tolist() for x, y in zip(upto[:-1], upto[1:])] == [e.ids for e in whole]
+    assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
+
+
+@pytest.mark.parametrize("ids", [np.zeros(5000, dtype=int), np.arange(65536), np.tile([7, 65535, 9], 2000)])
+def test_codec_of_even_and_repeating_ids(ids):
+    blocks = compress(ids)
+    assert (expand(blocks, len(ids)) == ids).all()
+    if len(set(ids.tolist())) < 9:
+        assert sum(map(len, blocks)) < len(ids) // 8
