@@ -455,5 +455,7 @@ def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.record_batch(columns, ["chunk", "doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(columns)])
-    found = manifest.select("chunk", "path").repartition("path").mapInArrow(read, kind)
+    # a number of partitions is given, or the few short rows of the manifest would be joined into one task
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = manifest.select("chunk", "path").repartition(n, "path").mapInArrow(read, kind)
     return found.join(base, "chunk").withColumn("start", F.col("start") + F.col("base")).drop("chunk", "base")
