@@ -111,11 +111,19 @@ def ntp_offset_ms(timesync_s, chrony_s, ntpq_s, packet_ms) -> Column:
                       py_float(ntpq_s), _c(packet_ms))
 
 
-def clock_synced(timesync_s, ntpsync_s) -> Column:
-    """timesync-status answered -> True; else ``NTPSynchronized == yes``; else NULL."""
-    ts = _c(timesync_s)
+def answered_timesync(timesync_s, timesync_exit) -> Column:
+    """The Offset value of a timesync-status that ended with another exit status than 0 doesn't count."""
+    return F.when(_c(timesync_exit).isNull() | (_c(timesync_exit) == 0), _c(timesync_s))
+
+
+def clock_synced(timesync_s, ntpsync_s, timesync_exit=None) -> Column:
+    """timesync-status answered -> True; else ``NTPSynchronized == yes``; else NULL. It answered if its exit
+    status is 0, with an Offset line or without; where no status is known, if there is an Offset line."""
     ns = _c(ntpsync_s)
-    return (F.when(ts.isNotNull(), F.lit(True))
+    answered = _c(timesync_s).isNotNull()
+    if timesync_exit is not None:
+        answered = F.coalesce(_c(timesync_exit) == 0, answered)
+    return (F.when(answered, F.lit(True))
             .when(ns.isNotNull(), F.lower(py_strip(ns)) == "yes"))
 
 

@@ -49,8 +49,12 @@ def normalize_health(raw: DataFrame, power: DataFrame | None = None,
     """The 22-column health record (plus ``keep`` columns) from a ``raw_health`` table.
 
     ``power`` is the output of :func:`power_status` (joined on ``keys``); an
-    under-voltage bit in the throttled word overrides the power source.
+    under-voltage bit in the throttled word overrides the power source. A column ``timesync_exit``, where
+    ``raw`` has it, is the exit status of the timesync probe.
     """
+    timesync, status = "timesync_s", None
+    if "timesync_exit" in raw.columns:
+        status, timesync = "timesync_exit", H.answered_timesync("timesync_s", "timesync_exit")
     # Parse stage: every raw string that feeds several outputs is parsed once here
     # (Spark does not inline a costly expression into several consumers).
     raw = raw.withColumns({**H.wifi_levels("wifi_quality_s", "wifi_level_s"),
@@ -69,8 +73,8 @@ def normalize_health(raw: DataFrame, power: DataFrame | None = None,
         "wifi_ssid": H.wifi_ssid("iwgetid_s"),
         **wifi,
         "ip_address": H.ip_address("hostname_s"),
-        "clock_synced": H.clock_synced("timesync_s", "ntpsync_s"),
-        "ntp_offset_ms": H.ntp_offset_ms("timesync_s", "chrony_s", "ntpq_s", packet),
+        "clock_synced": H.clock_synced("timesync_s", "ntpsync_s", status),
+        "ntp_offset_ms": H.ntp_offset_ms(timesync, "chrony_s", "ntpq_s", packet),
         "uptime_seconds": F.col("uptime_seconds"),
         "cpu_voltage_v": H.core_voltage("volt_s"),
         "throttled_hex": F.col("throttled_hex"),

@@ -87,6 +87,17 @@ def test_clock_synced_three_valued(spark):
     assert got == [True, True, False, None]
 
 
+def test_clock_synced_by_exit_status(spark):
+    """Exit 0 without an Offset line is an answer; an Offset line of a failed probe isn't; without a status the line decides."""
+    rows = [(None, "no", 0), ("+1ms", "no", 1), ("+1ms", None, 4), ("+1ms", "no", None), (None, "yes", 1), (None, None, None), ("+1ms", "no", 0)]
+    df = spark.createDataFrame(rows, "a string, b string, e int")
+    got = df.select(H.clock_synced("a", "b", "e").alias("c"),
+                    H.ntp_offset_ms(H.answered_timesync("a", "e"), F.lit(None).cast("string"), F.lit(None).cast("string"),
+                                    F.lit(None).cast("double")).alias("o")).collect()
+    assert [r.c for r in got] == [True, False, None, True, True, None, True]
+    assert [r.o for r in got] == [None, None, None, 1.0, None, None, 1.0]
+
+
 @pytest.mark.parametrize("q,lvl,dbm,pct", [("45.", "-60.", -60, 45 / 70 * 100), ("70.", "200.", -56, 100.0),
                                            ("35.", "60.", -40, 50.0), ("x", "-60.", None, None)])
 def test_wifi(spark, q, lvl, dbm, pct):
