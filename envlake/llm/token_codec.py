@@ -26,11 +26,14 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -270,24 +273,35 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
 
 
 #: Bytes of text encoded at a time; a longer text is encoded alone.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 24
 #: Words and pieces whose ids a worker remembers, and the length from which a word is not remembered.
 REMEMBERED, LONG_WORD = 1 << 20, 64
 _remembered: dict[str, dict[str, bytes]] = {}
-#: Fixed values of byte-level pre-tokenisation, for ASCII: its pieces, and how it shows the bytes that can't be seen.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_VISIBLE = {b: 256 + k for k, b in enumerate([*range(33), 127])}
+#: Below this code point all characters have their classes since Unicode 5, so that any library agrees on them.
+_KNOWN = 0x250
+_FAR = re.compile(f"[^\0-{chr(_KNOWN - 1)}]")
+_LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(_KNOWN)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+_SIGNS, _BLANKS = string.punctuation, "\t\n\v\f\r \x85\xa0"
+#: Fixed values of byte-level pre-tokenisation: its pieces, and how it shows the bytes that can't be seen.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_LETTERS}{_NUMBERS}{_BLANKS}]+"
+                     f"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
+_VISIBLE = np.arange(256, dtype="<u2")
+_VISIBLE[[*range(33), *range(127, 161), 173]] = 256 + np.arange(68)
 _GAP = r" (?:[\s\x1c-\x1f\x85\p{Z}]|$)"
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class TextEncoder:
     """Ids of whole texts by the ``tokenizers`` library, which is asked once for each distinct word.
 
     With byte-level pre-tokenisation a piece never reaches over a space that a visible character follows, so
     a text without other spaces is cut at its spaces and the ids are joined; ids of words seen before come from a
-    bounded memory that the tasks of a worker share. Pieces of a new ASCII word go to the library's model one by one,
-    other new words through the whole library. Other texts, and all with any other set-up of the library, are
-    encoded whole.
+    bounded memory that the tasks of a worker share. Latin words are cut into pieces, and each new piece goes to the
+    library's model once; other new words go through the whole library. Other texts, and all with any other set-up
+    of the library, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -307,37 +321,52 @@ class TextEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.seen.get(piece)
-        if ids is None:
-            ids = array("I", [t.id for t in self.tokenize(piece.translate(_VISIBLE))]).tobytes()
-            if len(piece) < LONG_WORD:
-                self.seen[piece] = ids
-        return ids
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with the space before it."""
-        found = list(map(self.seen.get, words))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the library's model."""
+        found = list(map(self.seen.get, pieces))
         new = [i for i, ids in enumerate(found) if ids is None]
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
-        others = []
-        for i in new:
-            word = words[i]
-            if not word.isascii():
-                others.append(i)
-            elif word[1:].isalpha():
-                found[i] = self._piece(word)
-            else:
-                found[i] = b"".join(map(self._piece, _PIECES.findall(word)))
-                if len(word) < LONG_WORD:
-                    self.seen[word] = found[i]
-        for i, ids in zip(others, self._library([words[i] for i in others])):
-            found[i] = ids
+        # byte 255 is in no UTF-8 and shown as itself
+        raw = "\udcff".join([pieces[i] for i in new]).encode("utf-8", "surrogateescape")
+        shown = _VISIBLE[np.frombuffer(raw, dtype=np.uint8)].tobytes().decode("utf-16-le")
+        for i, x in zip(new, shown.split("\xff")):
+            found[i] = ids = array("I", [t.id for t in self.tokenize(x)]).tobytes()
+            if len(pieces[i]) < LONG_WORD:
+                self.seen[pieces[i]] = ids
+        return found
+
+    def _cut_words(self, words: list[str]) -> list[bytes]:
+        """Ids of any words, each with the space before it."""
+        found = list(map(self.seen.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        cut = {i: _PIECES.findall(words[i]) for i in new if words[i].isascii() or not _FAR.search(words[i])}
+        ids = iter(self._pieces([piece for pieces in cut.values() for piece in pieces]))
+        others = [i for i in new if i not in cut]
+        for i, x in chain(((i, b"".join(islice(ids, len(pieces)))) for i, pieces in cut.items()),
+                          zip(others, self._library([words[i] for i in others]))):
+            found[i] = x
             if len(words[i]) < LONG_WORD:
-                self.seen[words[i]] = ids
+                self.seen[words[i]] = x
         return found
 
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words (without the space before them). Letters and signs after them are two pieces,
+        and most words share theirs with others; what else there is goes through :meth:`_cut_words`."""
+        letters, signs = pc.ascii_rtrim(words, _SIGNS), pc.utf8_ltrim(words, _LETTERS)
+        two = pc.and_(pc.and_(pc.greater(pc.binary_length(letters), 0), pc.string_is_ascii(signs)),
+                      pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(signs)), pc.binary_length(words)))
+        halves = []
+        for half, lead in ((letters, " "), (signs, "")):
+            coded = half.filter(two).dictionary_encode()
+            ids = self._pieces(_strings(pc.binary_join_element_wise(lead, coded.dictionary, "")))
+            halves.append(pa.array(ids, pa.large_binary()).take(coded.indices))
+        other = _strings(pc.binary_join_element_wise(" ", words.filter(pc.invert(two)), ""))
+        found = pa.concat_arrays([pc.binary_join_element_wise(*halves, pa.scalar(b"", pa.large_binary())),
+                                  pa.array(self._cut_words(other), pa.large_binary())])
+        two = two.to_numpy(zero_copy_only=False)
+        return found.take(pa.array(np.where(two, np.cumsum(two) - 1, int(two.sum()) + np.cumsum(~two) - 1)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (and the last's end)."""
         if not len(texts):
@@ -353,8 +382,8 @@ class TextEncoder:
         is_head[offsets[:-1] - offsets[0]] = True
         coded = words.filter(pa.array(~is_head)).dictionary_encode()
         whole = pa.concat_arrays([words.filter(pa.array(is_head)), texts.filter(pa.array(~plain))])
-        known = self._words(pc.binary_join_element_wise(" ", coded.dictionary, "").to_numpy(zero_copy_only=False).tolist())
-        parts = pa.array(known + self._library(whole.to_pylist()), pa.large_binary())
+        known = self._words(coded.dictionary)
+        parts = pa.concat_arrays([known, pa.array(self._library(whole.to_pylist()), pa.large_binary())])
 
         n_parts = np.ones(len(texts), dtype=np.int64)
         n_parts[plain] = np.diff(offsets)

@@ -193,7 +193,7 @@ def test_words_give_the_ids_of_whole_texts():
     import pyarrow as pa
     from envlake.llm import token_codec
     pick = random.Random(4)
-    signs = [chr(i) for i in range(128)] + ["a ", "bc ", "don't", "'re ", "12 ", "é", "中", "🙂", "　", "\xa0", "\x85", "<|endoftext|>"] * 6
+    signs = [chr(i) for i in range(128)] + ["a ", "bc ", "don't", "'re ", "12 ", "é", "中", "🙂", "　", "\xa0", "\x85", "<|endoftext|>"] * 6 + [chr(i) for i in range(128, 0x260)]
     texts = ["".join(pick.choices(signs, k=pick.randint(0, 30))) for _ in range(4000)] + ["", " ", "a" * 5000, "word " * 3000]
     encoder = token_codec.TextEncoder(P.path("byte_bpe_50k.json"))
     assert encoder.by_word
