@@ -467,24 +467,24 @@ def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     ship_package(manifest.sparkSession)
     totals = manifest.groupBy("chunk").agg(F.sum("n_ids").alias("n"))
     base = totals.select("chunk", (F.sum("n").over(Window.orderBy("chunk")) - F.col("n")).alias("base"))
-    kind = "chunk int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, path in zip(b.column("chunk").to_pylist(), b.column("path").to_pylist()):
+            for base, path in zip(b.column("base").to_pylist(), b.column("path").to_pylist()):
                 fs, name = _fs(path)
                 with fs.open_input_stream(name) as f:
                     doc_ids, lengths, ids, before = unpack(f.read())
                 at = np.zeros(len(lengths) + 1, dtype=np.int64)
                 np.cumsum(lengths, out=at[1:])
                 flat = ids.astype("<u4")
-                columns = [pa.array(np.full(len(lengths), chunk), pa.int32()), pa.array(doc_ids, pa.int64()),
-                           pa.array(at[:-1] + before, pa.int64()), pa.array(lengths.astype(np.int64), pa.int64()),
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(at[:-1] + before + base, pa.int64()),
+                           pa.array(lengths.astype(np.int64), pa.int64()),
                            pa.array([zlib.crc32(flat[x:y].tobytes()) for x, y in zip(at[:-1], at[1:])], pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.record_batch(columns, ["chunk", "doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(columns)])
-    # a number of partitions is given, or the few short rows of the manifest would be joined into one task
+                yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(columns)])
+    # a number of partitions is given, or the few short rows of the manifest would be joined into one task;
+    # documents are read after the join, so only rows of the manifest are ever joined
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = manifest.select("chunk", "path").repartition(n, "path").mapInArrow(read, kind)
-    return found.join(base, "chunk").withColumn("start", F.col("start") + F.col("base")).drop("chunk", "base")
+    return manifest.join(base, "chunk").select("path", "base").repartition(n, "path").mapInArrow(read, kind)
