@@ -129,8 +129,9 @@ def clock_synced(timesync_s, ntpsync_s, timesync_exit=None) -> Column:
 
 def core_voltage(volt_out) -> Column:
     """``volt=0.8312V`` -> 0.8312 (after ``strip()``: prefix ``volt=``, suffix ``V``)."""
-    body = F.regexp_extract(_c(volt_out), r"(?s)^\s*volt=(.*)V\s*$", 1)
-    return py_float(body)
+    s = py_strip(volt_out)
+    body = F.substring(s, F.lit(6), F.length(s) - 6)
+    return py_float(F.when(s.startswith("volt=") & s.endswith("V"), body))
 
 
 def throttled_hex(throttled_out) -> Column:

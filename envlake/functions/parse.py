@@ -22,9 +22,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WHITESPACE = " \t\n\x0b\f\r"
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(_WHITESPACE))
 
 
 # The same grammar with surrounding whitespace allowed, so one guard replaces strip().
@@ -34,11 +37,10 @@ PY_FLOAT_WS_RE = r"^\s*" + PY_FLOAT_RE[1:-1] + r"\s*$"
 def py_float(c) -> Column:
     """``float(s)`` or NULL where Python would raise ValueError.
 
-    The guard admits surrounding whitespace and no inner whitespace, so deleting every
-    whitespace character and underscore in one pass equals ``strip()`` followed by
-    removing the digit-group underscores."""
+    The guard admits surrounding whitespace, which the cast ignores, and digit-group underscores,
+    which are removed for it."""
     s = _c(c)
-    return F.when(s.rlike(PY_FLOAT_WS_RE), F.regexp_replace(s, r"[\s_]", "").try_cast("double"))
+    return F.when(s.rlike(PY_FLOAT_WS_RE), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def py_hex_bit0(c) -> Column:
@@ -49,8 +51,7 @@ def py_hex_bit0(c) -> Column:
 
 def rstrip_chars(c, chars: str) -> Column:
     """``str.rstrip(chars)`` for a set of literal characters."""
-    cls = "".join("\\" + ch for ch in chars)
-    return F.regexp_replace(_c(c), f"[{cls}]+$", "")
+    return F.rtrim(_c(c), F.lit(chars))
 
 
 def first_token(c) -> Column:

@@ -127,3 +127,25 @@ def test_empty_batches_hour_restarting_grid(spark):
     got = sorted(r.batch_end.strftime("%H:%M") for r in empty_batches(df, 25).collect())
     # boundaries with readings: 10:25 and 13:00; the 25-minute grid restarts every hour
     assert got == ["10:50", "11:00", "11:25", "11:50", "12:00", "12:25", "12:50"]
+
+
+def test_strings_are_cut_and_parsed_as_python_does(spark):
+    """Against Python's own ``strip``, ``rstrip`` and ``float`` on strings of awkward signs."""
+    import random
+
+    from envlake.functions.parse import py_float, py_strip, rstrip_chars
+    pick = random.Random(3)
+    signs = ["1", "2", "_", ".", "e", "+", "-", " ", "\n", "\x0b", "\f", "d", "inf"]
+    texts = ["", "45.", "45.\n", "45..", "1_000", "1__0", ".5", "1 2", "-1e-5\t"] + ["".join(pick.choices(signs, k=pick.randint(0, 6))) for _ in range(4000)]
+
+    def number(s):
+        try:
+            return float(s)
+        except ValueError:
+            return None
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for r in df.select("s", py_strip("s").alias("a"), rstrip_chars("s", ".").alias("b"), py_float("s").alias("c")).collect():
+        assert (r.a, r.b, r.c) == (r.s.strip(), r.s.rstrip("."), number(r.s)), r.s
+    volts = {"volt=0.8312V": 0.8312, " volt=1V\n": 1.0, "volt=V": None, "volt=1.5VV": None, "xvolt=1V": None, "volt=1": None}
+    got = spark.createDataFrame([(v,) for v in volts], "s string").select("s", H.core_voltage("s").alias("v")).collect()
+    assert {r.s: r.v for r in got} == volts
