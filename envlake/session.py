@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings every envlake job relies on. Timestamps are UTC instants; intermediate files
@@ -51,7 +52,7 @@ def apply_pinned_conf(spark: SparkSession) -> None:
     for k, v in PINNED_CONF.items():
         try:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as configured
+        except AnalysisException:  # static conf on a shared session: leave as configured
             pass
 
 
