@@ -84,7 +84,10 @@ def lake_writer(root: str, day, compression: str = "zstd", quarantine: str | Non
             rows = rows.withColumn("timestamp", F.date_trunc("millisecond", "timestamp"))  # as the lake stores it
             have = scan_flushes(df.sparkSession, root) if path_exists(df.sparkSession, root) else None
             rows = unseen(rows, have, name)
-        write_readings(rows, root, compression=compression, mode="overwrite", quarantine=quarantine, flush=name)
+        # Spark turns adaptive plans off for a stateful query, whose state is fixed to its tasks. The rows come from
+        # an RDD here, planned already; without adaptive plans every task would write a file for every station-day.
+        with scoped_conf(df.sparkSession, "spark.sql.adaptive.enabled", "true"):
+            write_readings(rows, root, compression=compression, mode="overwrite", quarantine=quarantine, flush=name)
     return write
 
 

@@ -1,15 +1,17 @@
 """Stateful stream correction per (station, boot) with applyInPandasWithState.
 
-State per group: readings seen, first and previous timestamp (epoch us), the last five
+State per boot: readings seen, first and previous timestamp (epoch us), the last five
 CPU temperatures of readings whose BME temperature and humidity were read, and the open collector
 batch with the time of its first reading. Rows of a micro-batch are sorted by (timestamp, event_id)
-inside the group; rows arriving in a later trigger with an earlier timestamp are counted in
+inside the boot; rows arriving in a later trigger with an earlier timestamp are counted in
 arrival order (the reference's arrival order is its event order). All arithmetic is vectorised
 with numpy and adds in the same order as the batch operator, so results equal the batch plan when
-each group's rows arrive in order.
+each boot's rows arrive in order.
 
-The frames of a group are packed into one numeric array as they come, and results leave in
-slices of ``SLICE`` rows, so a task holds the numbers of one group's micro-batch, which the source's
+Spark groups by a hash of (station, boot), so that a call serves all boots of a bucket at once: a call
+for each boot costs milliseconds, whatever it holds. A bucket's state is a table of its boots. The frames
+of a bucket are packed into one numeric array as they come, and results leave in
+slices of ``SLICE`` rows, so a task holds the numbers of one bucket's micro-batch, which the source's
 ``max_bytes_per_trigger`` bounds. With ``idle``, the state of a boot that has been silent for so
 long (by the clock) is dropped; a boot that goes on after that begins anew, with its warm-up. No row
 is dropped for being late.
@@ -35,10 +37,10 @@ from envlake.session import ship_package
 _US_HOUR = 3_600_000_000
 _US_MIN = 60_000_000
 
+#: A bucket's boots, and their numbers as a table of :func:`_state_type`.
 STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("first_us", T.LongType()),
-    T.StructField("prev_us", T.LongType()), T.StructField("cpu", T.ArrayType(T.DoubleType())),
-    T.StructField("batch_us", T.LongType()), T.StructField("batch_first_us", T.LongType()),
+    T.StructField("station", T.ArrayType(T.StringType())), T.StructField("boot_id", T.ArrayType(T.LongType())),
+    T.StructField("numbers", T.BinaryType()),
 ])
 
 OUTPUT_SCHEMA = T.StructType(
@@ -50,6 +52,8 @@ OUTPUT_SCHEMA = T.StructType(
 
 #: Rows of one frame of results.
 SLICE = 10_000
+#: Buckets of boots; a checkpoint keeps the number it began with.
+BUCKETS = 256
 _FLAGS = ["bme_ok", "pressure_ok"]
 _INPUTS = ["cpu_for_compensation", "rh_for_compensation", *[c for c in SENSOR_FLOAT_COLUMNS if c not in ("temperature", "humidity")]]
 
@@ -61,71 +65,115 @@ def _next_boundary_us(us: np.ndarray, minutes: int) -> np.ndarray:
     return (us - into) + step * _US_MIN
 
 
-def _packed(pdfs: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times and event ids (both as integers) and the numeric columns of a group, in order."""
-    times, events, numbers = [], [], []
-    for pdf in pdfs:
-        times.append(pdf["timestamp"].to_numpy().astype("datetime64[us]").astype(np.int64))
-        events.append(pdf["event_id"].to_numpy())
-        numbers.append(pdf[[*_FLAGS, *_INPUTS]].to_numpy(dtype=np.float64))
-    us, event, x = np.concatenate(times), np.concatenate(events), np.concatenate(numbers)
-    order = np.lexsort((event, us))
-    return us[order], event[order], x[order]
-
-
-def _batch_starts(us: np.ndarray, ends: np.ndarray, open_end: int | None, open_first: int | None) -> np.ndarray:
-    """For each kept reading the time of its batch's first one; the first batch may have been open before."""
-    new = np.ones(len(ends), dtype=bool)
-    new[1:] = ends[1:] != ends[:-1]
-    starts = us[np.flatnonzero(new)]
-    if open_end is not None and ends[0] == open_end:
-        starts = np.concatenate([[open_first], starts[1:]])
-    return starts[np.cumsum(new) - 1]
+def _state_type(depth: int) -> np.dtype:
+    return np.dtype([("n", "<i8"), ("first", "<i8"), ("prev", "<i8"), ("open", "?"), ("batch", "<i8"), ("batch_first", "<i8"),
+                     ("warm", "?"), ("cpu", "<f8", (depth,)), ("seen_ms", "<i8")])
+
+
+def _packed(pdfs: Iterator[pd.DataFrame]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The boots of a bucket's rows, and in order of boot, time and event: the row's boot, time, event id, whether
+    it has one, and its numeric columns."""
+    parts = list(pdfs)
+    whole = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("station", "boot", "no_boot", "us", "event", "no_event")}
+    x = np.concatenate([p[[*_FLAGS, *_INPUTS]].to_numpy(dtype=np.float64) for p in parts])
+    station, stations = pd.factorize(whole["station"], use_na_sentinel=False)
+    station = station.astype(np.int64)
+    new = lambda order, *columns: np.concatenate([[True], np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])])
+    keys = (station, whole["no_boot"], whole["boot"])
+    order = np.lexsort((whole["event"], whole["no_event"], whole["us"], *keys[::-1]))
+    begins = new(order, *keys)
+    at = order[begins]
+    boots = [(None if pd.isna(s) else s, None if no else b)
+             for s, no, b in zip(stations[station[at]], whole["no_boot"][at].tolist(), whole["boot"][at].tolist())]
+    return boots, np.cumsum(begins) - 1, whole["us"][order], whole["event"][order], ~whole["no_event"][order].astype(bool), x[order]
+
+
+def _rolling(values: np.ndarray, boot: np.ndarray, known: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means of the last ``depth`` values of each boot (in order of boot), the boots that have values, and their last
+    ``depth`` ones. Before a boot's first value come those it had (``known``), or copies of the first."""
+    begins = np.flatnonzero(np.concatenate([[True], boot[1:] != boot[:-1]]))
+    who, sizes = boot[begins], np.diff(np.append(begins, len(boot)))
+    room = np.repeat(np.arange(len(who)), sizes) * (depth - 1) + np.arange(len(values))  # where the row's oldest value is
+    s = np.empty(len(values) + len(who) * (depth - 1))
+    s[room + depth - 1] = values
+    before = np.where(known["warm"][who][:, None], known["cpu"][who], values[begins][:, None])
+    for j in range(1, depth):
+        s[room[begins] + j - 1] = before[:, j]
+    acc = s[room].copy()
+    for j in range(1, depth):  # oldest first, as sum(list) adds
+        acc = acc + s[room + j]
+    last = room[begins + sizes - 1]
+    return acc / depth, who, s[last[:, None] + np.arange(depth)]
+
+
+def _nullable(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return values if known.all() else np.where(known, values.astype(object), None)
 
 
 def make_state_fn(warmup: int = 10, health_every: int = 12, factor: float = DEFAULT_FACTOR,
                   batch_minutes: int = 15, depth: int = 5, idle_ms: int | None = None):
     at = {c: i for i, c in enumerate([*_FLAGS, *_INPUTS])}
+    kind = _state_type(depth)
 
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
+    def keep_state(state, table: dict[tuple, np.void], now_ms: int) -> None:
+        if not table:
             state.remove()
             return
-        us, event, x = _packed(pdfs)
+        numbers = np.array(list(table.values()), dtype=kind)
+        state.update(([s for s, _ in table], [b for _, b in table], numbers.tobytes()))
+        if idle_ms is not None:
+            state.setTimeoutDuration(max(1, int(numbers["seen_ms"].min()) + idle_ms - now_ms))
+
+    def fn(key, pdfs, state):
+        now_ms = state.getCurrentProcessingTimeMs() if idle_ms is not None else 0
+        table = {}
         if state.exists:
-            n0, first_us, prev_us, cpu, batch_us, batch_first_us = state.get
-            cpu = list(cpu) if cpu is not None else []
-        else:
-            n0, first_us, prev_us, cpu, batch_us, batch_first_us = 0, int(us[0]), None, [], None, None
-        k = len(us)
-        n = n0 + np.arange(1, k + 1, dtype=np.int64)
+            stations, boot_ids, numbers = state.get
+            table = dict(zip(zip(stations, boot_ids), np.frombuffer(bytes(numbers), dtype=kind)))
+        idle = {k for k, v in table.items() if int(v["seen_ms"]) + idle_ms <= now_ms} if idle_ms is not None else set()
+        if state.hasTimedOut:
+            keep_state(state, {k: v for k, v in table.items() if k not in idle}, now_ms)
+            return
+        boots, g, us, event, has_event, x = _packed(pdfs)
+        k, begins = len(us), np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        ends = np.append(begins[1:], k) - 1
+        own = np.zeros(len(boots), dtype=kind)
+        own["first"] = own["prev"] = us[begins]
+        for i, boot in enumerate(boots):
+            if boot in table:
+                own[i] = table[boot]
+        n = own["n"][g] + np.arange(1, k + 1, dtype=np.int64) - begins[g]
         ok = x[:, at["bme_ok"]] == 1
-        v = x[ok, at["cpu_for_compensation"]]
         avg = np.full(k, np.nan)
-        if len(v):
-            hist = cpu[1:] if cpu else [v[0]] * (depth - 1)
-            s = np.concatenate([np.asarray(hist, dtype=np.float64), v])
-            acc = s[0:len(v)].copy()
-            for j in range(1, depth):  # oldest first, as sum(list) adds
-                acc = acc + s[j:j + len(v)]
-            avg[ok] = acc / depth
-            cpu = list(s[-depth:])
+        if ok.any():
+            avg[ok], who, cpu = _rolling(x[ok, at["cpu_for_compensation"]], g[ok], own, depth)
+            own["cpu"][who], own["warm"][who] = cpu, True
         raw_t = x[:, at["raw_temperature"]]
         temp = raw_t - ((avg - raw_t) / factor)
         hum = 100 - (5 * (temp - (raw_t - ((100 - x[:, at["rh_for_compensation"]]) / 5))))
         hum = np.where(np.isnan(hum), np.nan, np.maximum(0.0, np.minimum(100.0, hum)))
-        prev = np.concatenate([[prev_us if prev_us is not None else us[0]], us[:-1]])
-        bend = _next_boundary_us(np.where(n <= warmup + 1, first_us, prev), batch_minutes)
+        prev = np.concatenate([us[:1], us[:-1]])
+        prev[begins] = own["prev"]
+        bend = _next_boundary_us(np.where(n <= warmup + 1, own["first"][g], prev), batch_minutes)
         keep = np.flatnonzero(n > warmup)
         if len(keep):
-            starts = _batch_starts(us[keep], bend[keep], batch_us, batch_first_us)
-            batch_us, batch_first_us = int(bend[-1]), int(starts[-1])
-        state.update((int(n[-1]), int(first_us), int(us[-1]), [float(c) for c in cpu], batch_us, batch_first_us))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+            boot, end = g[keep], bend[keep]
+            first = np.concatenate([[True], boot[1:] != boot[:-1]])
+            new = first | np.concatenate([[True], end[1:] != end[:-1]])
+            goes_on = first & own["open"][boot] & (own["batch"][boot] == end)
+            starts = np.where(goes_on, own["batch_first"][boot], us[keep])[new][np.cumsum(new) - 1]
+            last = np.flatnonzero(np.append(first[1:], True))
+            own["open"][boot[last]] = True
+            own["batch"][boot[last]], own["batch_first"][boot[last]] = end[last], starts[last]
+        own["n"], own["prev"], own["seen_ms"] = n[ends], us[ends], now_ms
+        keep_state(state, {b: v for b, v in table.items() if b not in idle} | dict(zip(boots, own)), now_ms)
+        stations = np.array([s for s, _ in boots], dtype=object)
+        boot_ids = np.array([b or 0 for _, b in boots], dtype=np.int64)
+        has_boot = np.array([b is not None for _, b in boots])
         for i in range(0, len(keep), SLICE):
             part = keep[i:i + SLICE]
-            out = {"station": key[0], "boot_id": key[1], "event_id": event[part], "timestamp": us[part].astype("datetime64[us]")}
+            out = {"station": stations[g[part]], "boot_id": _nullable(boot_ids[g[part]], has_boot[g[part]]),
+                   "event_id": _nullable(event[part], has_event[part]), "timestamp": us[part].astype("datetime64[us]")}
             for c in SENSOR_FLOAT_COLUMNS:
                 if c == "temperature":
                     out[c] = np.where(ok, temp, np.nan)[part]
@@ -149,14 +197,21 @@ def _milliseconds(duration: str) -> int:
 
 
 def stream_compensate(raw_stream: DataFrame, warmup: int = 10, health_every: int = 12,
-                      factor: float = DEFAULT_FACTOR, batch_minutes: int = 15, idle: str | None = None) -> DataFrame:
+                      factor: float = DEFAULT_FACTOR, batch_minutes: int = 15, idle: str | None = None,
+                      buckets: int = BUCKETS) -> DataFrame:
     """Warm-up skip, 5-deep CPU mean, compensation and as-collected batch per (station, boot), with the first
-    reading's time of the batch. ``idle`` (such as ``'30 days'``) bounds how long a silent boot's state is kept."""
+    reading's time of the batch. ``idle`` (such as ``'30 days'``) bounds how long a silent boot's state is kept;
+    ``buckets`` is how many tasks can work at once at most."""
     ship_package(raw_stream.sparkSession)
     a = assemble_reading(raw_stream).withColumn(
         "cpu_for_compensation", F.coalesce(F.col("cpu_temp_c"), F.lit(40.0)))
-    a = a.select("station", "boot_id", "event_id", "timestamp", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in _FLAGS], *_INPUTS)
-    return a.groupBy("station", "boot_id").applyInPandasWithState(
+    # integers with a flag where they are null, as pandas would make them floats; a null time sorts first
+    a = a.select(F.pmod(F.xxhash64("station", "boot_id"), F.lit(buckets)).alias("bucket"), "station",
+                 F.coalesce("boot_id", F.lit(0)).alias("boot"), F.col("boot_id").isNull().alias("no_boot"),
+                 F.coalesce("event_id", F.lit(0)).alias("event"), F.col("event_id").isNull().alias("no_event"),
+                 F.coalesce(F.unix_micros("timestamp"), F.lit(np.iinfo(np.int64).min)).alias("us"),
+                 *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in _FLAGS], *_INPUTS)
+    return a.groupBy("bucket").applyInPandasWithState(
         make_state_fn(warmup, health_every, factor, batch_minutes, idle_ms=_milliseconds(idle) if idle else None),
         OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from envlake.operators.asof import asof_join, sessions_from_uptime
 from envlake.operators.batching import batch_partition_values, batch_stats, flushes_after_failure
+from envlake.plans import stream_queries
 from envlake.plans.collect import corrected_readings, lake_readings
 from envlake.plans.readings_queries import failed_flushes
 from envlake.schema import SENSOR_FLOAT_COLUMNS
 from envlake.session import scoped_conf, work_dir
+from envlake.sources.files import list_files
 from envlake.sources.fixtures import raw_health, raw_readings
 from envlake.sources.lake import scan_flushes, scan_readings, write_readings
 from envlake.streaming.aggregates import dedupe_to_table, read_deduped, read_windows, windows_to_table
@@ -88,6 +90,47 @@ def test_collector_batches_over_triggers_keep_their_first_day(spark):
     assert got == want and any(t.day == 2 and d == 1 for t, _, d in got)
 
 
+def test_a_flush_writes_one_file_for_a_small_station_day(spark, sf):
+    base = work_dir(spark, "test-small-days")
+    raw = raw_readings(spark, sf).select(*RAW_READING_SCHEMA.names)
+    land(raw, f"{base}/in")
+    flush_to_lake(stream_compensate(stream_readings(spark, f"{base}/in")), f"{base}/lake", f"{base}/ckpt").awaitTermination()
+    files = list_files(spark, f"{base}/lake").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+    assert 1 < files.count() == files.distinct().count()
+
+
+def test_boots_share_buckets_of_state(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, b, None if b == 2 and k % 5 == 0 else k, t0 + dt.timedelta(seconds=61 * k + 7 * ((b or 0) % 5)), 20.0 + k % 7, None if k % 4 == 0 else 50.0)
+            for s in ("s", "t", None) for b in (1, 2, (1 << 60) + 1, None) for k in range(30)]
+    raw = spark.createDataFrame(rows, "station string, boot_id long, event_id long, timestamp timestamp, raw_temperature double, raw_humidity double").withColumns(
+        {c: F.lit(20.0) + F.coalesce("event_id", F.lit(1)) % 3 for c in RAW_READING_SCHEMA.names if c not in ("station", "boot_id", "event_id", "timestamp", "raw_temperature", "raw_humidity")}).select(*RAW_READING_SCHEMA.names)
+    base = work_dir(spark, "test-buckets")
+    parts = cut(raw, 3)
+    land(parts[0], f"{base}/in", 2)
+    stream = stream_compensate(stream_readings(spark, f"{base}/in"), buckets=2)
+    q = stream.writeStream.format("memory").queryName("shared_buckets").option("checkpointLocation", f"{base}/ckpt").trigger(processingTime="1 second").start()
+    try:
+        q.processAllAvailable()
+        for part in parts[1:]:
+            land(part, f"{base}/in", 2)
+            q.processAllAvailable()
+        cols = ["station", "boot_id", "event_id", "timestamp", *SENSOR_FLOAT_COLUMNS, "seq_rn", "batch_end"]
+        got, want = spark.table("shared_buckets").select(*cols), corrected_readings(raw).select(*cols)
+        assert got.count() == want.count() == 12 * 20
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2
+    finally:
+        q.stop()
+
+
+def test_parts_of_the_batch_layout_land_by_the_tasks_that_read_them(spark, sf, monkeypatch):
+    landed = []
+    monkeypatch.setattr(stream_queries, "land", lambda df, landing, files=None: (landed.append(files), land(df, landing, files)))
+    got = stream_queries.q_stream_flush_batch_layout(spark, sf)
+    assert landed == [None] * stream_queries.FILES and got.count() == corrected_readings(raw_readings(spark, sf)).count()
+
+
 def test_final_flush_in_the_batch_layout_replicates(spark, sf):
     base = work_dir(spark, "test-final")
     raw = raw_readings(spark, sf).select(*RAW_READING_SCHEMA.names)
