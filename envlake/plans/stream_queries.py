@@ -35,18 +35,16 @@ def _raw_landing(spark: SparkSession, sf: str) -> str:
     return landing
 
 
-#: Files that the streams below land, and how many of them a trigger takes: several triggers each.
+#: Parts or files that the streams below land, and how many of the files a trigger takes: several triggers each.
 FILES, FILES_A_TRIGGER = 6, 2
 
 
-def _in_time(rows: DataFrame, spark: SparkSession, name: str, files: int = FILES) -> str:
-    """A landing folder whose files follow each other in time, as a fleet's do."""
-    landing, us = work_dir(spark, name), F.unix_micros("timestamp")
-    cuts = rows.agg(F.percentile_approx(us, [k / files for k in range(1, files)])).first()[0] or []
-    for low, high in zip([None, *cuts], [*cuts, None]):  # one after the other, so that the source lists them in this order
-        part = rows if low is None else rows.where(us > low)
-        land(part if high is None else part.where(us <= high), landing, 1)
-    return landing
+def _in_time(rows: DataFrame, parts: int = FILES) -> list[DataFrame]:
+    """Parts that follow each other in time, as a fleet's readings do."""
+    us = F.unix_micros("timestamp")
+    cuts = rows.agg(F.percentile_approx(us, [k / parts for k in range(1, parts)])).first()[0] or []
+    later = [rows if low is None else rows.where(us > low) for low in [None, *cuts]]
+    return [part if high is None else part.where(us <= high) for part, high in zip(later, [*cuts, None])]
 
 
 def q_stream_readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,11 +68,13 @@ def q_stream_flush(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_flush_batch_layout(spark: SparkSession, sf: str) -> DataFrame:
     """Stream flush in the reference's batch layout (first reading's day per batch), over several triggers
-    that cut collector batches."""
+    that cut collector batches: each part is drained before the next one lands, in as many files as tasks write."""
     base = work_dir(spark, "stream-flush-batch")
-    raw = fx.raw_readings(spark, sf).select(*RAW_READING_SCHEMA.names)
-    s = stream_compensate(stream_readings(spark, _in_time(raw, spark, "landing-parts"), max_files_per_trigger=1))
-    flush_batches_to_lake(s, f"{base}/lake", f"{base}/ckpt").awaitTermination()
+    landing = f"{base}/landing"
+    for part in _in_time(fx.raw_readings(spark, sf).select(*RAW_READING_SCHEMA.names)):
+        land(part, landing)
+        s = stream_compensate(stream_readings(spark, landing, max_files_per_trigger=None))
+        flush_batches_to_lake(s, f"{base}/lake", f"{base}/ckpt").awaitTermination()
     return scan_readings(spark, f"{base}/lake").select("station", "year", "month", "day", "timestamp",
                                                        *SENSOR_FLOAT_COLUMNS)
 
