@@ -104,6 +104,28 @@ def test_storage_stats_on_a_real_lake(spark, sf):
     assert sum(r.files for (st, d, lvl), r in stats.items() if lvl == 0) == len(files)
 
 
+def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    from envlake.sources import files
+    names = [f"station={k % 3}/day={k}/data_{k}.parquet" for k in range(40)] + [
+        "_x=1/a.parquet", "_metadata/b.parquet", "c d%.parquet", "_hidden/e.parquet", ".f/g.parquet", "h._COPYING_", "i.txt", "station=0/.j.parquet"]
+    for n in names:
+        os.makedirs(os.path.dirname(tmp_path / n), exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    os.symlink(tmp_path / "nowhere", tmp_path / "k.parquet")
+    row = lambda r: (r.path, r.size, r.last_modified)
+    for folders in (None, [f"{tmp_path}/station=*/day=7", f"{tmp_path}/station=1", f"{tmp_path}/c d%.parquet"]):
+        there = folders or [str(tmp_path)]
+        want = sorted(map(row, files._list_by_reader(spark, files.qualified(spark, str(tmp_path)), "*.parquet", there).collect()))
+        monkeypatch.setattr(files, "_list_by_reader", None)  # the driver holds every name there
+        assert sorted(map(row, files.list_files(spark, str(tmp_path), folders=folders).collect())) == want
+        assert len(want) == (43 if folders is None else 14)
+        monkeypatch.undo()
+    assert files.list_files(spark, str(tmp_path), glob="{i,h}*").select("path").collect() == [("i.txt",)]
+    monkeypatch.setattr(files, "_WALKED", 0)  # a round for each level; workers fork anew or read the shipped module
+    assert files.list_files(spark, str(tmp_path)).count() == 43
+    assert files.list_files(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_final_sync_replicates_both_lakes(spark, sf):
     from envlake.plans.lake_build import build_lakes
     from envlake.session import work_dir
