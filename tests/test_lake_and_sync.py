@@ -111,6 +111,7 @@ def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
     for n in names:
         os.makedirs(os.path.dirname(tmp_path / n), exist_ok=True)
         (tmp_path / n).write_bytes(n.encode())
+    (tmp_path / "empty.parquet").write_bytes(b"")
     os.symlink(tmp_path / "nowhere", tmp_path / "k.parquet")
     row = lambda r: (r.path, r.size, r.last_modified)
     for folders in (None, [f"{tmp_path}/station=*/day=7", f"{tmp_path}/station=1", f"{tmp_path}/c d%.parquet"]):
