@@ -4,7 +4,8 @@ Order 2 (the two ids before) and order 1 (the id before) each predict one id, th
 followed there, with a confidence; how often a prediction of that confidence came true is counted as
 the block goes. Weights that follow how well each order did mix these chances with order 0, and an
 arithmetic (range) coder writes which of the two predictions held, or neither. In the latter case order
-0 writes the id: its class (highest bit and the bit below) by adaptive counts, then its lower bits. A
+0 writes the id: its class (highest bit and the bit below) by adaptive counts, then its lower bits. The
+coder's bytes are words of 20 bits, two in five bytes. A
 block of :data:`BLOCK` ids starts from empty tables and carries a checksum, so any block can be read
 alone. Blocks advance side by side as numpy lanes, :data:`LANES` at most: one step codes one id of every
 block. A lane's tables, ids and words take 25 KB, so a task's stay near 100 MB however long a text is; its
@@ -12,7 +13,7 @@ ids themselves take 8 bytes each.
 
 A section file holds whole documents in ascending ``doc_id`` order::
 
-    "CMR2", then little-endian: u32 documents, u64 ids, u64 ids before it in its chunk, u32 blocks
+    "CMR3", then little-endian: u32 documents, u64 ids, u64 ids before it in its chunk, u32 blocks
     i64 doc_id and u8 known for each document, u32 ids for each document
     u32 bytes and u32 crc32 for each block, the blocks' bytes, u32 crc32 of all before
 
@@ -32,8 +33,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,62 +51,111 @@ LANES = 4096
 SECTION = 1 << 22
 _SLOTS = 1024
 _CLASSES = 32
-_ADD = 24  # BLOCK * _ADD plus the first counts stay below 2**16
+_ADD = 24  # BLOCK * _ADD plus the first counts stay below 2**15
+_EVERY = 4  # ids after which counts come into force
 _BITS = 12
-_SURE = 4064
-_SMALL, _FULL = np.uint64(1 << 32), np.uint64(1 << 48)
-_LOW, _WORD, _HALF = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
+_SURE = np.int16(4064)
+#: The coder's width stays from 2**40 to 2**60 between ids. An id takes 7 bits of it at most for what held, 15 for the
+#: counts and 14 for the lower bits, so something is always left; words of 20 bits leave once an id.
+_SMALL, _FULL = np.uint64(1 << 40), np.uint64(1 << 60)
+_LOW, _WORD, _TOP = np.uint64((1 << 40) - 1), np.uint64(20), np.uint64(40)
 
 
 def _class_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each id; number of lower bits and first id of each class."""
     base = np.array([0, 1] + [(2 + half) << (high - 1) for high in range(1, 16) for half in (0, 1)])
     rest = np.array([0, 0] + [high - 1 for high in range(1, 16) for _ in (0, 1)])
-    return (np.searchsorted(base, np.arange(1 << 16), side="right") - 1).astype(np.uint8), rest.astype(np.uint64), base
+    return (np.searchsorted(base, np.arange(1 << 16), side="right") - 1).astype(np.uint8), rest.astype(np.uint64), base.astype(np.uint16)
 
 
 _CLASS, _REST, _BASE = _class_tables()
 
 
 class _Model:
-    """Predictions of every lane. Tables lie flat, a row of lanes for each slot."""
+    """Predictions of every lane. Tables lie flat, a row of lanes for each slot; arrays of both orders hold order
+    2's lanes, then order 1's."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.lane = n, np.arange(n)
-        self.follows = [np.zeros(_SLOTS * n, dtype=np.int32) for _ in range(2)]  # predicted id, confidence << 16
-        first = np.array([0, 1024, 2048, 2560, 3072, 3328, 3584, 3712], dtype=np.int32)
-        self.chance = [np.repeat(first, n) for _ in range(2)]
-        self.weight = [np.full(n, 1024, dtype=np.int32) for _ in range(3)]
+        self.n, self.lane, self.both = n, np.arange(n), np.arange(2 * n)
+        self.follows = np.full(_SLOTS * 2 * n, 0, dtype=np.int32)  # predicted id, confidence << 16
+        self.chance = np.repeat(np.array([0, 1024, 2048, 2560, 3072, 3328, 3584, 3712], dtype=np.int16), 2 * n)
+        self.weight, self.rest = np.full(2 * n, 1024, dtype=np.int16), np.full(n, 1024, dtype=np.int16)
         self.upto = np.repeat(np.arange(_CLASSES + 1, dtype=np.uint16)[:, None] * 4, n, axis=1)
         self.steps = np.arange(_CLASSES + 1, dtype=np.uint8)[:, None]
-        self.last = self.second = np.zeros(n, dtype=np.int64)
-
-    def predict(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """The ids predicted by order 2 and 1, and their mixed shares of 4096."""
-        self.slot = [(((self.last * 60493 + self.second * 30011) >> 5) & (_SLOTS - 1)) * self.n + self.lane,
-                     (((self.last * 40503) >> 4) & (_SLOTS - 1)) * self.n + self.lane]
-        entry = [table.take(at) for table, at in zip(self.follows, self.slot)]
-        self.guess = [e & 0xFFFF for e in entry]
-        self.trust = [e >> 16 for e in entry]
-        self.cell = [t * self.n + self.lane for t in self.trust]
-        self.own = [c.take(at) for c, at in zip(self.chance, self.cell)]
-        total = self.weight[0] + self.weight[1] + self.weight[2]
-        two, one = (w * own // total for w, own in zip(self.weight, self.own))
-        same = self.guess[0] == self.guess[1]
-        return self.guess, two + one * same, one * ~same
+        self.more, self.held_back = np.zeros((_CLASSES + 1, n), dtype=np.uint8), 0
+        self.last = self.second = np.zeros(n, dtype=np.uint16)
+        self.hash = np.zeros(2 * n, dtype=np.uint16)
+        self.hit = np.zeros(2 * n, dtype=bool)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids predicted by order 2 and 1, and their mixed shares of 4096 (order 1 has none where both agree)."""
+        n, two, one = self.n, self.hash[:self.n], self.hash[self.n:]
+        np.multiply(self.last, np.uint16(60493), out=two)  # the lower 16 bits hold the slot's
+        two += self.second * np.uint16(30011)
+        two >>= np.uint16(5)
+        np.multiply(self.last, np.uint16(40503), out=one)
+        one >>= np.uint16(4)
+        self.hash &= np.uint16(_SLOTS - 1)
+        self.slot = self.hash.astype(np.int64)
+        self.slot *= 2 * n
+        self.slot += self.both
+        entry = self.follows.take(self.slot)
+        self.guess = entry.astype(np.uint16)
+        entry >>= 16
+        self.trust = entry.astype(np.int16)
+        self.cell = entry.astype(np.int64)
+        self.cell *= 2 * n
+        self.cell += self.both
+        self.own = self.chance.take(self.cell)
+        total = (self.weight[:n] + self.weight[n:] + self.rest).astype(np.float32)
+        mixed = self.weight.astype(np.float32)
+        mixed *= self.own  # at most 2**24, so exact
+        mixed[:n] /= total
+        mixed[n:] /= total
+        share = mixed.astype(np.uint16)
+        both, lone = share[:n], share[n:]
+        alone = lone * (self.guess[:n] != self.guess[n:])
+        both += lone
+        both -= alone
+        return self.guess[:n], self.guess[n:], both, alone
 
     def learn(self, now: np.ndarray) -> None:
-        held = [(g == now) & (t > 0) for g, t in zip(self.guess, self.trust)]
-        none = ~(held[0] | held[1])
-        for k in range(2):
-            hit, own, trust = held[k], self.own[k], self.trust[k]
-            self.weight[k] += (np.where(hit, own, np.where(none, 4096 - own, 16)) - self.weight[k]) >> 5
-            self.chance[k][self.cell[k]] = own + ((hit * np.int32(_SURE) - own) >> 4)
-            keep = hit | (trust > 1)
-            trust = np.where(hit, np.minimum(trust + 1, 7), np.maximum(trust >> 1, 1))
-            self.follows[k][self.slot[k]] = np.where(keep, self.guess[k], now) | (trust << 16)
-        self.weight[2] += (np.where(none, np.int32(4096), np.int32(16)) - self.weight[2]) >> 5
-        self.second, self.last = self.last, now.astype(np.int64)
+        n, hit, own, trust = self.n, self.hit, self.own, self.trust
+        np.equal(self.guess[:n], now, out=hit[:n])
+        np.equal(self.guess[n:], now, out=hit[n:])
+        hit &= trust > 0
+        held = -hit.view(np.int8).astype(np.int16)  # all bits where the prediction came true
+        nowhere = ~(held[:n] | held[n:])
+        # an order's weight goes to its chance if it held, the chance's rest if none did, or 16
+        to = 4080 - own
+        to[:n] &= nowhere
+        to[n:] &= nowhere
+        to += 16
+        to ^= (to ^ own) & held
+        to -= self.weight
+        to >>= 5
+        self.weight += to
+        nowhere &= 4080
+        nowhere += 16
+        nowhere -= self.rest
+        nowhere >>= 5
+        self.rest += nowhere
+        to = held & _SURE
+        to -= own
+        to >>= 4
+        to += own
+        self.chance[self.cell] = to
+        # a prediction that held is trusted more, one that didn't half as much, and replaced at the least trust
+        less = np.maximum(trust >> 1, 1)
+        swap = (~held & ((trust - 2) >> 15)).view(np.uint16)
+        less ^= (less ^ np.minimum(trust + 1, 7)) & held
+        entry = less.astype(np.int32)
+        entry <<= 16
+        self.guess[:n] ^= (self.guess[:n] ^ now) & swap[:n]
+        self.guess[n:] ^= (self.guess[n:] ^ now) & swap[n:]
+        entry |= self.guess
+        self.follows[self.slot] = entry
+        self.second, self.last = self.last, now
 
     def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each lane's class begins among the counts, and its count."""
@@ -116,7 +165,11 @@ class _Model:
         return start.astype(np.uint64), (flat.take(at + self.n) - start).astype(np.uint64)
 
     def count(self, kind: np.ndarray, wrote: np.ndarray) -> None:
-        self.upto += (self.steps > np.where(wrote, kind, _CLASSES).astype(np.uint8)).view(np.uint8) * np.uint16(_ADD)
+        self.more += (self.steps > (kind | ~wrote * np.uint8(_CLASSES))).view(np.uint8)
+        self.held_back += 1
+        if self.held_back == _EVERY:
+            self.upto += self.more * np.uint16(_ADD)
+            self.more[:], self.held_back = 0, 0
 
 
 def compress(ids: np.ndarray) -> list[bytes]:
@@ -130,54 +183,53 @@ def compress(ids: np.ndarray) -> list[bytes]:
 
 def _compress(ids: np.ndarray) -> list[bytes]:
     n, steps = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
-    rows = np.zeros(n * BLOCK, dtype=np.int32)
+    rows = np.zeros(n * BLOCK, dtype=np.uint16)
     rows[:len(ids)] = ids
     rows = np.ascontiguousarray(rows.reshape(n, BLOCK).T)
     model = _Model(n)
     low, width = np.zeros(n, dtype=np.uint64), np.full(n, _FULL)
-    words = np.zeros((3 * steps + 3) * n, dtype=np.uint32)  # 16 bits each, and a carry
+    words = np.zeros((3 * steps + 4) * n, dtype=np.uint32)  # 20 bits each, and a carry
     at = np.arange(n)  # where each lane's next word goes
-
-    def settle() -> None:
-        who = np.flatnonzero(width < _SMALL)
-        if len(who):
-            own, to = low[who], at[who]
-            words[to] = own >> _HALF
-            low[who] = (own & _LOW) << _WORD
-            width[who] <<= _WORD
-            at[who] = to + n
     for t in range(steps):
         now = rows[t]
-        guess, two, one = model.predict()
-        first = (guess[0] == now) & (two > 0)
-        next_ = (guess[1] == now) & (one > 0)
+        two_id, one_id, two, one = model.predict()
+        first = (two_id == now) & (two > 0)
+        next_ = (one_id == now) & (one > 0)
         wrote = ~(first | next_)
-        step = width >> np.uint64(_BITS)
-        low += step * np.where(first, 0, np.where(next_, two, two + one)).astype(np.uint64)
-        width = step * np.where(first, two, np.where(next_, one, 4096 - two - one)).astype(np.uint64)
-        settle()
-        if wrote.any():
-            kind = _CLASS[now]
-            start, size = model.share(kind)
-            step = width // model.upto[_CLASSES]
-            low += step * start * wrote
-            width = np.where(wrote, step * size, width)
-            settle()
-            rest = _REST[kind] * wrote
-            width >>= rest
-            low += width * ((now - _BASE[kind]).astype(np.uint64) * wrote)
-            settle()
-            model.count(kind, wrote)
+        width >>= np.uint64(_BITS)
+        low += width * (two * ~first + one * wrote).astype(np.uint64)
+        width *= (two * first + one * next_ + (np.uint16(4096) - two - one) * wrote).astype(np.uint64)
+        kind = _CLASS.take(now)
+        start, size = model.share(kind)
+        step = width // model.upto[_CLASSES]
+        start *= wrote
+        low += step * start
+        step *= size
+        width ^= (width ^ step) * wrote
+        width >>= _REST.take(kind) * wrote
+        low += width * ((now - _BASE.take(kind)) * wrote).astype(np.uint64)
+        model.count(kind, wrote)
         model.learn(now)
+        who = np.flatnonzero(width < _SMALL)
+        while len(who):
+            own, to, wide = low.take(who), at.take(who), width.take(who) << _WORD
+            words[to] = own >> _TOP
+            low[who] = (own & _LOW) << _WORD
+            width[who] = wide
+            at[who] = to + n
+            who = who[wide < _SMALL]
     for _ in range(3):
-        words[at] = low >> _HALF
+        words[at] = low >> _TOP
         low = (low & _LOW) << _WORD
         at += n
-    lines = words.reshape(-1, n)[:int(at.max()) // n]
+    lines = words.reshape(-1, n)[:int(at.max()) // n + 1]  # one more, for pairs
     for i in range(len(lines) - 1, 0, -1):
-        lines[i - 1] += lines[i] >> np.uint32(16)
-    whole = np.ascontiguousarray(lines.T.astype("<u2"))
-    return [whole[i, :k].tobytes() for i, k in enumerate((at // n).tolist())]
+        lines[i - 1] += lines[i] >> np.uint32(20)
+    lines &= np.uint32(0xFFFFF)
+    n_pairs = len(lines) // 2
+    pairs = lines[0:2 * n_pairs:2].T | lines[1:2 * n_pairs:2].T.astype("<u8") << _WORD
+    whole = np.ascontiguousarray(pairs).view(np.uint8).reshape(n, n_pairs, 8)[:, :, :5].reshape(n, -1)
+    return [whole[i, :-(-5 * k // 2)].tobytes() for i, k in enumerate((at // n).tolist())]
 
 
 def expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
@@ -188,49 +240,50 @@ def expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
 
 def _expand(blocks: list[bytes], n_ids: int) -> np.ndarray:
     n, steps = len(blocks), min(BLOCK, n_ids)
-    words = np.zeros((n, max(map(len, blocks)) // 2 + 4), dtype=np.uint16)
+    n_pairs = -(-max(map(len, blocks)) // 5) + 2
+    pairs = np.zeros((n, n_pairs, 8), dtype=np.uint8)
     for i, b in enumerate(blocks):
-        words[i, :len(b) // 2] = np.frombuffer(b, dtype="<u2")
-    words = np.ascontiguousarray(words.T)
-    left = (words[0].astype(np.uint64) << _HALF) | (words[1].astype(np.uint64) << _WORD) | words[2]
+        pairs[i, :-(-len(b) // 5), :5] = np.frombuffer(b + bytes(-len(b) % 5), dtype=np.uint8).reshape(-1, 5)
+    pairs = pairs.view("<u8").reshape(n, n_pairs).T
+    words = np.empty((n_pairs, 2, n), dtype=np.uint32)
+    words[:, 0], words[:, 1] = pairs & np.uint64(0xFFFFF), pairs >> _WORD
     words, at = words.reshape(-1), np.arange(n) + 3 * n
+    left = (words[:n].astype(np.uint64) << _TOP) | (words[n:2 * n].astype(np.uint64) << _WORD) | words[2 * n:3 * n]
     width = np.full(n, _FULL)
     model = _Model(n)
-    rows = np.zeros((BLOCK, n), dtype=np.int32)
-
-    def settle() -> None:
-        who = np.flatnonzero(width < _SMALL)
-        if len(who):
-            to = at[who]
-            left[who] = (left[who] << _WORD) | words[to]
-            width[who] <<= _WORD
-            at[who] = to + n
+    rows = np.zeros((BLOCK, n), dtype=np.uint16)
     for t in range(steps):
-        guess, two, one = model.predict()
+        two_id, one_id, two, one = model.predict()
         both = two + one
-        step = width >> np.uint64(_BITS)
-        value = np.minimum(left // step, np.uint64(4095)).astype(np.int32)
+        width >>= np.uint64(_BITS)
+        value = np.minimum(left // width, np.uint64(4095)).astype(np.uint16)
         first, wrote = value < two, value >= both
-        left -= step * np.where(first, 0, np.where(wrote, both, two)).astype(np.uint64)
-        width = step * np.where(first, two, np.where(wrote, 4096 - both, one)).astype(np.uint64)
-        settle()
-        now = np.where(first, guess[0], guess[1])
-        if wrote.any():
-            step = width // model.upto[_CLASSES]
-            value = np.minimum(left // step, model.upto[_CLASSES] - np.uint16(1)).astype(np.uint16)
-            kind = np.add.reduce((model.upto[1:] <= value).view(np.uint8), axis=0, dtype=np.uint8)
-            start, size = model.share(kind)
-            left -= step * start * wrote
-            width = np.where(wrote, step * size, width)
-            settle()
-            width >>= _REST[kind] * wrote
-            value = left // width * wrote
-            left -= value * width
-            settle()
-            now = np.where(wrote, _BASE[kind] + value.astype(np.int64), now).astype(np.int32)
-            model.count(kind, wrote)
+        next_ = ~(first | wrote)
+        left -= width * (two * ~first + one * wrote).astype(np.uint64)
+        width *= (two * first + one * next_ + (np.uint16(4096) - both) * wrote).astype(np.uint64)
+        total = model.upto[_CLASSES]
+        step = width // total
+        value = np.minimum(left // step, total - np.uint16(1)).astype(np.uint16)
+        kind = np.add.reduce((model.upto[1:] <= value).view(np.uint8), axis=0, dtype=np.uint8)
+        start, size = model.share(kind)
+        start *= wrote
+        left -= step * start
+        step *= size
+        width ^= (width ^ step) * wrote
+        width >>= _REST.take(kind) * wrote
+        value = left // width * wrote
+        left -= value * width
+        now = two_id * first + one_id * next_ + (_BASE.take(kind) + value.astype(np.uint16)) * wrote
         rows[t] = now
+        model.count(kind, wrote)
         model.learn(now)
+        who = np.flatnonzero(width < _SMALL)
+        while len(who):
+            to, wide = at.take(who), width.take(who) << _WORD
+            left[who] = (left.take(who) << _WORD) | words.take(to)
+            width[who] = wide
+            at[who] = to + n
+            who = who[wide < _SMALL]
     return rows.T.reshape(-1)[:n_ids].astype(np.int64)
 
 
@@ -238,7 +291,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, before:
     """A section file."""
     blocks = compress(ids)
     body = b"".join([
-        b"CMR2", struct.pack("<IQQI", len(doc_ids), len(ids), before, len(blocks)),
+        b"CMR3", struct.pack("<IQQI", len(doc_ids), len(ids), before, len(blocks)),
         np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes(), np.array([i is not None for i in doc_ids], dtype=np.uint8).tobytes(),
         np.array(lengths, dtype="<u4").tobytes(), np.array([len(b) for b in blocks], dtype="<u4").tobytes(),
         np.array([zlib.crc32(b) for b in blocks], dtype="<u4").tobytes(), *blocks])
@@ -248,7 +301,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, before:
 def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
     """``(doc_ids, lengths, ids, ids before in the chunk)`` of a section file; a checksum that
     doesn't hold raises ValueError."""
-    if raw[:4] != b"CMR2" or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
+    if raw[:4] != b"CMR3" or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
         raise ValueError("not a section file, or damaged")
     n_docs, n_ids, before, n_blocks = struct.unpack_from("<IQQI", raw, 4)
     at = 28
@@ -274,9 +327,9 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
 
 #: Bytes of text encoded at a time; a longer text is encoded alone.
 TEXT_BYTES = 1 << 24
-#: Words and pieces whose ids a worker remembers, and the length from which a word is not remembered.
+#: Strings whose ids a worker remembers, and the length from which one is not remembered.
 REMEMBERED, LONG_WORD = 1 << 20, 64
-_remembered: dict[str, dict[str, bytes]] = {}
+_libraries: dict[str, object] = {}
 #: Below this code point all characters have their classes since Unicode 5, so that any library agrees on them.
 _KNOWN = 0x250
 _FAR = re.compile(f"[^\0-{chr(_KNOWN - 1)}]")
@@ -287,6 +340,7 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+|
                      f"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 _VISIBLE = np.arange(256, dtype="<u2")
 _VISIBLE[[*range(33), *range(127, 161), 173]] = 256 + np.arange(68)
+_BLANK, _NOTHING = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
 _GAP = r" (?:[\s\x1c-\x1f\x85\p{Z}]|$)"
 
 
@@ -294,6 +348,34 @@ def _strings(texts: pa.Array) -> list[str]:
     return texts.to_numpy(zero_copy_only=False).tolist()
 
 
+class _Memory:
+    """Ids of strings seen before, in Arrow arrays: strings and ids have no objects of their own."""
+
+    def __init__(self) -> None:
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def get(self, texts: pa.Array, ask: Callable[[pa.Array], list[bytes]]) -> pa.Array:
+        """Ids of each text; each distinct new one is asked for once."""
+        coded = texts.cast(pa.large_string()).dictionary_encode()
+        # a lookup hashes what it looks in, so a few texts look among the latest strings only
+        base = max(0, len(self.known) - 8 * len(coded.dictionary))
+        at = pc.index_in(coded.dictionary, self.known.slice(base))
+        new = coded.dictionary.filter(at.is_null())
+        ids = pa.concat_arrays([self.ids, pa.array(ask(new) if len(new) else [], pa.large_binary())])
+        is_new = at.is_null().to_numpy(zero_copy_only=False)
+        at = np.where(is_new, len(self.known) + np.cumsum(is_new) - 1, at.fill_null(0).to_numpy().astype(np.int64) + base)
+        found = ids.take(pa.array(at).take(coded.indices))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, ids = self.known.slice(0, 0), ids.slice(len(self.known))
+        keep = pc.less(pc.binary_length(new), LONG_WORD)
+        if not pc.all(keep).as_py():
+            ids = pa.concat_arrays([ids.slice(0, len(self.known)), ids.slice(len(self.known)).filter(keep)])
+            new = new.filter(keep)
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids = ids if len(ids) else pa.array([], pa.large_binary())
+        return found
+
+
 class TextEncoder:
     """Ids of whole texts by the ``tokenizers`` library, which is asked once for each distinct word.
 
@@ -305,67 +387,61 @@ class TextEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        """The library and the memories are made once in a worker."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel
-        self.library = Tokenizer.from_file(path)
+        if path not in _libraries:
+            _libraries[path] = Tokenizer.from_file(path), _Memory(), _Memory()
+        self.library, self.pieces, self.words = _libraries[path]
         self.library.encode_special_tokens = True
         pre = self.library.pre_tokenizer
         self.by_word = (isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space
                         and isinstance(self.library.model, BPE) and self.library.normalizer is None
                         and all(t.special for t in self.library.get_added_tokens_decoder().values()))
         self.tokenize = self.library.model.tokenize
-        self.seen = _remembered.setdefault(path, {})
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _ask(self, pieces: pa.Array) -> list[bytes]:
         """Ids of pieces by the library's model."""
-        found = list(map(self.seen.get, pieces))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
         # byte 255 is in no UTF-8 and shown as itself
-        raw = "\udcff".join([pieces[i] for i in new]).encode("utf-8", "surrogateescape")
+        raw = "\udcff".join(_strings(pieces)).encode("utf-8", "surrogateescape")
         shown = _VISIBLE[np.frombuffer(raw, dtype=np.uint8)].tobytes().decode("utf-16-le")
-        for i, x in zip(new, shown.split("\xff")):
-            found[i] = ids = array("I", [t.id for t in self.tokenize(x)]).tobytes()
-            if len(pieces[i]) < LONG_WORD:
-                self.seen[pieces[i]] = ids
-        return found
-
-    def _cut_words(self, words: list[str]) -> list[bytes]:
-        """Ids of any words, each with the space before it."""
-        found = list(map(self.seen.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        cut = {i: _PIECES.findall(words[i]) for i in new if words[i].isascii() or not _FAR.search(words[i])}
-        ids = iter(self._pieces([piece for pieces in cut.values() for piece in pieces]))
-        others = [i for i in new if i not in cut]
-        for i, x in chain(((i, b"".join(islice(ids, len(pieces)))) for i, pieces in cut.items()),
-                          zip(others, self._library([words[i] for i in others]))):
-            found[i] = x
-            if len(words[i]) < LONG_WORD:
-                self.seen[words[i]] = x
-        return found
+        return [array("I", [t.id for t in self.tokenize(x)]).tobytes() for x in shown.split("\xff")]
 
     def _words(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words (without the space before them). Letters and signs after them are two pieces,
-        and most words share theirs with others; what else there is goes through :meth:`_cut_words`."""
+        and most words share theirs with others; other Latin words are cut by a pattern, the rest goes through the library."""
+        words = words.cast(pa.large_string())
         letters, signs = pc.ascii_rtrim(words, _SIGNS), pc.utf8_ltrim(words, _LETTERS)
         two = pc.and_(pc.and_(pc.greater(pc.binary_length(letters), 0), pc.string_is_ascii(signs)),
                       pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(signs)), pc.binary_length(words)))
-        halves = []
-        for half, lead in ((letters, " "), (signs, "")):
-            coded = half.filter(two).dictionary_encode()
-            ids = self._pieces(_strings(pc.binary_join_element_wise(lead, coded.dictionary, "")))
-            halves.append(pa.array(ids, pa.large_binary()).take(coded.indices))
-        other = _strings(pc.binary_join_element_wise(" ", words.filter(pc.invert(two)), ""))
-        found = pa.concat_arrays([pc.binary_join_element_wise(*halves, pa.scalar(b"", pa.large_binary())),
-                                  pa.array(self._cut_words(other), pa.large_binary())])
+        halves = [letters.filter(two).dictionary_encode(), signs.filter(two).dictionary_encode()]
+        spaced = pc.binary_join_element_wise(_BLANK, words.filter(pc.invert(two)), _NOTHING)
+        cut, far = [], np.zeros(len(spaced), dtype=bool)
+        for i, word in enumerate(_strings(spaced)):
+            if word.isascii() or not _FAR.search(word):
+                cut.append(_PIECES.findall(word))
+            else:
+                far[i] = True
+        heads, tails = len(halves[0].dictionary), len(halves[1].dictionary)
+        ids = self.pieces.get(pa.concat_arrays([
+            pc.binary_join_element_wise(_BLANK, halves[0].dictionary, _NOTHING), halves[1].dictionary,
+            pa.array([piece for pieces in cut for piece in pieces], pa.large_string())]), self._ask)
+        upto = np.cumsum([0, *map(len, cut)])
+        others = self.words.get(spaced.filter(pa.array(far)), lambda new: self._library(_strings(new)))
+        found = pa.concat_arrays([
+            pc.binary_join_element_wise(ids.slice(0, heads).take(halves[0].indices),
+                                        ids.slice(heads, tails).take(halves[1].indices), pa.scalar(b"", pa.large_binary())),
+            pc.binary_join(pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), ids.slice(heads + tails)),
+                           pa.scalar(b"", pa.large_binary())).cast(pa.large_binary()), others])
         two = two.to_numpy(zero_copy_only=False)
-        return found.take(pa.array(np.where(two, np.cumsum(two) - 1, int(two.sum()) + np.cumsum(~two) - 1)))
+        at = np.cumsum(two) - 1
+        at[~two] = int(two.sum()) + np.where(far, len(cut) + np.cumsum(far), np.cumsum(~far)) - 1
+        return found.take(pa.array(at))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (and the last's end)."""

@@ -206,6 +206,37 @@ def test_words_give_the_ids_of_whole_texts():
     assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
+def test_a_worker_loads_the_library_once_and_asks_once_for_a_piece(monkeypatch):
+    import pyarrow as pa
+    from envlake.llm import token_codec
+    monkeypatch.setattr(token_codec, "_libraries", {})
+    encoder, again = (token_codec.TextEncoder(P.path("byte_bpe_50k.json")) for _ in range(2))
+    assert again.library is encoder.library
+    asked = []
+    for e in (encoder, again):
+        monkeypatch.setattr(e, "tokenize", lambda x, own=e.tokenize: asked.append(x) or own(x))
+    texts = pa.array(["an qwertle, of qwertle; don't 12ab, of\nqwertle of é中 中é, of"] * 3)
+    ids, upto = encoder.encode(texts)
+    n = len(asked)
+    assert n == len(set(asked)) > 5
+    assert (again.encode(texts)[0] == ids).all() and len(asked) == n
+    assert ids[:upto[1]].tolist() == encoder.library.encode(texts[0].as_py(), add_special_tokens=False).ids
+    for k in range(40):  # few texts at a time, so that lookups see a part of what is remembered
+        text = f"{'abcdefghij'[k % 10]}{'klmn'[k // 10]}xq, of a{k % 7} 中{k % 3} qwertle"
+        ids = encoder.encode(pa.array([text]))[0]
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_unlikely_ids_after_sure_predictions_come_back():
+    """The least width that an id can leave, again and again: long sure runs, then the highest classes."""
+    rng = np.random.default_rng(8)
+    ids = np.where(np.arange(20 * BLOCK) % 41 < 40, 7, rng.integers(49152, 65536, 20 * BLOCK))
+    ids[3 * BLOCK:5 * BLOCK] = rng.integers(0, 65536, 2 * BLOCK)
+    ids[-BLOCK:] = np.where(np.arange(BLOCK) < BLOCK - 9, 0, 65535 - np.arange(BLOCK))
+    for part in (ids, ids[:-3], ids[-5:]):
+        assert (expand(compress(part), len(part)) == part).all()
+
+
 @pytest.mark.parametrize("ids", [np.zeros(5000, dtype=int), np.arange(65536), np.tile([7, 65535, 9], 2000)])
 def test_codec_of_even_and_repeating_ids(ids):
     blocks = compress(ids)
