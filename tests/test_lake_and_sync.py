@@ -233,3 +233,31 @@ def test_health_kinds_with_extra_and_missing_columns(spark):
     assert got == {1: (1.5, None), 2: (2.0, None), 3: (3.0, None), 4: (None, None), 5: (None, -4)}
     assert [r.day for r in scan_health(spark, root, dates=[(2024, 1, 1)]).collect()] == [1]
     assert [r.day for r in scan_health(spark, root, dates=[(2024, 1, 1), (2024, 1, 2)]).orderBy("day").collect()] == [1, 2]
+
+
+def _documents(spark, tmp_path, n=240):
+    """A table of documents of its own: an empty text, a null one and a repeated row among them."""
+    rows = [(k, None if k == 3 else "" if k == 4 else f"text {k} ä" * (k % 5 + 1)) for k in range(n)]
+    spark.createDataFrame([*rows, rows[1]], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_files_of_a_listing_are_there_part_by_part(spark, tmp_path, monkeypatch):
+    from envlake.plans import sync_queries
+    from envlake.sources import files, fixtures
+    sf, roots, seen = _documents(spark, tmp_path), [], []
+
+    def listed(spark, root, f=files.list_files):
+        roots.append(root)
+        seen.append(sum(len(fs) for _, _, fs in os.walk(root.removeprefix("file:"))))
+        return f(spark, root)
+    laid_out = fixtures.laid_out_files(spark, sf).where("path NOT LIKE '.%' AND length(content) > 0")
+    want = sorted(map(tuple, laid_out.selectExpr("path", "cast(length(content) as long)").distinct().collect()))
+    monkeypatch.setattr(sync_queries, "list_files", listed)
+    for part, parts in ((files._PART, 1), (1 << 20, 4)):
+        monkeypatch.setattr(files, "_PART", part)
+        roots.clear(), seen.clear()
+        got = sync_queries.q_list_local(spark, sf)
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 240 - 40 - 1
+        assert len(seen) == parts and sum(seen) == 240 and max(seen) <= 240 / parts * 1.5
+        assert not any(os.path.exists(r.removeprefix("file:")) for r in roots)
