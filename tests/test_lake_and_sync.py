@@ -261,3 +261,30 @@ def test_files_of_a_listing_are_there_part_by_part(spark, tmp_path, monkeypatch)
         assert sorted(map(tuple, got.collect())) == want and len(want) == 240 - 40 - 1
         assert len(seen) == parts and sum(seen) == 240 and max(seen) <= 240 / parts * 1.5
         assert not any(os.path.exists(r.removeprefix("file:")) for r in roots)
+
+
+def test_sources_of_a_replication_are_there_part_by_part(spark, tmp_path, monkeypatch):
+    from envlake.plans import sync_queries
+    from envlake.sources import files, fixtures
+    sf, roots, seen = _documents(spark, tmp_path), [], []
+
+    def below(root):
+        top = root.removeprefix("file:")
+        return {os.path.relpath(os.path.join(d, f), top): os.path.join(d, f) for d, _, fs in os.walk(top) for f in fs}
+
+    def replicated(spark, root, target, f=sync_queries.replicate_files, **more):
+        roots.extend((root, target))
+        seen.append(len(below(root)))
+        return f(spark, root, target, **more)
+    laid_out = [r for r in fixtures.laid_out_files(spark, sf).distinct().collect() if r.content]
+    monkeypatch.setattr(sync_queries, "replicate_files", replicated)
+    monkeypatch.setattr(files, "_PART", 1 << 20)
+    got = {r.path: (r.action, r.bytes) for r in sync_queries.q_replicate_files(spark, sf).collect()}
+    lake = [r for r in laid_out if r.path.startswith("station=")]
+    assert got == {r.path: ("new" if r.remote is None else "size_mismatch" if len(r.remote) != len(r.content) else
+                            "content_changed" if r.remote != r.content else "skip", 0 if r.remote == r.content else len(r.content)) for r in lake}
+    assert len(seen) == 4 and sum(seen) == 240 and max(seen) <= 90
+    assert not any(os.path.exists(r.removeprefix("file:")) for r in roots[::2]) and len(set(roots[1::2])) == 1
+    there = below(roots[1])  # the target is left, with every file as it is in the source
+    assert all(open(there[r.path], "rb").read() == bytes(r.content) for r in lake)
+    assert {r.path for r in laid_out if r.remote} <= there.keys()
